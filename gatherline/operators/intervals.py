@@ -127,17 +127,18 @@ def asof_join(
     )
     r = right.select(*keys, F.col(right_t).cast("double").alias("_at"), F.lit(0).alias("_side"), pay.alias("_pay"))
     both = l.unionByName(r, allowMissingColumns=True)
-    # the right side goes first at equal times for backward; a second order flips it for forward
-    tie = F.xxhash64(F.col("_row"), F.col("_pay"))
-    both = both.withColumn("_tie", tie)
-    out = ordered_scan(both, keys, ["_at", "_side", "_tie"], {"_back": last_valid("_pay")}, rows_per_block)
+    both = both.withColumn("_tie", F.xxhash64(F.col("_row"), F.col("_pay")))
+    # at equal times the right row goes first, so it counts as earlier; forward needs it after
+    side = -F.col("_side") if direction == "forward" else F.col("_side")
+    steps = {}
+    if direction != "forward":
+        steps["_back"] = last_valid("_pay")
     if direction != "backward":
-        out = out.withColumn("_flip", -F.col("_side"))
-        out = ordered_scan(out, keys, ["_at", "_flip", "_tie"], {"_fwd": next_valid("_pay")}, rows_per_block)
+        steps["_fwd"] = next_valid("_pay")
+    out = ordered_scan(both, keys, ["_at", side, "_tie"], steps, rows_per_block)
     out = out.filter(F.col("_side") == 1)
-    back = F.col("_back") if direction != "forward" else F.lit(None)
     if direction == "backward":
-        best = back
+        best = F.col("_back")
     elif direction == "forward":
         best = F.col("_fwd")
     else:

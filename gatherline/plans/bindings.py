@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatherline.functions.exprs import epoch_seconds
 from gatherline.operators.ordered import cum_sum, ordered_scan
 from gatherline.plans.registry import table
 
@@ -24,7 +25,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "user_id", F.expr("user_id div 4").alias("group_id"),
         F.concat(F.lit("P"), (F.col("user_id") % 4 + 1).cast("string")).alias("participant"),
         F.concat(F.lit("T"), F.expr("(dayofmonth(ts) - 1) div 6").cast("string")).alias("task_id"),
-        "ts", (F.unix_micros("ts") / F.lit(1e6)).alias("t"), "event_type", "value", "props",
+        "ts", epoch_seconds("ts").alias("t"), "event_type", "value", "props",
     )
 
 
