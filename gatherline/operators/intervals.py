@@ -157,9 +157,9 @@ def merge_islands(
 ) -> DataFrame:
     """Union of the intervals of each key: one row per maximal covered stretch."""
     d = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
-    d = ordered_scan(d, keys, ["_s", "_e"], {"_top": cum_max_before("_e")}, rows_per_block)
-    d = d.withColumn("_new", F.when(F.col("_top").isNull() | (F.col("_s") > F.col("_top")), 1).otherwise(0))
-    d = ordered_scan(d, keys, ["_s", "_e"], {"_island": cum_sum("_new")}, rows_per_block)
+    new = F.when(F.col("_top").isNull() | (F.col("_s") > F.col("_top")), 1).otherwise(0)
+    d = ordered_scan(d, keys, ["_s", "_e"], {"_top": cum_max_before("_e")}, rows_per_block,
+                     then=[({"_new": new}, {"_island": cum_sum("_new")})])
     return d.groupBy(*keys, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
 
 

@@ -4,7 +4,9 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a
 key with more than ``rows_per_block`` rows is cut into consecutive blocks of its
 order column. Blocks are windowed on their own, and what one block must know
 about its neighbours (last row, running sum, ...) travels as one small carry row
-per block. Keys below the limit stay in a single block and cost one shuffle.
+per block. Keys below the limit stay in a single block and cost one shuffle. With
+no hot key the side tables come out empty and adaptive execution drops their part
+of the plan. Inputs that are small as a whole skip the cut.
 
 Both side tables are broadcast: there are at most ``N / rows_per_block`` hot keys
 and at most twice as many blocks, so their size is bounded by construction.
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 2_000_000
+# inputs up to this size are windowed key by key; a larger one may hide a hot key
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 ColumnLike = str | Column
 
@@ -126,6 +130,20 @@ def with_blocks(
     return joined.withColumn("_blk", blk.cast("long")).drop(*hot_keys, "_n", "_lo", "_hi")
 
 
+def input_bytes(df: DataFrame) -> float:
+    """Total size of the tables a frame reads, as Spark's own statistics give it; unknown is infinite."""
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return float(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
+    except Exception:  # no JVM plan at hand (a remote session)
+        return float("inf")
+
+
+def needs_split(df: DataFrame, rows_per_block: int | None) -> bool:
+    """Whether a key could be too big for a task: a stated block size, or an input that is not small."""
+    return rows_per_block is not None or input_bytes(df) > SMALL_INPUT_BYTES
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -133,23 +151,37 @@ def ordered_scan(
     steps: dict[str, Step],
     rows_per_block: int | None = None,
     spread: str = "linear",
+    then: Sequence[tuple[dict[str, Column], dict[str, Step]]] = (),
 ) -> DataFrame:
     """Add one column per step, computed along ``order`` (ascending) within ``keys``.
 
     ``order`` should be total; its first item must be numeric or a timestamp.
+    ``then`` lists further rounds (columns derived from the steps so far, next steps):
+    they share the cut and the shuffle of the first round.
+    Small inputs use one window per key; see ``needs_split``.
     """
-    rows_per_block = rows_per_block or ROWS_PER_BLOCK
     cols = df.columns
+    split = needs_split(df, rows_per_block)
+    names = list(cols)
+    cur = df
     keys = list(keys)
-    ordering = [_c(o) for o in order]
-    inputs = {}
-    for i, s in enumerate(steps.values()):
-        inputs[f"_in{i}"] = s.expr
-    base = df.withColumns({**{f"_o{i}": o for i, o in enumerate(ordering)}, **inputs})
-    onames = [f"_o{i}" for i in range(len(ordering))]
-    blocked = with_blocks(base, keys, "_o0", rows_per_block, spread)
-
-    part = Window.partitionBy(*keys, "_blk")
+    if not keys:
+        cur, keys = cur.withColumn("_all", F.lit(0)), ["_all"]
+    onames = [f"_o{i}" for i in range(len(order))]
+    cur = cur.withColumns({n: _c(o) for n, o in zip(onames, order)})
+    if split:
+        cur = with_blocks(cur, keys, "_o0", rows_per_block or ROWS_PER_BLOCK, spread)
+    for derived, st in [({}, steps), *then]:
+        if derived:
+            cur = cur.withColumns(derived)
+        names += [n for n in [*derived, *st] if n not in names]
+        cur = _scan_round(cur, keys, onames, st, split)
+    return cur.select(*names)
+
+
+def _scan_round(df: DataFrame, keys: list[str], onames: list[str], steps: dict[str, Step], split: bool) -> DataFrame:
+    base = df.withColumns({f"_in{i}": s.expr for i, s in enumerate(steps.values())})
+    part = Window.partitionBy(*keys, "_blk") if split else Window.partitionBy(*keys)
     w = part.orderBy(*onames)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -163,20 +195,15 @@ def ordered_scan(
     all_blocks = Window.partitionBy(*keys)
 
     local, summary, carry, final = {}, {}, {}, {}
-    need_first = need_last = False
     for i, (name, s) in enumerate(steps.items()):
-        x, l, z = f"_in{i}", f"_l{i}", f"_z{i}"
-        e, lc, zc = F.col(x), F.col(l), F.col(z)
+        l, z = f"_l{i}", f"_z{i}"
+        e, lc, zc = F.col(f"_in{i}"), F.col(l), F.col(z)
         if s.kind == "prev":
-            need_first = True
-            local[l] = F.lag(e).over(w)
-            summary[z] = F.max_by(e, rank)
+            local[l], summary[z] = F.lag(e).over(w), F.max_by(e, rank)
             carry[z] = F.lag(zc).over(by_block)
             final[name] = F.when(F.col("_first"), zc).otherwise(lc)
         elif s.kind == "next":
-            need_last = True
-            local[l] = F.lead(e).over(w)
-            summary[z] = F.min_by(e, rank)
+            local[l], summary[z] = F.lead(e).over(w), F.min_by(e, rank)
             carry[z] = F.lead(zc).over(by_block)
             final[name] = F.when(F.col("_last"), zc).otherwise(lc)
         elif s.kind in ("last_valid", "last_valid_before"):
@@ -190,35 +217,35 @@ def ordered_scan(
             carry[z] = F.first(zc, ignorenulls=True).over(later)
             final[name] = F.coalesce(lc, zc)
         elif s.kind in ("cum_sum", "row_no"):
-            local[l] = F.sum(e).over(upto)
-            summary[z] = F.sum(e)
+            local[l], summary[z] = F.sum(e).over(upto), F.sum(e)
             carry[z] = F.sum(zc).over(earlier)
             final[name] = F.coalesce(lc + zc, lc, zc)
         elif s.kind in ("cum_max", "cum_max_before"):
-            local[l] = F.max(e).over(upto if s.kind == "cum_max" else before)
-            summary[z] = F.max(e)
+            local[l], summary[z] = F.max(e).over(upto if s.kind == "cum_max" else before), F.max(e)
             carry[z] = F.max(zc).over(earlier)
             final[name] = F.greatest(lc, zc)
         elif s.kind == "rev_min":
-            local[l] = F.min(e).over(onward)
-            summary[z] = F.min(e)
+            local[l], summary[z] = F.min(e).over(onward), F.min(e)
             carry[z] = F.min(zc).over(later)
             final[name] = F.least(lc, zc)
         elif s.kind == "key_sum":
-            local[l] = F.sum(e).over(whole)
-            summary[z] = F.sum(e)
+            local[l], summary[z] = F.sum(e).over(whole), F.sum(e)
             carry[z] = F.sum(zc).over(all_blocks)
             final[name] = F.coalesce(zc, lc)
         else:
             raise ValueError(s.kind)
-    if need_first:
+    keep = [c for c in df.columns if c not in final]
+    if not split:
+        rows = base.withColumns(local)
+        return rows.select(*keep, *[F.col(f"_l{i}").alias(n) for i, n in enumerate(steps)])
+    kinds = {s.kind for s in steps.values()}
+    if "prev" in kinds:
         local["_first"] = (F.row_number().over(w) == 1) & (F.col("_blk") >= 0)
-    if need_last:
+    if "next" in kinds:
         local["_last"] = F.lead(F.lit(1)).over(w).isNull() & (F.col("_blk") >= 0)
-
-    rows = blocked.withColumns(local)
+    rows = base.withColumns(local)
     carries = (
-        blocked.filter(F.col("_blk") >= 0)
+        base.filter(F.col("_blk") >= 0)
         .groupBy(*keys, "_blk")
         .agg(*[v.alias(k) for k, v in summary.items()])
         .select(
@@ -229,7 +256,6 @@ def ordered_scan(
     )
     cond = _same(keys, [f"_ck{i}" for i in range(len(keys))]) & (F.col("_blk") == F.col("_cb"))
     out = rows.join(F.broadcast(carries), cond, "left")
-    keep = [F.col(c) for c in cols if c not in final]
     return out.select(*keep, *[v.alias(k) for k, v in final.items()])
 
 
@@ -289,15 +315,16 @@ def exact_percentiles(
     df: DataFrame, keys: Sequence[str], spec: dict[str, tuple[str, float]],
     rows_per_block: int | None = None,
 ) -> DataFrame:
-    """Percentiles of several columns per key: ``{out: (column, fraction)}``."""
+    """Percentiles of several columns per key: ``{out: (column, fraction)}``.
+
+    Small inputs use the built-in exact percentile, which holds a key's values in one
+    task; others rank the distinct values in blocks.
+    """
+    if not needs_split(df, rows_per_block):
+        return df.groupBy(*keys).agg(*_plain_percentiles(spec))
     cols = list(dict.fromkeys(c for c, _ in spec.values()))
     ps = sorted({p for _, p in spec.values()})
     pn = {f"_p{i}": p for i, p in enumerate(ps)}
-    if len(cols) == 1:
-        one = df.select(*keys, F.col(cols[0]).cast("double").alias("value"))
-        q = exact_percentiles_long(one, keys, "value", pn, rows_per_block)
-        names = {p: n for n, p in pn.items()}
-        return q.select(*keys, *[F.col(names[p]).alias(o) for o, (_, p) in spec.items()])
     long = unpivot_values(df, keys, cols)
     q = exact_percentiles_long(long, [*keys, "feature"], "value", pn, rows_per_block)
     names = {p: n for n, p in pn.items()}
@@ -307,6 +334,10 @@ def exact_percentiles(
     return q.groupBy(*keys).agg(*picks)
 
 
+def _plain_percentiles(spec: dict[str, tuple[str, float]]) -> list[Column]:
+    return [F.percentile(F.col(c).cast("double"), float(p)).alias(o) for o, (c, p) in spec.items()]
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi join on shared key names; keeps the left keys (right's for unmatched in full)."""
     if not keys:
@@ -326,6 +357,8 @@ def agg_with_percentiles(
     rows_per_block: int | None = None,
 ) -> DataFrame:
     """Ordinary aggregates plus exact percentiles on the same keys."""
+    if not needs_split(df, rows_per_block):
+        return df.groupBy(*keys).agg(*aggs, *_plain_percentiles(spec))
     a = df.groupBy(*keys).agg(*aggs)
     q = exact_percentiles(df, keys, spec, rows_per_block)
     return join_on(a, q, keys, "left")
