@@ -113,11 +113,13 @@ def asof_join(
     tolerance: float | None = None,
     prefix: str = "m_",
     rows_per_block: int | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Nearest earlier, later or closest right row for each left row.
 
     One union and one ordered scan: a long key is cut into blocks, not held in a
     task. 'nearest' prefers the earlier row on ties. Beyond ``tolerance`` the match is null.
+    ``strict`` leaves out right rows at exactly the left time (backward only).
     """
     pay = F.struct(F.col(right_t).cast("double").alias("_t"), *[F.col(p).alias(p) for p in payload])
     lcols = [c for c in left.columns if c not in keys]
@@ -129,7 +131,7 @@ def asof_join(
     both = l.unionByName(r, allowMissingColumns=True)
     both = both.withColumn("_tie", F.xxhash64(F.col("_row"), F.col("_pay")))
     # at equal times the right row goes first, so it counts as earlier; forward needs it after
-    side = -F.col("_side") if direction == "forward" else F.col("_side")
+    side = -F.col("_side") if direction == "forward" or strict else F.col("_side")
     steps = {}
     if direction != "forward":
         steps["_back"] = last_valid("_pay")
