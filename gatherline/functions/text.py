@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gatherline.functions import lexicons as L
 from gatherline.functions.exprs import col
 
 
@@ -12,3 +15,89 @@ def tokens(text) -> Column:
     """Lower-case words of [a-z0-9'] after dropping bracketed notes."""
     clean = F.lower(F.regexp_replace(col(text), r"\[.*?\]", ""))
     return F.coalesce(F.regexp_extract_all(clean, F.lit(r"[a-z0-9']+"), F.lit(0)), F.array().cast("array<string>"))
+
+
+def ngrams(words, n: int) -> Column:
+    """All n-grams of a word array, as texts."""
+    w = col(words)
+    slots = F.sequence(F.lit(1), F.size(w) - F.lit(n - 1))
+    return F.when(F.size(w) >= n, F.transform(slots, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def marker_count(words, markers: Sequence[str]) -> Column:
+    """How many words, repeats included, are in the list."""
+    return F.size(F.filter(col(words), lambda w: w.isin(*markers)))
+
+
+def pattern_count(text, patterns: Sequence[str]) -> Column:
+    return F.coalesce(F.regexp_count(col(text), F.lit("(?i)(" + "|".join(patterns) + ")")), F.lit(0))
+
+
+def question_marks(text) -> Column:
+    t = F.coalesce(col(text), F.lit(""))
+    return F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit("")))
+
+
+def question_count(text) -> Column:
+    """The larger of question marks and sentences that open with a question word."""
+    starts = F.regexp_count(col(text), F.lit(r"(?i)(^|[.!?]\s*)(" + "|".join(L.QUESTION_WORDS) + r")\b"))
+    return F.greatest(question_marks(text), F.coalesce(starts, F.lit(0)))
+
+
+def suggestion_count(text) -> Column:
+    return pattern_count(text, L.SUGGESTION_PATTERNS)
+
+
+def discourse_counts(words, text) -> dict[str, Column]:
+    return {
+        f"dm_{k}": marker_count(words, L.DISCOURSE_WORDS[k]) + pattern_count(text, L.DISCOURSE_PHRASES[k]) for k in L.DISCOURSE_WORDS
+    }
+
+
+def act_scores(text) -> dict[str, Column]:
+    """Cue hits per dialogue act; a question mark adds one to question."""
+    t = F.lower(col(text))
+    out = {}
+    for act, cues in L.ACT_CUES.items():
+        hits = sum((t.contains(c).cast("int") for c in cues), F.lit(0))
+        out[act] = hits + col(text).contains("?").cast("int") if act == "question" else hits
+    return out
+
+
+def dominant_act(scores: dict[str, Column]) -> Column:
+    """Class with the most hits, the first on ties; 'statement' when nothing matched."""
+    top = F.greatest(*scores.values())
+    pick = F.when(top == 0, "statement")
+    for act, s in scores.items():
+        pick = pick.when(s == top, act)
+    return pick
+
+
+def trails_off(text) -> Column:
+    return F.coalesce(col(text).rlike(L.TRAILS_OFF), F.lit(False))
+
+
+def has_support(text) -> Column:
+    """A clear agreement word, or an ambiguous one alone in an utterance of at most four words."""
+    t = F.coalesce(col(text), F.lit(""))
+    stripped = F.trim(t)
+    short = F.size(F.split(stripped, r"\s+")) <= 4
+    return F.lower(t).rlike(L.SUPPORT) | (short & stripped.rlike("(?i)" + L.SHORT_SUPPORT))
+
+
+def has_conflict(text) -> Column:
+    t = F.lower(F.coalesce(col(text), F.lit("")))
+    return t.rlike(L.CONFLICT[0]) | t.rlike(L.CONFLICT[1])
+
+
+def context_label(timing, text_a, text_b, completion) -> Column:
+    """completion, collaborative, competitive or '' for the speech around an overlap."""
+    a, b, timing = F.coalesce(col(text_a), F.lit("")), F.coalesce(col(text_b), F.lit("")), col(timing)
+    support, conflict = has_support(a) | has_support(b), has_conflict(a) | has_conflict(b)
+    spoken = F.trim(F.when(b != "", b).otherwise(a))
+    content = (F.when(b != "", b).otherwise(a) != "") & ~spoken.rlike("(?i)" + L.JUST_AGREES)
+    return (
+        F.when(F.coalesce(col(completion), F.lit(False)) & content, "completion")
+        .when(support & ~conflict & timing.isin("smooth", "competitive", "floor_fight"), "collaborative")
+        .when(conflict & ~support & timing.isin("competitive", "floor_fight"), "competitive").otherwise("")
+    )

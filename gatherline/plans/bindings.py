@@ -54,7 +54,7 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(
         "event_id", "group_id", "task_id", F.col("participant").alias("speaker"), onset.alias("onset"),
         (F.col("value") * 10.0).alias("duration"), kind.alias("type"), sub.alias("subtype"),
-        ctx.alias("context_label"), (F.col("value") * 5.0).alias("overlap_ms"),
+        ctx.alias("context_label"), (F.col("value") * 100.0).alias("overlap_ms"),
     )
 
 
@@ -65,7 +65,7 @@ ANNOTATIONS = SAMPLES + """, ann0 AS (
          CASE WHEN event_type = 'click' THEN 'SPK' WHEN event_type = 'view' THEN 'BCK'
               WHEN event_type = 'error' THEN 'OVL' WHEN event_type = 'signup' THEN 'LAU'
               WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'FP' ELSE 'SIL' END AS type,
-         value * 5.0::DOUBLE AS overlap_ms
+         value * 100.0::DOUBLE AS overlap_ms
   FROM s),
 ann AS (
   SELECT *, CASE WHEN type = 'OVL' THEN ['simultaneous','backchannel_ovl','smooth','competitive','floor_fight','needs_review'][event_id % 6 + 1] ELSE '' END AS subtype,
