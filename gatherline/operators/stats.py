@@ -1,13 +1,509 @@
-"""Statistics and audits."""
+"""Statistics and audits as aggregates. Ranks come from value counts, never from a global sort in one task."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatherline.functions.exprs import ratio
+from gatherline.operators.groups import with_stats
+from gatherline.operators.ordered import (
+    agg_with_percentiles, exact_percentiles, join_on, key_sum, ordered_scan, prev, rev_min, row_no, unpivot_values, value_ranks,
+)
+from gatherline.operators.signals import corr_or_null
+
+
+def _const(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
+    """Give a keyless call one constant key."""
+    return (df, list(keys), False) if keys else (df.withColumn("_all", F.lit(0)), ["_all"], True)
+
+
+# ------------------------------------------------------------------ summaries
+
 
 def task_means(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Mean of each column over the windows of a key, with the window count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"), *[F.avg(c).alias(c) for c in cols])
+
+
+def describe(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """n, mean, median, sd, sem, 95 % interval (1.96 sem), quartiles and dz per key and feature."""
+    long = unpivot_values(df, keys, cols)
+    aggs = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")]
+    d = agg_with_percentiles(long, [*keys, "feature"], aggs, {"median": ("value", 0.5), "p25": ("value", 0.25), "p75": ("value", 0.75)})
+    d = d.withColumn("sem", F.col("sd") / F.sqrt("n"))
+    return d.withColumns({"ci_low": F.col("mean") - 1.96 * F.col("sem"), "ci_high": F.col("mean") + 1.96 * F.col("sem"), "dz": ratio("mean", "sd")})
+
+
+def feature_inventory(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per feature: coverage, zero share, moments, range, IQR, unbiased skew, distinct values."""
+    long = unpivot_values(df, [], cols)
+    n = F.count("value")
+    g1 = F.skewness("value")
+    aggs = [
+        n.alias("n"), (n / F.count(F.lit(1)) * 100).alias("coverage_pct"), (F.count_if(F.col("value") == 0) / n * 100).alias("zero_pct"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.count_distinct("value").alias("n_unique"),
+    ]
+    d = agg_with_percentiles(long, ["feature"], aggs, {"median": ("value", 0.5), "_q1": ("value", 0.25), "_q3": ("value", 0.75)})
+    return d.withColumn("iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
+
+
+def person_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str], task: str, valid: Column | None = None) -> DataFrame:
+    """Mean, sd, min, max of each feature per person, tasks seen and valid tasks."""
+    aggs = [F.count_distinct(task).alias("n_tasks"), F.count_distinct(F.when(valid if valid is not None else F.lit(True), F.col(task))).alias("n_valid_tasks")]
+    for c in cols:
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def variation(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
+    """Coefficient of variation in percent per key."""
+    return df.groupBy(*keys).agg((F.stddev_samp(c) / (F.avg(c) + 1e-9) * 100).alias("cv_pct"), F.count(c).alias("n"))
+
+
+def disagreement(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Sample sd over members per group and measure, long form."""
+    return unpivot_values(df, keys, cols).groupBy(*keys, "feature").agg(F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+
+
+def shares(df: DataFrame, keys: Sequence[str], state: str, levels: Sequence) -> DataFrame:
+    """Share of rows in each state per key, zero filled."""
+    n = F.count(F.lit(1))
+    return df.groupBy(*keys).agg(*[(F.count_if(F.col(state) == s) / n).alias(f"share_{s}") for s in levels], n.alias("n_rows"))
+
+
+def state_profiles(df: DataFrame, state: str, cols: Sequence[str]) -> DataFrame:
+    """Mean of each feature per state and its z score over the states."""
+    m = unpivot_values(df, [state], cols).groupBy(state, "feature").agg(F.avg("value").alias("mean"))
+    m = with_stats(m, ["feature"], {"_m": F.avg("mean"), "_s": F.stddev_pop("mean")})
+    return m.withColumn("z", F.when(F.col("_s") > 0, (F.col("mean") - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
+
+
+# ------------------------------------------------------------------ association
+
+
+def pearson_table(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], min_n: int = 3) -> DataFrame:
+    """Correlation of every listed pair over its complete rows, all in one aggregate."""
+    items = []
+    for a, b in pairs:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        items.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both).alias("n"), corr_or_null(F.col(a).cast("double"), F.col(b).cast("double"), min_n).alias("r")))
+    g = df.groupBy(*keys).agg(F.array(*items).alias("_c"))
+    return g.select(*keys, F.inline("_c"))
+
+
+def spearman_table(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], min_n: int = 3, rows_per_block: int | None = None) -> DataFrame:
+    """Rank correlation over complete rows. Equal (x, y) pairs are counted first; ranks are
+    joined to those counts by value."""
+    d, keys, flat = _const(df, keys)
+    opts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
+    pk = [*keys, "a", "b"]
+    c = d.select(*keys, F.inline(opts)).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*pk, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    for v, r in (("x", "_rx"), ("y", "_ry")):
+        rk = value_ranks(c, pk, v, "w", rows_per_block).select(*pk, v, (F.col("avg_rank") - (F.col("total") + 1) / 2).alias(r))
+        c = join_on(c, rk, [*pk, v], "inner")
+    w, x, y = F.col("w"), F.col("_rx"), F.col("_ry")
+    sxy, sxx, syy, n = F.sum(w * x * y), F.sum(w * x * x), F.sum(w * y * y), F.sum(w)
+    out = c.groupBy(*pk).agg(n.alias("n"), F.when((n >= min_n) & (sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy)).alias("rho"))
+    return out.drop("_all") if flat else out
+
+
+def all_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
+    return list(combinations(cols, 2))
+
+
+def pair_catalogue(df: DataFrame, left: Sequence[str], right: Sequence[str], min_n: int) -> DataFrame:
+    """Complete-row count of every left x right column pair and whether it reaches the minimum."""
+    items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n_complete")) for a in left for b in right if a != b]
+    return df.agg(F.array(*items).alias("_c")).select(F.inline("_c")).withColumn("enough", F.col("n_complete") >= min_n)
+
+
+def eta_squared(df: DataFrame, value: str, category: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Between-category share of the sum of squares."""
+    d, keys, flat = _const(df.filter(F.col(value).isNotNull() & F.col(category).isNotNull()), keys)
+    g = d.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    g = with_stats(g, keys, {"_gm": F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")})
+    between = F.sum(F.col("_n") * (F.col("_m") - F.col("_gm")) ** 2)
+    within = F.sum(F.col("_n") * F.col("_v"))
+    out = g.groupBy(*keys).agg(F.sum("_n").alias("n"), F.when(between + within > 0, between / (between + within)).alias("eta_squared"))
+    return out.drop("_all") if flat else out
+
+
+def cronbach(df: DataFrame, keys: Sequence[str], items: Sequence[str]) -> DataFrame:
+    """Alpha of the item set and of each set with one item left out, over complete rows."""
+    d, keys, flat = _const(df.dropna(subset=list(items)), keys)
+
+    def alpha(cols):
+        k = len(cols)
+        total = sum((F.col(c) for c in cols), F.lit(0.0))
+        tv = F.var_samp(total)
+        return F.when(tv > 0, F.lit(k / (k - 1)) * (1 - sum((F.var_samp(c) for c in cols), F.lit(0.0)) / tv)) if k > 1 else F.lit(None).cast("double")
+
+    out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), alpha(list(items)).alias("alpha"),
+                               *[alpha([c for c in items if c != i]).alias(f"alpha_without_{i}") for i in items])
+    return out.drop("_all") if flat else out
+
+
+def agreement(df: DataFrame, a: str, b: str, positive, keys: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, Cohen kappa, and precision, recall, F1 of ``b`` for the positive label of ``a``."""
+    d, keys, flat = _const(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), keys)
+    cells = d.groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    side = lambda c: cells.groupBy(*keys, F.col(c).alias("_v")).agg(F.sum("_n").alias(f"_s{c}"))
+    pe = join_on(side("_a"), side("_b"), [*keys, "_v"], "inner").groupBy(*keys).agg(F.sum(F.col("_s_a") * F.col("_s_b")).alias("_pe"))
+    hit = lambda x, y: F.sum(F.when((F.col("_a") == positive if x else F.col("_a") != positive) & (F.col("_b") == positive if y else F.col("_b") != positive), F.col("_n")).otherwise(0))
+    g = cells.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("_n")).otherwise(0)).alias("_same"),
+        hit(True, True).alias("tp"), hit(False, True).alias("fp"), hit(True, False).alias("fn"))
+    g = join_on(g, pe, keys, "left")
+    po, e = F.col("_same") / F.col("n"), F.coalesce("_pe", F.lit(0)) / (F.col("n") * F.col("n"))
+    out = g.withColumns({
+        "accuracy": po, "kappa": F.when(e < 1, (po - e) / (1 - e)), "precision": ratio("tp", F.col("tp") + F.col("fp")),
+        "recall": ratio("tp", F.col("tp") + F.col("fn")), "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
+    }).drop("_same", "_pe")
+    return out.drop("_all") if flat else out
+
+
+def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Cell counts with row shares, expected counts and chi-square terms."""
+    c = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    c = with_stats(with_stats(with_stats(c, [a], {"_ra": F.sum("n")}), [b], {"_cb": F.sum("n")}), [], {"_t": F.sum("n")})
+    e = F.col("_ra") * F.col("_cb") / F.col("_t")
+    return c.withColumns({"row_share": F.col("n") / F.col("_ra"), "expected": e, "chi2_term": (F.col("n") - e) * (F.col("n") - e) / e}).drop("_ra", "_cb", "_t")
+
+
+def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Chi-square, degrees of freedom and Cramer V; empty cells count through the margins."""
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    d = with_stats(with_stats(cells, [a], {"_ra": F.sum("n")}), [b], {"_cb": F.sum("n")})
+    g = d.agg(F.sum(F.col("n") * F.col("n") / (F.col("_ra") * F.col("_cb"))).alias("_s"), F.sum("n").alias("n"),
+              F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_c"))
+    chi = F.col("n") * (F.col("_s") - 1)
+    k = F.least(F.col("_r"), F.col("_c")) - 1
+    return g.select("n", chi.alias("chi2"), ((F.col("_r") - 1) * (F.col("_c") - 1)).alias("df"), F.when(k > 0, F.sqrt(F.greatest(chi, F.lit(0.0)) / (F.col("n") * k))).alias("cramer_v"))
+
+
+# ------------------------------------------------------------------ tests
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided normal p value by the classic rational approximation (error below 1.5e-7)."""
+    x = F.abs(z) / F.lit(2.0 ** 0.5)
+    t = 1 / (1 + 0.3275911 * x)
+    # fixed values: coefficients of the approximation
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-x * x)
+
+
+def paired_contrasts(df: DataFrame, person: Sequence[str], task: str, value: str, tasks: Sequence[str], min_n: int = 3) -> DataFrame:
+    """Every task pair: n, means, mean difference, paired t, Wilcoxon W, z and p, dz.
+
+    People are pivoted to one row first, so no self join is needed.
+    """
+    w = df.filter(F.col(task).isin(*tasks)).groupBy(*person).agg(*[F.avg(F.when(F.col(task) == t, F.col(value))).alias(f"_v{i}") for i, t in enumerate(tasks)])
+    opts = F.array(*[F.struct(F.lit(tasks[i]).alias("task_a"), F.lit(tasks[j]).alias("task_b"), F.col(f"_v{i}").alias("x"), F.col(f"_v{j}").alias("y"))
+                     for i, j in combinations(range(len(tasks)), 2)])
+    p = w.select(F.inline(opts)).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("d", F.col("y") - F.col("x"))
+    pk = ["task_a", "task_b"]
+    base = p.groupBy(*pk).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("_sd"))
+    nz = p.filter("d <> 0").withColumn("ad", F.round(F.abs("d"), 9)).groupBy(*pk, "ad").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("pos"))
+    r = value_ranks(nz, pk, "ad", "c").select(*pk, "ad", "avg_rank", "total")
+    s = join_on(nz, r, [*pk, "ad"], "inner").groupBy(*pk).agg(
+        F.sum(F.col("pos") * F.col("avg_rank")).alias("w_plus"), F.max("total").alias("_m"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("_tie"))
+    m = F.col("_m")
+    s = s.withColumn("w", F.least(F.col("w_plus"), m * (m + 1) / 2 - F.col("w_plus")))
+    var = m * (m + 1) * (2 * m + 1) / 24 - F.col("_tie") / 48
+    s = s.withColumn("z", F.when(var > 0, (F.col("w") - m * (m + 1) / 4) / F.sqrt(var)))
+    out = base.join(s, pk, "left").withColumns({"t": F.when(F.col("_sd") > 0, F.col("mean_diff") / (F.col("_sd") / F.sqrt("n"))), "dz": ratio("mean_diff", "_sd"), "p_wilcoxon": normal_tail(F.col("z"))})
+    return out.filter(F.col("n") >= min_n).drop("_sd", "_m", "_tie", "w_plus")
+
+
+def rank_sums(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
+    """Per key and group: n and sum of average ranks; per key: total and tie term."""
+    c = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("_c"))
+    r = value_ranks(c, keys, value, "_c").select(*keys, value, "avg_rank", "total", F.col("n").alias("_t"))
+    j = join_on(c, r, [*keys, value], "inner")
+    g = j.groupBy(*keys, group).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("avg_rank")).alias("rank_sum"), F.max("total").alias("total"))
+    t = F.col("n").cast("double")
+    ties = r.withColumnRenamed("_t", "n").groupBy(*keys).agg(F.sum(t * t * t - t).alias("ties"))
+    return join_on(g, ties, keys, "left")
+
+
+def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, a, b) -> DataFrame:
+    """U of group a, normal z and p (tie corrected, no continuity step), Cohen d."""
+    d, keys, flat = _const(df.filter(F.col(group).isin(a, b)), keys)
+    r = rank_sums(d, keys, group, value)
+    pick = lambda v, c: F.max(F.when(F.col(group) == v, F.col(c)))
+    g = r.groupBy(*keys).agg(pick(a, "n").alias("n_a"), pick(b, "n").alias("n_b"), pick(a, "rank_sum").alias("_ra"), F.max("ties").alias("_t"))
+    na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    n = na + nb
+    u = F.col("_ra") - na * (na + 1) / 2
+    var = na * nb / 12 * ((n + 1) - F.col("_t") / (n * (n - 1)))
+    g = g.withColumns({"u": u, "z": F.when(var > 0, (u - na * nb / 2) / F.sqrt(var))}).withColumn("p", normal_tail(F.col("z"))).drop("_ra", "_t")
+    m = d.groupBy(*keys).agg(*[f(F.when(F.col(group) == v, F.col(value))).alias(k) for f, v, k in (
+        (F.avg, a, "_ma"), (F.avg, b, "_mb"), (F.var_samp, a, "_va"), (F.var_samp, b, "_vb"))])
+    g = join_on(g, m, keys, "left")
+    pooled = F.sqrt(((na - 1) * F.col("_va") + (nb - 1) * F.col("_vb")) / (n - 2))
+    out = g.withColumn("cohen_d", F.when(pooled > 0, (F.col("_ma") - F.col("_mb")) / pooled)).drop("_ma", "_mb", "_va", "_vb")
+    return out.drop("_all") if flat else out
+
+
+def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
+    """Kruskal-Wallis H with tie correction, number of groups and rows."""
+    d, keys, flat = _const(df, keys)
+    r = rank_sums(d, keys, group, value)
+    s, n = F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")), F.max("total").cast("double")
+    fix = 1 - F.max("ties") / (n * n * n - n)
+    out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("n"), F.when(fix > 0, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / fix).alias("h"))
+    return out.drop("_all") if flat else out
+
+
+def fdr(df: DataFrame, keys: Sequence[str], p: str, tie: Sequence[str], out: str = "q", rows_per_block: int | None = None) -> DataFrame:
+    """Benjamini-Hochberg q values per key; null p values stay null."""
+    d, keys, flat = _const(df, keys)
+    have = d.filter(F.col(p).isNotNull())
+    raw = F.col(p) * F.col("_n") / F.col("_rank")
+    have = ordered_scan(have, keys, [p, *tie], {"_rank": row_no(), "_n": key_sum(F.lit(1))}, rows_per_block, then=[({"_raw": raw}, {"_q": rev_min("_raw")})])
+    have = have.withColumn(out, F.least(F.col("_q"), F.lit(1.0))).drop("_rank", "_n", "_raw", "_q")
+    res = have.unionByName(d.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    return res.drop("_all") if flat else res
+
+
+# ------------------------------------------------------------------ audits
+
+
+def window_contiguity(df: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
+    """Windows present, span, gaps and duplicates of the window index of each key."""
+    n, u = F.count(index), F.count_distinct(index)
+    span = F.max(index) - F.min(index) + 1
+    return df.groupBy(*keys).agg(n.alias("n_rows"), u.alias("n_windows"), span.alias("span"), (span - u).alias("n_gaps"), (n - u).alias("n_duplicates"), (span == u).alias("contiguous"))
+
+
+def cell_validity(df: DataFrame, keys: Sequence[str], valid: Column, members: int) -> DataFrame:
+    """Per group window: valid member cells, any and all valid, against the expected member count."""
+    k = F.count_if(valid)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), k.alias("n_valid"), (k > 0).alias("any_valid"), (k >= members).alias("all_valid"))
+
+
+def usability(grid: DataFrame, keys: Sequence[str], by: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
+    """Counts and percent of expected rows on which each condition holds, per ``by``."""
+    aggs = [F.count(F.lit(1)).alias("n_expected")]
+    for name, c in flags.items():
+        hit = F.count_if(F.coalesce(c, F.lit(False)))
+        aggs += [hit.alias(f"n_{name}"), (hit / F.count(F.lit(1)) * 100).alias(f"pct_{name}")]
+    return grid.groupBy(*by).agg(*aggs)
+
+
+def flag_frequencies(df: DataFrame, keys: Sequence[str], flags: str, sep: str = ";") -> DataFrame:
+    """How often each flag of a joined flag text occurs, with percent of rows."""
+    d = with_stats(df.select(*keys, flags), keys, {"_t": F.count(F.lit(1))})
+    e = d.select(*keys, "_t", F.explode(F.split(flags, sep)).alias("flag")).filter("flag <> ''")
+    return e.groupBy(*keys, "flag").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.max("_t") * 100).alias("pct"))
+
+
+def step_audit(before: DataFrame, after: DataFrame, keys: Sequence[str], cols: Sequence[str], step: str) -> DataFrame:
+    """Per column: nulls before and after, new nulls, changed values."""
+    b = before.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    a = after.select(*keys, *[F.col(c).cast("double").alias(f"_a_{c}") for c in cols])
+    j = join_on(b, a, keys, "inner")
+    items = []
+    for c in cols:
+        x, y = F.col(c), F.col(f"_a_{c}")
+        items.append(F.struct(F.lit(c).alias("feature"), F.count_if(x.isNull()).alias("nulls_before"), F.count_if(y.isNull()).alias("nulls_after"),
+                              F.count_if(x.isNotNull() & y.isNull()).alias("new_nulls"), F.count_if(x.isNotNull() & y.isNotNull() & (x != y)).alias("changed")))
+    return j.agg(F.array(*items).alias("_s")).select(F.lit(step).alias("step"), F.inline("_s"))
+
+
+def shared_attention(df: DataFrame, keys: Sequence[str], bin_col: str, person: str, zone: str) -> DataFrame:
+    """Per zone and bin: sum over people of their share of samples in the zone."""
+    c = df.groupBy(*keys, bin_col, person, zone).agg(F.count(F.lit(1)).alias("_n"))
+    c = with_stats(c, [*keys, bin_col, person], {"_t": F.sum("_n")})
+    return c.groupBy(*keys, bin_col, zone).agg(F.sum(F.col("_n") / F.col("_t")).alias("attention"), F.count(F.lit(1)).alias("n_people"))
+
+
+def clock_quality(df: DataFrame, keys: Sequence[str], order: Sequence, t: str, rows_per_block: int | None = None) -> DataFrame:
+    """Monotone flag, largest gap, rate, median step and its MAD along the recorded order."""
+    d = ordered_scan(df, keys, order, {"_p": prev(t)}, rows_per_block).withColumn("_dt", F.col(t) - F.col("_p"))
+    span = F.max(t) - F.min(t)
+    aggs = [F.count(F.lit(1)).alias("n"), (F.coalesce(F.min("_dt"), F.lit(0.0)) >= 0).alias("monotone"), F.max("_dt").alias("max_gap"), F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("rate")]
+    g = agg_with_percentiles(d, keys, aggs, {"median_step": ("_dt", 0.5)}, rows_per_block)
+    dev = join_on(d.select(*keys, "_dt"), g.select(*keys, "median_step"), keys, "left").withColumn("_dev", F.abs(F.col("_dt") - F.col("median_step")))
+    return join_on(g, exact_percentiles(dev, keys, {"mad_step": ("_dev", 0.5)}, rows_per_block), keys, "left")
+
+
+def clock_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Least-squares y = scale x + offset, mean absolute residual and drift in ppm."""
+    f = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("scale"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.count(F.lit(1)).alias("n"))
+    r = join_on(df.select(*keys, x, y), f, keys, "left")
+    r = r.withColumn("_e", F.abs(F.col(y) - F.col("_my") - F.col("scale") * (F.col(x) - F.col("_mx"))))
+    res = r.groupBy(*keys).agg(F.avg("_e").alias("mean_abs_residual"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+    f = f.withColumns({"offset": F.col("_my") - F.col("scale") * F.col("_mx"), "drift_ppm": (F.col("scale") - 1) * 1e6}).drop("_mx", "_my")
+    return join_on(f, res, keys, "left")
+
+
+def piecewise_clock_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, chunk: int, rows_per_block: int | None = None) -> DataFrame:
+    """One fit per run of ``chunk`` rows in x order, with the x where it starts."""
+    d = ordered_scan(df, keys, [x], {"_no": row_no()}, rows_per_block).withColumn("chunk", F.floor((F.col("_no") - 1) / chunk))
+    ck = [*keys, "chunk"]
+    return join_on(clock_fit(d, ck, x, y), d.groupBy(*ck).agg(F.min(x).alias("t0")), ck, "left")
+
+
+def better_fit(a: DataFrame, b: DataFrame, keys: Sequence[str], error: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """The fit with the lower error per key, the first on ties, the only one if one."""
+    ca = [c for c in a.columns if c not in keys]
+    l = a.select(*keys, F.struct(*ca).alias("_x"))
+    r = b.select(*keys, F.struct(*ca).alias("_y"))
+    j = l.join(r, list(keys), "full")
+    first = F.col("_y").isNull() | (F.col("_x").isNotNull() & (F.col(f"_x.{error}") <= F.col(f"_y.{error}")))
+    j = j.withColumns({"_b": F.when(first, F.col("_x")).otherwise(F.col("_y")), "chosen": F.when(first, names[0]).otherwise(names[1])})
+    return j.select(*keys, "chosen", *[F.col(f"_b.{c}").alias(c) for c in ca])
+
+
+def feed_offsets(df: DataFrame, feed: str, t: str, projected: Column, limit: float) -> DataFrame:
+    """Start offset of each feed: its median projected clock minus the median over feeds; too far ones are dropped."""
+    d = df.withColumn("_o", projected)
+    m = exact_percentiles(d, [feed], {"_m": ("_o", 0.5)})
+    mid = exact_percentiles(m.withColumn("_k", F.lit(0)), ["_k"], {"_mm": ("_m", 0.5)})
+    out = m.withColumn("_mid", mid.select("_mm").scalar()).withColumn("start_offset", F.col("_m") - F.col("_mid"))
+    return out.filter(F.abs("start_offset") <= limit).select(feed, "start_offset")
+
+
+def discordance(df: DataFrame, signal: str, rating: str, threshold: float = 1.0) -> DataFrame:
+    """|z(signal) - z(rating)| with flags for calm-but-aroused and the reverse."""
+    d = with_stats(df, [], {"_ms": F.avg(signal), "_ds": F.stddev_samp(signal), "_mr": F.avg(rating), "_dr": F.stddev_samp(rating)})
+    zs = F.when(F.col("_ds") > 0, (F.col(signal) - F.col("_ms")) / F.col("_ds"))
+    zr = F.when(F.col("_dr") > 0, (F.col(rating) - F.col("_mr")) / F.col("_dr"))
+    d = d.withColumns({"z_signal": zs, "z_rating": zr}).drop("_ms", "_ds", "_mr", "_dr")
+    return d.withColumns({
+        "discordance": F.abs(F.col("z_signal") - F.col("z_rating")), "signal_over_rating": (F.col("z_signal") - F.col("z_rating")) > threshold,
+        "rating_over_signal": (F.col("z_rating") - F.col("z_signal")) > threshold})
+
+
+def annotation_context(df: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str], t: str) -> DataFrame:
+    """Events by type, total and time span per key."""
+    return df.groupBy(*keys).agg(*[F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds], F.count(F.lit(1)).alias("n_events"), (F.max(t) - F.min(t)).alias("span_s"))
+
+
+def item_coverage(df: DataFrame, item: str, task: str, tasks: Sequence[str], value: str) -> DataFrame:
+    """Answers per item and task."""
+    return df.groupBy(item).agg(*[F.count(F.when(F.col(task) == t, F.col(value))).alias(f"n_{t}") for t in tasks])
+
+
+def response_quality(df: DataFrame, unit: Sequence[str], kind: str, kinds: Sequence[str], item: str, expected: Mapping[str, int]) -> DataFrame:
+    """Per unit: presence of each response type, distinct items against the expected count, completion."""
+    aggs = [F.count(F.lit(1)).alias("n_responses")]
+    for k in kinds:
+        aggs += [F.count_if(F.col(kind) == k).alias(f"n_{k}"), (F.count_if(F.col(kind) == k) > 0).alias(f"has_{k}"), F.count_distinct(F.when(F.col(kind) == k, F.col(item))).alias(f"items_{k}")]
+    g = df.groupBy(*unit).agg(*aggs)
+    done = F.lit(True)
+    new = {}
+    for k, n in expected.items():
+        new[f"complete_pct_{k}"] = F.least(F.col(f"items_{k}") / F.lit(float(n)), F.lit(1.0)) * 100
+        done = done & (F.col(f"items_{k}") >= n)
+    return g.withColumns({**new, "complete": done})
+
+
+# ------------------------------------------------------------------ models in closed form
+
+
+def gram_row(df: DataFrame, cols: Sequence[str]):
+    """Centred cross products of the columns over complete rows, as one small driver row: means, n, covariance matrix."""
+    d = df.dropna(subset=list(cols))
+    names = list(cols)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]
+    aggs += [F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
+    r = d.agg(*aggs).first()
+    k = len(names)
+    cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    return r["n"], np.array([r[f"m{i}"] or 0.0 for i in range(k)]), cov
+
+
+def residualise(df: DataFrame, y: str, covariates: Sequence[str], out: str) -> DataFrame:
+    """y minus its least-squares fit on the covariates; only p x p sums reach the driver."""
+    _, m, cov = gram_row(df, [*covariates, y])
+    k = len(covariates)
+    beta = np.linalg.lstsq(cov[:k, :k], cov[:k, k], rcond=None)[0]
+    fit = sum((F.lit(float(b)) * (F.col(c) - F.lit(float(mu))) for b, c, mu in zip(beta, covariates, m)), F.lit(float(m[k])))
+    return df.withColumn(out, F.col(y) - fit)
+
+
+def partial_correlation(df: DataFrame, x: str, y: str, z: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Correlation of x and y with one covariate taken out, from three correlations in one aggregate."""
+    d, keys, flat = _const(df.dropna(subset=[x, y, z]), keys)
+    a, b, c = F.corr(x, y), F.corr(x, z), F.corr(y, z)
+    out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ((a - b * c) / F.sqrt((1 - b * b) * (1 - c * c))).alias("partial_r"))
+    return out.drop("_all") if flat else out
+
+
+def team_diversity(df: DataFrame, keys: Sequence[str], traits: Sequence[str], max_members: int = 500) -> DataFrame:
+    """Mean pairwise Euclidean distance of the members' trait vectors and spread of each trait.
+
+    Made for teams. The member count is checked before members are gathered: a key with
+    more than ``max_members`` rows fails instead of being gathered or cut.
+    """
+    n = F.count(F.lit(1))
+    spread = [f(c).alias(f"{c}_{k}") for c in traits for f, k in ((F.avg, "mean"), (F.stddev_samp, "sd"), (F.min, "min"), (F.max, "max"))]
+    g = df.groupBy(*keys).agg(n.alias("n_members"), *spread)
+    g = g.withColumn("n_members", F.when(F.col("n_members") > max_members, F.raise_error(F.lit("group too large for pairwise distances")).cast("long")).otherwise(F.col("n_members")))
+    ok = join_on(df.dropna(subset=list(traits)), g.select(*keys, "n_members").filter(F.col("n_members") >= 1), keys, "inner")
+    v = ok.groupBy(*keys).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in traits])).alias("_v"))
+    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
+    total = F.aggregate(F.col("_v"), F.lit(0.0), lambda s, a: s + F.aggregate(F.col("_v"), F.lit(0.0), lambda s2, b: s2 + far(a, b)))
+    k = F.size("_v")
+    return join_on(g, v.select(*keys, F.when(k > 1, total / (k * (k - 1))).alias("mean_distance")), keys, "left")
+
+
+def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Adjusted Rand index of two labelings from contingency counts."""
+    c = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    two = lambda x: F.sum(x * (x - 1) / 2)
+    cells = c.agg(two(F.col("_n")).alias("ij"), F.sum("_n").alias("n"))
+    ra = c.groupBy("_a").agg(F.sum("_n").alias("_m")).agg(two(F.col("_m")).alias("i"))
+    rb = c.groupBy("_b").agg(F.sum("_n").alias("_m")).agg(two(F.col("_m")).alias("j"))
+    d = cells.withColumns({"i": ra.select("i").scalar(), "j": rb.select("j").scalar()})
+    n = F.col("n")
+    e = F.col("i") * F.col("j") / (n * (n - 1) / 2)
+    top = (F.col("i") + F.col("j")) / 2
+    return d.select(n.cast("long").alias("n"), F.when(top != e, (F.col("ij") - e) / (top - e)).otherwise(1.0).alias("ari"))
+
+
+def matched_agreement(df: DataFrame, a: str, b: str, max_labels: int = 12) -> float:
+    """Share of rows that agree under the best one-to-one label matching; K x K counts on the driver."""
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).limit(max_labels * max_labels + 1).collect()
+    rows, cols = sorted({r[0] for r in cells}, key=str), sorted({r[1] for r in cells}, key=str)
+    if max(len(rows), len(cols)) > max_labels:
+        raise ValueError("too many labels to match")
+    m = np.zeros((len(rows), len(cols)))
+    for r in cells:
+        m[rows.index(r[0]), cols.index(r[1])] = r["n"]
+    if m.shape[0] > m.shape[1]:
+        m = m.T
+    best = {0: 0.0}
+    for row in m:
+        nxt: dict[int, float] = {}
+        for used, s in best.items():
+            for j, v in enumerate(row):
+                if not used >> j & 1:
+                    nxt[used | 1 << j] = max(nxt.get(used | 1 << j, -1.0), s + v)
+        best = nxt
+    return max(best.values()) / m.sum()
+
+
+def group_bootstrap_r2(df: DataFrame, group: str, y: str, pred: str, n_boot: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """R2 with an interval from resampling whole groups: group sums are reweighted, rows are read once."""
+    from gatherline.operators.sampling import poisson_weight
+
+    e = F.col(y) - F.col(pred)
+    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_q"), F.sum(e * e).alias("_e"))
+    r2 = lambda w: 1 - F.sum(w * F.col("_e")) / (F.sum(w * F.col("_q")) - F.sum(w * F.col("_s")) ** 2 / F.sum(w * F.col("_n")))
+    b = g.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(int(n_boot)))))
+    b = b.withColumn("_w", poisson_weight(F.col(group), F.col("_b"), seed).cast("double")).filter("_w > 0")
+    reps = b.groupBy("_b").agg(r2(F.col("_w")).alias("_r")).withColumn("_k", F.lit(0))
+    tail = (1 - level) / 2
+    q = exact_percentiles(reps, ["_k"], {"ci_low": ("_r", tail), "ci_high": ("_r", 1 - tail)})
+    point = g.withColumn("_k", F.lit(0)).groupBy("_k").agg(r2(F.lit(1.0)).alias("r2"), F.count(F.lit(1)).alias("n_groups"))
+    return point.join(q, "_k").drop("_k")

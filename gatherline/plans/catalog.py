@@ -4,7 +4,7 @@ import importlib
 
 from gatherline.plans.registry import ORACLES, QUERIES
 
-for _m in ("q_sources", "q_rows", "q_windows", "q_joins", "q_agg", "q_stats", "q_text", "q_learn"):
+for _m in ("q_sources", "q_rows", "q_windows", "q_joins", "q_agg", "q_stats", "q_text", "q_learn", "q_streams"):
     try:
         importlib.import_module(f"gatherline.plans.{_m}")
     except ModuleNotFoundError as e:
