@@ -46,7 +46,8 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def _with_chain_blocks(df: DataFrame, keys: Sequence[str], order: Sequence, block_rows: int) -> DataFrame:
+def _with_chain_blocks(df: DataFrame, keys: Sequence[str], order: Sequence, block_rows: int | None) -> DataFrame:
+    block_rows = block_rows or BLOCK_ROWS
     d = ordered_scan(df, keys, order, {"_pos": row_no()})
     return d.withColumn("_block", F.floor((F.col("_pos") - 1) / block_rows))
 
@@ -68,7 +69,7 @@ def _mats(df: DataFrame, keys: list[str], emit, log_a, start, plus) -> DataFrame
 
 
 def viterbi_smooth(df: DataFrame, keys: Sequence[str], order: Sequence, log_probs: str, penalty: float, out: str = "state",
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   block_rows: int | None = None) -> DataFrame:
     """Most likely state path when every switch of state costs ``penalty``.
 
     ``log_probs`` is an array column with one score per state.
@@ -137,7 +138,7 @@ class GaussianHmm:
     """
 
     def __init__(self, k: int, features: Sequence[str], max_iter: int = 20, tol: float = 1e-3, var_floor: float = 1e-4, seed: int = 0,
-                 block_rows: int = BLOCK_ROWS):
+                 block_rows: int | None = None):
         self.k, self.features, self.max_iter, self.tol = k, list(features), max_iter, tol
         self.var_floor, self.seed, self.block_rows = var_floor, seed, block_rows
         self.loglik, self.n_rows, self.history = float("nan"), 0, []

@@ -22,7 +22,7 @@ from gatherline.operators.ordered import (
 def with_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], source: DataFrame | None = None) -> DataFrame:
     """Add aggregate columns computed per ``keys`` over ``source`` (default: the rows themselves)."""
     src = df if source is None else source
-    if not keys:
+    if not keys or list(keys) == ["_all"]:
         one = src.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("s"))
         out = df.withColumn("_s", one.scalar())
         return out.withColumns({k: F.col(f"_s.{k}") for k in aggs}).drop("_s")

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatherline.session import materialise
+
 ROWS_PER_BLOCK = 2_000_000
 # inputs up to this size are windowed key by key; a larger one may hide a hot key
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
@@ -144,6 +146,14 @@ def needs_split(df: DataFrame, rows_per_block: int | None) -> bool:
     return rows_per_block is not None or input_bytes(df) > SMALL_INPUT_BYTES
 
 
+def settle(df: DataFrame, rows_per_block: int | None = None) -> DataFrame:
+    """Write an intermediate that several branches read, so a large input is not computed once per branch.
+
+    Goes to the reliable checkpoint folder; small inputs are left lazy.
+    """
+    return materialise(df) if needs_split(df, rows_per_block) else df
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -286,10 +296,11 @@ def value_ranks(
     )
 
 
-def unpivot_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def unpivot_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
     """Long form (keys, feature, value double)."""
-    wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
-    return wide.unpivot(list(keys), list(cols), "feature", "value")
+    # each value sits in its own column, so a key may be among the columns
+    cells = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols])
+    return df.select(*keys, F.inline(cells))
 
 
 def exact_percentiles_long(
@@ -325,11 +336,11 @@ def exact_percentiles(
     cols = list(dict.fromkeys(c for c, _ in spec.values()))
     ps = sorted({p for _, p in spec.values()})
     pn = {f"_p{i}": p for i, p in enumerate(ps)}
-    long = unpivot_values(df, keys, cols)
-    q = exact_percentiles_long(long, [*keys, "feature"], "value", pn, rows_per_block)
+    long = unpivot_values(df, keys, cols, "_feature", "_value")
+    q = exact_percentiles_long(long, [*keys, "_feature"], "_value", pn, rows_per_block)
     names = {p: n for n, p in pn.items()}
     picks = [
-        F.max(F.when(F.col("feature") == c, F.col(names[p]))).alias(o) for o, (c, p) in spec.items()
+        F.max(F.when(F.col("_feature") == c, F.col(names[p]))).alias(o) for o, (c, p) in spec.items()
     ]
     return q.groupBy(*keys).agg(*picks)
 
@@ -342,6 +353,11 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     """Null-safe equi join on shared key names; keeps the left keys (right's for unmatched in full)."""
     if not keys:
         raise ValueError("join_on needs keys")
+    if list(keys) == ["_all"] and how in ("left", "inner"):
+        # one constant key: the right side is a one-row summary
+        cols = [c for c in right.columns if c != "_all"]
+        out = left.withColumn("_s", right.select(F.struct(*cols).alias("s")).scalar())
+        return out.withColumns({c: F.col(f"_s.{c}") for c in cols}).drop("_s")
     rk = [f"_rk{i}" for i in range(len(keys))]
     r = right
     for k, n in zip(keys, rk):

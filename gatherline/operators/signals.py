@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatherline.functions.exprs import col
-from gatherline.operators.ordered import agg_with_percentiles, exact_percentiles, join_on, ordered_scan, prev, row_no
+from gatherline.operators.ordered import agg_with_percentiles, exact_percentiles, join_on, ordered_scan, prev, row_no, settle
 
 
 def slope_ref(t, y) -> Column:
@@ -95,7 +95,7 @@ def dyad_synchrony(df: DataFrame, keys: Sequence[str], member: str, index: str,
     pk = [*keys, "a", "b"]
     both = side_a.unionByName(side_b).groupBy(*pk, "_w").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_x"))).alias("_xa"), F.max(F.when(F.col("_side") == 1, F.col("_x"))).alias("_xb"))
-    pos = ordered_scan(both, pk, ["_w"], {"_p": row_no()})
+    pos = settle(ordered_scan(both, pk, ["_w"], {"_p": row_no()}))
     # x at position j meets y at position j - lag
     lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))
     e = pos.withColumn("lag", lags)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gatherline.functions.exprs import ratio
 from gatherline.operators.groups import with_stats
 from gatherline.operators.ordered import (
-    agg_with_percentiles, exact_percentiles, join_on, key_sum, ordered_scan, prev, rev_min, row_no, unpivot_values, value_ranks,
+    agg_with_percentiles, exact_percentiles, join_on, key_sum, ordered_scan, prev, rev_min, row_no, settle, unpivot_values, value_ranks,
 )
 from gatherline.operators.signals import corr_or_null
 
@@ -104,6 +104,7 @@ def spearman_table(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str
     opts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
     pk = [*keys, "a", "b"]
     c = d.select(*keys, F.inline(opts)).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*pk, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    c = settle(c, rows_per_block)
     for v, r in (("x", "_rx"), ("y", "_ry")):
         rk = value_ranks(c, pk, v, "w", rows_per_block).select(*pk, v, (F.col("avg_rank") - (F.col("total") + 1) / 2).alias(r))
         c = join_on(c, rk, [*pk, v], "inner")
@@ -225,6 +226,7 @@ def paired_contrasts(df: DataFrame, person: Sequence[str], task: str, value: str
 def rank_sums(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Per key and group: n and sum of average ranks; per key: total and tie term."""
     c = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("_c"))
+    c = settle(c)
     r = value_ranks(c, keys, value, "_c").select(*keys, value, "avg_rank", "total", F.col("n").alias("_t"))
     j = join_on(c, r, [*keys, value], "inner")
     g = j.groupBy(*keys, group).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("avg_rank")).alias("rank_sum"), F.max("total").alias("total"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gatherline.operators.groups import with_stats
 from gatherline.operators.ordered import (
-    cum_sum, exact_percentiles, join_on, last_valid, last_valid_before, next_, next_valid, ordered_scan, prev, row_no, top_row,
+    cum_sum, exact_percentiles, join_on, last_valid, last_valid_before, next_, next_valid, ordered_scan, prev, row_no, settle, top_row,
 )
 
 FRAME_BLOCK = 200_000
@@ -68,24 +68,24 @@ def window_apply(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFra
 # ------------------------------------------------------------------ frames around a row
 
 
-def centred_frame(df: DataFrame, keys: Sequence[str], order: Sequence, half: int, outs: dict, block: int = FRAME_BLOCK,
+def centred_frame(df: DataFrame, keys: Sequence[str], order: Sequence, half: int, outs: dict, block: int | None = None,
                   rows_per_block: int | None = None) -> DataFrame:
     """Aggregates over the rows from ``half`` before to ``half`` after, by position.
 
     Streams are cut into position blocks that overlap by ``half`` rows, so the frame
     is exact at block edges. ``outs`` maps a name to an aggregate Column.
     """
+    block = block or FRAME_BLOCK
     d = ordered_scan(df, keys, order, {"_pos": row_no()}, rows_per_block)
     own = F.floor((F.col("_pos") - 1) / block)
-    reach = F.array_distinct(F.array(
-        F.floor(F.greatest(F.col("_pos") - 1 - half, F.lit(0)) / block), own, F.floor((F.col("_pos") - 1 + half) / block)))
+    reach = F.sequence(F.floor(F.greatest(F.col("_pos") - 1 - half, F.lit(0)) / block), F.floor((F.col("_pos") - 1 + half) / block))
     d = d.withColumn("_own", own).withColumn("_fb", F.explode(reach))
     w = Window.partitionBy(*keys, "_fb").orderBy("_pos").rowsBetween(-half, half)
     d = d.withColumns({k: v.over(w) for k, v in outs.items()})
     return d.filter(F.col("_own") == F.col("_fb")).drop("_pos", "_own", "_fb")
 
 
-def tonic_phasic(df: DataFrame, keys: Sequence[str], order: Sequence, x: str, half: int, block: int = FRAME_BLOCK) -> DataFrame:
+def tonic_phasic(df: DataFrame, keys: Sequence[str], order: Sequence, x: str, half: int, block: int | None = None) -> DataFrame:
     """tonic = centred rolling median, phasic = the rest (the median form, not a filter)."""
     d = centred_frame(df, keys, order, half, {"tonic": F.percentile(F.col(x), 0.5)}, block)
     return d.withColumn("phasic", F.col(x) - F.col("tonic"))
@@ -207,7 +207,7 @@ def local_maxima(df: DataFrame, keys: Sequence[str], order: str, x: str, min_dis
         d = join_on(d, mad, keys, "left").withColumn("_thr", F.when(F.col("_s") > 0, F.col("_m") + 0.8 * F.col("_s"))).drop("_m", "_s")
     d = ordered_scan(d, keys, [order], {"_p": prev(x), "_q": next_(x), "pos": row_no()}, rows_per_block)
     v = F.col(x)
-    c = d.filter((v > F.col("_thr")) & (v >= F.col("_p")) & (v > F.col("_q"))).drop("_p", "_q", "_thr")
+    c = settle(d.filter((v > F.col("_thr")) & (v >= F.col("_p")) & (v > F.col("_q"))).drop("_p", "_q", "_thr"), rows_per_block)
     new = F.when(F.col("pos") - F.col("_pp") >= min_distance, 1).otherwise(0)
     c = ordered_scan(c, keys, ["pos"], {"_pp": prev("pos")}, rows_per_block, then=[({"_new": new}, {"_isl": cum_sum("_new")})])
     rows = c.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(F.struct("pos", F.col(order).alias("peak_at"), v.alias("peak_value")))).alias("_c"))
@@ -224,12 +224,12 @@ def beat_features(beats: DataFrame, keys: Sequence[str], at: str, to_ms: float,
     ``expected`` may give ``expected_bpm`` per key; without it agreement scores 0.5.
     """
     d = ordered_scan(beats, keys, [at], {"_p": prev(at)})
-    d = d.withColumn("ibi", (F.col(at) - F.col("_p")) * to_ms).filter(F.col("ibi").isNotNull())
+    d = settle(d.withColumn("ibi", (F.col(at) - F.col("_p")) * to_ms).filter(F.col("ibi").isNotNull()).select(*keys, at, "ibi"))
     n_all = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ibi"))
     ok = d.filter(F.col("ibi").between(low_ms, high_ms))
     med = exact_percentiles(ok, keys, {"_med": ("ibi", 0.5)})
     near = join_on(ok, med, keys, "inner").filter(F.abs(F.col("ibi") - F.col("_med")) <= F.greatest(F.lit(spread_ms), 0.25 * F.col("_med")))
-    near = ordered_scan(near, keys, [at], {"_pi": prev("ibi")}).withColumn("_d", F.col("ibi") - F.col("_pi"))
+    near = settle(ordered_scan(near, keys, [at], {"_pi": prev("ibi")}).withColumn("_d", F.col("ibi") - F.col("_pi")))
     f = near.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_clean"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmssd"),
         F.stddev_samp("ibi").alias("sdnn"), (F.avg((F.abs("_d") > tolerance_ms).cast("double")) * 100.0).alias("pnn50"),

@@ -129,10 +129,10 @@ r AS (SELECT c_nationkey AS k, avg(c_acctbal) AS ra, avg(price) AS rp, avg(n) AS
 d AS (SELECT c_custkey, ra, rp, rn, sqrt((coalesce((a - ra)**2, 0) + coalesce((p - rp)**2, 0) + coalesce((n - rn)**2, 0)) * 3 / nullif((a IS NOT NULL)::INT + (p IS NOT NULL)::INT + (n IS NOT NULL)::INT, 0)) AS dist FROM h, r WHERE a IS NULL OR p IS NULL OR n IS NULL),
 t AS (SELECT * FROM d WHERE dist IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist) <= 3), m AS (SELECT c_custkey, avg(ra) AS ra, avg(rp) AS rp, avg(rn) AS rn FROM t GROUP BY 1),
 g AS (SELECT avg(ra) AS ra, avg(rp) AS rp, avg(rn) AS rn FROM r)
-SELECT c_custkey, round(coalesce(a, m.ra, g.ra), 4) AS c_acctbal, round(coalesce(p, m.rp, g.rp), 4) AS price, round(coalesce(n, m.rn, g.rn), 4) AS n FROM h LEFT JOIN m USING (c_custkey), g""")
+SELECT c_custkey, round(coalesce(a, m.ra, g.ra), 8) AS c_acctbal, round(coalesce(p, m.rp, g.rp), 8) AS price, round(coalesce(n, m.rn, g.rn), 8) AS n FROM h LEFT JOIN m USING (c_custkey), g""")
 def _(spark, sf):
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("n"))
     c = table(spark, sf, "customer").join(o, "c_custkey", "left")
     ref = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("c_acctbal"), F.avg("price").alias("price"), F.avg("n").alias("n"))
     holes = c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")))
-    return rounded(learn.knn_impute(holes, ref, ["c_acctbal", "price", "n"], 3).select("c_custkey", "c_acctbal", "price", "n"), 4)
+    return rounded(learn.knn_impute(holes, ref, ["c_acctbal", "price", "n"], 3).select("c_custkey", "c_acctbal", "price", "n"), 8)
