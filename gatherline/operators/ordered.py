@@ -195,13 +195,14 @@ def _scan_round(df: DataFrame, keys: list[str], onames: list[str], steps: dict[s
     w = part.orderBy(*onames)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
+    # frames that run to the end cost a pass per row in Spark; the reversed order needs one pass in all
+    onward = part.orderBy(*[F.col(o).desc_nulls_last() for o in onames]).rowsBetween(Window.unboundedPreceding, 0)
     whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rank = F.struct(*onames)
 
     by_block = Window.partitionBy(*keys).orderBy("_blk")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_block.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     all_blocks = Window.partitionBy(*keys)
 
     local, summary, carry, final = {}, {}, {}, {}
@@ -222,9 +223,9 @@ def _scan_round(df: DataFrame, keys: list[str], onames: list[str], steps: dict[s
             carry[z] = F.last(zc, ignorenulls=True).over(earlier)
             final[name] = F.coalesce(lc, zc)
         elif s.kind == "next_valid":
-            local[l] = F.first(e, ignorenulls=True).over(onward)
+            local[l] = F.last(e, ignorenulls=True).over(onward)
             summary[z] = F.min_by(e, F.when(e.isNotNull(), rank))
-            carry[z] = F.first(zc, ignorenulls=True).over(later)
+            carry[z] = F.last(zc, ignorenulls=True).over(later)
             final[name] = F.coalesce(lc, zc)
         elif s.kind in ("cum_sum", "row_no"):
             local[l], summary[z] = F.sum(e).over(upto), F.sum(e)
