@@ -1,0 +1,198 @@
+"""Hand-made frames: nulls, NaN, ties, empty groups, shuffled input, and brute-force comparisons."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gatherline.functions import exprs as X
+from gatherline.functions import text as T
+from gatherline.operators import chains, clean, groups, intervals, joins, learn, sampling, segments, signals, stats, windows
+from gatherline.sources import scans, sinks
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_nan_and_sentinels_become_null(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (-999.0,), (None,)], "x double")
+    assert [r[0] for r in df.select(X.in_range("x", -10, 10, 900)).collect()] == [1.0, None, None, None]
+    assert [r[0] for r in df.select(X.to_number(F.lit("n/a"))).collect()] == [None] * 4
+
+
+def test_tsv_round_trip_and_entities(spark, tmp_path):
+    df = spark.createDataFrame([("grp-01", 1.5), ("grp-02", None)], "group_id string, x double")
+    sinks.write_tsv(df, str(tmp_path / "ses-a_T1_P2"), ["group_id"])
+    back = scans.read_delimited(spark, str(tmp_path / "ses-a_T1_P2"), "group_id string, x double", provenance=True)
+    e = scans.path_entities("source_path")
+    got = back.select("group_id", "x", e["task_id"].alias("task"), e["participant_id"].alias("p")).orderBy("group_id")
+    assert rows(got) == [("grp-01", 1.5, "T1", "P2"), ("grp-02", None, "T1", "P2")]
+    assert rows(spark.createDataFrame([("GRP_8",), ("grp-08",), ("x",)], "g string").select(X.group_label("g"))) == [("grp-08",), ("grp-08",), (None,)]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("s1", "T1", 2), ("s1", "T2", 1)], "session string, task string, v int")
+    sinks.write_feature_table(df, str(tmp_path / "t"), ["session", "task"], ["v"])
+    assert spark.read.parquet(str(tmp_path / "t")).filter("task = 'T2'").count() == 1
+    sinks.write_ndjson(df, str(tmp_path / "n"))
+    assert spark.read.schema(df.schema).json(str(tmp_path / "n")).count() == 2
+    sinks.write_run_metadata(spark, str(tmp_path / "m"), {"seed": 1})
+    assert spark.read.text(str(tmp_path / "m")).first()[0] == '{"seed": 1}'
+    d = scans.feature_dictionary(df, {"v": "a value"}).filter("feature = 'v'")
+    assert rows(d) == [("v", "a value", "int")]
+
+
+def test_candidate_columns_and_privacy(spark):
+    df = spark.createDataFrame([("n", 1, 2.0, 3.0)], "name string, id int, score double, score_qc double")
+    assert clean.candidate_columns(df, ["id"], ["qc"]) == ["score"]
+    assert clean.privacy_view(df, ["score"], {"id": "person"}).columns == ["person", "score"]
+
+
+def test_many_to_one_fails_on_repeats(spark):
+    left = spark.createDataFrame([(1,)], "k int")
+    with pytest.raises(Exception, match="repeats key"):
+        joins.many_to_one(left, spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"), ["k"]).collect()
+
+
+def test_windows_are_anchored_and_drop_the_partial_one(spark):
+    df = spark.createDataFrame([("a", float(t)) for t in (5, 10, 20, 34, 36, 50)] + [("short", 1.0)], "k string, t double")
+    w = windows.anchored_windows(df, ["k"], "t", 30.0, 15.0).groupBy("k", "window_index").count().orderBy("window_index")
+    assert rows(w) == [("a", 0, 4), ("a", 1, 3)]
+
+
+def test_slope_is_not_centred(spark):
+    x, y = np.array([1.0, 2.0, 4.0]), np.array([1.0, 3.0, 2.0])
+    x0 = x - x.min()
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())) + [(9.0, None)], "x double, y double")
+    got = df.agg(signals.slope_ref("x", "y").alias("r"), signals.slope_ols("x", "y").alias("o")).first()
+    assert got["r"] == pytest.approx(np.dot(x0, y - y.mean()) / np.dot(x0, x0)) and got["o"] == pytest.approx(np.polyfit(x, y, 1)[0])
+
+
+def test_gini_variants(spark):
+    df = spark.createDataFrame([("z", 0.0), ("z", 0.0), ("a", 1.0), ("a", 3.0)], "k string, x double")
+    assert {r[0]: r[1] for r in groups.gini(df, ["k"], "x").collect()} == {"z": 0.0, "a": 0.25}
+    assert {r[0]: r[1] for r in groups.gini(df, ["k"], "x", on_empty=None).collect()}["z"] is None
+
+
+def test_intervals_against_brute_force(spark):
+    rnd = random.Random(2)
+    a = [(i, "k", rnd.uniform(0, 100), 0.0) for i in range(60)]
+    a = [(i, k, s, s + rnd.expovariate(0.2)) for i, k, s, _ in a]
+    df = spark.createDataFrame(a, "id int, k string, s double, e double").repartition(4)
+    got = {(r["id"], r["r_id"]) for r in intervals.overlap_join(df, df, ["k"], ("s", "e"), ("s", "e"), 7.0).collect()}
+    assert got == {(x[0], y[0]) for x in a for y in a if x[2] < y[3] and y[2] < x[3]}
+    isl = sorted((r["s"], r["e"]) for r in intervals.merge_islands(df, ["k"], "s", "e", rows_per_block=9).collect())
+    want = []
+    for _, _, s, e in sorted(a, key=lambda r: (r[2], r[3])):
+        if want and s <= want[-1][1]:
+            want[-1] = (want[-1][0], max(want[-1][1], e))
+        else:
+            want.append((s, e))
+    assert isl == want
+
+
+def test_fuzzy_pairs_are_complete(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9)))
+    a, b = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
+    da, db = spark.createDataFrame([(x,) for x in a], "a_name string"), spark.createDataFrame([(x,) for x in b], "b_name string")
+
+    def lev(x, y):
+        d = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, d[0] = d[0], i
+            for j, q in enumerate(y, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (p != q))
+        return d[-1]
+
+    got = {(r[0], r[1]) for r in joins.fuzzy_pairs(da, db, 0.7).collect()}
+    assert got == {(x, y) for x in a for y in b if 1 - lev(x, y) / max(len(x), len(y)) >= 0.7 - 1e-9}
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    rnd = random.Random(6)
+    data = [(i, rnd.choice("ab"), float(rnd.randint(0, 30)), rnd.random()) for i in range(200)]
+    out = []
+    for n in (1, 7):
+        rnd.shuffle(data)
+        df = spark.createDataFrame(data, "id int, k string, t double, v double").repartition(n)
+        out.append(sorted(rows(windows.flag_runs(df, ["k"], ["t", "id"], "t", F.col("v") > 0.4).select("k", "run_start", "run_end", "n_rows"))))
+    assert out[0] == out[1]
+
+
+def test_viterbi_split_equals_whole(spark):
+    rng = np.random.default_rng(3)
+    lp = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([("s", i, lp[i].tolist()) for i in range(60)], "k string, t int, lp array<double>")
+    path = {}
+    for b in (7, 1000):
+        path[b] = [r[0] for r in chains.viterbi_smooth(df, ["k"], ["t"], "lp", 1.3, block_rows=b).orderBy("t").select("state").collect()]
+    score = lambda p: sum(lp[i, s] for i, s in enumerate(p)) - 1.3 * sum(x != y for x, y in zip(p, p[1:]))
+    assert score(path[7]) == pytest.approx(score(path[1000]))
+    small = lp[:6]
+    best = max(itertools.product(range(3), repeat=6), key=lambda p: sum(small[i, s] for i, s in enumerate(p)) - 1.3 * sum(x != y for x, y in zip(p, p[1:])))
+    got = chains.viterbi_smooth(df.filter("t < 6"), ["k"], ["t"], "lp", 1.3, block_rows=2).orderBy("t")
+    assert [r[0] for r in got.select("state").collect()] == list(best)
+
+
+def test_hmm_likelihood_rises_and_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 40), rng.normal(6, 1, 40)])
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "k string, t int, x double")
+    fits = [chains.GaussianHmm(2, ["x"], max_iter=4, tol=0.0, block_rows=b).fit(df, ["k"], ["t"]) for b in (9, 10_000)]
+    assert np.all(np.diff(fits[0].history) > -1e-6)
+    assert fits[0].history == pytest.approx(fits[1].history)
+    assert fits[0].means[:, 0] == pytest.approx([0.0, 6.0], abs=0.6)
+
+
+def test_logo_ridge_matches_direct_solve(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 2)) * [1.0, 5.0] + [3.0, -2.0]
+    y = 2 * x[:, 0] - x[:, 1] + rng.normal(size=80)
+    g = np.arange(80) % 4
+    df = spark.createDataFrame([(i, int(g[i]), *map(float, x[i]), float(y[i])) for i in range(80)], "id int, g int, a double, b double, y double")
+    got = {r["id"]: r["prediction"] for r in learn.logo_ridge(df, "g", ["a", "b"], "y", alphas=(10.0,)).collect()}
+    for f in range(4):
+        tr = g != f
+        mu, sd = x[tr].mean(0), x[tr].std(0)
+        z = (x[tr] - mu) / sd
+        w = np.linalg.solve(z.T @ z + 10.0 * np.eye(2), z.T @ (y[tr] - y[tr].mean()))
+        for i in np.flatnonzero(~tr):
+            assert got[i] == pytest.approx(y[tr].mean() + ((x[i] - mu) / sd) @ w)
+    p = learn.permutation_test(df, "g", ["a", "b"], "y", "id", 9).first()
+    assert p["p_value"] == pytest.approx(0.1) and p["r2"] > 0.8
+
+
+def test_matching_and_bootstrap(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("b", 1)], "x string, y int")
+    assert stats.matched_agreement(df, "x", "y") == pytest.approx(0.75)
+    d = spark.createDataFrame([("k", i, float(i % 10)) for i in range(400)], "k string, id int, v double")
+    b = sampling.bootstrap_mean(d, ["k"], "v", "id", 100).first()
+    assert b["ci_low"] < b["mean"] < b["ci_high"] and b["ci_high"] - b["ci_low"] == pytest.approx(4 * d.toPandas()["v"].std() / 20, rel=0.4)
+    r = stats.group_bootstrap_r2(d.withColumn("g", F.col("id") % 8).withColumn("p", F.col("v") + (F.col("id") % 3 - 1)), "g", "v", "p", 50).first()
+    assert r["ci_low"] <= r["r2"] <= r["ci_high"]
+
+
+def test_dialogue_acts_and_context(spark):
+    df = spark.createDataFrame([("I agree, exactly?",), ("hmm",)], "t string")
+    s = T.act_scores("t")
+    assert rows(df.select(s["agreement"], s["question"], T.dominant_act(s))) == [(2, 1, "agreement"), (0, 0, "statement")]
+    c = lambda t, a, b, d: df.limit(1).select(T.context_label(F.lit(t), F.lit(a), F.lit(b), F.lit(d))).first()[0]
+    assert c("smooth", "so we...", "take the red one", True) == "completion"
+    assert c("smooth", "so we...", "yeah", True) == "collaborative"
+    assert c("competitive", "wait", "no", False) == "competitive"
+    assert c("simultaneous", "yeah", "", False) == ""
+
+
+def test_lonely_and_empty_groups(spark):
+    one = spark.createDataFrame([("a", 1.0)], "k string, x double")
+    assert groups.z_within(one, ["k"], ["x"]).first()["x_z"] == 0.0
+    assert groups.robust_z(one, ["k"], "x", "z").first()["z"] is None
+    assert groups.focal_vs_others(one, ["k"], "x").first()["others_mean"] is None
+    assert stats.describe(one.filter("x > 5"), ["k"], ["x"]).count() == 0
+    with pytest.raises(Exception, match="too many profiles"):
+        p = spark.createDataFrame([(str(i), [1.0]) for i in range(3)], "m string, profile array<double>")
+        segments.assign_profiles(spark.createDataFrame([([1.0], 1.0)], "v array<double>, d double"), p, "m", "v", "d", 0.1, 0.0, "x", max_profiles=2).collect()
