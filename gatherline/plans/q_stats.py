@@ -277,7 +277,7 @@ def _(spark, sf):
     return stats.item_coverage(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "o_totalprice")
 
 
-@query("affect_discordance", """WITH p AS (SELECT o_custkey, avg(o_totalprice) AS s FROM orders GROUP BY 1), j AS (SELECT o_custkey, s, c_acctbal AS r FROM p JOIN customer ON o_custkey = c_custkey), z AS (SELECT o_custkey, (s - avg(s) OVER ()) / stddev_samp(s) OVER () AS zs, (r - avg(r) OVER ()) / stddev_samp(r) OVER () AS zr FROM j)
+@query("signal_rating_discordance", """WITH p AS (SELECT o_custkey, avg(o_totalprice) AS s FROM orders GROUP BY 1), j AS (SELECT o_custkey, s, c_acctbal AS r FROM p JOIN customer ON o_custkey = c_custkey), z AS (SELECT o_custkey, (s - avg(s) OVER ()) / stddev_samp(s) OVER () AS zs, (r - avg(r) OVER ()) / stddev_samp(r) OVER () AS zr FROM j)
 SELECT o_custkey, round(zs, 6) AS z_signal, round(zr, 6) AS z_rating, round(abs(zs - zr), 6) AS discordance, zs - zr > 1 AS signal_over_rating, zr - zs > 1 AS rating_over_signal FROM z""")
 def _(spark, sf):
     p = table(spark, sf, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("s"))
