@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "gatherline", memory: str = "8g") -> SparkSession:
@@ -21,16 +22,40 @@ def local_session(cores: int | str = 8, app: str = "gatherline", memory: str = "
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a scratch one only where none is named."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see (spark.checkpoint.dir). One machine may use a scratch folder of its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    sc.setCheckpointDir(made)
+    return sc.getCheckpointDir()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's shared checkpoint folder; a scratch one only on a single machine."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def materialise(df):
     """Cut lineage through the reliable checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder and read it back; also returns its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` wrote and that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

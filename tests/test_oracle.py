@@ -4,9 +4,10 @@ import pytest
 
 import check
 import __spark_entry__ as entry
+from gatherline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+ORACLES = catalog.ORACLES
 # Python workers are allowed in these only
 PYTHON_OK = {"viterbi_smooth", "hidden_states", "state_stability", "logo_ridge_scores", "logo_ridge_predictions", "permutation_test", "ablation_grid", "knn_impute"}
 EAGER = {"principal_components", "kmeans_sweep", "gaussian_mixture", "hidden_states", "state_stability", "logo_logistic"}
@@ -40,7 +41,7 @@ def test_same_as_sql_when_keys_are_split(spark, con, name, monkeypatch):
 
 
 def test_plans(spark):
-    for name, fn in entry.queries().items():
+    for name, fn in catalog.QUERIES.items():
         if name in EAGER or name.startswith("stream_"):
             continue
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
