@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatherline.llm import lang_id, packing, simhash, suffix_dedup, toxicity
+from gatherline.llm import lang_id, minhash, packing, pieces, secrets, simhash, suffix_dedup, toxicity, vector_dedup, word_counts
 from gatherline.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +28,21 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op1_secrets")
+def op1(spark, sf):
+    return secrets.scan(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 @query("op2_suffix_dedup")
 def op2(spark, sf):
     return suffix_dedup.removed(table(spark, sf, "documents"))
 
 
+@query("op3_pieces")
+def op3(spark, sf):
+    return pieces.coded(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 @query("op4_packing")
 def op4(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
@@ -44,11 +54,26 @@ def op5(spark, sf):
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+@query("op6_minhash")
+def op6(spark, sf):
+    return minhash.fingerprints(table(spark, sf, "documents"))
+
+
+@query("op7_token_counts")
+def op7(spark, sf):
+    return word_counts.token_counts(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 @query("op8_toxicity")
 def op8(spark, sf):
     return toxicity.toxic(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op9_vectors")
+def op9(spark, sf):
+    return vector_dedup.linked(table(spark, sf, "embeddings"))
+
+
 @query("op10_language")
 def op10(spark, sf):
     return lang_id.identify(table(spark, sf, "documents"))
