@@ -103,6 +103,7 @@ def repeated_ranges(d: DataFrame, width: int = WIDTH, hot: int = HOT_CONTEXTS, s
     """(j1, j2, lo, hi): byte ranges of rows of ``d`` (from _keyed) that are covered by windows that begin twice."""
     rows = _segment_rows(d, width)
     seen = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("a", (F.col("c0") != F.col("c1")).alias("mixed"))
+    seen, _ = stored(seen)  # read from a table, the join below can split a hot anchor's rows
     twice, _ = stored(rows.join(seen, "a"))
     start, windows = F.shiftright("pn", 8), F.col("pn").bitwiseAND(F.lit(255))
     # one context and several places: all its windows begin again
