@@ -14,7 +14,7 @@ BITS = 20
 BIAS = 0  # the bucket of the constant feature
 #: Labelled rows a model is fitted on, in expectation: those whose id hashes lowest.
 FIT_ROWS = 24_000
-SHARDS = 4
+SHARDS = 4  # at most; a shard has a quarter of FIT_ROWS at least
 _GAPS = (1, 2, 3)  # bigrams, and skip-grams over one and two words
 
 
@@ -31,7 +31,7 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> np.ndarray:
     """Weights after online passes over ``rows`` (buckets, label): a rate for each coordinate, L1 keeps them sparse."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     # the bias is not held back
@@ -77,9 +77,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
         at = np.flatnonzero(found)
         return pa.table({"b": at.astype(np.int32), "w": found[at]})
 
-    fitted = rows.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(SHARDS))).groupBy("shard").applyInArrow(train, "b int, w double")
+    shards = max(1, min(SHARDS, SHARDS * n // fit_rows))
+    fitted = rows.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards))).groupBy("shard").applyInArrow(train, "b int, w double")
     sums = fitted.groupBy("b").agg(F.sum("w").alias("w")).toPandas()
-    w[sums["b"]] = sums["w"] / SHARDS
+    w[sums["b"]] = sums["w"] / shards
     return w
 
 
