@@ -101,7 +101,7 @@ def composites(df: DataFrame, person: Sequence[str], task: str, signals: Mapping
         "pressure": row_mean([arousal, z["eda"]]),
     }
     if not within:
-        step = F.regexp_extract(F.col(task), r"(\d+)", 1).cast("int")
+        step = F.regexp_extract(F.col(task), r"(\d+)", 1).try_cast("int")
         new["recovery"] = row_mean([-z["eda"], -z["rate"], z["rmssd"]])
         new["fatigue"] = F.when(step >= 1, step * (-z["pupil"]) / 4.0)
     out = d.withColumns(new)

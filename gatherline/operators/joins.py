@@ -141,12 +141,14 @@ def peer_mean(ratings: DataFrame, keys: Sequence[str], rater: str, rated: str, v
 def cross_member_similarity(df: DataFrame, keys: Sequence[str], member: str, vec: str) -> DataFrame:
     """Mean cosine over all pairs of rows from different members in a window, without forming pairs.
 
+    Rows with a zero vector have no direction and take no part.
+
     For unit vectors the pair sum is (|sum|^2 - sum over members |their sum|^2) / 2, so
     per-dimension sums are enough: they combine on the map side.
     """
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = df.select(*keys, member, F.posexplode(v).alias("_d", "_x"), norm.alias("_n")).withColumn("_x", F.col("_x") / F.col("_n"))
+    unit = df.select(*keys, member, F.posexplode(v).alias("_d", "_x"), norm.alias("_n")).filter(F.col("_n") > 0).withColumn("_x", F.col("_x") / F.col("_n"))
     m = unit.groupBy(*keys, member, "_d").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_c"))
     d = m.groupBy(*keys, "_d").agg(F.sum("_s").alias("_t"), F.sum(F.col("_s") * F.col("_s")).alias("_q"),
                                    F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_c")).alias("_nn"))

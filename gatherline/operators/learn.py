@@ -42,7 +42,7 @@ def feature_screen(df: DataFrame, cols: Sequence[str], min_coverage: float = 0.8
     """Per feature: coverage, zero share, variance, and whether it is eligible."""
     n = F.count(F.lit(1))
     s = unpivot_values(df, [], cols).groupBy("feature").agg(
-        (F.count("value") / n).alias("coverage"), (F.count_if(F.col("value") == 0) / F.count("value")).alias("zero_share"), F.var_samp("value").alias("variance"))
+        (F.count("value") / n).alias("coverage"), F.try_divide(F.count_if(F.col("value") == 0), F.count("value")).alias("zero_share"), F.var_samp("value").alias("variance"))
     ok = (F.col("coverage") >= min_coverage) & (F.col("zero_share") < max_zero) & (F.col("variance") >= min_var)
     return s.withColumn("eligible", F.coalesce(ok, F.lit(False)))
 
@@ -231,7 +231,7 @@ def logo_ridge(df: DataFrame, group: str, xs: Sequence[str], y: str, alphas: Seq
 def regression_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
     """n, R2, mean absolute error and rank correlation of predictions."""
     e = F.col(y) - F.col(pred)
-    a = df.agg(F.count(F.lit(1)).alias("n"), (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
+    a = df.agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
     rho = spearman_table(df, [], [(y, pred)]).select("rho").scalar()
     return a.withColumn("rho", rho)
 
@@ -310,37 +310,48 @@ def logo_logistic(df: DataFrame, group: str, xs: Sequence[str], y: str, binarise
     return df.sparkSession.createDataFrame(rows, "fold string, n long, accuracy double, baseline double, f1 double, auc double")
 
 
-def knn_impute(df: DataFrame, reference: DataFrame, cols: Sequence[str], k: int = 5, max_reference: int = 5000) -> DataFrame:
-    """Fill nulls from the k nearest reference rows (training rows only), inverse-distance free mean.
+def knn_impute(df: DataFrame, reference: DataFrame, cols: Sequence[str], k: int = 5, block_rows: int = 20_000) -> DataFrame:
+    """Fill nulls with the distance-weighted mean of the k nearest reference rows (training rows only).
 
-    Distance is Euclidean over the columns both rows have, scaled up for the missing
-    ones. The reference rides to the tasks as one array and must not exceed
-    ``max_reference`` rows; a larger one is refused, not sampled.
+    Distance is Euclidean over the columns both rows have, scaled up for the missing ones; a row at distance
+    zero alone counts. Rows with gaps and reference rows are dealt into blocks, and a task compares one
+    block of each and keeps the k nearest per gap, so neither side has a limit. Without a neighbour the
+    reference mean is taken; a column that is empty in the reference becomes 0. Rows need no key.
     """
     cols = list(cols)
-    ref = [tuple(r) for r in reference.select(*[F.col(c).cast("double") for c in cols]).limit(max_reference + 1).collect()]
-    if len(ref) > max_reference:
-        raise ValueError("reference table too large; pass a smaller training table")
-    base = np.array(ref, dtype=float)
-    mean = np.nanmean(base, axis=0)
-
-    @F.pandas_udf("array<double>")
-    def fill(x: pd.Series) -> pd.Series:
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    d = df.withColumn("_v", values).withColumn("_gap", F.exists("_v", lambda x: x.isNull() | F.isnan(x)))
+    holes = d.filter("_gap").select("_v").distinct()
+    ref = reference.select(values.alias("_v"))
+    n_ref = max(1, -(-ref.count() // block_rows))
+    n_hole = max(1, -(-holes.count() // block_rows))
+    dealt = lambda side, n, other, on, off: side.select(
+        "_v", F.lit(on == "_b").alias("_ref"), F.pmod(F.xxhash64("_v"), F.lit(n)).alias(on), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias(off))
+    both = dealt(holes, n_hole, n_ref, "_a", "_b").unionByName(dealt(ref, n_ref, n_hole, "_b", "_a"))
+
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        as_array = lambda rows: np.array([[np.nan if x is None else x for x in v] for v in rows], dtype=float).reshape(-1, len(cols))
+        rows, base = list(part.loc[~part["_ref"], "_v"]), as_array(part.loc[part["_ref"], "_v"])
         out = []
-        for row in x:
-            v = np.array([np.nan if a is None else a for a in row], dtype=float)
+        for row, v in zip(rows, as_array(rows), strict=True):
             gap = np.isnan(v)
-            if gap.any():
-                both = ~gap[None, :] & ~np.isnan(base)
-                diff = np.where(both, base - np.where(gap, 0.0, v)[None, :], 0.0)
-                n = both.sum(1)
-                dist = np.where(n > 0, np.sqrt((diff ** 2).sum(1) * len(v) / np.maximum(n, 1)), np.inf)
-                for j in np.flatnonzero(gap):
-                    ok = np.isfinite(dist) & ~np.isnan(base[:, j])
-                    near = np.flatnonzero(ok)[np.argsort(dist[ok], kind="stable")[:k]]
-                    v[j] = base[near, j].mean() if len(near) else mean[j]
-            out.append(v.tolist())
-        return pd.Series(out)
-
-    d = df.withColumn("_f", fill(F.array(*[F.col(c).cast("double") for c in cols])))
-    return d.withColumns({c: F.get("_f", F.lit(i)) for i, c in enumerate(cols)}).drop("_f")
+            seen = ~gap[None, :] & ~np.isnan(base)
+            diff = np.where(seen, base - np.where(gap, 0.0, v)[None, :], 0.0)
+            n = seen.sum(1)
+            dist = np.where(n > 0, np.sqrt((diff**2).sum(1) * len(v) / np.maximum(n, 1)), np.inf)
+            for j in np.flatnonzero(gap):
+                ok = np.flatnonzero(np.isfinite(dist) & ~np.isnan(base[:, j]))
+                out += [(row, int(j), float(dist[i]), float(base[i, j])) for i in ok[np.lexsort((base[ok, j], dist[ok]))[:k]]]
+        return pd.DataFrame(out, columns=["_v", "j", "dist", "x"])
+
+    near = both.groupBy("_a", "_b").applyInPandas(nearest, "_v array<double>, j int, dist double, x double")
+    best = near.groupBy("_v", "j").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "x"))), 1, k).alias("s"))  # k rows of each block
+    exact = F.filter("s", lambda p: p["dist"] == 0)
+    used = F.when(F.size(exact) > 0, F.transform(exact, lambda p: F.struct(F.lit(1.0).alias("w"), p["x"].alias("x")))).otherwise(F.transform("s", lambda p: F.struct((1 / p["dist"]).alias("w"), p["x"].alias("x"))))
+    total = lambda f: F.aggregate("u", F.lit(0.0), lambda acc, p: acc + f(p))
+    filled = best.withColumn("u", used).select("_v", "j", (total(lambda p: p["w"] * p["x"]) / total(lambda p: p["w"])).alias("fill"))
+    fills = filled.groupBy("_v").agg(*[F.max(F.when(F.col("j") == i, F.col("fill"))).alias(f"_f{i}") for i in range(len(cols))])
+    mean = reference.agg(*[F.coalesce(F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))), F.lit(0.0)).alias(f"_m{i}") for i, c in enumerate(cols)]).first()
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    out = d.join(fills.withColumnRenamed("_v", "_w"), F.col("_gap") & (F.col("_v") == F.col("_w")), "left")
+    return out.withColumns({c: F.coalesce(known(c), F.col(f"_f{i}"), F.lit(float(mean[i]))) for i, c in enumerate(cols)}).select(*df.columns)

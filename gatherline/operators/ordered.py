@@ -127,8 +127,8 @@ def with_blocks(
         .when(_c(order).isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0))
         .otherwise(F.coalesce(F.least(cut, n_blocks - 1), n_blocks - 1))
     )
-    # at most N / rows_per_block rows can pass the filter above
-    joined = df.join(F.broadcast(hot), _same(keys, hot_keys), "left")
+    # few keys pass the filter above, but their number grows with the input: the join is left to the planner
+    joined = df.join(hot, _same(keys, hot_keys), "left")
     return joined.withColumn("_blk", blk.cast("long")).drop(*hot_keys, "_n", "_lo", "_hi")
 
 
@@ -266,7 +266,7 @@ def _scan_round(df: DataFrame, keys: list[str], onames: list[str], steps: dict[s
         )
     )
     cond = _same(keys, [f"_ck{i}" for i in range(len(keys))]) & (F.col("_blk") == F.col("_cb"))
-    out = rows.join(F.broadcast(carries), cond, "left")
+    out = rows.join(carries, cond, "left")
     return out.select(*keep, *[v.alias(k) for k, v in final.items()])
 
 

@@ -45,7 +45,7 @@ def feature_inventory(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     n = F.count("value")
     g1 = F.skewness("value")
     aggs = [
-        n.alias("n"), (n / F.count(F.lit(1)) * 100).alias("coverage_pct"), (F.count_if(F.col("value") == 0) / n * 100).alias("zero_pct"),
+        n.alias("n"), (n / F.count(F.lit(1)) * 100).alias("coverage_pct"), (F.try_divide(F.count_if(F.col("value") == 0), n) * 100).alias("zero_pct"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.count_distinct("value").alias("n_unique"),
     ]
@@ -201,7 +201,7 @@ def normal_tail(z: Column) -> Column:
 
 
 def paired_contrasts(df: DataFrame, person: Sequence[str], task: str, value: str, tasks: Sequence[str], min_n: int = 3) -> DataFrame:
-    """Every task pair: n, means, mean difference, paired t, Wilcoxon W, z and p, dz.
+    """Every task pair: n, means, mean difference, paired t, Wilcoxon W, z and p, dz; the tests are null under ``min_n``.
 
     People are pivoted to one row first, so no self join is needed.
     """
@@ -220,7 +220,8 @@ def paired_contrasts(df: DataFrame, person: Sequence[str], task: str, value: str
     var = m * (m + 1) * (2 * m + 1) / 24 - F.col("_tie") / 48
     s = s.withColumn("z", F.when(var > 0, (F.col("w") - m * (m + 1) / 4) / F.sqrt(var)))
     out = base.join(s, pk, "left").withColumns({"t": F.when(F.col("_sd") > 0, F.col("mean_diff") / (F.col("_sd") / F.sqrt("n"))), "dz": ratio("mean_diff", "_sd"), "p_wilcoxon": normal_tail(F.col("z"))})
-    return out.filter(F.col("n") >= min_n).drop("_sd", "_m", "_tie", "w_plus")
+    tests = {c: F.when(F.col("n") >= min_n, F.col(c)) for c in ("t", "dz", "w", "z", "p_wilcoxon")}
+    return out.withColumns(tests).drop("_sd", "_m", "_tie", "w_plus")
 
 
 def rank_sums(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
@@ -437,7 +438,7 @@ def partial_correlation(df: DataFrame, x: str, y: str, z: str, keys: Sequence[st
     """Correlation of x and y with one covariate taken out, from three correlations in one aggregate."""
     d, keys, flat = _const(df.dropna(subset=[x, y, z]), keys)
     a, b, c = F.corr(x, y), F.corr(x, z), F.corr(y, z)
-    out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ((a - b * c) / F.sqrt((1 - b * b) * (1 - c * c))).alias("partial_r"))
+    out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.try_divide(a - b * c, F.sqrt(F.greatest((1 - b * b) * (1 - c * c), F.lit(0.0)))).alias("partial_r"))
     return out.drop("_all") if flat else out
 
 

@@ -158,7 +158,7 @@ def reject_jumps(df: DataFrame, keys: Sequence[str], order: str, x: str, max_ste
     consecutive jump candidates the 1st, 3rd, 5th ... go.
     """
     v = df.filter(F.col(x).isNotNull())
-    cand = F.coalesce(F.abs(F.col(x) - F.col("_px")) / (F.col(order) - F.col("_po")) > max_step, F.lit(False))
+    cand = F.coalesce(F.abs(F.col(x) - F.col("_px")) > max_step * (F.col(order) - F.col("_po")), F.lit(False))
     v = ordered_scan(v, keys, [order], {"_px": prev(x), "_po": prev(order), "_no": row_no()}, rows_per_block,
                      then=[({"_cand": cand}, {"_calm": last_valid(F.when(~F.col("_cand"), F.col("_no")))})])
     nth = F.col("_no") - F.coalesce(F.col("_calm"), F.lit(0))

@@ -1,14 +1,6 @@
 """Loads every query module, which registers its queries."""
 
-import importlib
-
+from gatherline.plans import q_agg, q_joins, q_learn, q_rows, q_sources, q_stats, q_streams, q_text, q_windows  # noqa: F401
 from gatherline.plans.registry import ORACLES, QUERIES
 
-for _m in ("q_sources", "q_rows", "q_windows", "q_joins", "q_agg", "q_stats", "q_text", "q_learn", "q_streams"):
-    try:
-        importlib.import_module(f"gatherline.plans.{_m}")
-    except ModuleNotFoundError as e:
-        if _m not in str(e):
-            raise
-
 __all__ = ["QUERIES", "ORACLES"]

@@ -145,9 +145,9 @@ def _(spark, sf):
     return rounded(interaction.pause_features(u, ["conv_id"], "onset", "short_end", 0.5))
 
 
-@query("distinct_joined", "SELECT user_id, string_agg(event_type, ';' ORDER BY event_type) AS types FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60) GROUP BY 1")
+@query("distinct_joined", "SELECT user_id, string_agg(event_type, ';' ORDER BY event_type) AS types FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def _(spark, sf):
-    return interaction.distinct_joined(table(spark, sf, "events").filter("value > 60"), ["user_id"], "event_type", "types")
+    return interaction.distinct_joined(table(spark, sf, "events"), ["user_id"], "event_type", "types")
 
 
 @query("window_mode", "WITH " + SAMPLES + """, c AS (SELECT user_id, day(ts) AS d, event_type, count(*) AS n FROM s GROUP BY ALL),
@@ -226,11 +226,11 @@ def _(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", "s_name").orderBy(F.desc("s_name"))
 
 
-@query("tagged_union", "SELECT o_orderkey AS k, o_totalprice AS v, 'orders' AS source FROM orders WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT c_custkey, c_acctbal, 'customer' FROM customer")
+@query("tagged_union", "SELECT o_orderkey AS k, o_totalprice AS v, 'orders' AS source FROM orders UNION ALL SELECT c_custkey, c_acctbal, 'customer' FROM customer")
 def _(spark, sf):
     from gatherline.operators.sets import tagged_union
 
-    o = table(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    o = table(spark, sf, "orders")
     return tagged_union({"orders": (o, {"o_orderkey": "k", "o_totalprice": "v"}), "customer": (table(spark, sf, "customer"), {"c_custkey": "k", "c_acctbal": "v"})})
 
 
@@ -244,13 +244,14 @@ def _(spark, sf):
     from gatherline.operators.sets import missing_from
 
     cells = table(spark, sf, "events").select("user_id", F.dayofmonth("ts").cast("long").alias("d"))
-    grid = cells.select("user_id").distinct().withColumn("d", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long"))))
+    days = F.explode(cells.agg(F.array_sort(F.collect_set("d"))).scalar())  # days of a month: 31 at most
+    grid = cells.select("user_id").distinct().withColumn("d", days)
     return missing_from(grid, cells, ["user_id", "d"])
 
 
-@query("present_in_both", "SELECT user_id FROM events WHERE event_type = 'view' AND value > 100 INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100")
+@query("present_in_both", "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'")
 def _(spark, sf):
     from gatherline.operators.sets import present_in_both
 
-    e = table(spark, sf, "events").filter("value > 100")
+    e = table(spark, sf, "events")
     return present_in_both(e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'"), ["user_id"])

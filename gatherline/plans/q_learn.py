@@ -127,7 +127,7 @@ def _(spark, sf):
 @query("knn_impute", """WITH o AS (SELECT o_custkey AS c_custkey, avg(o_totalprice) AS price, count(*)::DOUBLE AS n FROM orders GROUP BY 1), c AS (SELECT customer.*, price, n FROM customer LEFT JOIN o USING (c_custkey)),
 r AS (SELECT c_nationkey AS k, avg(c_acctbal) AS ra, avg(price) AS rp, avg(n) AS rn FROM c GROUP BY 1), h AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS a, price AS p, n FROM c),
 d AS (SELECT c_custkey, ra, rp, rn, sqrt((coalesce((a - ra)**2, 0) + coalesce((p - rp)**2, 0) + coalesce((n - rn)**2, 0)) * 3 / nullif((a IS NOT NULL)::INT + (p IS NOT NULL)::INT + (n IS NOT NULL)::INT, 0)) AS dist FROM h, r WHERE a IS NULL OR p IS NULL OR n IS NULL),
-t AS (SELECT * FROM d WHERE dist IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist) <= 3), m AS (SELECT c_custkey, avg(ra) AS ra, avg(rp) AS rp, avg(rn) AS rn FROM t GROUP BY 1),
+t AS (SELECT * FROM d WHERE dist IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist) <= 3), m AS (SELECT c_custkey, sum(ra / dist) / sum(1 / dist) AS ra, sum(rp / dist) / sum(1 / dist) AS rp, sum(rn / dist) / sum(1 / dist) AS rn FROM t GROUP BY 1),
 g AS (SELECT avg(ra) AS ra, avg(rp) AS rp, avg(rn) AS rn FROM r)
 SELECT c_custkey, round(coalesce(a, m.ra, g.ra), 8) AS c_acctbal, round(coalesce(p, m.rp, g.rp), 8) AS price, round(coalesce(n, m.rn, g.rn), 8) AS n FROM h LEFT JOIN m USING (c_custkey), g""")
 def _(spark, sf):

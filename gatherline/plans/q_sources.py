@@ -63,7 +63,7 @@ UNION ALL SELECT event_id, 'v', event_type FROM events""")
 def _(spark, sf):
     e = table(spark, sf, "events")
     # a nested payload with a meta key, made from the columns
-    payload = F.concat(F.lit('{"meta":"x","answers":{"v":"'), F.col("event_type"), F.lit('"},'), F.substring("props", 2, 1000))
+    payload = F.concat(F.lit('{"meta":"x","answers":{"v":"'), F.col("event_type"), F.lit('"},'), F.expr("substring(props, 2)"))
     return scans.payload_items(e.withColumn("payload", payload), "payload", ["event_id"], ["meta"])
 
 

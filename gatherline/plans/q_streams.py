@@ -60,8 +60,8 @@ def _(spark, sf):
     return streams.run_available(j.select("event_id", "task"))
 
 
-@query("stream_flag_runs", "WITH " + SAMPLES + ", " + _WM + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, value < 60 ORDER BY t) AS g, max(CASE WHEN value >= 60 THEN t END) OVER (PARTITION BY user_id) AS brk FROM s)
-SELECT user_id, round(min(t), 3) AS run_start, round(max(t), 3) AS run_end, count(*) AS n_rows FROM r, mx WHERE value < 60 GROUP BY user_id, g HAVING max(t) < max(brk) OR floor(max(t) * 1000) + 1 <= (max(m) - 600) * 1000""")
+@query("stream_flag_runs", "WITH " + SAMPLES + ", " + _WM + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, value < 60 ORDER BY t) AS g, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t), 1e12) AS nxt FROM s)
+SELECT user_id, round(min(t), 3) AS run_start, round(max(t), 3) AS run_end, count(*) AS n_rows FROM r, mx WHERE value < 60 GROUP BY user_id, g HAVING floor(max(nxt) * 1000) < (max(m) - 600) * 1000""")
 def _(spark, sf):
     r = streams.flag_runs(_events(spark, sf), ["user_id"], "t", F.col("value") < 60, "10 minutes")
     return rounded(streams.run_available(r), 3)

@@ -10,7 +10,7 @@ from gatherline.plans.registry import query, rounded, table
 STREAM = ["user_id"]
 
 _W = "WITH " + SAMPLES + """, st AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM s GROUP BY 1),
-x AS (SELECT s.*, t0, t1, unnest(range(0, 70)) AS window_index FROM s JOIN st USING (user_id)),
+x AS (SELECT s.*, t0, t1, unnest(range(0, CAST(ceil((t1 - t0) / 43200.0) AS BIGINT) + 1)) AS window_index FROM s JOIN st USING (user_id)),
 w AS (SELECT *, t0 + window_index * 43200.0::DOUBLE AS window_start, t0 + window_index * 43200.0::DOUBLE + 86400.0::DOUBLE AS window_end FROM x
       WHERE t >= t0 + window_index * 43200.0::DOUBLE AND t < t0 + window_index * 43200.0::DOUBLE + 86400.0::DOUBLE
         AND t0 + window_index * 43200.0::DOUBLE + 86400.0::DOUBLE <= t1 + 1e-6)"""

@@ -15,7 +15,7 @@ def read_delimited(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str, sep: str = "\t",
     glob: str | None = None, provenance: bool = False,
 ) -> DataFrame:
-    """TSV or CSV, plain or gzip, one or many files or folders; the schema is never inferred.
+    """TSV or CSV, plain or gzip, one or many files or folders; the schema is never inferred. NaN is read as null.
 
     gzip files cannot be split: convert such a drop to parquet once.
     """
@@ -24,6 +24,7 @@ def read_delimited(
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.schema(schema).csv(list(paths) if not isinstance(paths, str) else paths)
+    df = df.withColumns({f.name: F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
     return with_provenance(df) if provenance else df
 
 

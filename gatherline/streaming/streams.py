@@ -6,7 +6,6 @@ append mode, so a window appears once it is closed.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatherline.functions.exprs import epoch_micros
+from gatherline.session import shared_dir
 
 
 def read_events(spark: SparkSession, path: str, ts: str = "ts", files_per_trigger: int | None = None) -> DataFrame:
@@ -73,47 +73,46 @@ def enrich_from_windows(stream: DataFrame, ranges: DataFrame, keys: Sequence[str
 
 
 def flag_runs(stream: DataFrame, keys: Sequence[str], t: str, flag: Column, late: str) -> DataFrame:
-    """Runs of a flag per key, emitted when the flag drops or the watermark passes the run's end by ``late``.
+    """Runs of a flag per key, emitted once the watermark has passed the first row after the run without the flag.
 
-    State per key is one open run. Rows of a micro-batch are put in time order first.
+    Rows wait in state until the watermark is past them and are then taken in time order, so the split into
+    micro-batches does not matter. State per key is one open run and the rows of the allowed lateness.
     """
     keys = list(keys)
     s = stream.withWatermark("event_time", late).select(*keys, F.col(t).cast("double").alias("_t"), flag.alias("_f"), "event_time")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields if f.name in keys)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, end, n, times, flags = state.get if state.exists else (0.0, 0.0, 0, [], [])
+        waiting = list(zip(times, flags))
+        if not state.hasTimedOut:
+            for rows in pdfs:
+                waiting += zip(rows["_t"].tolist(), rows["_f"].fillna(False).astype(bool).tolist())
+        passed = state.getCurrentWatermarkMs()
         done = []
-        run = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            if run is not None:
-                done.append(run)
+        for at, on in sorted(w for w in waiting if w[0] * 1000 // 1 < passed):
+            if on:
+                start, end, n = (start if n else at), at, n + 1
+            elif n:
+                done.append((start, end, n))
+                n = 0
+        waiting = sorted(w for w in waiting if w[0] * 1000 // 1 >= passed)
+        if waiting or n:
+            state.update((start, end, n, [w[0] for w in waiting], [bool(w[1]) for w in waiting]))
+            if waiting:
+                state.setTimeoutTimestamp(max(int(waiting[0][0] * 1000 // 1), passed + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(pdfs)).sort_values("_t")
-            for at, on in zip(rows["_t"], rows["_f"]):
-                if on:
-                    run = [at, at, 1] if run is None else [run[0], at, run[2] + 1]
-                elif run is not None:
-                    done.append(run)
-                    run = None
-            if run is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((float(run[0]), float(run[1]), int(run[2])))
-                state.setTimeoutTimestamp(max(int(run[1] * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([[*key, *r] for r in done], columns=[*keys, "run_start", "run_end", "n_rows"])
 
     return s.groupBy(*keys).applyInPandasWithState(
-        step, f"{fields}, run_start double, run_end double, n_rows long", "run_start double, run_end double, n_rows long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+        step, f"{fields}, run_start double, run_end double, n_rows long", "run_start double, run_end double, n_rows long, times array<double>, flags array<boolean>",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder; a scratch one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder in the folder that all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
