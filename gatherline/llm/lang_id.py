@@ -6,8 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gatherline.llm.texts import blocks
 
@@ -94,37 +92,36 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return langs, (m.astype(np.float32), prior)
 
 
-def score(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score (called ``names``), the posterior of that language.
+def _predict(rows_text: list[str | None], langs: list[str], fitted) -> tuple[list[str], np.ndarray]:
+    preds, scores = [UNKNOWN] * len(rows_text), np.zeros(len(rows_text))
+    if langs and rows_text:
+        logp, prior = fitted
+        g, firsts, with_letter = grams([t or "" for t in rows_text])
+        sums = np.tile(prior, (len(rows_text), 1))
+        for order in g:
+            sums += np.add.reduceat(logp[order], firsts, axis=0, dtype=np.float64)
+        best = sums.argmax(1)
+        post = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+        for i in np.flatnonzero(with_letter):
+            preds[i], scores[i] = langs[best[i]], post[i]
+    return preds, scores
+
+
+def score(docs: DataFrame, model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, lang_pred, score) of every row; score is the posterior of that language.
 
     A null text, one without a letter, or a model without languages gives ``und`` and 0. Other columns do not matter.
     """
     langs, fitted = model
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    out_names = [*keep, *names]
 
     def run(batches):
-        if langs:
-            logp, prior = shared.value
         for rows in blocks(batches, (1 << 20) // max(4, len(langs))):
-            texts = [r[0] or "" for r in rows]
-            preds, scores = [UNKNOWN] * len(rows), np.zeros(len(rows))
-            if langs:
-                g, firsts, with_letter = grams(texts)
-                sums = np.tile(prior, (len(rows), 1))
-                for order in g:
-                    sums += np.add.reduceat(logp[order], firsts, axis=0, dtype=np.float64)
-                best = sums.argmax(1)
-                post = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                for i in np.flatnonzero(with_letter):
-                    preds[i], scores[i] = langs[best[i]], post[i]
-            columns = [pa.array([r[1 + j] for r in rows], types[j]) for j in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(preds, pa.string()), pa.array(scores)], out_names)
-
-    source = docs.select(F.col(text).cast("string").alias("t_"), *[F.col(c) for c in keep])
-    types = [to_arrow_type(source.schema[1 + j].dataType) for j in range(len(keep))]
-    schema = StructType([*source.schema.fields[1:], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return source.mapInArrow(run, schema)
+            preds, scores = _predict([r[0] for r in rows], langs, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array(preds, pa.string()), pa.array(scores)], ["key", "lang_pred", "score"])
+
+    source = docs.select(F.col(text).cast("string").alias("t"), F.col(key).cast("long").alias("k"))
+    return source.mapInArrow(run, "key long, lang_pred string, score double")
 
 
 def held_out(key: str, folds: int, fold: int) -> Column:
@@ -140,10 +137,21 @@ def identify(docs: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
     d = docs.select("doc_id", "text", "lang")
     model = fit(d.where(~held_out("doc_id", folds, fold)))
     out = score(d, model)
-    return out.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "lang_pred", "score")
+    return out.select(F.col("key").alias("doc_id"), held_out("key", folds, fold).alias("held_out"), "lang_pred", "score")
 
 
 def confident(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The documents whose language is known with ``min_score`` or more; all columns stay."""
-    out = score(docs, fit(docs), keep=tuple(docs.columns), names=("_lang", "_score"))
-    return out.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)).select(*docs.columns)
+    langs, fitted = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for rows in blocks([batch.select([at])], (1 << 20) // max(4, len(langs))):
+                preds, scores = _predict([r[0] for r in rows], langs, shared.value)
+                keep += [p != UNKNOWN and s >= min_score for p, s in zip(preds, scores, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -172,12 +172,16 @@ def wide_fingerprint(text: str | None, words: int = 5, slab: int = 1 << 14) -> b
     parts = encoded(text).lower().split()
     n = max(1, len(parts) - words + 1)
     counts = np.zeros((WIDE, BITS), np.int64)
-    for i in range(0, n, slab) if parts else ():
-        some = parts[i : i + slab + words - 1]
-        h = np.array([xxh64_intdigest(b" ".join(some[j : j + words]), SEED) for j in range(min(slab, n - i))], np.uint64)
-        for w in range(WIDE):
-            bits = np.unpackbits(mix(h + np.uint64(w)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[w] += bits.sum(0, dtype=np.int64)
+    if parts:
+        data = b" ".join(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(lengths + 1) - 1
+        starts, ends = (ends - lengths)[:n].tolist(), (ends[words - 1 :] if len(parts) >= words else ends[-1:]).tolist()
+        for i in range(0, n, slab):
+            h = np.array([xxh64_intdigest(data[a:b], SEED) for a, b in zip(starts[i : i + slab], ends[i : i + slab], strict=True)], np.uint64)
+            for w in range(WIDE):
+                bits = np.unpackbits(mix(h + np.uint64(w)).view(np.uint8), bitorder="little").reshape(-1, BITS)
+                counts[w] += bits.sum(0, dtype=np.uint16)  # a slab has fewer rows than the type holds
     return np.packbits(counts.ravel() * 2 > n, bitorder="little").tobytes()
 
 

@@ -95,5 +95,12 @@ def word_hashes(texts: list[bytes], separators: np.ndarray = WHITE, step: int =
     return out, np.searchsorted(starts, firsts)
 
 
+def short_batches(spark, rows: int = 1_000) -> None:
+    """Fewer rows in an Arrow batch: whole texts go through Python workers, and a batch must stay small there."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
