@@ -6,31 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gatherline.llm import lang_id, packing, secrets, simhash, suffix_dedup
 from gatherline.llm.catalog import tokenizer
+from gatherline.llm.texts import short_batches
 from gatherline.session import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the rest goes."""
+    short_batches(spark)
     return lang_id.confident(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    short_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the byte strings that occur more than once."""
+    short_batches(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with confirmed secrets masked."""
+    short_batches(spark)
     return secrets.redact(docs, tokenizer("word_bpe_49k.json"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences."""
+    short_batches(spark)
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
