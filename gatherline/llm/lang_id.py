@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.texts import blocks
+from gatherline.llm.texts import blocks, tables_of
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -147,6 +147,7 @@ def confident(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        tables_of("lang_id")
         for batch in batches:
             keep = []
             for rows in blocks([batch.select([at])], (1 << 20) // max(4, len(langs))):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from itertools import chain
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.texts import blocks
+from gatherline.llm.texts import blocks, tables_of
 
 CAPACITY = 2_048
 END_ID = 1
@@ -21,7 +20,6 @@ LEAST_CUT = 64
 _WORDS_KEPT = 1_000_000
 _ODD = re.compile(r"[\x1c-\x1f]|<\|")
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)\Z")
-_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -117,10 +115,10 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        gc.freeze()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    held = tables_of("packing")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def pieces(n: int, capacity: int = CAPACITY, least: int = LEAST_CUT) -> list[tuple[int, int]]:

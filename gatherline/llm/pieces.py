@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.texts import blocks
+from gatherline.llm.texts import blocks, tables_of
 
 MARK = "▁"
 _UNKNOWN_PENALTY = 10.0
 _WORDS_KEPT = 500_000
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_MODELS: dict[str, Pieces] = {}
 
 
 class Pieces:
@@ -107,9 +106,10 @@ def _marked(text: str) -> list[str]:
 
 
 def model(path: str) -> Pieces:
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    held = tables_of("pieces")
+    if path not in held:
+        held[path] = Pieces(path)
+    return held[path]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gatherline.llm import forest
-from gatherline.llm.texts import blocks
+from gatherline.llm.texts import blocks, tables_of
 
 #: Documents that a forest is fitted on, in expectation: those whose id hashes lowest.
 FIT_DOCS = 20_000
@@ -42,16 +42,16 @@ FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "others", "changes", "letter_to_digit", "longest_run", "steps", "rare_pairs",
     "dictionary", "slashes", "dots", "path_before", "named", "name_near", "quoted", "key_shape", "all_digits", "all_hex", "placeholder", "word_after",
 )
-_DICTIONARIES: dict[str, frozenset] = {}
 
 
 def dictionary(path: str) -> frozenset:
     """Whole lower-case words of four letters or more in a public tokenizer's vocabulary file."""
-    if path not in _DICTIONARIES:
+    held = tables_of("secrets")
+    if path not in held:
         from tokenizers import Tokenizer
 
-        _DICTIONARIES[path] = frozenset(t[:-4] for t in Tokenizer.from_file(path).get_vocab() if t.endswith("</w>") and len(t) >= 8 and t[:-4].isascii() and t[:-4].isalpha())
-    return _DICTIONARIES[path]
+        held[path] = frozenset(t[:-4] for t in Tokenizer.from_file(path).get_vocab() if t.endswith("</w>") and len(t) >= 8 and t[:-4].isascii() and t[:-4].isalpha())
+    return held[path]
 
 
 def _covered(value: str, words: frozenset) -> float:

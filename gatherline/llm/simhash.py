@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatherline.llm.components import components, runs
-from gatherline.llm.texts import blocks, encoded, mix
+from gatherline.llm.texts import blocks, encoded, mix, tables_of
 from gatherline.session import stored
 
 BITS = 64
@@ -200,6 +200,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
     """
 
     def prints_of(batches):
+        tables_of("simhash")
         for rows in blocks(batches, 1 << 22):
             fps = [wide_fingerprint(r[0], words) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array(fps, pa.binary())], ["key", "fp"])

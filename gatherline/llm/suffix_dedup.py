@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from gatherline.llm.components import runs
 from gatherline.llm.suffix_arrays import repeated_windows
-from gatherline.llm.texts import U64, blocks, encoded, mix
+from gatherline.llm.texts import U64, blocks, encoded, mix, tables_of
 from gatherline.session import stored
 
 WIDTH = 200
@@ -89,6 +89,7 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def _segment_rows(d: DataFrame, width: int) -> DataFrame:
     def run(batches):
+        tables_of("suffix_dedup")
         for rows in blocks(batches, 1 << 20):
             keys = np.array([(r[1], r[2]) for r in rows], np.int64)
             for number, start, n, anchor, context in segments([encoded(r[0]) for r in rows], width):

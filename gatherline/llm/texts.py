@@ -102,5 +102,16 @@ def short_batches(spark, rows: int = 1_000) -> None:
         spark.conf.set(key, rows)
 
 
+_TABLES: dict[str, dict] = {}
+
+
+def tables_of(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. Workers outlive a stage, so the tables of other
+    operators are dropped: only one operator's are held at a time."""
+    for other in [k for k in _TABLES if k != owner]:
+        del _TABLES[other]
+    return _TABLES.setdefault(owner, {})
+
+
 def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.texts import blocks
+from gatherline.llm.texts import blocks, tables_of
 
 MARK = "▁"
 _WORDS_KEPT = 1_000_000
-_AUTOMATA: dict[str, Automaton] = {}
 
 
 def pieces_of(path: str) -> list[str]:
@@ -85,9 +84,10 @@ class Automaton:
 
 
 def automaton(path: str) -> Automaton:
-    if path not in _AUTOMATA:
-        _AUTOMATA[path] = Automaton(pieces_of(path))
-    return _AUTOMATA[path]
+    held = tables_of("word_counts")
+    if path not in held:
+        held[path] = Automaton(pieces_of(path))
+    return held[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
