@@ -17,7 +17,7 @@ CAPACITY = 2_048
 END_ID = 1
 #: Rests shorter than this are not cut further.
 LEAST_CUT = 64
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 250_000
 _ODD = re.compile(r"[\x1c-\x1f]|<\|")
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)\Z")
 
@@ -46,12 +46,11 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def forget(self):
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {}  # words, and the letters of words that end in a mark
         self.count = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.filled = 0
         self.spans = np.zeros((1 << 16, 2), np.int64)
-        self.cores: dict[str, tuple[int, int]] = {}
 
     def _put(self, ids: np.ndarray) -> int:
         at, n = self.filled, len(ids)
@@ -61,34 +60,39 @@ class Encoder:
         self.filled += n
         return at
 
+    def _name(self, words: list[str], spans: list[tuple[int, int]]) -> None:
+        need = self.count + len(words)
+        if need > len(self.spans):
+            self.spans = np.concatenate([self.spans, np.zeros((max(need, len(self.spans)), 2), np.int64)])
+        self.spans[self.count : need] = np.array(spans, np.int64).reshape(-1, 2)
+        self.index.update(zip(words, range(self.count, need), strict=True))
+        self.count = need
+
     def _learn(self, words: list[str]) -> None:
-        plain, other = [], []
+        cores, marked, other = {}, [], []
         for w in words:
             m = _PLAIN.match(w)
-            plain.append((w, *m.groups())) if m else other.append(w)
-        cores = [c for c in dict.fromkeys(p[1] for p in plain) if c not in self.cores]
-        for i in range(0, len(cores), 2_000):
-            some = cores[i : i + 2_000]
+            if not m:
+                other.append(w)
+            elif m[2]:
+                cores[m[1]] = None
+                marked.append((w, m[1], m[2]))
+            else:
+                cores[w] = None
+        new = [c for c in cores if c not in self.index]
+        for i in range(0, len(new), 2_000):
+            some = new[i : i + 2_000]
             ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             at = self._put(ids)
             stops = np.flatnonzero(self.ends[ids]) + 1
             assert len(stops) == len(some)
-            self.cores.update(zip(some, zip((at + np.concatenate(([0], stops[:-1]))).tolist(), (at + stops).tolist(), strict=True), strict=True))
+            self._name(some, np.stack((at + np.append(0, stops[:-1]), at + stops), 1))
         spans = []
-        for w, core, mark in plain:
-            a, b = self.cores[core]
-            if mark:
-                a = self._put(np.concatenate((self.ids[a:b], self.mark[mark])))
-                b = self.filled
-            spans.append((w, a, b))
-        for w in other:
-            spans.append((w, self._put(self._ids(w)), self.filled))
-        need = self.count + len(spans)
-        if need > len(self.spans):
-            self.spans = np.concatenate([self.spans, np.zeros((max(need, len(self.spans)), 2), np.int64)])
-        self.spans[self.count : need] = [s[1:] for s in spans]
-        self.index.update(zip([s[0] for s in spans], range(self.count, need), strict=True))
-        self.count = need
+        for _, core, mark in marked:
+            a, b = self.spans[self.index[core]].tolist()
+            spans.append((self._put(np.concatenate((self.ids[a:b], self.mark[mark]))), self.filled))
+        spans += [(self._put(self._ids(w)), self.filled) for w in other]
+        self._name([w for w, _, _ in marked] + other, spans)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.count > _WORDS_KEPT:
