@@ -8,8 +8,8 @@ per block. Keys below the limit stay in a single block and cost one shuffle. Wit
 no hot key the side tables come out empty and adaptive execution drops their part
 of the plan. Inputs that are small as a whole skip the cut.
 
-Both side tables are broadcast: there are at most ``N / rows_per_block`` hot keys
-and at most twice as many blocks, so their size is bounded by construction.
+The side tables (hot keys, carries) grow with the input, about one row per
+``rows_per_block`` rows; the planner chooses how to join them.
 """
 
 from __future__ import annotations
@@ -333,7 +333,7 @@ def exact_percentiles(
     task; others rank the distinct values in blocks.
     """
     if not needs_split(df, rows_per_block):
-        return df.groupBy(*keys).agg(*_plain_percentiles(spec))
+        return _with_plain_percentiles(df, keys, [], spec)
     cols = list(dict.fromkeys(c for c, _ in spec.values()))
     ps = sorted({p for _, p in spec.values()})
     pn = {f"_p{i}": p for i, p in enumerate(ps)}
@@ -346,8 +346,14 @@ def exact_percentiles(
     return q.groupBy(*keys).agg(*picks)
 
 
-def _plain_percentiles(spec: dict[str, tuple[str, float]]) -> list[Column]:
-    return [F.percentile(F.col(c).cast("double"), float(p)).alias(o) for o, (c, p) in spec.items()]
+def _with_plain_percentiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], spec: dict[str, tuple[str, float]]) -> DataFrame:
+    """Aggregates and built-in percentiles; a column's values are held once for all its fractions."""
+    fractions: dict[str, list[float]] = {}
+    for c, p in spec.values():
+        fractions.setdefault(c, []).append(float(p))
+    held = {c: f"_pc{i}" for i, c in enumerate(fractions)}
+    g = df.groupBy(*keys).agg(*aggs, *[F.percentile(F.col(c).cast("double"), ps).alias(held[c]) for c, ps in fractions.items()])
+    return g.withColumns({o: F.col(held[c])[fractions[c].index(float(p))] for o, (c, p) in spec.items()}).drop(*held.values())
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -375,7 +381,7 @@ def agg_with_percentiles(
 ) -> DataFrame:
     """Ordinary aggregates plus exact percentiles on the same keys."""
     if not needs_split(df, rows_per_block):
-        return df.groupBy(*keys).agg(*aggs, *_plain_percentiles(spec))
+        return _with_plain_percentiles(df, keys, aggs, spec)
     a = df.groupBy(*keys).agg(*aggs)
     q = exact_percentiles(df, keys, spec, rows_per_block)
     return join_on(a, q, keys, "left")

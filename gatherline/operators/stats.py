@@ -178,14 +178,16 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square, degrees of freedom and Cramer V; empty cells count through the margins."""
+    """Chi-square, degrees of freedom, p value and Cramer V; empty cells count through the margins.
+    With one level on a side there is no test and p is null."""
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     d = with_stats(with_stats(cells, [a], {"_ra": F.sum("n")}), [b], {"_cb": F.sum("n")})
     g = d.agg(F.sum(F.col("n") * F.col("n") / (F.col("_ra") * F.col("_cb"))).alias("_s"), F.sum("n").alias("n"),
               F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_c"))
     chi = F.col("n") * (F.col("_s") - 1)
     k = F.least(F.col("_r"), F.col("_c")) - 1
-    return g.select("n", chi.alias("chi2"), ((F.col("_r") - 1) * (F.col("_c") - 1)).alias("df"), F.when(k > 0, F.sqrt(F.greatest(chi, F.lit(0.0)) / (F.col("n") * k))).alias("cramer_v"))
+    g = g.withColumns({"chi2": chi, "df": (F.col("_r") - 1) * (F.col("_c") - 1)})
+    return g.select("n", "chi2", "df", chi2_tail(F.col("chi2"), F.col("df")).alias("p"), F.when(k > 0, F.sqrt(F.greatest(chi, F.lit(0.0)) / (F.col("n") * k))).alias("cramer_v"))
 
 
 # ------------------------------------------------------------------ tests
@@ -200,8 +202,53 @@ def normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+def _series(first: Column, n_terms: Column, ratio_at) -> Column:
+    """first + first * ratio_at(1) + ..., ``n_terms`` terms in all."""
+    steps = F.when(n_terms > 1, F.sequence(F.lit(1).cast("long"), n_terms.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+    grow = lambda s, i: F.struct((s["term"] * ratio_at(i)).alias("term"), (s["sum"] + s["term"] * ratio_at(i)).alias("sum"))
+    total = F.aggregate(steps, F.struct(first.cast("double").alias("term"), first.cast("double").alias("sum")), grow, lambda s: s["sum"])
+    return F.when(n_terms >= 1, total).otherwise(0.0)
+
+
+#: Degrees of freedom up to which tails are summed term by term; beyond it they are normal to 1e-6.
+SERIES_DF = 1_000
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p value of Student's t for whole degrees of freedom; null for null input or under one degree."""
+    nu, odd = df.cast("double"), F.pmod(df.cast("long"), F.lit(2))
+    sin, cos2 = F.abs(t) / F.sqrt(nu + t * t), nu / (nu + t * t)
+    s = _series(F.when(odd == 1, F.sqrt(cos2)).otherwise(1.0), F.floor((nu - odd) / 2), lambda i: (2 * i - 1 + odd) / (2 * i + odd) * cos2)
+    inside = F.when(odd == 1, (F.asin(F.least(sin, F.lit(1.0))) + sin * s) * (2 / np.pi)).otherwise(sin * s)
+    far = normal_tail((8 * nu + 1) / (8 * nu + 3) * F.sqrt(nu * F.log1p(t * t / nu)))
+    return F.when(t.isNull() | df.isNull() | (df < 1), F.lit(None).cast("double")).when(df > SERIES_DF, far).otherwise(F.greatest(1 - inside, F.lit(0.0)))
+
+
+def chi2_tail(x: Column, df: Column) -> Column:
+    """Upper p value of chi-square for whole degrees of freedom; null for null input or under one degree."""
+    x = F.when(x < 0, 0.0).otherwise(x)
+    k, odd, y = df.cast("double"), F.pmod(df.cast("long"), F.lit(2)), x / 2
+    first = F.when(odd == 1, 2 * F.sqrt(y / np.pi)).otherwise(1.0)
+    s = _series(first, F.floor((k - odd) / 2), lambda i: y / (i + odd / 2))
+    near = F.exp(-y) * s + F.when(odd == 1, normal_tail(F.sqrt(x))).otherwise(0.0)
+    z = (F.cbrt(x / k) - 1 + 2 / (9 * k)) / F.sqrt(2 / (9 * k))
+    far = F.when(z > 0, normal_tail(z) / 2).otherwise(1 - normal_tail(z) / 2)
+    return F.when(x.isNull() | df.isNull() | (df < 1), F.lit(None).cast("double")).when((df > SERIES_DF) | (x > 1_400), far).otherwise(F.least(near, F.lit(1.0)))
+
+
+def with_p_and_q(table: DataFrame, r: str, tie: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """A table of correlations (columns ``r`` and n) with p of the t test on n - 2 degrees and q over ``keys``.
+
+    Null correlations, and those of fewer than three rows, have null p and q and do not count among the tests.
+    """
+    c, nu = F.col(r), F.col("n") - 2
+    t = F.abs(c) * F.sqrt(F.try_divide(F.greatest(nu, F.lit(0)).cast("double"), 1 - c * c))
+    p = F.when(c.isNull() | (nu < 1), F.lit(None).cast("double")).when(F.abs(c) >= 1, 0.0).otherwise(t_tail(t, nu))
+    return fdr(table.withColumn("p", p), keys, "p", tie)
+
+
 def paired_contrasts(df: DataFrame, person: Sequence[str], task: str, value: str, tasks: Sequence[str], min_n: int = 3) -> DataFrame:
-    """Every task pair: n, means, mean difference, paired t, Wilcoxon W, z and p, dz; the tests are null under ``min_n``.
+    """Every task pair: n, means, mean difference, paired t and its p, Wilcoxon W, z and p, dz; the tests are null under ``min_n``.
 
     People are pivoted to one row first, so no self join is needed.
     """
@@ -220,7 +267,8 @@ def paired_contrasts(df: DataFrame, person: Sequence[str], task: str, value: str
     var = m * (m + 1) * (2 * m + 1) / 24 - F.col("_tie") / 48
     s = s.withColumn("z", F.when(var > 0, (F.col("w") - m * (m + 1) / 4) / F.sqrt(var)))
     out = base.join(s, pk, "left").withColumns({"t": F.when(F.col("_sd") > 0, F.col("mean_diff") / (F.col("_sd") / F.sqrt("n"))), "dz": ratio("mean_diff", "_sd"), "p_wilcoxon": normal_tail(F.col("z"))})
-    tests = {c: F.when(F.col("n") >= min_n, F.col(c)) for c in ("t", "dz", "w", "z", "p_wilcoxon")}
+    out = out.withColumn("p_t", t_tail(F.col("t"), F.col("n") - 1))
+    tests = {c: F.when(F.col("n") >= min_n, F.col(c)) for c in ("t", "p_t", "dz", "w", "z", "p_wilcoxon")}
     return out.withColumns(tests).drop("_sd", "_m", "_tie", "w_plus")
 
 
@@ -255,24 +303,30 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, a,
     return out.drop("_all") if flat else out
 
 
-def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis H with tie correction, number of groups and rows."""
+def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str, min_n: int = 1) -> DataFrame:
+    """Kruskal-Wallis H with tie correction, its chi-square p, number of groups and rows.
+
+    Groups with fewer than ``min_n`` values are left out before ranking; p is null with fewer than two groups.
+    """
     d, keys, flat = _const(df, keys)
+    if min_n > 1:
+        d = with_stats(d, [*keys, group], {"_gn": F.count(value)}).filter(F.col("_gn") >= min_n).drop("_gn")
     r = rank_sums(d, keys, group, value)
     s, n = F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")), F.max("total").cast("double")
     fix = 1 - F.max("ties") / (n * n * n - n)
     out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("n"), F.when(fix > 0, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / fix).alias("h"))
+    out = out.withColumn("p", chi2_tail(F.col("h"), F.col("k") - 1))
     return out.drop("_all") if flat else out
 
 
 def fdr(df: DataFrame, keys: Sequence[str], p: str, tie: Sequence[str], out: str = "q", rows_per_block: int | None = None) -> DataFrame:
     """Benjamini-Hochberg q values per key; null p values stay null."""
     d, keys, flat = _const(df, keys)
-    have = d.filter(F.col(p).isNotNull())
+    last = F.coalesce(F.col(p), F.lit(2.0))  # null p values rank behind all others
     raw = F.col(p) * F.col("_n") / F.col("_rank")
-    have = ordered_scan(have, keys, [p, *tie], {"_rank": row_no(), "_n": key_sum(F.lit(1))}, rows_per_block, then=[({"_raw": raw}, {"_q": rev_min("_raw")})])
-    have = have.withColumn(out, F.least(F.col("_q"), F.lit(1.0))).drop("_rank", "_n", "_raw", "_q")
-    res = have.unionByName(d.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    steps = {"_rank": row_no(), "_n": key_sum(F.col(p).isNotNull().cast("long"))}
+    res = ordered_scan(d, keys, [last, *tie], steps, rows_per_block, then=[({"_raw": raw}, {"_q": rev_min("_raw")})])
+    res = res.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.col("_q"), F.lit(1.0)))).drop("_rank", "_n", "_raw", "_q")
     return res.drop("_all") if flat else res
 
 

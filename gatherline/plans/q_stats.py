@@ -90,7 +90,7 @@ def _(spark, sf):
 
 
 @query("chi_square", """WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2), e AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS x FROM c)
-SELECT sum(n)::BIGINT AS n, round(sum((n - x)**2 / x), 5) AS chi2, CAST(8 AS BIGINT) AS df, round(sqrt(sum((n - x)**2 / x) / (sum(n) * 2)), 6) AS cramer_v FROM e""")
+SELECT sum(n)::BIGINT AS n, round(sum((n - x)**2 / x), 5) AS chi2, CAST(8 AS BIGINT) AS df, round(exp(-sum((n - x)**2 / x) / 2) * (1 + sum((n - x)**2 / x) / 2 + (sum((n - x)**2 / x) / 2)**2 / 2 + (sum((n - x)**2 / x) / 2)**3 / 6), 6) AS p, round(sqrt(sum((n - x)**2 / x) / (sum(n) * 2)), 6) AS cramer_v FROM e""")
 def _(spark, sf):
     c = stats.chi_square(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
     return rounded(c.withColumn("chi2", F.round("chi2", 5)))
@@ -100,16 +100,31 @@ _P = """(1 / (1 + 0.3275911 * (abs(z) / sqrt(2)))) * (0.254829592 + (1 / (1 + 0.
 _P = _P.replace("0.3275911", "0.3275911::DOUBLE")
 
 
+def _t_p(t: str, nu: str) -> str:
+    """Two-sided p of t in SQL: the density, integrated over the angle whose tangent is t / sqrt(nu)."""
+    angle = f"atan(abs({t}) / sqrt({nu}))"
+    area = f"list_sum(list_transform(range(2000), lambda i: pow(cos({angle} * (i + 0.5::DOUBLE) / 2000), {nu} - 1))) * {angle} / 2000"
+    return f"(1 - 2 * exp(lgamma(({nu} + 1) / 2.0::DOUBLE) - lgamma({nu} / 2.0::DOUBLE)) / sqrt(pi()) * {area})"
+
+
 @query("paired_contrasts", "WITH " + SAMPLES + """, w AS (SELECT user_id, task_id, avg(value) AS v FROM s GROUP BY 1, 2),
 p AS (SELECT a.task_id AS task_a, b.task_id AS task_b, a.v AS x, b.v AS y, b.v - a.v AS d FROM w a JOIN w b ON a.user_id = b.user_id AND a.task_id < b.task_id),
 r AS (SELECT *, rank() OVER k + (count(*) OVER (PARTITION BY task_a, task_b, round(abs(d), 9)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY task_a, task_b, round(abs(d), 9)) AS tc FROM p WHERE d <> 0 WINDOW k AS (PARTITION BY task_a, task_b ORDER BY round(abs(d), 9))),
 q AS (SELECT task_a, task_b, count(*) AS m, sum(rk) FILTER (d > 0) AS wp, sum(tc * tc - 1) AS tie FROM r GROUP BY 1, 2),
 b AS (SELECT task_a, task_b, count(*) AS n, avg(x) AS ma, avg(y) AS mb, avg(d) AS md, stddev_samp(d) AS sd FROM p GROUP BY 1, 2),
 z AS (SELECT b.*, least(wp, m * (m + 1) / 2 - wp) AS w, (least(wp, m * (m + 1) / 2 - wp) - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - tie / 48.0::DOUBLE) AS z FROM b JOIN q USING (task_a, task_b))
-SELECT task_a, task_b, n, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(md, 6) AS mean_diff, round(w, 1) AS w, round(z, 6) AS z, round(md / (sd / sqrt(n)), 6) AS t, round(md / sd, 6) AS dz, round(""" + _P + """, 6) AS p_wilcoxon FROM z""")
+SELECT task_a, task_b, n, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(md, 6) AS mean_diff, round(w, 1) AS w, round(z, 6) AS z, round(md / (sd / sqrt(n)), 6) AS t, round(md / sd, 6) AS dz, round(""" + _P + ", 6) AS p_wilcoxon, round(" + _t_p("(md / (sd / sqrt(n)))", "(n - 1)") + """, 5) AS p_t FROM z""")
 def _(spark, sf):
     w = samples(spark, sf).groupBy("user_id", "task_id").agg(F.avg("value").alias("v"))
-    return rounded(stats.paired_contrasts(w, ["user_id"], "task_id", "v", _TASKS))
+    return rounded(stats.paired_contrasts(w, ["user_id"], "task_id", "v", _TASKS).withColumn("p_t", F.round("p_t", 5)))
+
+
+@query("correlation_tests", "WITH c AS (SELECT c_nationkey, count(*) AS n, corr(c_acctbal, c_custkey) AS r FROM customer GROUP BY 1), p AS (SELECT *, " + _t_p("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)") + """ AS p FROM c),
+k AS (SELECT *, p * (count(*) OVER ()) / row_number() OVER (ORDER BY p, c_nationkey) AS raw FROM p)
+SELECT c_nationkey, n, round(r, 6) AS r, round(p, 5) AS p, round(least(1, min(raw) OVER (ORDER BY p, c_nationkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 5) AS q FROM k""")
+def _(spark, sf):
+    c = stats.pearson_table(table(spark, sf, "customer"), ["c_nationkey"], [("c_acctbal", "c_custkey")]).drop("a", "b")
+    return rounded(stats.with_p_and_q(c, "r", ["c_nationkey"]).withColumns({"p": F.round("p", 5), "q": F.round("q", 5)}))
 
 
 _RANKED = """r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY k, v) AS tc FROM d),
@@ -127,7 +142,8 @@ def _(spark, sf):
 
 @query("kruskal_wallis", """WITH r AS (SELECT o_orderstatus AS k, o_orderpriority AS g, rank() OVER w + (count(*) OVER (PARTITION BY o_orderstatus, round(o_totalprice, -3)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY o_orderstatus, round(o_totalprice, -3)) AS tc FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY round(o_totalprice, -3))),
 s AS (SELECT k, g, count(*) AS n, sum(rk) AS rs, sum(tc::DOUBLE * tc - 1) AS tie FROM r GROUP BY 1, 2)
-SELECT k AS o_orderstatus, count(*) AS k, sum(n)::BIGINT AS n, round((12 / (sum(n) * (sum(n) + 1)) * sum(rs * rs / n) - 3 * (sum(n) + 1)) / (1 - sum(tie) / (sum(n)::DOUBLE * sum(n) * sum(n) - sum(n))), 5) AS h FROM s GROUP BY s.k""")
+, h AS (SELECT s.k AS o_orderstatus, count(*) AS k, sum(n)::BIGINT AS n, (12 / (sum(n) * (sum(n) + 1)) * sum(rs * rs / n) - 3 * (sum(n) + 1)) / (1 - sum(tie) / (sum(n)::DOUBLE * sum(n) * sum(n) - sum(n))) AS h FROM s GROUP BY s.k)
+SELECT o_orderstatus, k, n, round(h, 5) AS h, round(exp(-h / 2) * (1 + h / 2), 5) AS p FROM h""")
 def _(spark, sf):
     o = table(spark, sf, "orders").withColumn("v", F.round("o_totalprice", -3))
     return rounded(stats.kruskal(o, ["o_orderstatus"], "o_orderpriority", "v"), 5)
