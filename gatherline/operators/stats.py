@@ -496,22 +496,27 @@ def partial_correlation(df: DataFrame, x: str, y: str, z: str, keys: Sequence[st
     return out.drop("_all") if flat else out
 
 
-def team_diversity(df: DataFrame, keys: Sequence[str], traits: Sequence[str], max_members: int = 500) -> DataFrame:
+def team_diversity(df: DataFrame, keys: Sequence[str], traits: Sequence[str], rows_per_tile: int = 256) -> DataFrame:
     """Mean pairwise Euclidean distance of the members' trait vectors and spread of each trait.
 
-    Made for teams. The member count is checked before members are gathered: a key with
-    more than ``max_members`` rows fails instead of being gathered or cut.
+    Equal vectors are counted first. The distinct ones are dealt into tiles of about ``rows_per_tile``, and each
+    pair of tiles is a task's row of its own, so a big group is spread and no task holds more than two tiles of it.
     """
-    n = F.count(F.lit(1))
     spread = [f(c).alias(f"{c}_{k}") for c in traits for f, k in ((F.avg, "mean"), (F.stddev_samp, "sd"), (F.min, "min"), (F.max, "max"))]
-    g = df.groupBy(*keys).agg(n.alias("n_members"), *spread)
-    g = g.withColumn("n_members", F.when(F.col("n_members") > max_members, F.raise_error(F.lit("group too large for pairwise distances")).cast("long")).otherwise(F.col("n_members")))
-    ok = join_on(df.dropna(subset=list(traits)), g.select(*keys, "n_members").filter(F.col("n_members") >= 1), keys, "inner")
-    v = ok.groupBy(*keys).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in traits])).alias("_v"))
-    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
-    total = F.aggregate(F.col("_v"), F.lit(0.0), lambda s, a: s + F.aggregate(F.col("_v"), F.lit(0.0), lambda s2, b: s2 + far(a, b)))
-    k = F.size("_v")
-    return join_on(g, v.select(*keys, F.when(k > 1, total / (k * (k - 1))).alias("mean_distance")), keys, "left")
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"), *spread)
+    vec = F.array(*[F.col(c).cast("double") for c in traits])
+    d = df.dropna(subset=list(traits)).groupBy(*keys, vec.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    d = join_on(d, g.select(*keys, F.ceil(F.col("n_members") / rows_per_tile).cast("int").alias("_nt")), keys, "inner")
+    tiles = d.groupBy(*keys, "_nt", F.pmod(F.xxhash64("_v"), "_nt").cast("int").alias("_t")).agg(F.collect_list(F.struct("_v", "_w")).alias("_m"))
+    left = tiles.select(*keys, F.col("_t").alias("_i"), F.explode(F.sequence("_t", F.col("_nt") - 1)).alias("_j"), F.col("_m").alias("_a"))
+    right = tiles.select(*keys, F.explode(F.sequence(F.lit(0), "_t")).alias("_i"), F.col("_t").alias("_j"), F.col("_m").alias("_b"))
+    far = lambda p, q: F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    each = lambda x: F.aggregate("_b", F.lit(0.0), lambda s, y: s + y["_w"] * far(x["_v"], y["_v"]))
+    total = F.aggregate("_a", F.lit(0.0), lambda s, x: s + x["_w"] * each(x)) * F.when(F.col("_i") == F.col("_j"), 1.0).otherwise(2.0)
+    sums = join_on(left, right, [*keys, "_i", "_j"], "inner").groupBy(*keys).agg(F.sum(total).alias("_s"))
+    k = F.col("_k")
+    v = join_on(d.groupBy(*keys).agg(F.sum("_w").alias("_k")), sums, keys, "inner")
+    return join_on(g, v.select(*keys, F.when(k > 1, F.col("_s") / (k * (k - 1))).alias("mean_distance")), keys, "left")
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -528,26 +533,45 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return d.select(n.cast("long").alias("n"), F.when(top != e, (F.col("ij") - e) / (top - e)).otherwise(1.0).alias("ari"))
 
 
-def matched_agreement(df: DataFrame, a: str, b: str, max_labels: int = 12) -> float:
-    """Share of rows that agree under the best one-to-one label matching; K x K counts on the driver."""
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).limit(max_labels * max_labels + 1).collect()
-    rows, cols = sorted({r[0] for r in cells}, key=str), sorted({r[1] for r in cells}, key=str)
-    if max(len(rows), len(cols)) > max_labels:
-        raise ValueError("too many labels to match")
-    m = np.zeros((len(rows), len(cols)))
-    for r in cells:
-        m[rows.index(r[0]), cols.index(r[1])] = r["n"]
-    if m.shape[0] > m.shape[1]:
-        m = m.T
-    best = {0: 0.0}
-    for row in m:
-        nxt: dict[int, float] = {}
-        for used, s in best.items():
-            for j, v in enumerate(row):
-                if not used >> j & 1:
-                    nxt[used | 1 << j] = max(nxt.get(used | 1 << j, -1.0), s + v)
-        best = nxt
-    return max(best.values()) / m.sum()
+def _best_matching(m: np.ndarray) -> float:
+    """Largest sum of cells with at most one in a row and column, by shortest augmenting paths."""
+    cost = -(m if m.shape[0] <= m.shape[1] else m.T)
+    n, k = cost.shape
+    row_price, col_price, owner = np.zeros(n), np.zeros(k), np.full(k, -1)
+    for start in range(n):
+        dist, via, done = np.full(k, np.inf), np.full(k, -1), np.zeros(k, bool)
+        row, col, base = start, -1, 0.0
+        while row >= 0:
+            step = base + cost[row] - row_price[row] - col_price
+            nearer = ~done & (step < dist)
+            dist[nearer], via[nearer] = step[nearer], col
+            col = int(np.argmin(np.where(done, np.inf, dist)))
+            base, done[col], row = dist[col], True, owner[col]
+        taken = done & (owner >= 0)
+        row_price[start] += base
+        row_price[owner[taken]] += base - dist[taken]
+        col_price[done] -= base - dist[done]
+        while col >= 0:
+            owner[col] = owner[via[col]] if via[col] >= 0 else start
+            col = via[col]
+    held = owner >= 0
+    return float(-cost[owner[held], np.flatnonzero(held)].sum())
+
+
+def matched_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows and the share of them that agree under the best one-to-one label matching.
+
+    Rows are counted per pair of labels first; one task then matches the labels from those counts, whose number is
+    bounded by the labels (states, clusters), not by the rows. A null label is a label of its own; no rows, no result row.
+    """
+    cells = df.groupBy(F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+
+    def match(pdf):
+        m = pdf.assign(_a=pdf["_a"].factorize(use_na_sentinel=False)[0], _b=pdf["_b"].factorize(use_na_sentinel=False)[0])
+        table = m.pivot_table(index="_a", columns="_b", values="_n", aggfunc="sum", fill_value=0).to_numpy(float)
+        return pdf.head(1).assign(n=int(pdf["_n"].sum()), agreement=_best_matching(table) / table.sum())[["n", "agreement"]]
+
+    return cells.groupBy().applyInPandas(match, "n long, agreement double")
 
 
 def group_bootstrap_r2(df: DataFrame, group: str, y: str, pred: str, n_boot: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:

@@ -78,3 +78,35 @@ def test_flag_runs_do_not_depend_on_batches(spark, tmp_path):
         r = streams.run_available(streams.flag_runs(s, ["user_id"], "t", F.col("value") < 60, "40 days"), f"{tmp_path}/w{n}")
         out.append(sorted(tuple(x) for x in r.where("user_id >= 0").collect()))
     assert out[0] == out[1] and len(out[0]) > 20
+
+
+def test_groups_over_the_old_member_cap(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(600, 2)), np.ones((40, 2))])
+    rows = [("big", *map(float, r)) for r in x] + [("two", 0.0, 0.0), ("two", 3.0, 4.0), ("one", 1.0, 1.0), (None, 0.0, 0.0), (None, 0.0, 2.0), ("gap", None, 1.0)]
+    d = spark.createDataFrame(rows, "k string, a double, b double")
+    got = {r.k: (r.n_members, r.mean_distance) for r in stats.team_diversity(d, ["k"], ["a", "b"], rows_per_tile=100).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)).sum() / (640 * 639)
+    assert got["big"] == (640, pytest.approx(far))
+    assert got["two"] == (2, 5.0) and got[None] == (2, 2.0) and got["one"] == (1, None) and got["gap"] == (1, None)
+
+
+def test_matching_of_many_labels(spark):
+    from itertools import permutations
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for shape in ((4, 6), (6, 4), (5, 5), (1, 3)):
+        m = rng.integers(0, 50, shape).astype(float)
+        t = m if shape[0] <= shape[1] else m.T
+        best = max(sum(t[i, j] for i, j in enumerate(p)) for p in permutations(range(t.shape[1]), t.shape[0]))
+        assert stats._best_matching(m) == best
+    d = spark.range(400).selectExpr("id % 20 AS x", "CASE WHEN id < 40 THEN 0 ELSE (id * 7) % 20 END AS y")
+    assert stats.matched_agreement(d, "x", "y").first()["n"] == 400
+    assert stats.matched_agreement(d.where("id >= 40"), "x", "y").first()["agreement"] == 1.0
+    assert stats.matched_agreement(d.where("id < 0"), "x", "y").count() == 0
+    n = spark.createDataFrame([(None, 1), (None, 1), (2, None)], "x int, y int")
+    assert stats.matched_agreement(n, "x", "y").first()["agreement"] == 1.0

@@ -168,7 +168,7 @@ def test_logo_ridge_matches_direct_solve(spark):
 
 def test_matching_and_bootstrap(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("b", 1)], "x string, y int")
-    assert stats.matched_agreement(df, "x", "y") == pytest.approx(0.75)
+    assert stats.matched_agreement(df, "x", "y").first()["agreement"] == pytest.approx(0.75)
     d = spark.createDataFrame([("k", i, float(i % 10)) for i in range(400)], "k string, id int, v double")
     b = sampling.bootstrap_mean(d, ["k"], "v", "id", 100).first()
     assert b["ci_low"] < b["mean"] < b["ci_high"] and b["ci_high"] - b["ci_low"] == pytest.approx(4 * d.toPandas()["v"].std() / 20, rel=0.4)
