@@ -30,13 +30,18 @@ _KEY_SHAPES = (
     r"AIza[A-Za-z0-9_-]{35}", r"sk_live_[A-Za-z0-9]{16,}", r"sk-[A-Za-z0-9_-]{20,}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 )
 _KEY = re.compile("|".join(f"(?:{s})" for s in _KEY_SHAPES))
-_CANDIDATE = re.compile(
-    rf"(?P<name>\b(?:[A-Za-z]+[_-])*+(?:{_NAMES})s?)(?P<sign>[\"']?\s?(?::|=>?|is)\s?[\"']?)(?P<value>[^\s\"',;<>]{{6,}}+)"
-    r"|(?<![A-Za-z0-9+/_~.=-])(?P<opaque>[A-Za-z0-9+/_~-][A-Za-z0-9+/_~.-]{10,}+={0,2}+[A-Za-z0-9]?+)",
+_KEY_INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{_KEY.pattern})(?![A-Za-z0-9])")
+_SIGN = r"[\"']?\s?(?::|=>?|is)\s?[\"']?"
+#: A whole identifier (snake, kebab, dotted or camel case) with a secret's name in it that ends at a part's end, and its value.
+_NAMED = re.compile(
+    rf"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++{_SIGN})(?>[A-Za-z0-9_.-]*?(?:{_NAMES})s?(?:(?![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z]))))[A-Za-z0-9_.-]*+"
+    rf"{_SIGN}(?P<value>[^\s\"',;<>]{{6,}}+)",
     re.I,
 )
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_~.-])[A-Za-z0-9+/_~-][A-Za-z0-9+/_~.-]{10,}+(?:={1,2}(?![A-Za-z0-9+/_~.=-]))?+")
 _NEAR = re.compile(_NAMES, re.I)
 _ALPHA = re.compile(r"[A-Za-z]{3,}")
+_PARAMETER = re.compile(r"[?&=#]")  # what follows is no part of a path
 _WORD_BEFORE = re.compile(r"(\S+)\s*\Z")
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "others", "changes", "letter_to_digit", "longest_run", "steps", "rare_pairs",
@@ -57,13 +62,13 @@ def dictionary(path: str) -> frozenset:
 def _covered(value: str, words: frozenset) -> float:
     """The share of characters in dictionary words, longest first from the left."""
     n = 0
-    for run in _ALPHA.findall(value[:400].lower()):
+    for run in _ALPHA.findall(value.lower()):
         at = 0
         while at < len(run):
             hit = next((k for k in range(min(16, len(run) - at), 3, -1) if run[at : at + k] in words), 0)
             n += hit
             at += hit or 1
-    return n / min(len(value), 400)
+    return n / len(value)
 
 
 def _kind(c: str) -> int:
@@ -86,35 +91,44 @@ def _describe(value: str, before: str, after: str, named: bool, words: frozenset
     vowels = "aeiouAEIOU"
     rare = sum(a.isalpha() and b.isalpha() and a not in vowels and b not in vowels for a, b in pairwise(value))
     last = _WORD_BEFORE.search(before)
-    last = last[1] if last else ""
+    last = _PARAMETER.split(last[1])[-1] if last else ""
     return [
         n, -sum(c / n * math.log2(c / n) for c in counts.values()), *share, changes / n, mixed / n, longest, steps / n, rare / n,
-        _covered(value, words), value.count("/") / n, value.count(".") / n, float("/" in last or "://" in before[-12:] or last.startswith("www.")), float(named),
+        _covered(value, words), value.count("/") / n, value.count(".") / n, float("/" in last or "://" in last[-12:] or last.startswith("www.")), float(named),
         float(bool(_NEAR.search(before))), float(before[-1:] in "\"'`" and before != ""), float(bool(_KEY.fullmatch(value))), float(share[0] == 1),
         float(all(c in "0123456789abcdefABCDEF-" for c in value)), float(bool(_PLACEHOLDER.search(value))), float(after[:2].strip().isalpha()),
     ]
 
 
 def candidates(text: str, words: frozenset) -> list[tuple[int, int, list[float]]]:
-    """(start, end, features) of all that may be a secret in a whole text."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        group = "value" if m["value"] is not None else "opaque"
-        value = m[group]
-        if group == "opaque" and not _KEY.fullmatch(value) and (len(value) < 12 or not any(c.isdigit() for c in value)):
-            continue
-        a, b = m.span(group)
-        out.append((a, b, _describe(value, text[max(0, a - 48) : a], text[b : b + 12], group == "value", words)))
-    return out
+    """(start, end, features) of all that may be a secret in a whole text: values of names, then other opaque runs,
+    or the well-known keys inside them."""
+    spans = [(*m.span("value"), True) for m in _NAMED.finditer(text)]
+    taken, others = 0, []
+    for m in _OPAQUE.finditer(text):
+        while taken < len(spans) and spans[taken][1] <= m.start():
+            taken += 1
+        if taken < len(spans) and spans[taken][0] <= m.start():
+            continue  # part of a named value
+        keys = [k.span() for k in _KEY_INSIDE.finditer(m[0])]
+        if keys:
+            others += [(m.start() + a, m.start() + b, False) for a, b in keys]
+        elif len(m[0]) >= 12 and any(c.isdigit() for c in m[0]):
+            others.append((*m.span(), False))
+    return [(a, b, _describe(text[a:b], text[max(0, a - 48) : a], text[b : b + 12], named, words)) for a, b, named in sorted(spans + others)]
 
 
 def known(f: list[float]) -> int | None:
     """A label for findings that rules settle: well-known key shapes and random named values are secrets; numbers,
     placeholders, paths and words are not. None where only the forest can tell."""
     x = dict(zip(FEATURES, f, strict=True))
-    if x["placeholder"] or x["path_before"] or x["dictionary"] > 0.6 or (x["digits"] + x["others"] > 0.9 and not x["named"]):
+    if x["placeholder"] or x["dictionary"] > 0.6:
         return 0
-    if x["key_shape"] or (x["named"] and x["entropy"] > 2.5 and x["length"] >= 8 and x["digits"] > 0):
+    if x["key_shape"]:
+        return 1
+    if x["path_before"] or (x["digits"] + x["others"] > 0.9 and not x["named"]):
+        return 0
+    if x["named"] and x["entropy"] > 2.5 and x["length"] >= 8 and x["digits"] > 0:
         return 1
     if x["named"] and x["digits"] == 0 and x["changes"] < 0.15:
         return 0
@@ -157,27 +171,29 @@ def labelled_findings(docs: DataFrame, words_path: str, fit_docs: int = FIT_DOCS
     return found.select("doc_id", "features").mapInArrow(run, "doc_id long, features array<double>, label long")
 
 
-def _scored(trees, found: list[list[float]]) -> np.ndarray:
-    """Scores of findings; without trees, the rules decide and what they leave open scores a half."""
-    if not trees:
-        return np.array([0.5 if (y := known(f)) is None else float(y) for f in found])
-    return forest.predict(trees, np.array(found)) if found else np.zeros(0)
+def _scored(trees, found: list[list[float]], rules: bool) -> np.ndarray:
+    """Scores of findings by the forest. Without reviewed ones (``rules``), or without trees, the rules score what
+    they settle; what they leave open scores a half where there are no trees."""
+    forest_says = forest.predict(trees, np.array(found)) if trees and found else np.full(len(found), 0.5)
+    if trees and not rules:
+        return forest_says
+    return np.array([s if (y := known(f)) is None else float(y) for f, s in zip(found, forest_says, strict=True)])
 
 
 def scan(docs: DataFrame, words_path: str, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, start, length (code points), named, score and is_secret of every candidate in every whole text.
 
-    ``labelled`` are reviewed findings; without them rules label a sample. Null and empty texts have none;
+    ``labelled`` are reviewed findings; without them rules label a sample and settle what they can, the forest the rest. Null and empty texts have none;
     repeated rows are scanned each. The forest is bounded by its trees and depth, and is broadcast.
     """
     trees = fit(labelled if labelled is not None else labelled_findings(docs.select("doc_id", "text"), words_path))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    named = FEATURES.index("named")
+    named, rules = FEATURES.index("named"), labelled is None
 
     def run(batches):
         for batch in batches:
             f = batch.column("features").to_pylist()
-            s = _scored(shared.value, f)
+            s = _scored(shared.value, f, rules)
             cells = [batch.column("doc_id"), batch.column("start"), batch.column("length"), pa.array([bool(x[named]) for x in f], pa.bool_()), pa.array(s, pa.float64()), pa.array(s > THRESHOLD, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cells, ["doc_id", "start", "length", "named", "score", "is_secret"])
 
@@ -188,6 +204,7 @@ def redact(docs: DataFrame, words_path: str, labelled: DataFrame | None = None,
     """``docs`` with each confirmed secret replaced by ``mark``; every row and column stays, n_chars follows the text."""
     trees = fit(labelled if labelled is not None else labelled_findings(docs.select("doc_id", "text"), words_path))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    rules = labelled is None
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     source = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in others]).alias("rest_"))
 
@@ -199,7 +216,7 @@ def redact(docs: DataFrame, words_path: str, labelled: DataFrame | None = None,
                 found = candidates(t or "", words)
                 if found:
                     at, parts = 0, []
-                    for (a, b, _), s in zip(found, _scored(shared.value, [f for _, _, f in found]), strict=True):
+                    for (a, b, _), s in zip(found, _scored(shared.value, [f for _, _, f in found], rules), strict=True):
                         if s > THRESHOLD:
                             parts += [t[at:a], mark]
                             at = b
