@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -19,6 +20,8 @@ SEED = 42
 TILE = 8_192
 #: Mean number of fingerprints in a bucket from which on finer blocks are used.
 FULL = 4_096
+#: Whole shingle sets that are compared in one task.
+SET_TILE = 512
 
 
 def fingerprint(text: str | None, words: int = 4, slab: int = 1 << 16) -> int:
@@ -165,52 +168,50 @@ def as_hex(fp: str) -> Column:
 WIDE = 8  # 64-bit words of a wide fingerprint: 512 bits estimate a similarity to about 0.02
 
 
-def wide_fingerprint(text: str | None, words: int = 5, slab: int = 1 << 14) -> bytes:
-    """A fingerprint of 512 bits over the hashes of word shingles, for similarities well below one."""
-    from xxhash import xxh64_intdigest
-
-    parts = encoded(text).lower().split()
-    n = max(1, len(parts) - words + 1)
+def wide_fingerprint(shingles: np.ndarray, slab: int = 1 << 14) -> bytes:
+    """A fingerprint of 512 bits over the distinct hashes of word shingles, for similarities well below one."""
     counts = np.zeros((WIDE, BITS), np.int64)
-    if parts:
-        data = b" ".join(parts)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(lengths + 1) - 1
-        starts, ends = (ends - lengths)[:n].tolist(), (ends[words - 1 :] if len(parts) >= words else ends[-1:]).tolist()
-        for i in range(0, n, slab):
-            h = np.array([xxh64_intdigest(data[a:b], SEED) for a, b in zip(starts[i : i + slab], ends[i : i + slab], strict=True)], np.uint64)
-            for w in range(WIDE):
-                bits = np.unpackbits(mix(h + np.uint64(w)).view(np.uint8), bitorder="little").reshape(-1, BITS)
-                counts[w] += bits.sum(0, dtype=np.uint16)  # a slab has fewer rows than the type holds
-    return np.packbits(counts.ravel() * 2 > n, bitorder="little").tobytes()
-
-
-def most_differing(similarity: float) -> int:
-    """Differing bits of a wide fingerprint that a Jaccard similarity of the shingle sets stands for."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(np.arccos(cosine) / np.pi * BITS * WIDE)
-
-
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id) of the documents that have a near-duplicate by shingles, other than copies' own class.
-
-    Keys are sets of bits; their number follows from the bits in a key, which grow with the log of the rows,
-    so that a pair at ``similarity`` shares a key with probability 0.995 (0.9999 from 0.85 on). Pairs with a
-    shared key are linked if the whole fingerprints differ in few enough bits.
+    for i in range(0, len(shingles), slab):
+        h = shingles[i : i + slab]
+        for w in range(WIDE):
+            bits = np.unpackbits(mix(h + np.uint64(w)).view(np.uint8), bitorder="little").reshape(-1, BITS)
+            counts[w] += bits.sum(0, dtype=np.uint16)  # a slab has fewer rows than the type holds
+    return np.packbits(counts.ravel() * 2 > len(shingles), bitorder="little").tobytes()
+
+
+def most_differing(similarity: float, deviations: float = 0) -> int:
+    """Differing bits of a wide fingerprint to be expected at a Jaccard similarity of the shingle sets, and so
+    many standard deviations more."""
+    n = BITS * WIDE
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return round(p * n + deviations * np.sqrt(p * (1 - p) * n))
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked by a Jaccard similarity of ``similarity`` or more of their
+    shingle sets.
+
+    Documents with equal sets meet as one. Fingerprints only give candidates: keys are sets of bits, as many as
+    find a pair four standard deviations beyond the expected distance with probability 0.995 (a pair at
+    the expected distance: over 0.9999), and a further margin is left for very short texts, whose bits differ more. Fingerprints
+    with a shared key within that margin make coarse groups; inside a group all pairs are verified by their
+    whole sets, in tiles of bounded size.
     """
+    from gatherline.llm.minhash import shingles
 
     def prints_of(batches):
         tables_of("simhash")
-        for rows in blocks(batches, 1 << 22):
-            fps = [wide_fingerprint(r[0], words) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array(fps, pa.binary())], ["key", "fp"])
+        for rows in blocks(batches, 1 << 20):
+            sets = [np.unique(x) for x in shingles([r[0] for r in rows], words)]
+            cells = [pa.array([r[1] for r in rows], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([wide_fingerprint(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["key", "whole", "fp"])
 
     source = docs.where("doc_id is not null").select(F.col("text").cast("string").alias("t"), F.col("doc_id").cast("long").alias("k"))
-    prints, _ = stored(source.mapInArrow(prints_of, "key long, fp binary"))
-    each, _ = stored(prints.groupBy("fp").agg(F.min("key").alias("low")))
-    most = most_differing(similarity)
-    bits = int(min(24, max(12, np.log2(max(1, each.count()) / 64))))
-    agree = (1 - most / (BITS * WIDE)) ** bits
+    prints, _ = stored(source.mapInArrow(prints_of, "key long, whole binary, fp binary"))
+    each, _ = stored(prints.groupBy("whole").agg(F.min("key").alias("low"), F.first("fp").alias("fp")))
+    most = most_differing(similarity, 7)
+    bits = int(min(24, max(8, np.log2(max(1, each.count()) / 1024))))
+    agree = (1 - most_differing(similarity, 4) / (BITS * WIDE)) ** bits
     tables = int(np.ceil(np.log(0.005) / np.log(1 - agree)))
     picked = np.array([np.random.default_rng(i).choice(BITS * WIDE, bits, replace=False) for i in range(tables)])
 
@@ -226,40 +227,107 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
 
     def compare(batches):
         for t in runs(batches):
-            raw = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)
-            a, b = wide_links(t.column(0).to_numpy(), t.column(1).to_numpy(), raw, most)
+            a, b = wide_links(t.column(0).to_numpy(), t.column(1).to_numpy(), _words(t.column(2)), most)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    def sets_of(batches):
+        for rows in blocks(batches, 1 << 20):
+            sets = [np.unique(x) for x in shingles([r[0] for r in rows], words)]
+            cells = [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2)]
+            raw = [pa.array(c, pa.binary()) for c in ([_digest(x) for x in sets], [wide_fingerprint(x) for x in sets], [x.tobytes() for x in sets])]
+            yield pa.RecordBatch.from_arrays([*cells, *raw], ["k", "low", "whole", "fp", "set"])
+
+    def verify(batches):
+        for t in runs(batches):
+            a, b = set_links(t.column(0).to_numpy(), t.column(1).to_numpy(), _words(t.column(2)), t.column(3), most, similarity)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     dealt = each.select("fp", "low").mapInArrow(keys_of, "k long, low long, fp binary")
-    root = components(tiled(dealt, "low", tile).mapInArrow(compare, "a long, b long"))
-    return prints.join(each, "fp").join(root, F.col("low") == F.col("node"), "left").select(F.col("key").alias("doc_id"), F.coalesce("root", "low").alias("component_id"))
+    coarse, _ = stored(components(tiled(dealt, "low", tile).mapInArrow(compare, "a long, b long")))
+    heads = source.join(coarse, F.col("k") == F.col("node")).select("t", F.col("root").alias("k"), F.col("node").alias("low"))
+    sets, _ = stored(heads.mapInArrow(sets_of, "k long, low long, whole binary, fp binary, set binary").dropDuplicates(["low", "whole"]).drop("whole"))
+    root = components(tiled(sets, "low", set_tile).mapInArrow(verify, "a long, b long"))
+    return prints.select("key", "whole").join(each.select("whole", "low"), "whole").join(root, F.col("low") == F.col("node"), "left").select(F.col("key").alias("doc_id"), F.coalesce("root", "low").alias("component_id"))
+
+
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.md5(x.tobytes()).digest()
+
+
+def _words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
+
 
+def _ranges(keys: np.ndarray):
+    """(start, end) of each run of two or more equal keys."""
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys))
+    several = np.flatnonzero(np.diff(cuts) > 1)
+    return zip(cuts[several].tolist(), cuts[several + 1].tolist(), strict=True)
 
-def wide_links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _close(f: np.ndarray, g: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in f and g of all pairs with at most ``most`` differing bits; half of the words rule out most pairs."""
+    half = WIDE // 2
+    near = np.zeros((len(f), len(g)), np.uint16)
+    for w in range(half):
+        near += np.bitwise_count(f[:, w, None] ^ g[None, :, w])
+    i, j = np.nonzero(near <= most)
+    d = near[i, j] + np.bitwise_count(f[i, half:] ^ g[j, half:]).sum(1, dtype=np.uint16)
+    return i[d <= most], j[d <= most]
+
+
+def wide_links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, most: int, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within each run of equal keys."""
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    size = np.diff(np.append(first, len(keys)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        f, d = fps[at : at + n], ids[at : at + n]
-        rest = np.arange(n)
-        while len(rest):
-            front, rest = rest[:1], rest[1:]
-            while len(front) and len(rest):
-                some = front[:64]
-                near = np.zeros((len(some), len(rest)), np.int32)
-                for w in range(WIDE):
-                    near += np.bitwise_count(f[some, w][:, None] ^ f[rest, w][None, :])
-                near = near <= most
-                hit = near.any(0)
-                left.append(d[some][near.argmax(0)[hit]])
-                right.append(d[rest[hit]])
-                front = np.concatenate((front[64:], rest[hit]))
-                rest = rest[~hit]
+    for lo, hi in _ranges(keys):
+        f, d = fps[lo:hi], ids[lo:hi]
+        up = np.arange(hi - lo)  # each place's tree, named by its least place
+        for at in range(0, hi - lo, rows):
+            i, j = _close(f[at : at + rows], f[at:], most)
+            a, b = up[i + at], up[j + at]
+            apart = a != b
+            if apart.any():
+                for x, y in np.unique(np.stack([a[apart], b[apart]], 1), axis=0).tolist():
+                    while up[x] != x:
+                        x = up[x]
+                    while up[y] != y:
+                        y = up[y]
+                    up[max(x, y)] = min(x, y)
+                while (up[up] != up).any():
+                    up = up[up]
+        joined = np.flatnonzero(up != np.arange(hi - lo))
+        left.append(d[up[joined]])
+        right.append(d[joined])
     return np.concatenate(left), np.concatenate(right)
 
 
+def set_links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, sets, most: int, similarity: float) -> tuple[list, list]:
+    """A spanning forest of the pairs within each run of equal keys whose whole sets are that similar."""
+    left, right = [], []
+    for lo, hi in _ranges(keys):
+        s = [np.frombuffer(v, np.uint64) for v in sets.slice(lo, hi - lo).to_pylist()]
+        n, f = np.array([len(x) for x in s]), fps[lo:hi]
+        rest = np.arange(hi - lo)
+        while len(rest):
+            front, rest = [int(rest[0])], rest[1:]
+            while front and len(rest):
+                i = front.pop()
+                may = rest[(np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i])) & (np.bitwise_count(f[rest] ^ f[i]).sum(1) <= most)]
+                near = [j for j in may.tolist() if _alike(s[i], s[j], similarity)]
+                left += [int(ids[lo + i])] * len(near)
+                right += ids[lo + np.array(near, np.int64)].tolist()
+                front += near
+                rest = rest[~np.isin(rest, near)]
+    return left, right
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; all columns stay.
 

@@ -1,9 +1,11 @@
 """Places where an operator once did less than the whole job."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from gatherline.llm import catalog, secrets
+from gatherline.llm import catalog, secrets, simhash
 
 WORDS = catalog.tokenizer("word_bpe_49k.json")
 
@@ -50,3 +52,36 @@ def test_secret_forms_in_documents(spark):
     assert got == want
     out = {r.doc_id - 10**6: r.text for r in secrets.redact(docs.withColumn("n_chars", F.lit(0)), WORDS).where("doc_id >= 1000000").collect()}
     assert all(FORMS[i][1] not in t and "[SECRET]" in t for i, t in out.items()) and len(out) == len(FORMS)
+
+
+def plain_sets(text, words=5):
+    p = text.split()
+    return {tuple(p[i : i + words]) for i in range(max(1, len(p) - words + 1))}
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Pairs from 0.75 to 0.85, of long and very short texts, and a shared line that fills most of two texts."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for i in range(400):
+        n = (400, 120, 60)[i % 3]
+        t = [word() for _ in range(n)]
+        changed = round(n * (1 - 0.75 - i % 11 / 100) / (1.8 + i % 2 / 10))  # the last words differ
+        texts += [" ".join(t), " ".join(t[: n - changed] + [word() for _ in range(changed)])]
+    for _ in range(60):  # 4 of 5 shingles, the shortest pair at 0.8
+        t = [word() for _ in range(9)]
+        texts += [" ".join(t), " ".join(t[:8])]
+    line = [word() for _ in range(5)]
+    texts += [" ".join(line * 40 + [word() for _ in range(30)]) for _ in range(2)]
+    sets = [plain_sets(t) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.75 < x < 0.8 for x in alike) > 80 and sum(0.8 <= x < 0.85 for x in alike) > 80
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (512, 3):
+        root = {r.doc_id: r.component_id for r in simhash.similar_classes(d, set_tile=tile).collect()}
+        linked = [root[2 * i] == root[2 * i + 1] for i in range(len(alike))]
+        high = [y for x, y in zip(alike, linked, strict=True) if x >= 0.8]
+        print("recall", sum(high), len(high), "linked below 0.8", sum(y for x, y in zip(alike, linked, strict=True) if x < 0.8))
+        assert all(high) and not any(y for x, y in zip(alike, linked, strict=True) if x < 0.8)
+        assert all(r == i - i % 2 or r == i for i, r in root.items())
