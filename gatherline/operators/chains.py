@@ -9,6 +9,7 @@ own. A hot sequence is spread over as many tasks as it has blocks, with exact re
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -78,14 +79,17 @@ def viterbi_smooth(df: DataFrame, keys: Sequence[str], order: Sequence, log_prob
     d = _with_chain_blocks(df, keys, order, block_rows)
     lean = d.select(*keys, "_pos", "_block", F.col(log_probs).alias("_lp"))
     emit = lambda pdf: np.vstack(pdf["_lp"].to_numpy()).astype(float)
+    done = _best_path(lean, keys, emit, lambda k: np.where(np.eye(k, dtype=bool), 0.0, -float(penalty)), np.zeros)
+    return join_on(d, done, [*keys, "_pos"], "inner").withColumnRenamed("_state", out).drop("_pos", "_block")
+
 
-    def trans(k):
-        return np.where(np.eye(k, dtype=bool), 0.0, -float(penalty))
+def _best_path(lean: DataFrame, keys: list[str], emit, trans, start) -> DataFrame:
+    """(keys, _pos, _state) of the likeliest path; ``trans`` and ``start`` give log scores for a number of states."""
 
     def mats(pdf):
         pdf = pdf.sort_values("_pos")
         e, b = emit(pdf), int(pdf["_block"].iloc[0])
-        m = _transfer(e, trans(e.shape[1]), np.zeros(e.shape[1]) if b == 0 else None, _max)
+        m = _transfer(e, trans(e.shape[1]), start(e.shape[1]) if b == 0 else None, _max)
         return pd.DataFrame({**_head(pdf, keys), "_block": [b], "_m": [m.ravel().tolist()]})
 
     ks = _key_schema(lean, keys)
@@ -113,7 +117,7 @@ def viterbi_smooth(df: DataFrame, keys: Sequence[str], order: Sequence, log_prob
         e = emit(pdf)
         a = trans(e.shape[1])
         s_in, s_out = int(pdf["_in"].iloc[0]), int(pdf["_out"].iloc[0])
-        v = e[0] + (a[s_in] if s_in >= 0 else 0.0)
+        v = e[0] + (a[s_in] if s_in >= 0 else start(e.shape[1]))
         back = np.zeros(e.shape, dtype=int)
         for t in range(1, len(e)):
             w = v[:, None] + a
@@ -126,18 +130,17 @@ def viterbi_smooth(df: DataFrame, keys: Sequence[str], order: Sequence, log_prob
         return pd.DataFrame({**{c: pdf[c].to_numpy() for c in keys}, "_pos": pdf["_pos"].to_numpy(), "_state": path})
 
     f_schema = T.StructType([*ks, T.StructField("_pos", T.LongType()), T.StructField("_state", T.LongType())])
-    done = join_on(lean, b, [*keys, "_block"], "inner").groupBy(*keys, "_block").applyInPandas(finish, f_schema)
-    return join_on(d, done, [*keys, "_pos"], "inner").withColumnRenamed("_state", out).drop("_pos", "_block")
+    return join_on(lean, b, [*keys, "_block"], "inner").groupBy(*keys, "_block").applyInPandas(finish, f_schema)
 
 
 class GaussianHmm:
     """Diagonal Gaussian hidden Markov model fitted by EM; parameters are K x D, data stays in Spark.
 
     States are ordered by the mean of the first feature. Variances are taken around the
-    new mean and kept at or above ``var_floor``.
+    new mean and kept at or above ``var_floor``. EM ends when the log likelihood changes by less than ``tol``.
     """
 
-    def __init__(self, k: int, features: Sequence[str], max_iter: int = 20, tol: float = 1e-3, var_floor: float = 1e-4, seed: int = 0,
+    def __init__(self, k: int, features: Sequence[str], max_iter: int = 200, tol: float = 1e-5, var_floor: float = 1e-4, seed: int = 0,
                  block_rows: int | None = None):
         self.k, self.features, self.max_iter, self.tol = k, list(features), max_iter, tol
         self.var_floor, self.seed, self.block_rows = var_floor, seed, block_rows
@@ -228,8 +231,14 @@ class GaussianHmm:
             flat = np.concatenate([gam.sum(0), (gam.T @ x).ravel(), (gam.T @ (x * x)).ravel(), xi.ravel(), gam[0] if first else np.zeros(a.shape[1]), [ll if first else 0.0]])
             return pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
 
-        j = join_on(d, self._borders(d, keys), [*keys, "_block"], "inner")
-        s = j.groupBy(*keys, "_block").applyInPandas(fn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        def whole(pdf):
+            pdf = pdf.sort_values("_pos")
+            e = emit(pdf)
+            ll = float(_lse(_transfer(e, log_a, log_s, _lse)[0], 0))
+            return fn(pdf.assign(_alpha=[[]] * len(pdf), _beta=[np.zeros(e.shape[1])] * len(pdf), _ll=ll))
+
+        j = d if self._one_block else join_on(d, self._borders(d, keys), [*keys, "_block"], "inner")
+        s = j.groupBy(*keys, "_block").applyInPandas(whole if self._one_block else fn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
         got = {r["i"]: r["v"] for r in s.collect()}  # K(1 + 2D + K + 1) + 1 numbers
         return np.array([got[i] for i in range(len(got))])
 
@@ -237,6 +246,7 @@ class GaussianHmm:
         keys = list(keys)
         d = materialise(self._blocks(df, keys, order))
         self._start(d)
+        self._one_block = not d.agg(F.max("_block")).first()[0]  # nothing enters or leaves a block
         k, dim, last = self.k, len(self.features), None
         for _ in range(self.max_iter):
             v = self._sums(d, keys)
@@ -251,7 +261,7 @@ class GaussianHmm:
             self.vars = np.maximum(sq / safe - self.means ** 2, self.var_floor)
             self.trans = (xi + 1e-12) / (xi + 1e-12).sum(1, keepdims=True)
             self.start = (st + 1e-12) / (st + 1e-12).sum()
-            if last is not None and abs(self.loglik - last) < self.tol * abs(last):
+            if last is not None and abs(self.loglik - last) < self.tol:
                 break
             last = self.loglik
         by = np.argsort(self.means[:, 0], kind="stable")
@@ -264,19 +274,20 @@ class GaussianHmm:
         return -2 * self.loglik + ((k - 1) + k * (k - 1) + 2 * k * d) * np.log(max(self.n_rows, 1))
 
     def assign(self, df: DataFrame, keys: Sequence[str], order: Sequence, keep: Sequence[str] = (), out: str = "state") -> DataFrame:
-        """Most probable state of every row (posterior decoding) with its probability."""
+        """State of every row on the likeliest path (Viterbi) with its posterior probability."""
         keys = list(keys)
-        d = self._blocks(df, keys, order, keep)
+        d = materialise(self._blocks(df, keys, order, keep))
         emit, log_a, log_s, post = self._log_emit(), np.log(self.trans + 1e-300), np.log(self.start + 1e-300), self._posterior
-        fields = [*_key_schema(d, keys), *[d.schema[c] for c in keep], T.StructField(out, T.LongType()), T.StructField("probability", T.DoubleType())]
+        path = _best_path(d.select(*keys, "_pos", "_block", *self.features), keys, emit, lambda k: log_a, lambda k: log_s)
+        fields = [*_key_schema(d, keys), *[d.schema[c] for c in keep], T.StructField("_pos", T.LongType()), T.StructField("_g", T.ArrayType(T.DoubleType()))]
 
         def fn(pdf):
             pdf = pdf.sort_values("_pos")
             _, _, a, b, ll = post(pdf, emit, log_a, log_s)
-            g = np.exp(a + b - ll)
-            return pd.DataFrame({**{c: pdf[c].to_numpy() for c in [*keys, *keep]}, out: g.argmax(1), "probability": g.max(1)})
+            return pd.DataFrame({**{c: pdf[c].to_numpy() for c in [*keys, *keep, "_pos"]}, "_g": np.exp(a + b - ll).tolist()})
 
-        return join_on(d, self._borders(d, keys), [*keys, "_block"], "inner").groupBy(*keys, "_block").applyInPandas(fn, T.StructType(fields))
+        g = join_on(d, self._borders(d, keys), [*keys, "_block"], "inner").groupBy(*keys, "_block").applyInPandas(fn, T.StructType(fields))
+        return join_on(g, path, [*keys, "_pos"], "inner").select(*keys, *keep, F.col("_state").alias(out), F.get("_g", F.col("_state").cast("int")).alias("probability"))
 
 
 def choose_hmm(df: DataFrame, keys: Sequence[str], order: Sequence, features: Sequence[str], ks: Sequence[int], seeds: Sequence[int] = (0,), **kw) -> list[GaussianHmm]:
@@ -296,11 +307,12 @@ def state_stability(df: DataFrame, keys: Sequence[str], order: Sequence, feature
     from gatherline.operators.stats import adjusted_rand
 
     keep = [row_id] if row_id not in keys else []
-    full = GaussianHmm(k, features, **kw).fit(df, keys, order).assign(df, keys, order, keep)
-    parts = []
     fold = F.pmod(F.xxhash64(group), F.lit(folds))
-    for f in range(folds):
-        m = GaussianHmm(k, features, **kw).fit(df.filter(fold != f), keys, order)
+    with ThreadPoolExecutor(folds + 1) as pool:  # fits of many short jobs, side by side
+        models = list(pool.map(lambda d: GaussianHmm(k, features, **kw).fit(d, keys, order), [df, *[df.filter(fold != f) for f in range(folds)]]))
+    full = models[0].assign(df, keys, order, keep)
+    parts = []
+    for f, m in enumerate(models[1:]):
         other = m.assign(df, keys, order, keep, "other").select(row_id, "other")
         parts.append(adjusted_rand(full.join(other, row_id), "state", "other").withColumn("fold", F.lit(f)))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -236,7 +236,7 @@ def regression_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
     return a.withColumn("rho", rho)
 
 
-def permutation_test(df: DataFrame, group: str, xs: Sequence[str], y: str, row_id: str, n_perm: int = 100, seed: int = 1, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+def permutation_test(df: DataFrame, group: str, xs: Sequence[str], y: str, row_id: str, n_perm: int = 200, seed: int = 1, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """R2 of leave-one-group-out ridge and its permutation p value.
 
     Outcomes are shuffled by the order of a key hash, so a repeat gives the same

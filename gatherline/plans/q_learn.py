@@ -84,14 +84,14 @@ def _(spark, sf):
 @query("hidden_states")
 def _(spark, sf):
     s = samples(spark, sf).select("user_id", "event_id", "t", F.log1p("value").alias("x"))
-    m = chains.GaussianHmm(3, ["x"], max_iter=4).fit(s, ["user_id"], ["t"])
+    m = chains.GaussianHmm(3, ["x"]).fit(s, ["user_id"], ["t"])
     return rounded(m.assign(s, ["user_id"], ["t"], ["event_id"]).select("event_id", "state", "probability"), 4)
 
 
 @query("state_stability")
 def _(spark, sf):
     s = samples(spark, sf).select("user_id", "group_id", "event_id", "t", F.log1p("value").alias("x"))
-    return rounded(chains.state_stability(s, ["user_id"], ["t"], ["x"], 2, "group_id", "event_id", folds=2, max_iter=2), 4)
+    return rounded(chains.state_stability(s, ["user_id"], ["t"], ["x"], 2, "group_id", "event_id"), 4)
 
 
 @query("logo_ridge_scores")
@@ -108,7 +108,7 @@ def _(spark, sf):
 @query("permutation_test")
 def _(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", (F.col("c_custkey") % 7).cast("double").alias("a"), (F.col("c_custkey") % 11).cast("double").alias("b"))
-    return rounded(learn.permutation_test(c, "c_nationkey", ["a", "b"], "c_acctbal", "c_custkey", 20), 4)
+    return rounded(learn.permutation_test(c, "c_nationkey", ["a", "b"], "c_acctbal", "c_custkey"), 4)
 
 
 @query("ablation_grid")
