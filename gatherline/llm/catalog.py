@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatherline.llm import lang_id, minhash, packing, pieces, secrets, simhash, suffix_dedup, toxicity, vector_dedup, word_counts
+from gatherline.llm import (
+    centroids,
+    filter_audit,
+    lang_id,
+    minhash,
+    mixing,
+    packing,
+    pieces,
+    secrets,
+    simhash,
+    sql,
+    suffix_dedup,
+    toxicity,
+    vector_dedup,
+    word_counts,
+)
 from gatherline.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, same_as: str | None = None):
     def add(fn):
         QUERIES[name] = fn
+        if same_as is not None:
+            ORACLES[name] = same_as
         return fn
 
     return add
@@ -77,3 +94,18 @@ def op9(spark, sf):
 @query("op10_language")
 def op10(spark, sf):
     return lang_id.identify(table(spark, sf, "documents"))
+
+
+@query("op11_clusters", sql.clusters())
+def op11(spark, sf):
+    return centroids.clusters(table(spark, sf, "embeddings"))
+
+
+@query("op12_mixing", sql.MIX)
+def op12(spark, sf):
+    return mixing.shares(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_filter_audit", sql.audit())
+def op13(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
