@@ -1,6 +1,6 @@
-"""State sequences: smoothing and hidden Markov models over long ordered streams.
+"""State sequences: the likeliest path over long ordered streams.
 
-Both are products of K x K matrices along a sequence, so a long sequence is cut into
+It is a product of K x K matrices along a sequence, so a long sequence is cut into
 blocks: (1) each block gives its transfer matrix, (2) a small pass over the blocks of
 a sequence gives what enters and leaves each block, (3) each block is finished on its
 own. A hot sequence is spread over as many tasks as it has blocks, with exact results.
@@ -9,7 +9,6 @@ own. A hot sequence is spread over as many tasks as it has blocks, with exact re
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -18,18 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatherline.operators.ordered import join_on, ordered_scan, row_no
-from gatherline.session import materialise
 
 BLOCK_ROWS = 100_000
 
 
-def _lse(a, axis):
-    m = np.max(a, axis=axis, keepdims=True)
-    m = np.where(np.isfinite(m), m, 0.0)
-    with np.errstate(divide="ignore"):
-        return np.squeeze(m, axis=axis) + np.log(np.sum(np.exp(a - m), axis=axis))
-
-
 def _transfer(e, log_a, first, plus):
     """Score of every (state before the block, last state) pair; the first block ignores its row."""
     k = e.shape[1]
@@ -57,18 +48,6 @@ def _head(pdf: pd.DataFrame, keys: Sequence[str]) -> dict:
     return {k: [pdf[k].iloc[0]] for k in keys}
 
 
-def _mats(df: DataFrame, keys: list[str], emit, log_a, start, plus) -> DataFrame:
-    schema = T.StructType([*_key_schema(df, keys), T.StructField("_block", T.LongType()), T.StructField("_m", T.ArrayType(T.DoubleType()))])
-
-    def fn(pdf):
-        pdf = pdf.sort_values("_pos")
-        b = int(pdf["_block"].iloc[0])
-        m = _transfer(emit(pdf), log_a, start if b == 0 else None, plus)
-        return pd.DataFrame({**_head(pdf, keys), "_block": [b], "_m": [m.ravel().tolist()]})
-
-    return df.groupBy(*keys, "_block").applyInPandas(fn, schema)
-
-
 def viterbi_smooth(df: DataFrame, keys: Sequence[str], order: Sequence, log_probs: str, penalty: float, out: str = "state",
                    block_rows: int | None = None) -> DataFrame:
     """Most likely state path when every switch of state costs ``penalty``.
@@ -80,11 +59,11 @@ def viterbi_smooth(df: DataFrame, keys: Sequence[str], order: Sequence, log_prob
     lean = d.select(*keys, "_pos", "_block", F.col(log_probs).alias("_lp"))
     emit = lambda pdf: np.vstack(pdf["_lp"].to_numpy()).astype(float)
     done = _best_path(lean, keys, emit, lambda k: np.where(np.eye(k, dtype=bool), 0.0, -float(penalty)), np.zeros)
-    return join_on(d, done, [*keys, "_pos"], "inner").withColumnRenamed("_state", out).drop("_pos", "_block")
+    return join_on(d, done, [*keys, "_block", "_pos"], "inner").withColumnRenamed("_state", out).drop("_pos", "_block")
 
 
 def _best_path(lean: DataFrame, keys: list[str], emit, trans, start) -> DataFrame:
-    """(keys, _pos, _state) of the likeliest path; ``trans`` and ``start`` give log scores for a number of states."""
+    """(keys, _block, _pos, _state) of the likeliest path; ``trans`` and ``start`` give log scores for a number of states."""
 
     def mats(pdf):
         pdf = pdf.sort_values("_pos")
@@ -127,192 +106,7 @@ def _best_path(lean: DataFrame, keys: list[str], emit, trans, start) -> DataFram
         path[-1] = s_out
         for t in range(len(e) - 1, 0, -1):
             path[t - 1] = back[t][path[t]]
-        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in keys}, "_pos": pdf["_pos"].to_numpy(), "_state": path})
+        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in keys}, "_block": pdf["_block"].to_numpy(), "_pos": pdf["_pos"].to_numpy(), "_state": path})
 
-    f_schema = T.StructType([*ks, T.StructField("_pos", T.LongType()), T.StructField("_state", T.LongType())])
+    f_schema = T.StructType([*ks, *[T.StructField(c, T.LongType()) for c in ("_block", "_pos", "_state")]])
     return join_on(lean, b, [*keys, "_block"], "inner").groupBy(*keys, "_block").applyInPandas(finish, f_schema)
-
-
-class GaussianHmm:
-    """Diagonal Gaussian hidden Markov model fitted by EM; parameters are K x D, data stays in Spark.
-
-    States are ordered by the mean of the first feature. Variances are taken around the
-    new mean and kept at or above ``var_floor``. EM ends when the log likelihood changes by less than ``tol``.
-    """
-
-    def __init__(self, k: int, features: Sequence[str], max_iter: int = 200, tol: float = 1e-5, var_floor: float = 1e-4, seed: int = 0,
-                 block_rows: int | None = None):
-        self.k, self.features, self.max_iter, self.tol = k, list(features), max_iter, tol
-        self.var_floor, self.seed, self.block_rows = var_floor, seed, block_rows
-        self.loglik, self.n_rows, self.history = float("nan"), 0, []
-
-    def _log_emit(self):
-        mu, var = self.means, self.vars
-        feats = self.features
-        const = -0.5 * np.sum(np.log(2 * np.pi * var), axis=1)
-
-        def emit(pdf):
-            x = pdf[feats].to_numpy(dtype=float)
-            return const[None, :] - 0.5 * np.sum((x[:, None, :] - mu[None]) ** 2 / var[None], axis=2)
-
-        return emit
-
-    def _start(self, d: DataFrame) -> None:
-        r = d.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in self.features], *[F.var_pop(c).alias(f"v_{c}") for c in self.features]).first()
-        m = np.array([r[f"m_{c}"] for c in self.features])
-        v = np.maximum(np.array([r[f"v_{c}"] for c in self.features]), self.var_floor)
-        rng = np.random.default_rng(self.seed)
-        grid = np.linspace(-1.0, 1.0, self.k) if self.k > 1 else np.zeros(1)
-        self.means = m + np.sqrt(v) * (grid[:, None] + 0.1 * rng.standard_normal((self.k, len(m))))
-        self.vars = np.tile(v, (self.k, 1))
-        self.start = np.full(self.k, 1.0 / self.k)
-        self.trans = np.full((self.k, self.k), 0.2 / max(self.k - 1, 1))
-        np.fill_diagonal(self.trans, 0.8 if self.k > 1 else 1.0)
-        self.n_rows = int(r["n"])
-
-    def _blocks(self, df: DataFrame, keys: list[str], order: Sequence, extra: Sequence[str] = ()) -> DataFrame:
-        d = df.dropna(subset=self.features)
-        d = _with_chain_blocks(d, keys, order, self.block_rows)
-        return d.select(*keys, "_pos", "_block", *self.features, *extra)
-
-    def _borders(self, d: DataFrame, keys: list[str]) -> DataFrame:
-        log_a, log_s = np.log(self.trans + 1e-300), np.log(self.start + 1e-300)
-        m = _mats(d, keys, self._log_emit(), log_a, log_s, _lse)
-        ks = _key_schema(d, keys)
-        arr = T.ArrayType(T.DoubleType())
-        schema = T.StructType([*ks, T.StructField("_block", T.LongType()), T.StructField("_alpha", arr), T.StructField("_beta", arr), T.StructField("_ll", T.DoubleType())])
-        k = self.k
-
-        def fn(pdf):
-            pdf = pdf.sort_values("_block")
-            ms = [np.asarray(x, dtype=float).reshape(k, k) for x in pdf["_m"]]
-            f = [ms[0][0]]
-            for x in ms[1:]:
-                f.append(_lse(f[-1][:, None] + x, 0))
-            g = [np.zeros(k)]
-            for x in ms[:0:-1]:
-                g.append(_lse(x + g[-1][None, :], 1))
-            ll = float(_lse(f[-1], 0))
-            return pd.DataFrame({**{c: pdf[c].to_numpy() for c in keys}, "_block": pdf["_block"].to_numpy(), "_alpha": [[]] + [x.tolist() for x in f[:-1]],
-                                 "_beta": [x.tolist() for x in g[::-1]], "_ll": [ll] * len(ms)})
-
-        return m.groupBy(*keys).applyInPandas(fn, schema)
-
-    def _posterior(self, pdf, emit, log_a, log_s):
-        e = emit(pdf)
-        al = np.asarray(pdf["_alpha"].iloc[0], dtype=float)
-        be, ll = np.asarray(pdf["_beta"].iloc[0], dtype=float), float(pdf["_ll"].iloc[0])
-        a = np.empty_like(e)
-        a[0] = e[0] + (_lse(al[:, None] + log_a, 0) if len(al) else log_s)
-        for t in range(1, len(e)):
-            a[t] = _lse(a[t - 1][:, None] + log_a, 0) + e[t]
-        b = np.empty_like(e)
-        b[-1] = be
-        for t in range(len(e) - 2, -1, -1):
-            b[t] = _lse(log_a + (e[t + 1] + b[t + 1])[None, :], 1)
-        return e, al, a, b, ll
-
-    def _sums(self, d: DataFrame, keys: list[str]):
-        """One E step: expected counts, summed in Spark to one small row."""
-        emit, log_a, log_s, post = self._log_emit(), np.log(self.trans + 1e-300), np.log(self.start + 1e-300), self._posterior
-        feats = self.features
-
-        def fn(pdf):
-            pdf = pdf.sort_values("_pos")
-            e, al, a, b, ll = post(pdf, emit, log_a, log_s)
-            gam = np.exp(a + b - ll)
-            xi = np.zeros((a.shape[1], a.shape[1]))
-            before = [al, *a[:-1]] if len(al) else [None, *a[:-1]]
-            for t, p in enumerate(before):
-                if p is not None:
-                    xi += np.exp(p[:, None] + log_a + (e[t] + b[t])[None, :] - ll)
-            x = pdf[feats].to_numpy(dtype=float)
-            first = not len(al)
-            flat = np.concatenate([gam.sum(0), (gam.T @ x).ravel(), (gam.T @ (x * x)).ravel(), xi.ravel(), gam[0] if first else np.zeros(a.shape[1]), [ll if first else 0.0]])
-            return pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
-
-        def whole(pdf):
-            pdf = pdf.sort_values("_pos")
-            e = emit(pdf)
-            ll = float(_lse(_transfer(e, log_a, log_s, _lse)[0], 0))
-            return fn(pdf.assign(_alpha=[[]] * len(pdf), _beta=[np.zeros(e.shape[1])] * len(pdf), _ll=ll))
-
-        j = d if self._one_block else join_on(d, self._borders(d, keys), [*keys, "_block"], "inner")
-        s = j.groupBy(*keys, "_block").applyInPandas(whole if self._one_block else fn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
-        got = {r["i"]: r["v"] for r in s.collect()}  # K(1 + 2D + K + 1) + 1 numbers
-        return np.array([got[i] for i in range(len(got))])
-
-    def fit(self, df: DataFrame, keys: Sequence[str], order: Sequence) -> GaussianHmm:
-        keys = list(keys)
-        d = materialise(self._blocks(df, keys, order))
-        self._start(d)
-        self._one_block = not d.agg(F.max("_block")).first()[0]  # nothing enters or leaves a block
-        k, dim, last = self.k, len(self.features), None
-        for _ in range(self.max_iter):
-            v = self._sums(d, keys)
-            n, o = v[:k], k
-            sx, o = v[o:o + k * dim].reshape(k, dim), o + k * dim
-            sq, o = v[o:o + k * dim].reshape(k, dim), o + k * dim
-            xi, o = v[o:o + k * k].reshape(k, k), o + k * k
-            st, self.loglik = v[o:o + k], float(v[o + k])
-            self.history.append(self.loglik)
-            safe = np.maximum(n, 1e-12)[:, None]
-            self.means = sx / safe
-            self.vars = np.maximum(sq / safe - self.means ** 2, self.var_floor)
-            self.trans = (xi + 1e-12) / (xi + 1e-12).sum(1, keepdims=True)
-            self.start = (st + 1e-12) / (st + 1e-12).sum()
-            if last is not None and abs(self.loglik - last) < self.tol:
-                break
-            last = self.loglik
-        by = np.argsort(self.means[:, 0], kind="stable")
-        self.means, self.vars, self.start, self.trans = self.means[by], self.vars[by], self.start[by], self.trans[by][:, by]
-        return self
-
-    @property
-    def bic(self) -> float:
-        k, d = self.k, len(self.features)
-        return -2 * self.loglik + ((k - 1) + k * (k - 1) + 2 * k * d) * np.log(max(self.n_rows, 1))
-
-    def assign(self, df: DataFrame, keys: Sequence[str], order: Sequence, keep: Sequence[str] = (), out: str = "state") -> DataFrame:
-        """State of every row on the likeliest path (Viterbi) with its posterior probability."""
-        keys = list(keys)
-        d = materialise(self._blocks(df, keys, order, keep))
-        emit, log_a, log_s, post = self._log_emit(), np.log(self.trans + 1e-300), np.log(self.start + 1e-300), self._posterior
-        path = _best_path(d.select(*keys, "_pos", "_block", *self.features), keys, emit, lambda k: log_a, lambda k: log_s)
-        fields = [*_key_schema(d, keys), *[d.schema[c] for c in keep], T.StructField("_pos", T.LongType()), T.StructField("_g", T.ArrayType(T.DoubleType()))]
-
-        def fn(pdf):
-            pdf = pdf.sort_values("_pos")
-            _, _, a, b, ll = post(pdf, emit, log_a, log_s)
-            return pd.DataFrame({**{c: pdf[c].to_numpy() for c in [*keys, *keep, "_pos"]}, "_g": np.exp(a + b - ll).tolist()})
-
-        g = join_on(d, self._borders(d, keys), [*keys, "_block"], "inner").groupBy(*keys, "_block").applyInPandas(fn, T.StructType(fields))
-        return join_on(g, path, [*keys, "_pos"], "inner").select(*keys, *keep, F.col("_state").alias(out), F.get("_g", F.col("_state").cast("int")).alias("probability"))
-
-
-def choose_hmm(df: DataFrame, keys: Sequence[str], order: Sequence, features: Sequence[str], ks: Sequence[int], seeds: Sequence[int] = (0,), **kw) -> list[GaussianHmm]:
-    """Models for every state count (best seed by likelihood), lowest BIC first."""
-    best = []
-    for k in ks:
-        fits = [GaussianHmm(k, features, seed=s, **kw).fit(df, keys, order) for s in seeds]
-        best.append(max(fits, key=lambda m: m.loglik))
-    return sorted(best, key=lambda m: m.bic)
-
-
-def state_stability(df: DataFrame, keys: Sequence[str], order: Sequence, features: Sequence[str], k: int, group: str, row_id: str,
-                    folds: int = 5, **kw) -> DataFrame:
-    """Refit with a share of the groups left out and compare the labels of all rows: ARI per fold."""
-    from functools import reduce
-
-    from gatherline.operators.stats import adjusted_rand
-
-    keep = [row_id] if row_id not in keys else []
-    fold = F.pmod(F.xxhash64(group), F.lit(folds))
-    with ThreadPoolExecutor(folds + 1) as pool:  # fits of many short jobs, side by side
-        models = list(pool.map(lambda d: GaussianHmm(k, features, **kw).fit(d, keys, order), [df, *[df.filter(fold != f) for f in range(folds)]]))
-    full = models[0].assign(df, keys, order, keep)
-    parts = []
-    for f, m in enumerate(models[1:]):
-        other = m.assign(df, keys, order, keep, "other").select(row_id, "other")
-        parts.append(adjusted_rand(full.join(other, row_id), "state", "other").withColumn("fold", F.lit(f)))
-    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gatherline.functions.exprs import col
 from gatherline.operators.ordered import (
-    cum_sum, exact_percentiles, join_on, key_sum, ordered_scan, value_ranks,
+    agg_with_percentiles, exact_percentiles, join_on, settle, value_ranks,
 )
 
 
@@ -95,10 +95,9 @@ def robust_z(df: DataFrame, keys: Sequence[str], c: str, out: str, stats_from: C
     scored). ``keep_raw`` leaves keys without statistics unscaled.
     """
     src = (df if stats_from is None else df.filter(stats_from)).select(*keys, F.col(c).cast("double").alias("_x"))
-    med = exact_percentiles(src, keys, {"_med": ("_x", 0.5)})
-    med = join_on(med, src.groupBy(*keys).agg(F.count("_x").alias("_nx")), keys, "inner")
+    med = settle(agg_with_percentiles(src, keys, [F.count("_x").alias("_nx")], {"_med": ("_x", 0.5)}))
     dev = join_on(src, med, keys, "inner").withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
-    stats = join_on(med, exact_percentiles(dev, keys, {"_mad": ("_dev", 0.5)}), keys, "left")
+    stats = settle(join_on(med, exact_percentiles(dev, keys, {"_mad": ("_dev", 0.5)}), keys, "left"))
     j = join_on(df, stats, keys, "left")
     scale = F.lit(1.4826) * F.col("_mad")
     z = F.when(F.col("_mad") < 1e-9, F.col(c) - F.col("_med")).otherwise((F.col(c) - F.col("_med")) / scale)

@@ -1,15 +1,16 @@
 """Ordered per-key computations that survive a hot key.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a
-key with more than ``rows_per_block`` rows is cut into consecutive blocks of its
-order column. Blocks are windowed on their own, and what one block must know
-about its neighbours (last row, running sum, ...) travels as one small carry row
-per block. Keys below the limit stay in a single block and cost one shuffle. With
-no hot key the side tables come out empty and adaptive execution drops their part
-of the plan. Inputs that are small as a whole skip the cut.
-
-The side tables (hot keys, carries) grow with the input, about one row per
-``rows_per_block`` rows; the planner chooses how to join them.
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here every
+input is sampled first, at the same rate whatever its size: about SAMPLES rows of a
+block's worth. Keys with that many sampled rows are cut at every SAMPLES-th of them,
+in the whole order (ties of the first order column included), so blocks follow the
+quantiles of the key and a burst or a few outliers do not fill one. Rows are shuffled
+once, by key and block, and windowed there; what one block must know about its
+neighbours (last row, running sum, ...) travels as one small carry row per block.
+
+The table of cuts has one entry per ``rows_per_block`` rows and the carries one row
+per block; both are that much smaller than the input and are broadcast. Where no key
+is cut there is nothing to carry and the carry join is left out.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatherline.session import materialise
+from gatherline.session import materialise, stored
 
 ROWS_PER_BLOCK = 2_000_000
-# inputs up to this size are windowed key by key; a larger one may hide a hot key
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+#: Sampled rows between two cuts.
+SAMPLES = 20
+#: Share of a key's values that the first pass of a percentile may be off by; keys with up to 1 / RANK_ERROR values skip nothing.
+RANK_ERROR = 1e-4
 
 ColumnLike = str | Column
 
@@ -98,60 +101,44 @@ def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return cond
 
 
-def with_blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: ColumnLike,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    spread: str = "linear",
-) -> DataFrame:
-    """Add ``_blk``: -1 for keys kept whole, else the block number along ``order``.
+def cuts_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int) -> DataFrame | None:
+    """(_hot0.., _cuts, _heads): the places where keys are cut along ``order``, or None where no key is.
 
-    ``spread='log'`` spaces the cuts on a log scale, for heavy-tailed order columns.
+    ``_heads`` are every k-th of k * k cuts, so that a row finds its block in some 2 k steps.
     """
-    pos = _c(order).cast("double")
-    pos = F.when(F.isnan(pos), F.lit(None)).otherwise(pos)
-    if spread == "log":
-        pos = F.signum(pos) * F.log1p(F.abs(pos))
-    hot_keys = [f"_hot{i}" for i in range(len(keys))]
-    src = df.select(*[F.col(k).alias(h) for k, h in zip(keys, hot_keys)], pos.alias("_p"))
-    hot = (
-        src.groupBy(*hot_keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-        .filter(F.col("_n") > rows_per_block)
-    )
-    n_blocks = F.ceil(F.col("_n") / F.lit(float(rows_per_block)))
-    cut = F.floor((pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n_blocks)
-    blk = (
-        F.when(F.col("_n").isNull(), F.lit(-1))
-        .when(_c(order).isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0))
-        .otherwise(F.coalesce(F.least(cut, n_blocks - 1), n_blocks - 1))
+    rate = min(1.0, SAMPLES / rows_per_block)
+    per = max(1, round(rate * rows_per_block))
+    hot = [f"_hot{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(h) for k, h in zip(keys, hot)], F.struct(*order).alias("_o"))
+    if rate < 1:
+        rows = rows.sample(rate, 17)
+    every = lambda c, step: F.transform(F.sequence(step, F.size(c), step), lambda i: F.element_at(c, i))
+    cut = (
+        rows.groupBy(*hot).agg(F.sort_array(F.collect_list("_o")).alias("_s")).filter(F.size("_s") > per)
+        .select(*hot, F.array_distinct(every(F.col("_s"), F.lit(per))).alias("_cuts"))
+        .withColumn("_step", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
     )
-    # few keys pass the filter above, but their number grows with the input: the join is left to the planner
-    joined = df.join(hot, _same(keys, hot_keys), "left")
-    return joined.withColumn("_blk", blk.cast("long")).drop(*hot_keys, "_n", "_lo", "_hi")
+    step = F.col("_step")
+    heads = F.when(step <= F.size("_cuts"), every(F.col("_cuts"), step)).otherwise(F.slice("_cuts", 1, 0))
+    found = cut.select(*hot, "_cuts", "_step", heads.alias("_heads"))
+    table = found.toArrow()  # one entry per block
+    return df.sparkSession.createDataFrame(table, found.schema) if table.num_rows else None
 
 
-def input_bytes(df: DataFrame) -> float:
-    """Total size of the tables a frame reads, as Spark's own statistics give it; unknown is infinite."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return float(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
-    except Exception:  # no JVM plan at hand (a remote session)
-        return float("inf")
+def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: DataFrame) -> DataFrame:
+    """Add ``_blk``: -1 for keys kept whole, else the number of the key's cuts at or before the row."""
+    hot = [f"_hot{i}" for i in range(len(keys))]
+    at = F.struct(*order)
+    upto = lambda c: F.size(F.filter(c, lambda x: x <= F.col("_cut_at")))
+    d = df.join(F.broadcast(cuts), _same(keys, hot), "left").withColumn("_cut_at", F.when(F.col("_cuts").isNotNull(), at))
+    d = d.withColumn("_cut_h", F.when(F.col("_cuts").isNotNull(), upto(F.col("_heads")) * F.col("_step")))
+    blk = F.when(F.col("_cuts").isNull(), -1).otherwise(F.col("_cut_h") + upto(F.slice("_cuts", F.col("_cut_h") + 1, F.col("_step"))))
+    return d.withColumn("_blk", blk.cast("long")).drop(*hot, "_cuts", "_step", "_heads", "_cut_at", "_cut_h")
 
 
-def needs_split(df: DataFrame, rows_per_block: int | None) -> bool:
-    """Whether a key could be too big for a task: a stated block size, or an input that is not small."""
-    return rows_per_block is not None or input_bytes(df) > SMALL_INPUT_BYTES
-
-
-def settle(df: DataFrame, rows_per_block: int | None = None) -> DataFrame:
-    """Write an intermediate that several branches read, so a large input is not computed once per branch.
-
-    Goes to the reliable checkpoint folder; small inputs are left lazy.
-    """
-    return materialise(df) if needs_split(df, rows_per_block) else df
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read to the shared folder, so it is computed once."""
+    return stored(df)[0]
 
 
 def ordered_scan(
@@ -160,32 +147,32 @@ def ordered_scan(
     order: Sequence[ColumnLike],
     steps: dict[str, Step],
     rows_per_block: int | None = None,
-    spread: str = "linear",
     then: Sequence[tuple[dict[str, Column], dict[str, Step]]] = (),
 ) -> DataFrame:
-    """Add one column per step, computed along ``order`` (ascending) within ``keys``.
+    """Add one column per step, computed along ``order`` (ascending, nulls first) within ``keys``.
 
-    ``order`` should be total; its first item must be numeric or a timestamp.
-    ``then`` lists further rounds (columns derived from the steps so far, next steps):
-    they share the cut and the shuffle of the first round.
-    Small inputs use one window per key; see ``needs_split``.
+    ``order`` should be total: rows alike in all of it stay in one block. ``then`` lists
+    further rounds (columns derived from the steps so far, next steps); they share the cuts
+    and, where no key is cut, the shuffle of the first round.
     """
-    cols = df.columns
-    split = needs_split(df, rows_per_block)
-    names = list(cols)
+    names = list(df.columns)
     cur = df
     keys = list(keys)
     if not keys:
         cur, keys = cur.withColumn("_all", F.lit(0)), ["_all"]
     onames = [f"_o{i}" for i in range(len(order))]
     cur = cur.withColumns({n: _c(o) for n, o in zip(onames, order)})
-    if split:
-        cur = with_blocks(cur, keys, "_o0", rows_per_block or ROWS_PER_BLOCK, spread)
-    for derived, st in [({}, steps), *then]:
+    cuts = cuts_of(cur, keys, onames, rows_per_block or ROWS_PER_BLOCK)
+    if cuts is not None:
+        cur = with_blocks(cur, keys, onames, cuts)
+    rounds = [({}, steps), *then]
+    for i, (derived, st) in enumerate(rounds):
         if derived:
             cur = cur.withColumns(derived)
         names += [n for n in [*derived, *st] if n not in names]
-        cur = _scan_round(cur, keys, onames, st, split)
+        cur = _scan_round(cur, keys, onames, st, cuts is not None)
+        if cuts is not None and i + 1 < len(rounds):
+            cur = materialise(cur)  # read twice by the next round
     return cur.select(*names)
 
 
@@ -266,7 +253,7 @@ def _scan_round(df: DataFrame, keys: list[str], onames: list[str], steps: dict[s
         )
     )
     cond = _same(keys, [f"_ck{i}" for i in range(len(keys))]) & (F.col("_blk") == F.col("_cb"))
-    out = rows.join(carries, cond, "left")
+    out = rows.join(F.broadcast(carries), cond, "left")  # one row per block
     return out.select(*keep, *[v.alias(k) for k, v in final.items()])
 
 
@@ -286,9 +273,7 @@ def value_ranks(
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
-    r = ordered_scan(
-        counts, keys, [value], {"cum": cum_sum("n"), "total": key_sum("n")}, rows_per_block, "log"
-    )
+    r = ordered_scan(counts, keys, [value], {"cum": cum_sum("n"), "total": key_sum("n")}, rows_per_block)
     return r.withColumns(
         {
             "min_rank": F.col("cum") - F.col("n") + 1,
@@ -304,56 +289,71 @@ def unpivot_values(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name
     return df.select(*keys, F.inline(cells))
 
 
-def exact_percentiles_long(
-    long: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float],
-    rows_per_block: int | None = None,
-) -> DataFrame:
-    """Exact interpolated percentiles of ``value`` per key; ``ps`` maps output name to fraction."""
-    ranked = value_ranks(long, keys, value, rows_per_block=rows_per_block)
-    aggs = [F.max("total").alias("_tot")]
-    outs = []
-    for i, (name, p) in enumerate(ps.items()):
-        at = F.lit(float(p)) * (F.col("total") - 1)
-        aggs.append(F.min(F.when(F.col("cum") > F.floor(at), F.col(value))).alias(f"_a{i}"))
-        aggs.append(F.min(F.when(F.col("cum") > F.ceil(at), F.col(value))).alias(f"_b{i}"))
-        at2 = F.lit(float(p)) * (F.col("_tot") - 1)
-        frac = at2 - F.floor(at2)
-        lo, hi = F.col(f"_a{i}"), F.col(f"_b{i}")
-        outs.append((lo + (hi - lo) * frac).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
-
-
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], spec: dict[str, tuple[str, float]],
-    rows_per_block: int | None = None,
-) -> DataFrame:
-    """Percentiles of several columns per key: ``{out: (column, fraction)}``.
-
-    Small inputs use the built-in exact percentile, which holds a key's values in one
-    task; others rank the distinct values in blocks.
-    """
-    if not needs_split(df, rows_per_block):
-        return _with_plain_percentiles(df, keys, [], spec)
-    cols = list(dict.fromkeys(c for c, _ in spec.values()))
-    ps = sorted({p for _, p in spec.values()})
-    pn = {f"_p{i}": p for i, p in enumerate(ps)}
-    long = unpivot_values(df, keys, cols, "_feature", "_value")
-    q = exact_percentiles_long(long, [*keys, "_feature"], "_value", pn, rows_per_block)
-    names = {p: n for n, p in pn.items()}
-    picks = [
-        F.max(F.when(F.col("_feature") == c, F.col(names[p]))).alias(o) for o, (c, p) in spec.items()
-    ]
-    return q.groupBy(*keys).agg(*picks)
-
-
-def _with_plain_percentiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], spec: dict[str, tuple[str, float]]) -> DataFrame:
-    """Aggregates and built-in percentiles; a column's values are held once for all its fractions."""
+def _bracketed(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], cells: Sequence[tuple[str, float]]) -> DataFrame:
+    """First pass: per key ``aggs`` and, for each cell (column, fraction), ``_n{i}``, ``_lo{i}`` and ``_hi{i}``: how many
+    values there are and two that the wanted ones lie between. A quantile sketch gives them, so the pass holds no key's
+    values; keys with few values are bracketed by their least and largest."""
+    few = round(1 / RANK_ERROR)
+    accuracy, margin = F.lit(few), 3 * RANK_ERROR
     fractions: dict[str, list[float]] = {}
-    for c, p in spec.values():
-        fractions.setdefault(c, []).append(float(p))
-    held = {c: f"_pc{i}" for i, c in enumerate(fractions)}
-    g = df.groupBy(*keys).agg(*aggs, *[F.percentile(F.col(c).cast("double"), ps).alias(held[c]) for c, ps in fractions.items()])
-    return g.withColumns({o: F.col(held[c])[fractions[c].index(float(p))] for o, (c, p) in spec.items()}).drop(*held.values())
+    for c, p in cells:
+        fractions.setdefault(c, []).append(p)
+    col = {c: F.nanvl(F.col(c).cast("double"), F.lit(float("inf"))) for c in fractions}  # not-a-number sorts last
+    got = {c: F.percentile_approx(col[c], [min(1.0, max(0.0, p + s * margin)) for p in ps for s in (-1, 1)], accuracy) for c, ps in fractions.items()}
+    held = [x for i, c in enumerate(fractions) for x in (F.count(col[c]).alias(f"_c{i}"), F.min(col[c]).alias(f"_a{i}"), F.max(col[c]).alias(f"_z{i}"), got[c].alias(f"_q{i}"))]
+    g = df.groupBy(*keys).agg(*aggs, *held)
+    nth = {c: i for i, c in enumerate(fractions)}
+    out = {}
+    for i, (c, p) in enumerate(cells):
+        k, at = nth[c], 2 * fractions[c].index(p)
+        small = F.col(f"_c{k}") <= few
+        out[f"_n{i}"] = F.col(f"_c{k}")
+        out[f"_lo{i}"] = F.when(small, F.col(f"_a{k}")).otherwise(F.get(f"_q{k}", F.lit(at)))
+        out[f"_hi{i}"] = F.when(small, F.col(f"_z{k}")).otherwise(F.get(f"_q{k}", F.lit(at + 1)))
+    extra = [c for k in range(len(fractions)) for c in (f"_c{k}", f"_a{k}", f"_z{k}", f"_q{k}")]
+    return g.withColumns(out).drop(*extra)
+
+
+def agg_with_percentiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], spec: dict[str, tuple[str, float]]) -> DataFrame:
+    """Aggregates plus exact interpolated percentiles ``{out: (column, fraction)}`` per key, in two passes.
+
+    The first pass brackets each wanted rank (``_bracketed``). The second counts the values below each bracket and the
+    distinct values inside it, some ten-thousandth of a large key, and picks the wanted ones from running counts. A rank outside
+    its bracket, which the sketch's bound excludes, would stop the query. Nulls are left out; a key without values has nulls.
+    """
+    flat = not keys
+    if flat:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    cells = list(dict.fromkeys((c, float(p)) for c, p in spec.values()))
+    first = settle(_bracketed(df, keys, aggs, cells))
+    marks = [f"{x}{i}" for i in range(len(cells)) for x in ("_n", "_lo", "_hi")]
+    near = join_on(df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(dict.fromkeys(c for c, _ in cells))]), first.select(*keys, *marks), keys, "inner")
+    value = {c: F.col(f"_v{i}") for i, c in enumerate(dict.fromkeys(c for c, _ in cells))}
+    each = []
+    for i, (c, _) in enumerate(cells):
+        v = value[c]
+        x = F.nanvl(v, F.lit(float("inf")))
+        cell = F.struct(F.lit(i).alias("_i"), F.col(f"_n{i}").alias("_n"), F.when(x >= F.col(f"_lo{i}"), v).alias("_v"))
+        each.append(F.when(x <= F.col(f"_hi{i}"), cell))
+    counts = near.select(*keys, F.inline(F.array_compact(F.array(*each)))).groupBy(*keys, "_i", "_n", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    upto = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_cum", F.sum("_w").over(upto)).withColumn("_at", F.get(F.lit([p for _, p in cells]), F.col("_i")) * (F.col("_n") - 1))
+    pick = lambda r: F.min(F.when(F.col("_cum") > r, F.col("_v")))
+    low, high, at = pick(F.floor("_at")), pick(F.ceil("_at")), F.max("_at")
+    below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_cum"))), F.lit(0))
+    inside = (below <= F.floor(at)) & (F.max("_cum") > F.ceil(at))
+    got = ranked.groupBy(*keys, "_i").agg(
+        F.when(inside, low + F.when(high == low, 0.0).otherwise((high - low) * (at - F.floor(at)))).otherwise(F.raise_error(F.lit("a rank left its bracket")).cast("double")).alias("_p")
+    )
+    place = {cell: i for i, cell in enumerate(cells)}
+    picked = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == place[c, float(p)], F.col("_p"))).alias(o) for o, (c, p) in spec.items()])
+    out = join_on(first.drop(*marks), picked, keys, "left")
+    return out.drop("_all") if flat else out
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], spec: dict[str, tuple[str, float]]) -> DataFrame:
+    """Percentiles of several columns per key: ``{out: (column, fraction)}``."""
+    return agg_with_percentiles(df, keys, [], spec)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -372,21 +372,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(r, _same(keys, rk), how).drop(*rk)
 
 
-def agg_with_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggs: Sequence[Column],
-    spec: dict[str, tuple[str, float]],
-    rows_per_block: int | None = None,
-) -> DataFrame:
-    """Ordinary aggregates plus exact percentiles on the same keys."""
-    if not needs_split(df, rows_per_block):
-        return _with_plain_percentiles(df, keys, aggs, spec)
-    a = df.groupBy(*keys).agg(*aggs)
-    q = exact_percentiles(df, keys, spec, rows_per_block)
-    return join_on(a, q, keys, "left")
-
-
 def median_of(df: DataFrame, keys: Sequence[str], col: str, name: str = "median") -> DataFrame:
     return exact_percentiles(df, keys, {name: (col, 0.5)})
 

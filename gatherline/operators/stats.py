@@ -104,7 +104,7 @@ def spearman_table(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str
     opts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
     pk = [*keys, "a", "b"]
     c = d.select(*keys, F.inline(opts)).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*pk, "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    c = settle(c, rows_per_block)
+    c = settle(c)
     for v, r in (("x", "_rx"), ("y", "_ry")):
         rk = value_ranks(c, pk, v, "w", rows_per_block).select(*pk, v, (F.col("avg_rank") - (F.col("total") + 1) / 2).alias(r))
         c = join_on(c, rk, [*pk, v], "inner")
@@ -387,9 +387,9 @@ def clock_quality(df: DataFrame, keys: Sequence[str], order: Sequence, t: str, r
     d = ordered_scan(df, keys, order, {"_p": prev(t)}, rows_per_block).withColumn("_dt", F.col(t) - F.col("_p"))
     span = F.max(t) - F.min(t)
     aggs = [F.count(F.lit(1)).alias("n"), (F.coalesce(F.min("_dt"), F.lit(0.0)) >= 0).alias("monotone"), F.max("_dt").alias("max_gap"), F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("rate")]
-    g = agg_with_percentiles(d, keys, aggs, {"median_step": ("_dt", 0.5)}, rows_per_block)
+    g = agg_with_percentiles(d, keys, aggs, {"median_step": ("_dt", 0.5)})
     dev = join_on(d.select(*keys, "_dt"), g.select(*keys, "median_step"), keys, "left").withColumn("_dev", F.abs(F.col("_dt") - F.col("median_step")))
-    return join_on(g, exact_percentiles(dev, keys, {"mad_step": ("_dev", 0.5)}, rows_per_block), keys, "left")
+    return join_on(g, exact_percentiles(dev, keys, {"mad_step": ("_dev", 0.5)}), keys, "left")
 
 
 def clock_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -519,18 +519,19 @@ def team_diversity(df: DataFrame, keys: Sequence[str], traits: Sequence[str], ro
     return join_on(g, v.select(*keys, F.when(k > 1, F.col("_s") / (k * (k - 1))).alias("mean_distance")), keys, "left")
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index of two labelings from contingency counts."""
-    c = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adjusted Rand index of two labelings from contingency counts, per key."""
+    df, keys, flat = _const(df, keys)
+    c = df.groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
     two = lambda x: F.sum(x * (x - 1) / 2)
-    cells = c.agg(two(F.col("_n")).alias("ij"), F.sum("_n").alias("n"))
-    ra = c.groupBy("_a").agg(F.sum("_n").alias("_m")).agg(two(F.col("_m")).alias("i"))
-    rb = c.groupBy("_b").agg(F.sum("_n").alias("_m")).agg(two(F.col("_m")).alias("j"))
-    d = cells.withColumns({"i": ra.select("i").scalar(), "j": rb.select("j").scalar()})
+    cells = c.groupBy(*keys).agg(two(F.col("_n")).alias("ij"), F.sum("_n").alias("n"))
+    ra = c.groupBy(*keys, "_a").agg(F.sum("_n").alias("_m")).groupBy(*keys).agg(two(F.col("_m")).alias("i"))
+    rb = c.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m")).groupBy(*keys).agg(two(F.col("_m")).alias("j"))
+    d = join_on(join_on(cells, ra, keys), rb, keys)
     n = F.col("n")
     e = F.col("i") * F.col("j") / (n * (n - 1) / 2)
     top = (F.col("i") + F.col("j")) / 2
-    return d.select(n.cast("long").alias("n"), F.when(top != e, (F.col("ij") - e) / (top - e)).otherwise(1.0).alias("ari"))
+    return d.select(*([] if flat else keys), n.cast("long").alias("n"), F.when(top != e, (F.col("ij") - e) / (top - e)).otherwise(1.0).alias("ari"))
 
 
 def _best_matching(m: np.ndarray) -> float:
@@ -558,20 +559,21 @@ def _best_matching(m: np.ndarray) -> float:
     return float(-cost[owner[held], np.flatnonzero(held)].sum())
 
 
-def matched_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows and the share of them that agree under the best one-to-one label matching.
+def matched_agreement(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows and the share of them that agree under the best one-to-one label matching, per key.
 
-    Rows are counted per pair of labels first; one task then matches the labels from those counts, whose number is
+    Rows are counted per pair of labels first; a task then matches the labels of a key from those counts, whose number is
     bounded by the labels (states, clusters), not by the rows. A null label is a label of its own; no rows, no result row.
     """
-    cells = df.groupBy(F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = df.groupBy(*keys, F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
 
     def match(pdf):
         m = pdf.assign(_a=pdf["_a"].factorize(use_na_sentinel=False)[0], _b=pdf["_b"].factorize(use_na_sentinel=False)[0])
         table = m.pivot_table(index="_a", columns="_b", values="_n", aggfunc="sum", fill_value=0).to_numpy(float)
-        return pdf.head(1).assign(n=int(pdf["_n"].sum()), agreement=_best_matching(table) / table.sum())[["n", "agreement"]]
+        return pdf.head(1).assign(n=int(pdf["_n"].sum()), agreement=_best_matching(table) / table.sum())[[*keys, "n", "agreement"]]
 
-    return cells.groupBy().applyInPandas(match, "n long, agreement double")
+    names = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return cells.groupBy(*keys).applyInPandas(match, names + "n long, agreement double")
 
 
 def group_bootstrap_r2(df: DataFrame, group: str, y: str, pred: str, n_boot: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:

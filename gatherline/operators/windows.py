@@ -201,13 +201,13 @@ def local_maxima(df: DataFrame, keys: Sequence[str], order: str, x: str, min_dis
     if rule == "sd":
         d = with_stats(d, keys, {"_m": F.avg(x), "_s": F.stddev_pop(x)}).withColumn("_thr", F.col("_m") + 0.5 * F.col("_s")).drop("_m", "_s")
     else:
-        med = exact_percentiles(d, keys, {"_m": (x, 0.5)}, rows_per_block)
+        med = exact_percentiles(d, keys, {"_m": (x, 0.5)})
         d = join_on(d, med, keys, "left")
-        mad = exact_percentiles(d.withColumn("_dev", F.abs(F.col(x) - F.col("_m"))), keys, {"_s": ("_dev", 0.5)}, rows_per_block)
+        mad = exact_percentiles(d.withColumn("_dev", F.abs(F.col(x) - F.col("_m"))), keys, {"_s": ("_dev", 0.5)})
         d = join_on(d, mad, keys, "left").withColumn("_thr", F.when(F.col("_s") > 0, F.col("_m") + 0.8 * F.col("_s"))).drop("_m", "_s")
     d = ordered_scan(d, keys, [order], {"_p": prev(x), "_q": next_(x), "pos": row_no()}, rows_per_block)
     v = F.col(x)
-    c = settle(d.filter((v > F.col("_thr")) & (v >= F.col("_p")) & (v > F.col("_q"))).drop("_p", "_q", "_thr"), rows_per_block)
+    c = settle(d.filter((v > F.col("_thr")) & (v >= F.col("_p")) & (v > F.col("_q"))).drop("_p", "_q", "_thr"))
     new = F.when(F.col("pos") - F.col("_pp") >= min_distance, 1).otherwise(0)
     c = ordered_scan(c, keys, ["pos"], {"_pp": prev("pos")}, rows_per_block, then=[({"_new": new}, {"_isl": cum_sum("_new")})])
     rows = c.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(F.struct("pos", F.col(order).alias("peak_at"), v.alias("peak_value")))).alias("_c"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gatherline.operators import chains, learn
+from gatherline.operators import chains, hmm, learn
 from gatherline.plans.bindings import SAMPLES, samples
 from gatherline.plans.registry import query, rounded, table
 
@@ -81,17 +81,39 @@ def _(spark, sf):
     return chains.viterbi_smooth(s, ["user_id"], ["t"], "lp", 1.5).select("event_id", "state")
 
 
+def _streams(spark, sf):
+    return samples(spark, sf).select("user_id", "group_id", "event_id", "t", F.log1p("value").alias("x"))
+
+
 @query("hidden_states")
 def _(spark, sf):
-    s = samples(spark, sf).select("user_id", "event_id", "t", F.log1p("value").alias("x"))
-    m = chains.GaussianHmm(3, ["x"]).fit(s, ["user_id"], ["t"])
-    return rounded(m.assign(s, ["user_id"], ["t"], ["event_id"]).select("event_id", "state", "probability"), 4)
+    d, _ = hmm.hidden_states(_streams(spark, sf), ["user_id"], ["t"], ["x"], 3, ["event_id"])
+    return rounded(d.select("event_id", "state", "probability"), 4)
+
+
+@query("hidden_states_audit", "WITH " + SAMPLES + """ SELECT count(*) AS n_rows, 3::BIGINT AS n_states, true AS never_falls, true AS ended, true AS fair_posteriors, true AS same_occupancy FROM s WHERE value IS NOT NULL""")
+def _(spark, sf):
+    """What must hold of any fit: every row decoded, no round that lowers the likelihood, an end within the limits, and
+    posteriors that add up to the expected occupancy of the fit's last round."""
+    d, m = hmm.hidden_states(_streams(spark, sf), ["user_id"], ["t"], ["x"], 3, ["event_id"])
+    rises = all(b >= a - 1e-6 * abs(a) for a, b in zip(m.history, m.history[1:]))
+    near = F.abs(F.lit(float(m.occupancy.sum())) - F.count("*")) <= 1e-6 * F.count("*")
+    return d.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("state").alias("n_states"), F.lit(rises).alias("never_falls"),
+        F.lit(m.converged or m.rounds == 200).alias("ended"), (F.min("probability") >= 1 / 3 - 0.34).alias("fair_posteriors"), near.alias("same_occupancy"),
+    )
+
+
+@query("state_number")
+def _(spark, sf):
+    best = hmm.choose(_streams(spark, sf), ["user_id"], ["t"], ["x"])
+    rows = [(i + 1, m.k, m.n_rows, float(m.bic)) for i, m in enumerate(best)]
+    return rounded(spark.createDataFrame(rows, "place int, k int, n_rows long, bic double"), 1)
 
 
 @query("state_stability")
 def _(spark, sf):
-    s = samples(spark, sf).select("user_id", "group_id", "event_id", "t", F.log1p("value").alias("x"))
-    return rounded(chains.state_stability(s, ["user_id"], ["t"], ["x"], 2, "group_id", "event_id"), 4)
+    return rounded(hmm.state_stability(_streams(spark, sf), ["user_id"], ["t"], ["x"], 2, "group_id", "event_id"), 4)
 
 
 @query("logo_ridge_scores")

@@ -138,16 +138,6 @@ def test_viterbi_split_equals_whole(spark):
     assert [r[0] for r in got.select("state").collect()] == list(best)
 
 
-def test_hmm_likelihood_rises_and_does_not_depend_on_blocks(spark):
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(0, 1, 40), rng.normal(6, 1, 40)])
-    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "k string, t int, x double")
-    fits = [chains.GaussianHmm(2, ["x"], max_iter=4, tol=0.0, block_rows=b).fit(df, ["k"], ["t"]) for b in (9, 10_000)]
-    assert np.all(np.diff(fits[0].history) > -1e-6)
-    assert fits[0].history == pytest.approx(fits[1].history)
-    assert fits[0].means[:, 0] == pytest.approx([0.0, 6.0], abs=0.6)
-
-
 def test_logo_ridge_matches_direct_solve(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(80, 2)) * [1.0, 5.0] + [3.0, -2.0]

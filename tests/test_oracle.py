@@ -9,8 +9,8 @@ from gatherline.plans import catalog
 SF = "/root/testdata/sf0.001"
 ORACLES = catalog.ORACLES
 # Python workers are allowed in these only
-PYTHON_OK = {"viterbi_smooth", "hidden_states", "state_stability", "logo_ridge_scores", "logo_ridge_predictions", "permutation_test", "ablation_grid", "knn_impute"}
-EAGER = {"principal_components", "kmeans_sweep", "gaussian_mixture", "hidden_states", "state_stability", "logo_logistic"}
+PYTHON_OK = {"viterbi_smooth", "hidden_states", "hidden_states_audit", "state_stability", "logo_ridge_scores", "logo_ridge_predictions", "permutation_test", "ablation_grid", "knn_impute"}
+EAGER = {"principal_components", "kmeans_sweep", "gaussian_mixture", "hidden_states", "hidden_states_audit", "state_number", "state_stability", "logo_logistic"}
 
 
 @pytest.fixture(scope="module")
@@ -20,23 +20,24 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, con, name):
-    assert check.compare(entry.queries()[name](spark, SF), con, ORACLES[name]) in (None, "EMPTY")
+    assert check.compare(entry.queries()[name](spark, SF), con, ORACLES[name]) is None
 
 
 SPLIT = [
     "task_signal_summary", "flag_runs", "fixations", "gap_fill", "jump_rejection", "signal_peaks", "nearest_sample", "covered_by_others",
-    "share_and_rank", "robust_z", "gini", "spearman_table", "fdr_q_values", "describe", "viterbi_smooth", "speaker_lexicon",
+    "share_and_rank", "robust_z", "gini", "spearman_table", "fdr_q_values", "describe", "viterbi_smooth", "speaker_lexicon", "clock_quality",
 ]
 
 
 @pytest.mark.parametrize("name", SPLIT)
 def test_same_as_sql_when_keys_are_split(spark, con, name, monkeypatch):
-    from gatherline.operators import chains, ordered, windows
+    from gatherline.operators import chains, hmm, ordered, windows
 
-    monkeypatch.setattr(ordered, "SMALL_INPUT_BYTES", -1)
     monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", 25)
     monkeypatch.setattr(windows, "FRAME_BLOCK", 25)
     monkeypatch.setattr(chains, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(hmm, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(ordered, "RANK_ERROR", 0.02)
     assert check.compare(entry.queries()[name](spark, SF), con, ORACLES[name]) is None
 
 

@@ -57,16 +57,34 @@ def test_scan_matches_brute_force(spark, block):
             assert g["ks"] == sum(x for x in vs if x is not None)
 
 
-@pytest.mark.parametrize("block", [25, 10_000])
-def test_percentiles_and_ranks(spark, block):
+def test_cuts_follow_the_rows(spark):
+    """A burst at one instant, outliers and null times do not fill a block."""
+    rows = [(i, "hot", 5.0) for i in range(4_000)] + [(5_000 + i, "hot", 10.0 ** (2 * i)) for i in range(10)] + [(6_000 + i, "hot", i / 500) for i in range(2_000)]
+    rows += [(8_000 + i, "hot", None) for i in range(500)] + [(9_000, "cold", 1.0)]
+    df = spark.createDataFrame(rows, "id long, k string, t double").repartition(6)
+    cuts = o.cuts_of(df, ["k"], ["t", "id"], 200)
+    blocks = o.with_blocks(df, ["k"], ["t", "id"], cuts)
+    got = {r["_blk"]: r["n"] for r in blocks.groupBy("_blk").agg(F.count("*").alias("n")).collect()}
+    assert got[-1] == 1 and len(got) > 20 and max(n for b, n in got.items() if b >= 0) < 800
+    place = sorted((r["_blk"], r["t"] is not None, r["t"] or 0, r["id"]) for r in blocks.filter("k = 'hot'").collect())
+    assert [p[1:] for p in place] == sorted(p[1:] for p in place)
+    assert o.cuts_of(df, ["k"], ["t", "id"], 10**9) is None
+
+
+@pytest.mark.parametrize("error", [0.02, 1e-4])
+def test_percentiles_and_ranks(spark, error, monkeypatch):
+    monkeypatch.setattr(o, "RANK_ERROR", error)
     rnd = random.Random(5)
     rows = [("hot" if rnd.random() < 0.7 else "b", rnd.choice([-1, 1]) * rnd.expovariate(0.01)) for _ in range(800)]
-    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    q = o.exact_percentiles(df, ["k"], {"m": ("v", 0.5), "p95": ("v", 0.95)}, rows_per_block=block)
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("w", F.lit(None).cast("double")).repartition(5)
+    q = o.exact_percentiles(df, ["k"], {"m": ("v", 0.5), "p95": ("v", 0.95), "lo": ("v", 0.0), "hi": ("v", 1.0), "of_none": ("w", 0.5)})
     for r in q.collect():
+        assert r["of_none"] is None
         vals = [v for k, v in rows if k == r["k"]]
         assert r["m"] == pytest.approx(np.median(vals))
         assert r["p95"] == pytest.approx(np.percentile(vals, 95))
+        assert (r["lo"], r["hi"]) == (min(vals), max(vals))
+    assert o.exact_percentiles(df, [], {"m": ("v", 0.5)}).collect()[0]["m"] == pytest.approx(np.median([v for _, v in rows]))
     tied = df.withColumn("v", F.round("v", -2))
     ranks = o.value_ranks(tied, ["k"], "v", rows_per_block=3).collect()
     for r in ranks:
