@@ -1,16 +1,12 @@
 """Places where an operator once did less than the whole job."""
 
-import itertools
 import random
-import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gatherline.llm import catalog, secrets, simhash
-from gatherline.operators import chains
-from gatherline.plans.catalog import QUERIES
 
 WORDS = catalog.tokenizer("word_bpe_49k.json")
 
@@ -90,40 +86,3 @@ def test_near_copies_at_the_threshold(spark):
         print("recall", sum(high), len(high), "linked below 0.8", sum(y for x, y in zip(alike, linked, strict=True) if x < 0.8))
         assert all(high) and not any(y for x, y in zip(alike, linked, strict=True) if x < 0.8)
         assert all(r == i - i % 2 or r == i for i, r in root.items())
-
-
-def test_states_are_decoded_by_the_likeliest_path(spark):
-    rng = np.random.default_rng(3)
-    m = chains.GaussianHmm(3, ["x"], block_rows=3)
-    m.means, m.vars, m.start = np.array([[0.0], [1.0], [2.0]]), np.full((3, 1), 0.8), np.array([0.5, 0.2, 0.3])
-    m.trans = np.array([[0.5, 0.3, 0.2], [0.45, 0.1, 0.45], [0.2, 0.3, 0.5]])
-    differs = 0
-    rows = [(k, t, float(v)) for k in range(12) for t, v in enumerate(rng.normal(1, 1, 7))]
-    got = {(r.k, r.t): r for r in m.assign(spark.createDataFrame(rows, "k int, t int, x double"), ["k"], ["t"], ["t"]).collect()}
-    for k in range(12):
-        x = np.array([v for i, _, v in rows if i == k])
-        e = -0.5 * (x[:, None] - m.means[:, 0]) ** 2 / 0.8
-        score = {p: np.log(m.start[p[0]]) + sum(np.log(m.trans[a, b]) for a, b in itertools.pairwise(p)) + sum(e[t, s] for t, s in enumerate(p)) for p in itertools.product(range(3), repeat=7)}
-        best = max(score, key=score.get)
-        assert [got[k, t].state for t in range(7)] == list(best)
-        w = np.exp(np.array(list(score.values())) - max(score.values()))
-        on = np.array([[sum(w[[p[t] == s for p in score]]) for s in range(3)] for t in range(7)]) / w.sum()
-        assert [got[k, t].probability for t in range(7)] == pytest.approx([on[t, s] for t, s in enumerate(best)])
-        differs += list(best) != on.argmax(1).tolist()
-    assert differs  # posterior decoding would give other states
-
-
-def test_registered_queries_run_to_the_reference_limits(spark, monkeypatch):
-    seen = []
-
-    def fit(self, *_):
-        seen.append((self.max_iter, self.tol))
-        time.sleep(1)  # the fits side by side have all begun
-        raise InterruptedError
-
-    monkeypatch.setattr(chains.GaussianHmm, "fit", fit)
-    for name in ("hidden_states", "state_stability"):
-        with pytest.raises(InterruptedError):
-            QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert len(seen) == 7 and set(seen) == {(200, 1e-5)}  # one fit, and all rows with five folds
-    assert QUERIES["permutation_test"](spark, "/root/testdata/sf0.001").first().n_perm == 200
