@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gatherline.llm.texts import blocks, tables_of
+from gatherline.llm.texts import blocks, lean, whole_rows
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -144,15 +145,15 @@ def confident(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The documents whose language is known with ``min_score`` or more; all columns stay."""
     langs, fitted = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    at = docs.columns.index("text")
+    source = docs.select(F.col("text").cast("string").alias("t"), whole_rows(docs).alias("row_"))
 
     def run(batches):
-        tables_of("lang_id")
         for batch in batches:
             keep = []
-            for rows in blocks([batch.select([at])], (1 << 20) // max(4, len(langs))):
+            for rows in blocks([batch.select([0])], (1 << 20) // max(4, len(langs))):
                 preds, scores = _predict([r[0] for r in rows], langs, shared.value)
                 keep += [p != UNKNOWN and s >= min_score for p, s in zip(preds, scores, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.select([1]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    out = source.mapInArrow(lean(run), StructType([source.schema["row_"]]))
+    return out.select(*[F.col(f"row_.`{c}`").alias(c) for c in docs.columns])

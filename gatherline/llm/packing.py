@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.texts import blocks, tables_of
+from gatherline.llm.texts import blocks, lean, tables_of
 
 CAPACITY = 2_048
 END_ID = 1
@@ -214,4 +214,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         yield from table(bins.rest())
 
     schema = ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col(text).cast("string").alias("t"), F.col(key).cast("long").alias("k")).mapInArrow(run, schema)
+    return docs.select(F.col(text).cast("string").alias("t"), F.col(key).cast("long").alias("k")).mapInArrow(lean(run, "packing"), schema)

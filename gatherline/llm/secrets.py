@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gatherline.llm import forest
-from gatherline.llm.texts import blocks, tables_of
+from gatherline.llm.texts import blocks, lean, tables_of, whole_rows
 
 #: Documents that a forest is fitted on, in expectation: those whose id hashes lowest.
 FIT_DOCS = 20_000
@@ -206,7 +206,7 @@ def redact(docs: DataFrame, words_path: str, labelled: DataFrame | None = None,
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     rules = labelled is None
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    source = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in others]).alias("rest_"))
+    source = docs.select(F.col("text").cast("string").alias("text"), whole_rows(docs, "text", "n_chars").alias("rest_"))
 
     def run(batches):
         words = dictionary(words_path)
@@ -223,6 +223,6 @@ def redact(docs: DataFrame, words_path: str, labelled: DataFrame | None = None,
                     texts[i] = "".join([*parts, t[at:]])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], ["rest_", "text"])
 
-    out = source.mapInArrow(run, StructType([source.schema["rest_"], StructField("text", StringType())]))
+    out = source.mapInArrow(lean(run, "secrets"), StructType([source.schema["rest_"], StructField("text", StringType())]))
     cells = {c: F.col(f"rest_.`{c}`") for c in others} | {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[cells[c].alias(c) for c in docs.columns])

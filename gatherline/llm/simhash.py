@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatherline.llm.components import components, runs
-from gatherline.llm.texts import blocks, encoded, mix, tables_of
+from gatherline.llm.texts import blocks, encoded, lean, mix
 from gatherline.session import stored
 
 BITS = 64
@@ -200,14 +200,13 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
     from gatherline.llm.minhash import shingles
 
     def prints_of(batches):
-        tables_of("simhash")
         for rows in blocks(batches, 1 << 20):
             sets = [np.unique(x) for x in shingles([r[0] for r in rows], words)]
             cells = [pa.array([r[1] for r in rows], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([wide_fingerprint(x) for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cells, ["key", "whole", "fp"])
 
     source = docs.where("doc_id is not null").select(F.col("text").cast("string").alias("t"), F.col("doc_id").cast("long").alias("k"))
-    prints, _ = stored(source.mapInArrow(prints_of, "key long, whole binary, fp binary"))
+    prints, _ = stored(source.mapInArrow(lean(prints_of), "key long, whole binary, fp binary"))
     each, _ = stored(prints.groupBy("whole").agg(F.min("key").alias("low"), F.first("fp").alias("fp")))
     most = most_differing(similarity, 7)
     bits = int(min(24, max(8, np.log2(max(1, each.count()) / 1024))))
@@ -244,11 +243,11 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ti
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = each.select("fp", "low").mapInArrow(keys_of, "k long, low long, fp binary")
-    coarse, _ = stored(components(tiled(dealt, "low", tile).mapInArrow(compare, "a long, b long")))
+    dealt = each.select("fp", "low").mapInArrow(lean(keys_of), "k long, low long, fp binary")
+    coarse, _ = stored(components(tiled(dealt, "low", tile).mapInArrow(lean(compare), "a long, b long")))
     heads = source.join(coarse, F.col("k") == F.col("node")).select("t", F.col("root").alias("k"), F.col("node").alias("low"))
-    sets, _ = stored(heads.mapInArrow(sets_of, "k long, low long, whole binary, fp binary, set binary").dropDuplicates(["low", "whole"]).drop("whole"))
-    root = components(tiled(sets, "low", set_tile).mapInArrow(verify, "a long, b long"))
+    sets, _ = stored(heads.mapInArrow(lean(sets_of), "k long, low long, whole binary, fp binary, set binary").dropDuplicates(["low", "whole"]).drop("whole"))
+    root = components(tiled(sets, "low", set_tile).mapInArrow(lean(verify), "a long, b long"))
     return prints.select("key", "whole").join(each.select("whole", "low"), "whole").join(root, F.col("low") == F.col("node"), "left").select(F.col("key").alias("doc_id"), F.coalesce("root", "low").alias("component_id"))
 
 
@@ -335,4 +334,4 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """
     found = similar_classes(docs.select("doc_id", "text"), words, similarity)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

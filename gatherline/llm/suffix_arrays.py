@@ -80,12 +80,12 @@ def _induce(t: np.ndarray, lms: np.ndarray, counts: np.ndarray, back: np.ndarray
 def _rank(names: np.ndarray) -> np.ndarray:
     """The order of the suffixes of a sequence over a large alphabet: sorting by 1, 2, 4, ... symbols, ties only."""
     n = len(names)
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    rank = names.astype(np.int32)
+    order = np.argsort(rank, kind="stable").astype(np.int32)
     r = rank[order]
     new = np.concatenate(([True], r[1:] != r[:-1]))
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = group
+    place = np.arange(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, place, np.int32(0)))
     h = 1
     while True:
         size = np.diff(np.append(np.flatnonzero(new), n))
@@ -94,14 +94,13 @@ def _rank(names: np.ndarray) -> np.ndarray:
             return order
         at = order[tied]
         nxt = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        key = (rank[at] << 32) | nxt
+        key = (rank[at].astype(np.int64) << 32) | nxt
         by = np.argsort(key, kind="stable")
         order[tied] = at[by]
         key = key[by]
         split = np.concatenate(([True], key[1:] != key[:-1]))
         new[tied] = split
-        group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[order[tied]] = group[tied]
+        rank[order[tied]] = np.maximum.accumulate(np.where(new, place, np.int32(0)))[tied]
         h *= 2
 
 
@@ -148,20 +147,20 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     others are compared, a few symbols at a time.
     """
     n = len(t)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = sa[0]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     before = np.where((at > 0) & (phi > 0), t[at - 1] != t[phi - 1], True)
     before[sa[0]] = True
     some = np.flatnonzero(before)
     some = some[some != sa[0]]
     padded = np.concatenate((t.astype(np.uint16), np.zeros(8, np.uint16)))
     four = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view(np.uint64), (n + 4,), (2,))
-    out = np.zeros(n, np.int64)
-    a, b, left = some, phi[some], some
-    done = np.zeros(len(some), np.int64)
-    live = np.arange(len(some))
+    out = np.zeros(n, np.int32)
+    a, b, left = some.astype(np.int32), phi[some], some
+    done = np.zeros(len(some), np.int32)
+    live = np.arange(len(some), dtype=np.int32)
     k = 0
     while len(live):
         x, y = a[live] + k, b[live] + k
@@ -174,7 +173,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
         live = live[~ended]
         k += 4
     out[left] = done
-    anchor = np.maximum.accumulate(np.where(before, at, 0))
+    anchor = np.maximum.accumulate(np.where(before, at, np.int32(0)))
     return out[anchor] - (at - anchor)
 
 

@@ -19,15 +19,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from gatherline.llm.components import runs
 from gatherline.llm.suffix_arrays import repeated_windows
-from gatherline.llm.texts import U64, blocks, encoded, mix, tables_of
+from gatherline.llm.texts import U64, blocks, encoded, lean, mix, whole_rows
 from gatherline.session import stored
 
 WIDTH = 200
 GRAM = 16
 #: Bytes of contexts that one suffix array is built over.
-SHARD_BYTES = 1 << 21
-#: Contexts of one anchor from which on its windows are dealt out by their own hashes instead.
-HOT_CONTEXTS = 16_384
+SHARD_BYTES = 1 << 19
+#: Contexts of one anchor from which on its windows are dealt out by their own hashes instead; so many hold 1.6 MB at most.
+HOT_CONTEXTS = 4_096
 _PLACE = U64((1 << 21) - 1)
 
 
@@ -89,7 +89,6 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def _segment_rows(d: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        tables_of("suffix_dedup")
         for rows in blocks(batches, 1 << 20):
             keys = np.array([(r[1], r[2]) for r in rows], np.int64)
             for number, start, n, anchor, context in segments([encoded(r[0]) for r in rows], width):
@@ -97,7 +96,7 @@ def _segment_rows(d: DataFrame, width: int) -> DataFrame:
                     [pa.array(c) for c in (keys[number, 0], keys[number, 1], (start << 8) | n, anchor.view(np.int64), context.view(np.int64))], ["j1", "j2", "pn", "a", "c"]
                 )
 
-    return d.select("text", "j1", "j2").mapInArrow(run, "j1 long, j2 long, pn long, a long, c long")
+    return d.select("text", "j1", "j2").mapInArrow(lean(run), "j1 long, j2 long, pn long, a long, c long")
 
 
 def repeated_ranges(d: DataFrame, width: int = WIDTH, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -132,7 +131,7 @@ def _contexts(joined: DataFrame, width: int) -> DataFrame:
             for i in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[i : i + 20_000], strict=True)], ["a", "c", "n", "d", "bytes"])
 
-    return joined.select("text", "parts").mapInArrow(run, "a long, c long, n long, d long, bytes binary")
+    return joined.select("text", "parts").mapInArrow(lean(run), "a long, c long, n long, d long, bytes binary")
 
 
 def _by_suffix_arrays(contexts: DataFrame, width: int, shard_bytes: int) -> DataFrame:
@@ -165,7 +164,7 @@ def _by_suffix_arrays(contexts: DataFrame, width: int, shard_bytes: int) -> Data
         if parts:
             yield from shard()
 
-    return contexts.select("a", "c", "n", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, c long, lo long, hi long")
+    return contexts.select("a", "c", "n", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(lean(run), "a long, c long, lo long, hi long")
 
 
 def _by_windows(contexts: DataFrame, width: int) -> DataFrame:
@@ -180,7 +179,7 @@ def _by_windows(contexts: DataFrame, width: int) -> DataFrame:
                 out = [(r["a"], r["c"], r["n"], i, xxh3_128_digest(r["bytes"][i : i + width])) for r in rows for i in range(len(r["bytes"]) - width + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["a", "c", "n", "i", "w"])
 
-    windows = contexts.select("a", "c", "n", "bytes").mapInArrow(run, "a long, c long, n long, i long, w binary")
+    windows = contexts.select("a", "c", "n", "bytes").mapInArrow(lean(run), "a long, c long, n long, i long, w binary")
     twice = windows.groupBy("w").agg(F.sum("n").alias("s")).where("s > 1").select("w")
     return windows.join(twice, "w").select("a", "c", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
 
@@ -223,7 +222,7 @@ def removed(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str
 
     d = _keyed(docs, text, key).withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_ranges(d, width, **options).select("text", "doc_id", "ranges").mapInArrow(run, schema)
+    return _with_ranges(d, width, **options).select("text", "doc_id", "ranges").mapInArrow(lean(run), schema)
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
@@ -232,8 +231,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame
     Every row stays, if need be with an empty text; a character that lost some of its bytes goes whole.
     """
 
-    cut = F.struct(*[F.col(c) for c in docs.columns if c not in ("text", "n_chars")])
-    d = docs.select(cut.alias("rest_"), "text", F.xxhash64("doc_id", "text").alias("j1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("j2"))
+    d = docs.select(whole_rows(docs, "text", "n_chars").alias("rest_"), "text", F.xxhash64("doc_id", "text").alias("j1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("j2"))
     ranges = repeated_ranges(d.select("text", "j1", "j2"), width, **options).groupBy("j1", "j2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
     joined = d.join(ranges, ["j1", "j2"], "left")
     source = joined.select("text", "rest_", "ranges")
@@ -245,7 +243,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame
                 texts.append(None if t is None else _kept(encoded(t), [(r["lo"], r["hi"]) for r in ranges or ()])[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], ["rest_", "text"])
 
-    out = source.mapInArrow(rewrite, StructType([source.schema["rest_"], StructField("text", StringType())]))
+    out = source.mapInArrow(lean(rewrite), StructType([source.schema["rest_"], StructField("text", StringType())]))
     cells = {c: F.col(f"rest_.`{c}`") for c in docs.columns if c not in ("text", "n_chars")}
     cells |= {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[cells[c].alias(c) for c in docs.columns])

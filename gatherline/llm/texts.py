@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -58,11 +59,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 21, 1 << (n - 1).bit_length())
+        size = max(1 << 20, 1 << (n - 1).bit_length())
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _POWERS[base] = have
     return have[:n]
 
@@ -113,5 +114,36 @@ def tables_of(owner: str) -> dict:
     return _TABLES.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the machine: workers outlive tasks and would keep their largest heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in this C library
+        pass
+
+
+def lean(fn, owner: str = ""):
+    """``fn`` over Arrow batches; it starts without the tables of other operators and gives memory back at its end."""
+
+    def run(batches):
+        tables_of(owner)
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def whole_rows(docs, *leave_out: str):
+    """All columns but some in one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in leave_out])
+
+
 def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
