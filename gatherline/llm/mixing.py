@@ -13,7 +13,7 @@ MOST = 3
 #: Words of a packet: what a source may be ahead of or behind its share at the cut.
 PACKET = 512
 #: Entries of a bucket of the shuffled order, and packets of a range of finish times.
-BUCKET, RANGE = 50_000, 1_000_000
+BUCKET, RANGE = 4_096, 1_000_000
 #: Sources whose totals pass through the driver.
 SOURCES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
