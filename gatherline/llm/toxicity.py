@@ -14,7 +14,6 @@ BITS = 20
 BIAS = 0  # the bucket of the constant feature
 #: Labelled rows a model is fitted on, in expectation: those whose id hashes lowest.
 FIT_ROWS = 24_000
-SHARDS = 4  # at most; a shard has a quarter of FIT_ROWS at least
 _GAPS = (1, 2, 3)  # bigrams, and skip-grams over one and two words
 
 
@@ -55,7 +54,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     """Weights of the regression, learned from about ``fit_rows`` labelled documents.
 
     A document counts as toxic if any of its label rows says so; null labels and ids, and labels without a
-    document, teach nothing. Shards of the sample are fitted apart and their weights averaged. Without a
+    document, teach nothing. The sample is one task's online pass, at every size of the input. Without a
     labelled row all weights are zero. Never more than 2**BITS weights reach the driver.
     """
     y = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
@@ -77,10 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
         at = np.flatnonzero(found)
         return pa.table({"b": at.astype(np.int32), "w": found[at]})
 
-    shards = max(1, min(SHARDS, SHARDS * n // fit_rows))
-    fitted = rows.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards))).groupBy("shard").applyInArrow(train, "b int, w double")
-    sums = fitted.groupBy("b").agg(F.sum("w").alias("w")).toPandas()
-    w[sums["b"]] = sums["w"] / shards
+    fitted = rows.groupBy(F.lit(0)).applyInArrow(train, "b int, w double").toPandas()
+    w[fitted["b"]] = fitted["w"]
     return w
 
 
