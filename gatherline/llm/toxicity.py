@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
         at = np.flatnonzero(found)
         return pa.table({"b": at.astype(np.int32), "w": found[at]})
 
-    fitted = rows.groupBy(F.lit(0)).applyInArrow(train, "b int, w double").toPandas()
+    fitted = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(train, "b int, w double").toPandas()
     w[fitted["b"]] = fitted["w"]
     return w
 
