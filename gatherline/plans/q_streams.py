@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gatherline.plans.bindings import SAMPLES
-from gatherline.plans.registry import query, rounded
+from gatherline.plans.registry import query, rounded, table
 from gatherline.streaming import streams
 
 # windows that end at or before the last event minus the allowed lateness are closed
@@ -60,8 +60,23 @@ def _(spark, sf):
     return streams.run_available(j.select("event_id", "task"))
 
 
-@query("stream_flag_runs", "WITH " + SAMPLES + ", " + _WM + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, value < 60 ORDER BY t) AS g, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t), 1e12) AS nxt FROM s)
-SELECT user_id, round(min(t), 3) AS run_start, round(max(t), 3) AS run_end, count(*) AS n_rows FROM r, mx WHERE value < 60 GROUP BY user_id, g HAVING floor(max(nxt) * 1000) < (max(m) - 600) * 1000""")
+def _events_in_files(spark, sf, files=4):
+    """The events as a stream of several files, one micro-batch each, written one after the other in time."""
+    e, folder = table(spark, sf, "events"), streams.work_folder(spark)
+    day = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400e6)
+    lo, hi = e.agg(F.min(day), F.max(day)).first()
+    part = F.least(F.floor((day - F.lit(lo)) / F.lit((hi - lo) or 1.0) * files), F.lit(files - 1))
+    for i in range(files):
+        e.filter(part == i).coalesce(1).write.parquet(f"{folder}/part{i}")
+    s = streams.read_events(spark, f"{folder}/part*", files_per_trigger=1)
+    return s.withColumn("t", F.unix_micros("event_time") / F.lit(1e6))
+
+
+# a run ends at a row without the flag, or when no row follows within the day; the end is seen once the watermark is past it
+@query("stream_flag_runs", "WITH " + SAMPLES + ", " + _WM + """, f AS (SELECT user_id, t, value < 60 AS f, lag(value < 60) OVER w AS pf, lag(t) OVER w AS pt, lead(t) OVER w AS nt, lead(value < 60) OVER w AS nf FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+r AS (SELECT *, sum(CASE WHEN f AND pf AND t - pt <= 86400 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t) AS g FROM f)
+SELECT user_id, round(min(t), 3) AS run_start, round(max(t), 3) AS run_end, count(*) AS n_rows FROM r, mx WHERE f GROUP BY user_id, g
+HAVING least(floor((max(t) + 86400) * 1000), coalesce(floor(arg_max(CASE WHEN NOT nf THEN nt ELSE 1e12 END, t) * 1000), 1e15)) < (max(m) - 600) * 1000""")
 def _(spark, sf):
-    r = streams.flag_runs(_events(spark, sf), ["user_id"], "t", F.col("value") < 60, "10 minutes")
-    return rounded(streams.run_available(r), 3)
+    r = streams.flag_runs(_events_in_files(spark, sf), ["user_id"], "t", F.col("value") < 60, "10 minutes", 86400.0)
+    return rounded(streams.run_available(r, rocks=True), 3)

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gatherline.functions.exprs import epoch_micros
 from gatherline.session import shared_dir
@@ -72,42 +72,77 @@ def enrich_from_windows(stream: DataFrame, ranges: DataFrame, keys: Sequence[str
     return within_join(stream, ranges, keys, t, span, width)
 
 
-def flag_runs(stream: DataFrame, keys: Sequence[str], t: str, flag: Column, late: str) -> DataFrame:
-    """Runs of a flag per key, emitted once the watermark has passed the first row after the run without the flag.
+class _Runs(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them, and are then taken in time order. The value is the open
+    run and the timer set for the key: the first waiting row, or the end of the open run and ``idle`` after it."""
 
-    Rows wait in state until the watermark is past them and are then taken in time order, so the split into
-    micro-batches does not matter. State per key is one open run and the rows of the allowed lateness.
-    """
-    keys = list(keys)
-    s = stream.withWatermark("event_time", late).select(*keys, F.col(t).cast("double").alias("_t"), flag.alias("_f"), "event_time")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields if f.name in keys)
+    def __init__(self, keys: list[str], idle: float):
+        self.keys, self.idle = keys, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t double, f boolean")
+        self.run = handle.getValueState("run", "start double, last double, n long, timer long")
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, n, times, flags = state.get if state.exists else (0.0, 0.0, 0, [], [])
-        waiting = list(zip(times, flags))
-        if not state.hasTimedOut:
-            for rows in pdfs:
-                waiting += zip(rows["_t"].tolist(), rows["_f"].fillna(False).astype(bool).tolist())
-        passed = state.getCurrentWatermarkMs()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [x for r in rows for x in zip(r["row_time"].tolist(), r["row_flag"].fillna(False).astype(bool).tolist())]
+        yield from self._go_on(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._go_on(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def _go_on(self, key, new, passed: int, fired: int | None = None):
+        start, last, n, timer = self.run.get() if self.run.exists() else (0.0, 0.0, 0, 0)
+        waiting = sorted([*(self.waiting.get() if self.waiting.exists() else ()), *new])
+        ready = [w for w in waiting if _ms(w[0]) < passed]
         done = []
-        for at, on in sorted(w for w in waiting if w[0] * 1000 // 1 < passed):
-            if on:
-                start, end, n = (start if n else at), at, n + 1
-            elif n:
-                done.append((start, end, n))
+        for at, on in ready:
+            if n and (not on or at - last > self.idle):
+                done.append((start, last, n))
                 n = 0
-        waiting = sorted(w for w in waiting if w[0] * 1000 // 1 >= passed)
-        if waiting or n:
-            state.update((start, end, n, [w[0] for w in waiting], [bool(w[1]) for w in waiting]))
-            if waiting:
-                state.setTimeoutTimestamp(max(int(waiting[0][0] * 1000 // 1), passed + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([[*key, *r] for r in done], columns=[*keys, "run_start", "run_end", "n_rows"])
-
-    return s.groupBy(*keys).applyInPandasWithState(
-        step, f"{fields}, run_start double, run_end double, n_rows long", "run_start double, run_end double, n_rows long, times array<double>, flags array<boolean>",
-        "append", GroupStateTimeout.EventTimeTimeout)
+            if on:
+                start, last, n = (start if n else at), at, n + 1
+        if n and _ms(last + self.idle) < passed:  # silent for long enough: nothing can join the run any more
+            done.append((start, last, n))
+            n = 0
+        waiting = waiting[len(ready) :]
+        at = [_ms(waiting[0][0])] if waiting else []
+        wanted = max(passed, min(at + ([_ms(last + self.idle)] if n else []))) + 1 if waiting or n else 0
+        if timer and timer != wanted and timer != fired:
+            self.handle.deleteTimer(timer)
+        if wanted and (timer != wanted or timer == fired):
+            self.handle.registerTimer(wanted)
+        if waiting:
+            self.waiting.put(waiting)
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if wanted:
+            self.run.update((start, last, n, wanted))
+        elif self.run.exists():
+            self.run.clear()
+        if done:
+            yield pd.DataFrame([[*key, *r] for r in done], columns=[*self.keys, "run_start", "run_end", "n_rows"])
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(seconds: float) -> int:
+    return int(seconds * 1000 // 1)
+
+
+def flag_runs(stream: DataFrame, keys: Sequence[str], t: str, flag: Column, late: str, idle: float) -> DataFrame:
+    """Runs of a flag per key: flagged rows in a row, at most ``idle`` seconds apart.
+
+    A run is emitted once the watermark has passed the row without the flag that ends it, or ``idle`` seconds after
+    its last row: then an event timer closes it, also for a key that has fallen silent. Rows are taken in time order,
+    so the split into micro-batches does not matter. State per key is the open run and the rows of the allowed
+    lateness, and is dropped when both are gone. Run with ``run_available(..., rocks=True)``.
+    """
+    keys = list(keys)
+    s = stream.withWatermark("event_time", late).select(*keys, F.col(t).cast("double").alias("row_time"), flag.alias("row_flag"), "event_time")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields if f.name in keys)
+    return s.groupBy(*keys).transformWithStateInPandas(_Runs(keys, idle), f"{fields}, run_start double, run_end double, n_rows long", "Append", "EventTime")
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -115,13 +150,23 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Process everything there is, write it as parquet, and read that table."""
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_available(stream: DataFrame, folder: str | None = None, rocks: bool = False) -> DataFrame:
+    """Process everything there is, write it as parquet, and read that table. ``rocks`` keeps the state in RocksDB,
+    which operators with lists and timers need."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
-    q = (
-        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    before = spark.conf.get(_PROVIDER)
+    if rocks:
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (
+            stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, before)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

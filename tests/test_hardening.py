@@ -64,20 +64,39 @@ def test_knn_impute(spark, block_rows):
     assert learn.knn_impute(spark.createDataFrame([(None, 1.0)], "a double, b double"), spark.createDataFrame([(None, 1.0)], "a double, b double"), ["a", "b"]).first().a == 0.0
 
 
-def test_flag_runs_do_not_depend_on_batches(spark, tmp_path):
-    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts", "value")
-    last = spark.sql("SELECT -1L AS event_id, -1L AS user_id, TIMESTAMP_NTZ '2025-06-01 00:00:00' AS ts, 99.0D AS value")
-    last = last.withColumn("ts", F.col("ts").cast(e.schema["ts"].dataType))
+def _plain_runs(rows, idle, passed):
+    """Runs of flagged rows per key that the watermark has closed."""
     out = []
+    for k in {r[0] for r in rows}:
+        run = []
+        for t, f in [*sorted(r[1:] for r in rows if r[0] == k), (float("inf"), False)]:
+            if run and (not f or t - run[-1] > idle):
+                if min(t, run[-1] + idle) < passed:
+                    out.append((k, run[0], run[-1], len(run)))
+                run = []
+            if f:
+                run.append(t)
+    return sorted(out)
+
+
+def test_flag_runs_over_batches_and_silent_keys(spark, tmp_path):
+    base = 1_704_067_200.0  # 2024-01-01
+    rng = __import__("random").Random(4)
+    rows = [(k, base + 60.0 * i + k, rng.random() < 0.7) for i in range(240) for k in (1, 2, 3) if rng.random() < 0.8]
+    rows += [(9, base + 30.0 * i, True) for i in range(5)]  # falls silent with its run open
+    rows += [(8, base + 13_000 + i, True) for i in range(3)] + [(1, base + 20_000, False), (7, base + 40_000, True)]
+    passed = base + 40_000 - 3_600
+    want = _plain_runs(rows, 600.0, passed)
+    assert (9, base, base + 120.0, 5) in want and not any(r[0] == 7 for r in want)
+    d = spark.createDataFrame(rows, "k long, t double, f boolean").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")).cast("timestamp_ntz"))
     for n in (1, 3):
         at = f"{tmp_path}/{n}"
-        for i in range(n):
-            e.where(F.col("event_id") % n == i).coalesce(1).write.mode("append").parquet(at)
-        last.coalesce(1).write.mode("append").parquet(at)
-        s = streams.read_events(spark, at, files_per_trigger=1).withColumn("t", F.unix_micros("event_time") / F.lit(1e6))
-        r = streams.run_available(streams.flag_runs(s, ["user_id"], "t", F.col("value") < 60, "40 days"), f"{tmp_path}/w{n}")
-        out.append(sorted(tuple(x) for x in r.where("user_id >= 0").collect()))
-    assert out[0] == out[1] and len(out[0]) > 20
+        edges = [base + 40_001.0 * i / n for i in range(n + 1)]
+        for lo, hi in zip(edges, edges[1:]):
+            d.where((F.col("t") >= lo) & (F.col("t") < hi)).orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(at)
+        s = streams.read_events(spark, at, files_per_trigger=1)
+        r = streams.run_available(streams.flag_runs(s, ["k"], "t", F.col("f"), "1 hour", 600.0), f"{tmp_path}/w{n}", rocks=True)
+        assert sorted(tuple(x) for x in r.collect()) == want, n
 
 
 def test_groups_over_the_old_member_cap(spark):
