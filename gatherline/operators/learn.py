@@ -11,16 +11,22 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatherline.operators.clean import plausibility_gate
 from gatherline.operators.groups import robust_z, winsorise, with_stats
-from gatherline.operators.ordered import exact_percentiles, join_on, ordered_scan, row_no, unpivot_values
+from gatherline.operators.ordered import exact_percentiles, join_on, ordered_scan, row_no, settle, unpivot_values, value_ranks
 from gatherline.operators.stats import pearson_table, spearman_table
 
-ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+#: Penalties of the ridge (fixed values).
+ALPHAS = tuple(float(a) for a in np.logspace(-2, 3, 12))
+#: Groups that are folds of their own when a penalty is chosen; more are dealt into that many folds.
+INNER_FOLDS = 30
+#: Rows whose outcomes are shuffled together.
+PERMUTED_ROWS = 50_000
 
 
 # ------------------------------------------------------------------ scaling and screening
@@ -131,100 +137,109 @@ def gaussian_mixture(df: DataFrame, features: str, k: int, seed: int = 1) -> Dat
     return GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="cluster", probabilityCol="membership").fit(df).transform(df)
 
 
-# ------------------------------------------------------------------ grouped ridge
+# ------------------------------------------------------------------ ridge over left-out groups
 
 
-def grams(df: DataFrame, keys: Sequence[str], xs: Sequence[str], ys: Sequence[str]) -> DataFrame:
-    """Cross products per key: n, sums and upper triangle of [xs, ys], centred on the global means."""
-    cols = [*xs, *ys]
-    d = with_stats(df.dropna(subset=cols), [], {f"_m_{c}": F.avg(c) for c in cols})
-    d = d.withColumns({f"_c_{c}": F.col(c) - F.col(f"_m_{c}") for c in cols})
-    v = [F.col(f"_c_{c}") for c in cols]
-    p = len(cols)
-    return d.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.sum(x) for x in v]).alias("s"),
-        F.array(*[F.sum(v[i] * v[j]) for i in range(p) for j in range(i, p)]).alias("c"), F.array(*[F.max(f"_m_{c}") for c in cols]).alias("m"))
+def group_sums(df: DataFrame, group: str, xs: Sequence[str], ys: Sequence[str]) -> tuple[DataFrame, np.ndarray]:
+    """(group, v): the sums that ridge needs of each group, from complete rows, and the global means they are centred on.
 
-
-def _square(flat, p):
-    a = np.zeros((p, p))
-    a[np.triu_indices(p)] = flat
-    return a + np.triu(a, 1).T
-
-
-def _ridge(n, s, c, xi, yi, alphas):
-    """Fit on standardised features from cross products; alpha by generalised cross-validation.
-
-    Returns the raw-scale weights and intercept (relative to the global centring).
+    v holds n, the sums of xs, their products (p x p), and for each outcome its sum, its products with xs and its square.
     """
-    mu = s / n
-    cov = c / n - np.outer(mu, mu)
-    sd = np.sqrt(np.maximum(np.diag(cov)[xi], 0.0))
-    use = sd > 1e-12
-    inv = np.where(use, 1.0 / np.where(use, sd, 1.0), 0.0)
-    g = n * cov[np.ix_(xi, xi)] * np.outer(inv, inv)
-    b = n * cov[np.ix_(xi, [yi])][:, 0] * inv
-    yy = n * cov[yi, yi]
-    lam, q = np.linalg.eigh(g)
-    lam = np.maximum(lam, 0.0)
-    qb = q.T @ b
-    best = None
-    for a in alphas:
-        w = qb / (lam + a)
-        rss = yy - 2 * w @ qb + w @ (lam * w)
-        df = 1 + np.sum(lam / (lam + a))
-        score = rss / max(n - df, 1e-9) ** 2
-        if best is None or score < best[0]:
-            best = (score, a, q @ w)
-    w = best[2] * inv
-    return w, mu[yi] - w @ mu[xi], best[1]
-
-
-def fold_weights(g: DataFrame, group: str, p: int, xi: Sequence[int], yi: int, alphas: Sequence[float] = ALPHAS, rep: Sequence[str] = ()) -> DataFrame:
-    """Leave-one-group-out weights per group, with the left-out group's squared error from its own sums.
-
-    The total over groups is attached to each row and the solve runs in the tasks.
+    xs, ys = list(xs), list(ys)
+    d = df.dropna(subset=[*xs, *ys])
+    means = np.array([v or 0.0 for v in d.agg(*[F.avg(c) for c in [*xs, *ys]]).first()])
+    x = [F.col(c) - F.lit(float(m)) for c, m in zip(xs, means)]
+    y = [F.col(c) - F.lit(float(m)) for c, m in zip(ys, means[len(xs):])]
+    cells = [F.count(F.lit(1)).cast("double"), *[F.sum(a) for a in x], *[F.sum(a * b) for a in x for b in x]]
+    for t in y:
+        cells += [F.sum(t), *[F.sum(a * t) for a in x], F.sum(t * t)]
+    return d.groupBy(group).agg(F.array(*cells).alias("v")), means
+
+
+class _Sums:
+    """One row of sums, cut up: n, xs, products, and (outcome, ...) arrays."""
+
+    def __init__(self, v: np.ndarray, p: int):
+        v = np.asarray(v, float)
+        self.n, self.sx, self.xx = v[0], v[1 : 1 + p], v[1 + p : 1 + p + p * p].reshape(p, p)
+        rest = v[1 + p + p * p :].reshape(-1, p + 2)
+        self.sy, self.xy, self.yy = rest[:, 0], rest[:, 1:-1].T, rest[:, -1]
+
+    def errors(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squared error of predictions b + x w for each (penalty, outcome)."""
+        quad = np.einsum("apt,pq,aqt->at", w, self.xx, w)
+        return self.yy - 2 * b * self.sy - 2 * np.einsum("apt,pt->at", w, self.xy) + self.n * b * b + 2 * b * np.einsum("apt,p->at", w, self.sx) + quad
+
+
+def _ridge(s: _Sums, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (penalty, x, outcome) and intercepts on the raw scale; features are standardised by the training sums."""
+    mu, my = s.sx / s.n, s.sy / s.n
+    cov = s.xx / s.n - np.outer(mu, mu)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    inv = np.where(sd > 1e-12, 1.0 / np.where(sd > 1e-12, sd, 1.0), 0.0)
+    lam, q = np.linalg.eigh(s.n * cov * np.outer(inv, inv))
+    qb = q.T @ ((s.xy - np.outer(mu, s.sy)) * inv[:, None])
+    w = np.einsum("pk,akt->apt", q, qb[None] / (np.maximum(lam, 0.0)[None, :, None] + alphas[:, None, None])) * inv[None, :, None]
+    return w, my[None] - np.einsum("apt,p->at", w, mu)
+
+
+def left_out_fits(sums: DataFrame, group: str, p: int, alphas: Sequence[float] = ALPHAS, inner: int = INNER_FOLDS) -> DataFrame:
+    """For each group and outcome (``target``, by place): weights and intercept fitted on the other groups, the penalty, and
+    the group's squared error with its n, sum and square of the outcome.
+
+    The penalty is the one with the least error over the other groups, each left out in turn (nested). Up to ``inner`` groups
+    are folds of their own; more are dealt into that many folds, so what is shared by all solves, the folds' sums, stays bounded. All
+    fits come from sums less sums; with a single other group the first penalty is taken.
     """
-    k = p * (p + 1) // 2
-    total = g.groupBy(*rep) if rep else g.groupBy(F.lit(1).alias("_one"))
-    t = total.agg(F.sum("n").alias("_n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(p)]).alias("_s"), F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(k)]).alias("_c"))
-    j = join_on(g, t, rep, "inner") if rep else g.withColumns({c: t.select(c).scalar() for c in ("_n", "_s", "_c")})
-    xi, yi = list(xi), int(yi)
-    schema = T.StructType([*[g.schema[r] for r in rep], g.schema[group], T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType()),
-                           T.StructField("alpha", T.DoubleType()), T.StructField("sse", T.DoubleType()), T.StructField("n_out", T.DoubleType()), T.StructField("y_sum", T.DoubleType()), T.StructField("y_sq", T.DoubleType())])
+    spark, a = sums.sparkSession, np.array(alphas, float)
+    placed = ordered_scan(sums, [], [group], {"_no": row_no()}).withColumn("_f", F.pmod(F.col("_no") - 1, F.lit(inner)).cast("int"))
+    rows = placed.select("_f", F.posexplode("v").alias("i", "x")).groupBy("_f", "i").agg(F.sum("x").alias("x")).collect()  # inner folds x sums
+    width = 1 + max((r.i for r in rows), default=0)
+    folds = np.zeros((inner, width))
+    for r in rows:
+        folds[r["_f"], r["i"]] = r["x"]
+    shared = spark.sparkContext.broadcast(folds)
+    kept = [sums.schema[group], *[T.StructField(n, t) for n, t in (("target", T.IntegerType()), ("weights", T.ArrayType(T.DoubleType())), *[(c, T.DoubleType()) for c in ("intercept", "alpha", "sse", "n_out", "y_sum", "y_sq")])]]
 
     def solve(batches):
+        parts = shared.value
+        total = parts.sum(0)
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                d = dict(zip(pdf.columns, r))
-                n, s, c, m = d["n"], np.asarray(d["s"]), _square(np.asarray(d["c"]), p), np.asarray(d["m"])
-                w, b0, a = _ridge(d["_n"] - n, np.asarray(d["_s"]) - s, _square(np.asarray(d["_c"]), p) - c, xi, yi, alphas)
-                v = np.zeros(p)
-                v[yi], v[xi] = 1.0, -w
-                sse = v @ c @ v - 2 * b0 * (v @ s) + n * b0 * b0
-                rows.append([*[d[x] for x in rep], d[group], w.tolist(), float(b0 + m[yi] - w @ m[xi]), a, float(sse), float(n), float(s[yi]), float(c[yi, yi])])
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
-
-    return j.mapInPandas(solve, schema)
-
-
-def r2_of_folds(w: DataFrame, rep: Sequence[str] = ()) -> DataFrame:
-    d = w if rep else w.withColumn("_k", F.lit(0))
-    keys = list(rep) or ["_k"]
+            out = []
+            for g, v, f in zip(pdf[group], pdf["v"], pdf["_f"]):
+                v = np.asarray(v, float)
+                train = total - v
+                own = _Sums(v, p)
+                best = np.zeros(len(own.sy), int)
+                errors = np.zeros((len(a), len(own.sy)))
+                for i, part in enumerate(parts):
+                    held = part - v if i == f else part
+                    if held[0] > 0.5 and (train - held)[0] > 1.5:
+                        errors += _Sums(held, p).errors(*_ridge(_Sums(train - held, p), a))
+                if train[0] < 1.5:
+                    continue
+                best = errors.argmin(0)
+                w, b = _ridge(_Sums(train, p), a)
+                sse = own.errors(w, b)
+                for t, k in enumerate(best.tolist()):
+                    out.append((g, t, w[k, :, t].tolist(), float(b[k, t]), float(a[k]), float(sse[k, t]), float(own.n), float(own.sy[t]), float(own.yy[t])))
+            yield pd.DataFrame(out, columns=[x.name for x in kept])
+
+    return placed.select(group, "v", "_f").mapInPandas(solve, T.StructType(kept))
+
+
+def r2_of_folds(w: DataFrame, keys: Sequence[str] = ("target",)) -> DataFrame:
+    """R2 of the left-out predictions of all groups together, per outcome."""
     sst = F.sum("y_sq") - F.sum("y_sum") * F.sum("y_sum") / F.sum("n_out")
-    out = d.groupBy(*keys).agg(F.sum("n_out").cast("long").alias("n"), F.count(F.lit(1)).alias("n_groups"), F.when(sst > 0, 1 - F.sum("sse") / sst).alias("r2"))
-    return out if rep else out.drop("_k")
-
+    return w.groupBy(*keys).agg(F.sum("n_out").cast("long").alias("n"), F.count(F.lit(1)).alias("n_groups"), F.when(sst > 0, 1 - F.sum("sse") / sst).alias("r2"))
 
-def logo_ridge(df: DataFrame, group: str, xs: Sequence[str], y: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
-    """Leave-one-group-out ridge predictions on the rows (column ``prediction``).
 
-    Scaling is fold local: it comes from the training sums.
-    """
-    w = fold_weights(grams(df, [group], xs, [y]), group, len(xs) + 1, range(len(xs)), len(xs), alphas)
+def logo_ridge(df: DataFrame, group: str, xs: Sequence[str], y: str, alphas: Sequence[float] = ALPHAS, inner: int = INNER_FOLDS) -> DataFrame:
+    """Leave-one-group-out ridge predictions on the complete rows (column ``prediction``); scaling is fold local."""
+    sums, means = group_sums(df, group, xs, [y])
+    w = left_out_fits(sums, group, len(xs), alphas, inner)
     d = join_on(df.dropna(subset=[*xs, y]), w.select(group, "weights", "intercept"), [group], "inner")
-    pred = sum((F.get("weights", F.lit(i)) * F.col(x) for i, x in enumerate(xs)), F.col("intercept"))
+    pred = sum((F.get("weights", F.lit(i)) * (F.col(x) - F.lit(float(means[i]))) for i, x in enumerate(xs)), F.col("intercept") + F.lit(float(means[-1])))
     return d.withColumn("prediction", pred).drop("weights", "intercept")
 
 
@@ -236,78 +251,190 @@ def regression_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
     return a.withColumn("rho", rho)
 
 
-def permutation_test(df: DataFrame, group: str, xs: Sequence[str], y: str, row_id: str, n_perm: int = 200, seed: int = 1, alphas: Sequence[float] = ALPHAS) -> DataFrame:
-    """R2 of leave-one-group-out ridge and its permutation p value.
+def permutation_test(df: DataFrame, group: str, xs: Sequence[str], y: str, row_id: str, n_perm: int = 200, seed: int = 1, alphas: Sequence[float] = ALPHAS,
+                     inner: int = INNER_FOLDS, block_rows: int = PERMUTED_ROWS) -> DataFrame:
+    """R2 of leave-one-group-out ridge, and the share of shuffled outcomes that reach it.
 
-    Outcomes are shuffled by the order of a key hash, so a repeat gives the same
-    shuffle. Scores come from cross products; rows are never predicted again.
+    Rows are dealt by a hash of their id into blocks of about ``block_rows``, and outcomes are shuffled inside the
+    blocks: fewer rows are one block, more keep the test valid, since such shuffles form a group. A block
+    gives the products of all its shuffles as one row of sums for each group, so no row is copied; every
+    shuffle goes through the whole nested fit.
     """
-    xs = list(xs)
-    d = df.dropna(subset=[*xs, y]).select(F.col(row_id).alias("_id"), group, *xs, F.col(y).alias("_y"))
-    d = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(int(n_perm)))))
-    home = ordered_scan(d, ["rep"], ["_id"], {"_at": row_no()})
-    h = F.when(F.col("rep") == 0, F.col("_id").cast("long")).otherwise(F.xxhash64(F.lit(seed), "rep", "_id"))
-    moved = ordered_scan(d.withColumn("_h", h), ["rep"], ["_h", "_id"], {"_at": row_no()}).select("rep", "_at", F.col("_y").alias("_yp"))
-    p = home.drop("_y").join(moved, ["rep", "_at"])
-    w = fold_weights(grams(p, ["rep", group], xs, ["_yp"]), group, len(xs) + 1, range(len(xs)), len(xs), alphas, ["rep"])
-    r = r2_of_folds(w, ["rep"]).withColumn("_k", F.lit(0))
-    true = r.filter("rep = 0").select("r2").scalar()
-    r = r.withColumn("_true", true)
-    return r.groupBy("_k").agg(F.max("_true").alias("r2"), F.count_if(F.col("rep") > 0).alias("n_perm"),
-                               ((F.count_if((F.col("rep") > 0) & (F.col("r2") >= F.col("_true"))) + 1) / (F.count_if(F.col("rep") > 0) + 1)).alias("p_value")).drop("_k")
-
-
-def ablation_grid(df: DataFrame, group: str, sets: dict[str, Sequence[str]], targets: Sequence[str], alphas: Sequence[float] = ALPHAS) -> DataFrame:
-    """R2 of every feature set for every target from ONE table of cross products; best set per target marked."""
-    xs = list(dict.fromkeys(c for cs in sets.values() for c in cs))
-    g = grams(df, [group], xs, list(targets))
-    p = len(xs) + len(targets)
+    xs, p = list(xs), len(xs)
+    d = df.dropna(subset=[*xs, y])
+    facts = d.agg(F.count(F.lit(1)), *[F.avg(c) for c in [*xs, y]]).first()
+    n, means = facts[0], np.array([v or 0.0 for v in facts[1:]])
+    blocks = max(1, -(-n // block_rows))
+    d = d.select(F.col(group).alias("g"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs)], F.col(y).cast("double").alias("y"), F.xxhash64(row_id).alias("h"), F.col(row_id).cast("string").alias("id"))
+    d = d.withColumn("block", F.pmod("h", F.lit(blocks)))
+    out = T.StructType([T.StructField("g", d.schema["g"].dataType), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def sums(pdf):
+        pdf = pdf.sort_values(["h", "id"])
+        rng = np.random.default_rng([seed, int(pdf["block"].iloc[0])])
+        x = pdf[[f"x{i}" for i in range(p)]].to_numpy() - means[:p]
+        own = pdf["y"].to_numpy() - means[p]
+        ys = np.stack([own, *[rng.permutation(own) for _ in range(n_perm)]], 1)
+        code, names = pdf["g"].factorize(use_na_sentinel=False)
+        rows = []
+        for i in range(len(names)):
+            a, b = x[code == i], ys[code == i]
+            each = np.concatenate((b.sum(0)[:, None], b.T @ a, (b * b).sum(0)[:, None]), 1)
+            rows.append(np.concatenate(([len(a)], a.sum(0), (a.T @ a).ravel(), each.ravel())).tolist())
+        return pd.DataFrame({"g": names, "v": rows})
+
+    parts = d.groupBy("block").applyInPandas(sums, out).select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
+    whole = settle(parts.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("v")))
+    r = r2_of_folds(left_out_fits(whole, "g", p, alphas, inner)).agg(
+        F.max(F.when(F.col("target") == 0, F.col("r2"))).alias("r2"), F.collect_list(F.when(F.col("target") > 0, F.col("r2"))).alias("_null"))
+    reached = F.size(F.filter("_null", lambda x: x >= F.col("r2")))
+    return r.select("r2", F.lit(int(n_perm)).cast("long").alias("n_perm"), ((reached + 1) / (F.lit(int(n_perm)) + 1)).alias("p_value"))
+
+
+def ablation_grid(df: DataFrame, group: str, sets: dict[str, Sequence[str]], targets: Sequence[str], alphas: Sequence[float] = ALPHAS, inner: int = INNER_FOLDS) -> DataFrame:
+    """R2 of every feature set for every target, all targets of a set from one pass; best set per target marked."""
     parts = []
+    names = F.array(*[F.lit(t) for t in targets])
     for name, cs in sets.items():
-        for j, t in enumerate(targets):
-            w = fold_weights(g, group, p, [xs.index(c) for c in cs], len(xs) + j, alphas)
-            parts.append(r2_of_folds(w).select(F.lit(name).alias("feature_set"), F.lit(t).alias("target"), "n", "n_groups", "r2"))
-    allr = reduce(lambda a, b: a.unionByName(b), parts)
+        sums, _ = group_sums(df.dropna(subset=[*dict.fromkeys(c for x in sets.values() for c in x)]), group, cs, targets)
+        w = r2_of_folds(left_out_fits(sums, group, len(cs), alphas, inner))
+        parts.append(w.select(F.lit(name).alias("feature_set"), F.get(names, F.col("target")).alias("target"), "n", "n_groups", "r2"))
+    allr = settle(reduce(lambda a, b: a.unionByName(b), parts))
     best = allr.groupBy("target").agg(F.max_by("feature_set", F.struct("r2", "feature_set")).alias("_b"))
     return allr.join(best, "target").withColumn("best", F.col("feature_set") == F.col("_b")).drop("_b")
 
 
-# ------------------------------------------------------------------ grouped logistic, neighbours
+# ------------------------------------------------------------------ logistic over left-out groups
 
 
-def logo_logistic(df: DataFrame, group: str, xs: Sequence[str], y: str, binarise: bool = True, reg: float = 1e-3) -> DataFrame:
-    """Leave-one-group-out logistic scores: accuracy, F1, AUC and the majority baseline per fold.
+def logo_logistic(df: DataFrame, group: str, xs: Sequence[str], y: str, binarise: bool = True, penalty: float = 1.0, max_iter: int = 2000, tol: float = 1e-8) -> DataFrame:
+    """Rows with ``label``, ``baseline_prediction``, ``model_prediction`` and ``model_score`` of the model that did not see
+    the row's group.
 
-    With ``binarise`` the outcome is split at the median of the training groups. One
-    model is fitted per group, so groups should be few.
+    Features are standardised and their nulls filled with the mean of the training groups; classes weigh alike (balanced). Newton
+    steps of all folds share one pass over the rows, which gives each fold's gradient and curvature summed over its
+    training rows. A fold whose training labels are all alike predicts them, with a null score. With ``binarise`` the
+    outcome is split at the median of the training groups, otherwise at a half. Rows without outcome or group are left out. The
+    number of groups is that of the models, (p + 2)^2 numbers each in the driver.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import vector_to_array
-
-    d = assemble(df.dropna(subset=[*xs, y]), xs, "_raw").select(group, "_raw", F.col(y).cast("double").alias("_y"))
-    rows = []
-    for g in sorted(r[0] for r in d.select(group).distinct().collect()):
-        train, test = d.filter(F.col(group) != g), d.filter(F.col(group) == g)
-        cut = 0.5
-        if binarise:
-            cut = exact_percentiles(train.withColumn("_k", F.lit(0)), ["_k"], {"m": ("_y", 0.5)}).first()["m"]
-        lab = (F.col("_y") >= cut if binarise else F.col("_y") > cut).cast("double")
-        train, test = train.withColumn("label", lab), test.withColumn("label", lab)
-        sc = StandardScaler(withMean=True, inputCol="_raw", outputCol="features").fit(train)
-        share = train.agg(F.avg("label")).first()[0]
-        if share in (0.0, 1.0, None):
-            continue
-        m = LogisticRegression(regParam=reg, maxIter=50).fit(sc.transform(train))
-        p = m.transform(sc.transform(test)).withColumn("p1", F.get(vector_to_array("probability"), F.lit(1)))
-        hit = F.col("prediction") == F.col("label")
-        tp = F.count_if(hit & (F.col("label") == 1))
-        s = p.agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("acc"), F.avg((F.col("label") == float(share >= 0.5)).cast("double")).alias("base"),
-                  (2.0 * tp / F.greatest(F.count_if(F.col("label") == 1) + F.count_if(F.col("prediction") == 1), F.lit(1))).alias("f1")).first()
-        auc = BinaryClassificationEvaluator().evaluate(p)
-        rows.append((str(g), int(s["n"]), float(s["acc"]), float(s["base"]), float(s["f1"]), float(auc)))
-    return df.sparkSession.createDataFrame(rows, "fold string, n long, accuracy double, baseline double, f1 double, auc double")
+    xs, p = list(xs), len(xs)
+    d = df.filter(F.col(y).isNotNull() & F.col(group).isNotNull())
+    x = F.array(*[F.col(c).cast("double") for c in xs])
+    lean = settle(d.select(F.col(group).alias("g"), x.alias("x"), F.col(y).cast("double").alias("y")))
+    per = lean.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[f(F.get("x", F.lit(i))).alias(f"{k}{i}") for i in range(p) for k, f in (("c", F.count), ("s", lambda c: F.sum(c)), ("q", lambda c: F.sum(c * c)))]).orderBy("g").collect()
+    groups = [r["g"] for r in per]
+    if not groups:
+        return d.withColumns({"label": F.lit(None).cast("int"), "baseline_prediction": F.lit(None).cast("int"), "model_prediction": F.lit(None).cast("int"), "model_score": F.lit(None).cast("double")})
+    c, s, q = (np.array([[r[f"{k}{i}"] or 0.0 for i in range(p)] for r in per], float).reshape(-1, p) for k in "csq")
+    n = np.array([r["n"] for r in per], float)
+    rest = lambda v: v.sum(0) - v
+    seen = np.maximum(rest(c), 1.0)
+    mu = rest(s) / seen
+    sd = np.sqrt(np.maximum(rest(q) - seen * mu**2, 0.0) / np.maximum(rest(n), 1.0)[:, None])  # filled cells add nothing
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    cut = np.full(len(groups), 0.5)
+    if binarise:
+        at = F.explode(F.array(*[F.lit(i) for i in range(len(groups))])).alias("fold")
+        fold_of = F.create_map(*[v for i, g in enumerate(groups) for v in (F.lit(g), F.lit(i))])
+        med = exact_percentiles(lean.select("y", fold_of[F.col("g")].alias("own"), at).filter("own != fold"), ["fold"], {"m": ("y", 0.5)})
+        for r in med.collect():
+            cut[r["fold"]] = r["m"]
+    spark, place = df.sparkSession, {g: i for i, g in enumerate(groups)}
+    over = (lambda v, t: v >= t) if binarise else (lambda v, t: v > t)
+
+    def rows_of(batches):
+        for b in batches:
+            m = np.array([[np.nan if v is None else v for v in r] for r in b.column("x").to_pylist()], float).reshape(-1, p)
+            yield np.array([place[g] for g in b.column("g").to_pylist()]), m, np.asarray(b.column("y"), float)
+
+    def summed(one, width):
+        """Sum over all rows of ``one(fold, z, label)`` for each fold's training rows."""
+
+        def run(batches):
+            total = np.zeros((len(groups), width))
+            for own, m, v in rows_of(batches):
+                for f in range(len(groups)):
+                    use = own != f
+                    z = (m[use] - mu[f]) / sd[f]
+                    total[f] += one(f, np.concatenate((np.ones((len(z), 1)), np.where(np.isnan(z), 0.0, z)), 1), over(v[use], cut[f]).astype(float))
+            if total.any():
+                i = np.flatnonzero(total.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total.ravel()[i])], ["i", "v"])
+
+        out = np.zeros(len(groups) * width)
+        for r in lean.select("g", "x", "y").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r["i"]] = r["v"]
+        return out.reshape(len(groups), width)
+
+    ones = summed(lambda f, z, label: np.array([len(label), label.sum()]), 2)
+    count, pos = ones.T
+    mixed = (pos > 0) & (pos < count)
+    weight = np.stack((count / np.maximum(2 * (count - pos), 1), count / np.maximum(2 * pos, 1)), 1)
+    beta, k = np.zeros((len(groups), p + 1)), p + 1
+    ridge = np.diag([0.0] + [penalty] * p)
+
+    def newton(f, z, label):
+        if not mixed[f]:
+            return np.zeros(k + k * k + 1)
+        lin = z @ beta[f]
+        prob = 1 / (1 + np.exp(-np.clip(lin, -700, 700)))
+        w = np.where(label > 0, weight[f, 1], weight[f, 0])
+        loss = (w * (np.logaddexp(0, lin) - label * lin)).sum()
+        return np.concatenate((z.T @ (w * (prob - label)), ((z * (w * prob * (1 - prob))[:, None]).T @ z).ravel(), [loss]))
+
+    step, before, base = np.zeros_like(beta), np.full(len(groups), np.inf), beta.copy()
+    live = mixed.copy()
+    for _ in range(max_iter):
+        if not live.any():
+            break
+        got = summed(newton, k + k * k + 1)
+        for f in np.flatnonzero(live):
+            loss = got[f, -1] + 0.5 * penalty * (beta[f, 1:] ** 2).sum()
+            if loss > before[f] + 1e-9 * abs(before[f]) and np.abs(step[f]).max() > tol:  # too far: half of the step
+                step[f] /= 2
+                beta[f] = base[f] - step[f]
+                continue
+            before[f], base[f] = loss, beta[f].copy()
+            grad = got[f, :k] + ridge @ beta[f]
+            step[f] = np.linalg.solve(got[f, k : k + k * k].reshape(k, k) + ridge + 1e-12 * np.eye(k), grad)
+            beta[f] = base[f] - step[f]
+            live[f] = np.abs(step[f]).max() > tol
+    fits = spark.createDataFrame([(i, float(cut[i]), int(2 * pos[i] > count[i]), bool(mixed[i]), *[v.tolist() for v in (mu[i], sd[i], beta[i])]) for i in range(len(groups))],
+                                 "_fold int, _cut double, baseline_prediction int, _mixed boolean, _mu array<double>, _sd array<double>, _b array<double>")
+    names = spark.createDataFrame([(g, i) for i, g in enumerate(groups)], T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("_fold", T.IntegerType())]))
+    j = join_on(d, names.join(fits, "_fold"), [group], "inner")
+    z = F.zip_with(F.zip_with(x, F.col("_mu"), lambda a, b: a - b), F.col("_sd"), lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+    lin = F.aggregate(F.zip_with(z, F.slice("_b", 2, p), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v) + F.get("_b", F.lit(0))
+    label = (F.col(y).cast("double") >= F.col("_cut") if binarise else F.col(y).cast("double") > F.col("_cut")).cast("int")
+    score = F.when(F.col("_mixed"), 1 / (1 + F.exp(-lin)))
+    out = j.withColumns({"label": label, "model_score": score})
+    out = out.withColumn("model_prediction", F.coalesce((F.col("model_score") > 0.5).cast("int"), F.col("baseline_prediction")))
+    return out.drop("_fold", "_cut", "_mixed", "_mu", "_sd", "_b")
+
+
+def classifier_scores(pred: DataFrame) -> DataFrame:
+    """metric, baseline and linear_model: accuracy, macro F1 and area under the ROC curve over all left-out rows together.
+
+    The area is null when a row has no score, or one label is missing; the baseline has none.
+    """
+    counts = pred.agg(
+        *[F.count_if((F.col("label") == a) & (F.col(c) == b)).cast("double").alias(f"{m}{a}{b}") for m, c in (("b", "baseline_prediction"), ("m", "model_prediction")) for a in (0, 1) for b in (0, 1)],
+        F.count_if(F.col("model_score").isNull()).alias("gaps"))
+    ranks = value_ranks(pred.select(F.lit(0).alias("_k"), "model_score"), ["_k"], "model_score").select(F.col("model_score").alias("_s"), "avg_rank")
+    pos = pred.filter("label = 1").groupBy(F.col("model_score").alias("_s")).agg(F.count(F.lit(1)).alias("_w"))
+    top = pos.join(ranks, "_s").agg(F.sum(F.col("avg_rank") * F.col("_w")).alias("r"))
+    d = counts.withColumn("_r", top.select("r").scalar())
+
+    def f1(m):
+        each = lambda a: F.coalesce(F.try_divide(2 * F.col(f"{m}{a}{a}"), 2 * F.col(f"{m}{a}{a}") + F.col(f"{m}{a}{1 - a}") + F.col(f"{m}{1 - a}{a}")), F.lit(0.0))
+        there = lambda a: F.when(F.col(f"{m}{a}{a}") + F.col(f"{m}{a}{1 - a}") + F.col(f"{m}{1 - a}{a}") > 0, 1.0).otherwise(0.0)
+        return F.try_divide(each(0) + each(1), there(0) + there(1))
+
+    acc = lambda m: F.try_divide(F.col(f"{m}00") + F.col(f"{m}11"), F.col(f"{m}00") + F.col(f"{m}01") + F.col(f"{m}10") + F.col(f"{m}11"))
+    n1, n0 = F.col("m10") + F.col("m11"), F.col("m00") + F.col("m01")
+    auc = F.when(F.col("gaps") == 0, F.try_divide(F.col("_r") - n1 * (n1 + 1) / 2, n1 * n0))
+    row = lambda name, a, b: F.struct(F.lit(name).alias("metric"), a.alias("baseline"), b.alias("linear_model"))
+    return d.select(F.inline(F.array(row("accuracy", acc("b"), acc("m")), row("macro_f1", f1("b"), f1("m")), row("roc_auc", F.lit(None).cast("double"), auc))))
 
 
 def knn_impute(df: DataFrame, reference: DataFrame, cols: Sequence[str], k: int = 5, block_rows: int = 20_000) -> DataFrame:

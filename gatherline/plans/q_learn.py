@@ -116,13 +116,49 @@ def _(spark, sf):
     return rounded(hmm.state_stability(_streams(spark, sf), ["user_id"], ["t"], ["x"], 2, "group_id", "event_id"), 4)
 
 
-@query("logo_ridge_scores")
+_SUMS = ["n", "a1", "a2", "a3", "p11", "p12", "p13", "p22", "p23", "p33", "y", "q1", "q2", "q3", "yy"]
+
+
+def _ridge_sql(y: str, use: tuple[int, ...] = (1, 2, 3), tag: str = "") -> str:
+    """CTEs that give wt{tag}: nation, w1-w3, b0 and sse of nested leave-one-nation-out ridge in closed form."""
+    t, on = tag, lambda i, e, other="0": e if i in use else other
+    both = lambda i, j: f"(p{i}{j} - a{i} * a{j} / n)" if i in use and j in use else "0"
+    diag = lambda i: on(i, f"(p{i}{i} - a{i} * a{i} / n) * (1 + alpha / n)", "1")
+    rhs = lambda i: on(i, f"(q{i} - a{i} * y / n)")
+    minus = lambda *xs: ", ".join(f"t.{c} - {' - '.join(f'{x}.{c}' for x in xs)} AS {c}" for c in _SUMS)
+    solved = f"""SELECT *, {diag(1)} AS m11, {diag(2)} AS m22, {diag(3)} AS m33, {both(1, 2)} AS m12, {both(1, 3)} AS m13, {both(2, 3)} AS m23, {rhs(1)} AS r1, {rhs(2)} AS r2, {rhs(3)} AS r3 FROM"""
+    cramer = """SELECT *, (y - w1 * a1 - w2 * a2 - w3 * a3) / n AS b0 FROM (SELECT *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) AS det,
+      (r1 * (m22 * m33 - m23 * m23) - m12 * (r2 * m33 - m23 * r3) + m13 * (r2 * m23 - m22 * r3)) / det AS w1,
+      (m11 * (r2 * m33 - m23 * r3) - r1 * (m12 * m33 - m23 * m13) + m13 * (m12 * r3 - r2 * m13)) / det AS w2,
+      (m11 * (m22 * r3 - r2 * m23) - m12 * (m12 * r3 - r2 * m13) + r1 * (m12 * m23 - m22 * m13)) / det AS w3 FROM"""
+    sse = """h.yy - 2 * b0 * h.y - 2 * (w1 * h.q1 + w2 * h.q2 + w3 * h.q3) + h.n * b0 * b0 + 2 * b0 * (w1 * h.a1 + w2 * h.a2 + w3 * h.a3)
+      + w1 * w1 * h.p11 + w2 * w2 * h.p22 + w3 * w3 * h.p33 + 2 * (w1 * w2 * h.p12 + w1 * w3 * h.p13 + w2 * w3 * h.p23)"""
+    return f"""d{t} AS (SELECT s_nationkey AS nation, l_orderkey, l_linenumber, l_partkey, l_quantity AS x1, l_discount AS x2, l_tax AS x3, {y} AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+  mm{t} AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my FROM d{t}),
+  c{t} AS (SELECT nation, x1 - m1 AS x1, x2 - m2 AS x2, x3 - m3 AS x3, y - my AS y FROM d{t}, mm{t}),
+  s{t} AS MATERIALIZED (SELECT nation, count(*)::DOUBLE AS n, sum(x1) AS a1, sum(x2) AS a2, sum(x3) AS a3, sum(x1 * x1) AS p11, sum(x1 * x2) AS p12, sum(x1 * x3) AS p13, sum(x2 * x2) AS p22, sum(x2 * x3) AS p23,
+    sum(x3 * x3) AS p33, sum(y) AS y, sum(x1 * y) AS q1, sum(x2 * y) AS q2, sum(x3 * y) AS q3, sum(y * y) AS yy FROM c{t} GROUP BY nation),
+  t{t} AS (SELECT {", ".join(f"sum({c}) AS {c}" for c in _SUMS)} FROM s{t}), al{t} AS (SELECT pow(10, -2 + 5.0::DOUBLE * i / 11) AS alpha FROM range(12) r(i)),
+  inn{t} AS ({cramer} ({solved} (SELECT g.nation, h.nation AS held, alpha, {minus("g", "h")} FROM t{t} t, s{t} g, s{t} h, al{t} WHERE g.nation <> h.nation)))),
+  er{t} AS (SELECT i.nation, alpha, sum({sse}) AS e FROM inn{t} i JOIN s{t} h ON h.nation = i.held GROUP BY ALL),
+  be{t} AS (SELECT nation, arg_min(alpha, struct_pack(e := e, alpha := alpha)) AS alpha FROM er{t} GROUP BY nation),
+  ou{t} AS ({cramer} ({solved} (SELECT g.nation, alpha, {minus("g")} FROM t{t} t, s{t} g JOIN be{t} USING (nation))))),
+  wt{t} AS (SELECT o.nation, w1, w2, w3, b0, h.n, h.y, h.yy, {sse} AS sse FROM ou{t} o JOIN s{t} h USING (nation))"""
+
+
+_PREDICTED = """p AS (SELECT l_orderkey, l_linenumber, l_partkey, d.y, w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3) + b0 + my AS prediction FROM d JOIN wt USING (nation), mm)"""
+
+
+@query("logo_ridge_scores", f"""WITH {_ridge_sql("l_extendedprice")}, {_PREDICTED},
+r AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (ORDER BY prediction) + (count(*) OVER (PARTITION BY prediction) - 1) / 2.0::DOUBLE AS rp FROM p)
+SELECT count(*) AS n, round(1 - sum((y - prediction) * (y - prediction)) / (var_pop(y) * count(y)), 4) AS r2, round(avg(abs(y - prediction)), 2) AS mae, round(corr(ry, rp), 4) AS rho FROM r""")
 def _(spark, sf):
     p = learn.logo_ridge(_rated(spark, sf), "nation", _X, "y")
-    return rounded(learn.regression_scores(p, "y", "prediction"), 4)
+    s = learn.regression_scores(p, "y", "prediction")
+    return s.select("n", F.round("r2", 4).alias("r2"), F.round("mae", 2).alias("mae"), F.round("rho", 4).alias("rho"))
 
 
-@query("logo_ridge_predictions")
+@query("logo_ridge_predictions", f"WITH {_ridge_sql('l_extendedprice')}, {_PREDICTED} SELECT l_orderkey, l_linenumber, l_partkey, round(prediction, 3) AS prediction FROM p")
 def _(spark, sf):
     return rounded(learn.logo_ridge(_rated(spark, sf), "nation", _X, "y").select("l_orderkey", "l_linenumber", "l_partkey", "prediction"), 3)
 
@@ -133,17 +169,23 @@ def _(spark, sf):
     return rounded(learn.permutation_test(c, "c_nationkey", ["a", "b"], "c_acctbal", "c_custkey"), 4)
 
 
-@query("ablation_grid")
+_ABLATED = [(name, y, use, f"_{name}_{y}") for name, use in (("size", (1,)), ("terms", (2, 3)), ("all", (1, 2, 3))) for y in ("price", "saved")]
+_TARGETS = {"price": "l_extendedprice", "saved": "l_extendedprice * l_discount"}
+
+
+@query("ablation_grid", "WITH " + ", ".join(_ridge_sql(_TARGETS[y], use, tag) for _, y, use, tag in _ABLATED)
+       + ", r AS (" + " UNION ALL ".join(f"SELECT '{name}' AS feature_set, '{y}' AS target, sum(n)::BIGINT AS n, count(*) AS n_groups, 1 - sum(sse) / (sum(yy) - sum(y) * sum(y) / sum(n)) AS r2 FROM wt{tag}" for name, y, _, tag in _ABLATED)
+       + ") SELECT feature_set, target, n, n_groups, round(r2, 4) AS r2, r2 = max(r2) OVER (PARTITION BY target) AS best FROM r")
 def _(spark, sf):
-    d = _rated(spark, sf)
-    return rounded(learn.ablation_grid(d, "nation", {"size": ["l_quantity"], "terms": ["l_discount", "l_tax"], "all": _X}, ["y"]), 4)
+    d = _rated(spark, sf).withColumnRenamed("y", "price").withColumn("saved", F.col("price") * F.col("l_discount"))
+    return rounded(learn.ablation_grid(d, "nation", {"size": ["l_quantity"], "terms": ["l_discount", "l_tax"], "all": _X}, ["price", "saved"]), 4)
 
 
 @query("logo_logistic")
 def _(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
         "lang", F.col("n_chars").cast("double").alias("n_chars"), F.length(F.regexp_replace("text", "[^.!?]", "")).cast("double").alias("stops"), "quality")
-    return rounded(learn.logo_logistic(d, "lang", ["n_chars", "stops"], "quality", binarise=False), 4)
+    return rounded(learn.classifier_scores(learn.logo_logistic(d, "lang", ["n_chars", "stops"], "quality", binarise=False)), 4)
 
 
 @query("knn_impute", """WITH o AS (SELECT o_custkey AS c_custkey, avg(o_totalprice) AS price, count(*)::DOUBLE AS n FROM orders GROUP BY 1), c AS (SELECT customer.*, price, n FROM customer LEFT JOIN o USING (c_custkey)),
