@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.operators.ordered import last_valid, next_valid, cum_max_before, cum_sum, ordered_scan
+from gatherline.operators.ordered import cum_max_before, cum_sum, last_valid, next_valid, ordered_scan, prev, settle
 
 
 def _bucket(c: Column, width: float) -> Column:
@@ -119,7 +119,7 @@ def asof_join(
 
     One union and one ordered scan: a long key is cut into blocks, not held in a
     task. 'nearest' prefers the earlier row on ties. Beyond ``tolerance`` the match is null.
-    ``strict`` leaves out right rows at exactly the left time (backward only).
+    ``strict`` leaves out right rows at exactly the left time (backward or forward).
     """
     pay = F.struct(F.col(right_t).cast("double").alias("_t"), *[F.col(p).alias(p) for p in payload])
     lcols = [c for c in left.columns if c not in keys]
@@ -131,7 +131,7 @@ def asof_join(
     both = l.unionByName(r, allowMissingColumns=True)
     both = both.withColumn("_tie", F.xxhash64(F.col("_row"), F.col("_pay")))
     # at equal times the right row goes first, so it counts as earlier; forward needs it after
-    side = -F.col("_side") if direction == "forward" or strict else F.col("_side")
+    side = -F.col("_side") if (direction == "forward") != strict else F.col("_side")
     steps = {}
     if direction != "forward":
         steps["_back"] = last_valid("_pay")
@@ -165,27 +165,52 @@ def merge_islands(
     return d.groupBy(*keys, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
 
 
+def _swept(intervals: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sweep of the end points of ``intervals`` (keys, _s, _e, _c) and the moments of ``points`` (keys, _t, _id).
+
+    One row each, in time: ``_n`` intervals are open just before it, ``_sum`` is the sum of their codes, ``_from`` the
+    moment before, ``_any`` the time so far in which an interval was open.
+    """
+    edge = lambda t, d: intervals.select(*keys, F.col(t).alias("_t"), F.lit(d).alias("_d"), (F.col("_c") * d).alias("_c"))
+    rows = edge("_s", 1).unionByName(edge("_e", -1)).unionByName(points.withColumn("_d", F.lit(0)), allowMissingColumns=True)
+    rows = rows.withColumn("_tie", F.xxhash64("_d", "_c", "_id"))
+    before = {"_n": F.col("_cum") - F.col("_d"), "_sum": F.col("_codes") - F.coalesce("_c", F.lit(0)),
+              "_open": F.when(F.col("_cum") - F.col("_d") >= 1, F.col("_t") - F.col("_from")).otherwise(0.0)}
+    return ordered_scan(rows, keys, ["_t", "_tie"], {"_cum": cum_sum("_d"), "_codes": cum_sum(F.coalesce("_c", F.lit(0))), "_from": prev("_t")},
+                        then=[(before, {"_any": cum_sum("_open")})])
+
+
 def covered_seconds(
     segments: DataFrame,
     others: DataFrame,
     keys: Sequence[str],
     seg_id: str,
     span: tuple[str, str],
-    width: float,
     not_same: str | None = None,
-    rows_per_block: int | None = None,
 ) -> DataFrame:
-    """Seconds of each segment covered by the UNION of the other rows' intervals.
+    """Seconds of each segment covered by the UNION of the other rows' intervals; segments without any are left out.
 
-    ``not_same`` names a column (speaker) that must differ.
+    ``not_same`` names a column (speaker) that must differ; null speakers neither cover nor are covered.
+    A sweep over the end points gives the time in which anybody was active up to each segment's start and end. Where a
+    single speaker was, a second sweep per speaker takes the segment's own time off again. So the work is linear in
+    the rows, however many overlap.
     """
     s, e = span
-    keep = [*keys, seg_id, s, e] + ([not_same] if not_same else [])
-    right = others.select(*keys, s, e, *([not_same] if not_same else []))
-    extra = F.col(not_same) != F.col(f"r_{not_same}") if not_same else None
-    j = overlap_join(segments.select(*keep), right, keys, span, span, width, extra=extra)
-    clip = j.select(
-        *keys, seg_id, F.greatest(s, f"r_{s}").alias("_a"), F.least(e, f"r_{e}").alias("_z")
-    )
-    merged = merge_islands(clip, [*keys, seg_id], "_a", "_z", rows_per_block)
-    return merged.groupBy(*keys, seg_id).agg(F.sum(F.col("_z") - F.col("_a")).alias("covered_s"))
+    who = [not_same] if not_same else []
+    seg = segments.select(*keys, *who, seg_id, s, e).filter((F.col(s) < F.col(e)) & (F.col(not_same).isNotNull() if who else F.lit(True))).distinct()
+    src = others.filter((F.col(s) < F.col(e)) & (F.col(not_same).isNotNull() if who else F.lit(True)))
+    isl = merge_islands(src, [*keys, *who], s, e)
+    code = F.xxhash64(F.col(not_same)) if who else F.lit(0)
+    wide = lambda c: c.cast("decimal(38,0)")
+    one = isl.select(*keys, F.col(s).cast("double").alias("_s"), F.col(e).cast("double").alias("_e"), wide(code).alias("_c"))
+    ends = F.inline(F.array(*[F.struct(F.col(c).cast("double").alias("_t"), F.lit(k).alias("_sign")) for c, k in ((s, -1), (e, 1))]))
+    pts = seg.select(*keys, F.struct(seg_id, s, e, *who).alias("_id"), wide(code).alias("_own"), ends)
+    swept = settle(_swept(one, pts, keys))
+    at = lambda d: d.filter(F.col("_sign").isNotNull()).groupBy(*keys, "_id").agg(F.sum(F.col("_sign") * F.col("_any")).alias("_v"))
+    got = at(swept)
+    if who:
+        sole = swept.filter((F.col("_n") == 1) & (F.col("_t") > F.col("_from")))
+        sole = sole.select(*keys, F.col("_sum").alias("_own"), F.col("_from").alias("_s"), F.col("_t").alias("_e"), wide(F.lit(0)).alias("_c"))
+        own = _swept(sole, pts, [*keys, "_own"]).filter(F.col("_sign").isNotNull()).select(*keys, "_id", (-F.col("_sign")).alias("_sign"), "_any")
+        got = at(swept.select(*keys, "_id", "_sign", "_any").unionByName(own))
+    return got.select(*keys, F.col(f"_id.{seg_id}").alias(seg_id), F.col("_v").alias("covered_s")).filter("covered_s > 1e-9")

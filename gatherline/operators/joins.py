@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gatherline.functions.exprs import col
 from gatherline.operators.intervals import asof_join, overlap_join, within_join
-from gatherline.operators.ordered import join_on, next_, ordered_scan, prev, row_no, top_row
+from gatherline.operators.ordered import cum_max_before, join_on, next_, ordered_scan, prev, row_no, top_row
 
 
 def join_modalities(tables: Sequence[DataFrame], keys: Sequence[str], shared: Sequence[str] = (), how: str = "full") -> DataFrame:
@@ -62,25 +62,30 @@ def against_expected(grid: DataFrame, actual: DataFrame, keys: Sequence[str], fi
 
 
 def surrounding_segments(events: DataFrame, segments: DataFrame, keys: Sequence[str], event_id: str, onset: str, end: str,
-                         payload: Sequence[str], width: float) -> DataFrame:
+                         payload: Sequence[str]) -> DataFrame:
     """The two segments around each event, as structs ``seg_a`` and ``seg_b``.
 
-    Two or more overlap it: the first two by onset. One overlaps: the latest earlier
+    Two or more overlap it: the first two by onset (ties by payload). One overlaps: the latest earlier
     segment and that one (it alone when nothing is earlier). None: the two latest earlier.
+
+    No pair is formed to be dropped again. In order of onset, the first segment that ends after an event's onset is the
+    first whose running latest end does, and the second is the first whose running second-latest end does; both
+    rise along the stream, so a nearest-later lookup finds them among the rows where they rise.
     """
     pay = list(payload)
-    seg = segments.select(*keys, onset, end, *pay)
+    seg = segments.select(*keys, onset, end, *pay).filter(F.col(onset).isNotNull())
     ev = events.select(*keys, event_id, onset, end)
-    j = overlap_join(ev, seg, keys, (onset, end), (onset, end), width)
-    s = F.struct(F.col(f"r_{onset}").alias(onset), *[F.col(f"r_{p}").alias(p) for p in pay])
-    # a rank filter is cut down before the shuffle, so a crowded event sends two rows per task
-    w = Window.partitionBy(*keys, event_id).orderBy(f"r_{onset}", *[f"r_{p}" for p in pay])
-    two = j.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2).groupBy(*keys, event_id).agg(
-        F.max(F.when(F.col("_rn") == 1, s)).alias("_o1"), F.max(F.when(F.col("_rn") == 2, s)).alias("_o2"))
-    before = ordered_scan(seg, keys, [onset, *pay], {"_pp": prev(F.struct(onset, *pay))}).withColumn("_ps", F.struct(onset, *pay))
-    near = asof_join(ev, before, keys, onset, onset, ["_ps", "_pp"], "backward", prefix="e_", strict=True)
-    near = near.select(*keys, event_id, F.col("e__ps").alias("_e1"), F.col("e__pp").alias("_e2"))
-    m = join_on(join_on(events, near, [*keys, event_id], "left"), two, [*keys, event_id], "left")
+    s = F.struct(onset, *pay)
+    steps = {"_top": cum_max_before(end), "_pp": prev(s)}
+    lesser = F.when(F.col("_top").isNotNull(), F.least(F.col(end), F.col("_top")))
+    d = ordered_scan(seg, keys, [onset, *pay], steps, then=[({"_b": lesser}, {"_second": cum_max_before("_b")})]).withColumn("_ps", s)
+    rise = lambda v, before: d.filter(F.col(v) > F.coalesce(F.col(before), F.lit(float("-inf")))).select(*keys, F.col(v).cast("double").alias("_until"), "_ps")
+    near = asof_join(ev, d.select(*keys, onset, "_ps", "_pp"), keys, onset, onset, ["_ps", "_pp"], "backward", prefix="e_", strict=True)
+    one = asof_join(near, rise(end, "_top"), keys, onset, "_until", ["_ps"], "forward", prefix="f_", strict=True)
+    two = asof_join(one, rise("_b", "_second"), keys, onset, "_until", ["_ps"], "forward", prefix="g_", strict=True)
+    reached = lambda c: F.when(F.col(f"{c}.{onset}") < F.col(end), F.col(c))
+    around = two.select(*keys, event_id, F.col("e__ps").alias("_e1"), F.col("e__pp").alias("_e2"), reached("f__ps").alias("_o1"), reached("g__ps").alias("_o2"))
+    m = join_on(events, around, [*keys, event_id], "left")
     o1, o2, e1, e2 = F.col("_o1"), F.col("_o2"), F.col("_e1"), F.col("_e2")
     both_earlier = e1.isNotNull() & e2.isNotNull()
     a = F.when(o2.isNotNull(), o1).when(o1.isNotNull(), F.coalesce(e1, o1)).when(both_earlier, e2)

@@ -144,7 +144,7 @@ def lexical_composites(df: DataFrame, social: Sequence[str], complexity: Sequenc
     }).drop("_log", "_log_cz", *[f"{c}_cz" for c in cols])
 
 
-def relabel_overlaps(events: DataFrame, segments: DataFrame, keys: Sequence[str], event_id: str, onset: str, end: str, speaker: str, text: str, width: float) -> DataFrame:
+def relabel_overlaps(events: DataFrame, segments: DataFrame, keys: Sequence[str], event_id: str, onset: str, end: str, speaker: str, text: str) -> DataFrame:
     """Timing class and context label of each overlap event from the speech around it.
 
     A completion needs another speaker's segment that trails off and ends between 1.5 s
@@ -154,12 +154,12 @@ def relabel_overlaps(events: DataFrame, segments: DataFrame, keys: Sequence[str]
     from gatherline.operators.intervals import within_join
     from gatherline.operators.joins import surrounding_segments
 
-    s = surrounding_segments(events, segments, keys, event_id, onset, end, [text], width)
+    s = surrounding_segments(events, segments, keys, event_id, onset, end, [text])
     diff = F.abs(F.col(f"seg_b.{onset}") - F.col(f"seg_a.{onset}")) * 1000.0
     s = s.withColumn("timing", timing_class((F.col(end) - F.col(onset)) * 1000.0, diff))
     trail = segments.filter(T.trails_off(text)).select(*keys, F.col(speaker).alias("_ts"), F.col(end).alias("_te"))
     span = events.select(*keys, event_id, speaker, (F.col(onset) - 1.5).alias("_a"), (F.col(onset) + 0.3).alias("_z"))
-    done = within_join(trail, span, keys, "_te", ("_a", "_z"), width, closed=True, extra=F.col("_ts") != F.col(speaker))
+    done = within_join(trail, span, keys, "_te", ("_a", "_z"), 4.0, closed=True, extra=F.col("_ts") != F.col(speaker))
     done = done.select(*keys, event_id).distinct().withColumn("completion", F.lit(True))
     s = join_on(s, done, [*keys, event_id], "left").withColumn("completion", F.coalesce("completion", F.lit(False)))
     return s.withColumn("context", T.context_label("timing", f"seg_a.{text}", f"seg_b.{text}", "completion"))

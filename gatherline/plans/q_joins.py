@@ -88,7 +88,7 @@ SELECT event_id, CASE WHEN o2 IS NOT NULL THEN o1 WHEN o1 IS NOT NULL THEN coale
 FROM ev LEFT JOIN k USING (event_id) LEFT JOIN q USING (event_id)""")
 def _(spark, sf):
     seg = _segments(spark, sf, "SPK").withColumnRenamed("event_id", "sid")
-    j = joins.surrounding_segments(_segments(spark, sf, "OVL"), seg, ["group_id", "task_id"], "event_id", "onset", "end", ["sid"], 14400.0)
+    j = joins.surrounding_segments(_segments(spark, sf, "OVL"), seg, ["group_id", "task_id"], "event_id", "onset", "end", ["sid"])
     return j.select("event_id", F.col("seg_a.sid").alias("a"), F.col("seg_b.sid").alias("b"))
 
 
@@ -226,7 +226,7 @@ SELECT event_id, round(sum(len), 3) AS covered_s FROM m GROUP BY 1""")
 def _(spark, sf):
     a = annotations(spark, sf).filter(F.col("type").isin("SPK", "BCK")).select(
         "event_id", "group_id", "task_id", "speaker", F.col("onset").alias("a"), (F.col("onset") + F.col("duration") * 60).alias("z"))
-    c = intervals.covered_seconds(a, a, ["group_id", "task_id"], "event_id", ("a", "z"), 14400.0, "speaker")
+    c = intervals.covered_seconds(a, a, ["group_id", "task_id"], "event_id", ("a", "z"), "speaker")
     return rounded(c.select("event_id", "covered_s"), 3)
 
 

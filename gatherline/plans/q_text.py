@@ -175,7 +175,7 @@ def _(spark, sf):
     text = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("event_id") % len(PHRASES) + 1).cast("int"))
     seg = a.filter("type = 'SPK'").select("group_id", "task_id", "speaker", "onset", (F.col("onset") + F.col("duration") * 20).alias("end"), text.alias("text"))
     ev = a.filter("type = 'OVL'").select("event_id", "group_id", "task_id", "speaker", "onset", (F.col("onset") + F.col("duration") / 1000).alias("end"))
-    r = lexical.relabel_overlaps(ev, seg, ["group_id", "task_id"], "event_id", "onset", "end", "speaker", "text", 14400.0)
+    r = lexical.relabel_overlaps(ev, seg, ["group_id", "task_id"], "event_id", "onset", "end", "speaker", "text")
     return r.select("event_id", "timing", "completion", "context")
 
 
