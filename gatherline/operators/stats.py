@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,8 +250,63 @@ def with_p_and_q(table: DataFrame, r: str, tie: Sequence[str], keys: Sequence[st
     return fdr(table.withColumn("p", p), keys, "p", tie)
 
 
+#: Exact null distributions: up to so many differences (signed ranks), or so many values in the smaller group (rank sums).
+EXACT_SIGNED, EXACT_SMALLER = 50, 8
+_EXACT_CELLS = 20_000_000
+
+
+@lru_cache(256)
+def _signed_rank_share(n: int) -> np.ndarray:
+    """P(W <= w) for w = 0, 1, ...: of the 2^n sign patterns of the ranks 1..n, those whose positive ranks add up to w at most."""
+    c = np.zeros(n * (n + 1) // 2 + 1)
+    c[0] = 1.0
+    for r in range(1, n + 1):
+        c[r:] += c[:-r].copy()
+    return np.cumsum(c) / 2.0**n
+
+
+@lru_cache(256)
+def _rank_sum_share(m: int, n: int) -> np.ndarray:
+    """P(U <= u) for u = 0 .. m n / 2: arrangements of m among n + m values, counted by partitions in an m x n box."""
+    top = m * n // 2
+    c = np.zeros(top + 1)
+    c[0] = 1.0
+    for i in range(1, m + 1):
+        if n + i <= top:  # times 1 - q^(n + i)
+            c[n + i :] -= c[: top + 1 - n - i].copy()
+        for j in range(i):  # over 1 - q^i
+            c[j::i] = np.cumsum(c[j::i])
+    return np.cumsum(c) / comb(n + m, m)
+
+
+def signed_rank_p(w: Column, m: Column) -> Column:
+    """Two-sided exact p of the smaller rank sum ``w`` of ``m`` differences without ties."""
+
+    @F.pandas_udf("double")
+    def p(w: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) or not 1 <= b <= EXACT_SIGNED else min(1.0, 2 * _signed_rank_share(int(b))[int(a)]) for a, b in zip(w, m)], dtype=float)
+
+    return p(w, m)
+
+
+def rank_sum_p(u: Column, a: Column, b: Column) -> Column:
+    """Two-sided exact p of ``u`` for groups of ``a`` and ``b`` values without ties; null where it is out of reach."""
+
+    @F.pandas_udf("double")
+    def p(u: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, m, n in zip(u, a, b):
+            ok = not (pd.isna(x) or pd.isna(m) or pd.isna(n)) and 1 <= min(m, n) <= EXACT_SMALLER and m * n <= _EXACT_CELLS
+            out.append(min(1.0, 2 * _rank_sum_share(int(min(m, n)), int(max(m, n)))[int(min(x, m * n - x))]) if ok else None)
+        return pd.Series(out, dtype=float)
+
+    return p(u, a, b)
+
+
 def paired_contrasts(df: DataFrame, person: Sequence[str], task: str, value: str, tasks: Sequence[str], min_n: int = 3) -> DataFrame:
-    """Every task pair: n, means, mean difference, paired t and its p, Wilcoxon W, z and p, dz; the tests are null under ``min_n``.
+    """Every task pair: n, means, mean difference, paired t with p and q, Wilcoxon W and z with p and q, dz; the tests are
+    null under ``min_n``, Wilcoxon's under five pairs. Its p is exact for up to EXACT_SIGNED differences without ties
+    or zeros, else normal. The q values are over all pairs of tasks.
 
     People are pivoted to one row first, so no self join is needed.
     """
@@ -266,10 +324,14 @@ def paired_contrasts(df: DataFrame, person: Sequence[str], task: str, value: str
     s = s.withColumn("w", F.least(F.col("w_plus"), m * (m + 1) / 2 - F.col("w_plus")))
     var = m * (m + 1) * (2 * m + 1) / 24 - F.col("_tie") / 48
     s = s.withColumn("z", F.when(var > 0, (F.col("w") - m * (m + 1) / 4) / F.sqrt(var)))
-    out = base.join(s, pk, "left").withColumns({"t": F.when(F.col("_sd") > 0, F.col("mean_diff") / (F.col("_sd") / F.sqrt("n"))), "dz": ratio("mean_diff", "_sd"), "p_wilcoxon": normal_tail(F.col("z"))})
+    out = base.join(s, pk, "left").withColumns({"_exact": signed_rank_p(F.col("w"), m), "t": F.when(F.col("_sd") > 0, F.col("mean_diff") / (F.col("_sd") / F.sqrt("n"))), "dz": ratio("mean_diff", "_sd"), "p_wilcoxon": normal_tail(F.col("z"))})
+    plain = (F.col("_tie") == 0) & (F.col("_m") == F.col("n")) & (F.col("n") <= EXACT_SIGNED)
+    out = out.withColumn("p_wilcoxon", F.when(plain, F.col("_exact")).otherwise(F.col("p_wilcoxon")))
     out = out.withColumn("p_t", t_tail(F.col("t"), F.col("n") - 1))
-    tests = {c: F.when(F.col("n") >= min_n, F.col(c)) for c in ("t", "p_t", "dz", "w", "z", "p_wilcoxon")}
-    return out.withColumns(tests).drop("_sd", "_m", "_tie", "w_plus")
+    least = {"w": max(min_n, 5), "z": max(min_n, 5), "p_wilcoxon": max(min_n, 5)}
+    tests = {c: F.when(F.col("n") >= least.get(c, min_n), F.col(c)) for c in ("t", "p_t", "dz", "w", "z", "p_wilcoxon")}
+    out = settle(out.withColumns(tests).drop("_sd", "_m", "_tie", "w_plus", "_exact"))
+    return fdr(fdr(out, [], "p_t", pk, "q_t"), [], "p_wilcoxon", pk, "q_wilcoxon")
 
 
 def rank_sums(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
@@ -284,8 +346,12 @@ def rank_sums(df: DataFrame, keys: Sequence[str], group: str, value: str) -> Dat
     return join_on(g, ties, keys, "left")
 
 
-def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, a, b) -> DataFrame:
-    """U of group a, normal z and p (tie corrected, no continuity step), Cohen d."""
+def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, a, b, min_n: int = 5) -> DataFrame:
+    """U of group a, its normal z (tie corrected), p and Cohen d; keys with fewer than ``min_n`` values in a group are left out.
+
+    p is exact where the smaller group has at most EXACT_SMALLER values and nothing is tied, else normal with a
+    continuity step of a half.
+    """
     d, keys, flat = _const(df.filter(F.col(group).isin(a, b)), keys)
     r = rank_sums(d, keys, group, value)
     pick = lambda v, c: F.max(F.when(F.col(group) == v, F.col(c)))
@@ -294,7 +360,10 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, a,
     n = na + nb
     u = F.col("_ra") - na * (na + 1) / 2
     var = na * nb / 12 * ((n + 1) - F.col("_t") / (n * (n - 1)))
-    g = g.withColumns({"u": u, "z": F.when(var > 0, (u - na * nb / 2) / F.sqrt(var))}).withColumn("p", normal_tail(F.col("z"))).drop("_ra", "_t")
+    g = g.withColumns({"u": u, "z": F.when(var > 0, (u - na * nb / 2) / F.sqrt(var))})
+    step = F.greatest(F.abs(F.col("u") - na * nb / 2) - 0.5, F.lit(0.0)) / F.sqrt(var)
+    exact = F.when(F.col("_t") == 0, rank_sum_p(F.col("u"), na, nb))
+    g = g.filter((na >= min_n) & (nb >= min_n)).withColumn("p", F.coalesce(exact, F.when(var > 0, normal_tail(step)).otherwise(F.when(var == 0, 1.0)))).drop("_ra", "_t")
     m = d.groupBy(*keys).agg(*[f(F.when(F.col(group) == v, F.col(value))).alias(k) for f, v, k in (
         (F.avg, a, "_ma"), (F.avg, b, "_mb"), (F.var_samp, a, "_va"), (F.var_samp, b, "_vb"))])
     g = join_on(g, m, keys, "left")

@@ -48,6 +48,22 @@ def _(spark, sf):
     return rounded(stats.spearman_table(table(spark, sf, "lineitem"), ["l_returnflag"], _PAIRS))
 
 
+def _t_p(t: str, nu: str) -> str:
+    """Two-sided p of t in SQL: the density, integrated over the angle whose tangent is t / sqrt(nu)."""
+    angle = f"atan(abs({t}) / sqrt({nu}))"
+    area = f"list_sum(list_transform(range(2000), lambda i: pow(cos({angle} * (i + 0.5::DOUBLE) / 2000), {nu} - 1))) * {angle} / 2000"
+    return f"(1 - 2 * exp(lgamma(({nu} + 1) / 2.0::DOUBLE) - lgamma({nu} / 2.0::DOUBLE)) / sqrt(pi()) * {area})"
+
+
+@query("spearman_tests", "WITH r AS (SELECT c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS x, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 97) + (count(*) OVER (PARTITION BY c_nationkey, c_custkey % 97) - 1) / 2.0::DOUBLE AS y FROM customer), "
+       "c AS (SELECT c_nationkey, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY 1 HAVING count(*) >= 3), p AS (SELECT *, CASE WHEN n >= 3 THEN " + _t_p("(rho * sqrt((n - 2) / (1 - rho * rho)))", "(n - 2)") + " END AS p FROM c), o AS (SELECT *, count(p) OVER () AS m, row_number() OVER (ORDER BY p, c_nationkey) AS k FROM p) "
+       "SELECT c_nationkey, n, round(rho, 6) AS rho, round(p, 5) AS p, round(CASE WHEN p IS NOT NULL THEN least(1, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) END, 5) AS q FROM o")
+def _(spark, sf):
+    c = table(spark, sf, "customer").select("c_nationkey", "c_acctbal", (F.col("c_custkey") % 97).cast("double").alias("b"))
+    r = stats.spearman_table(c, ["c_nationkey"], [("c_acctbal", "b")]).drop("a", "b").filter("n >= 3")
+    return rounded(stats.with_p_and_q(r, "rho", ["c_nationkey"]).withColumns({x: F.round(x, 5) for x in ("p", "q")}))
+
+
 @query("pair_catalogue", "SELECT 'l_quantity' AS a, 'l_tax' AS b, count(*) FILTER (l_tax > 0.02) AS n_complete, count(*) FILTER (l_tax > 0.02) >= 50000 AS enough FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', count(*), count(*) >= 50000 FROM lineitem")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("l_tax", F.when(F.col("l_tax") > 0.02, F.col("l_tax")))
@@ -100,23 +116,23 @@ _P = """(1 / (1 + 0.3275911 * (abs(z) / sqrt(2)))) * (0.254829592 + (1 / (1 + 0.
 _P = _P.replace("0.3275911", "0.3275911::DOUBLE")
 
 
-def _t_p(t: str, nu: str) -> str:
-    """Two-sided p of t in SQL: the density, integrated over the angle whose tangent is t / sqrt(nu)."""
-    angle = f"atan(abs({t}) / sqrt({nu}))"
-    area = f"list_sum(list_transform(range(2000), lambda i: pow(cos({angle} * (i + 0.5::DOUBLE) / 2000), {nu} - 1))) * {angle} / 2000"
-    return f"(1 - 2 * exp(lgamma(({nu} + 1) / 2.0::DOUBLE) - lgamma({nu} / 2.0::DOUBLE)) / sqrt(pi()) * {area})"
+_SIGNS = """signs(n, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda i: coalesce(CASE WHEN i < len(c) THEN c[i + 1] END, 0) + coalesce(CASE WHEN i - n >= 1 THEN c[i - n] END, 0)) FROM signs WHERE n < 50)"""
+_BH = "CASE WHEN {p} IS NOT NULL THEN least(1, min({p} * m{p} / r{p}) OVER (ORDER BY r{p} DESC ROWS UNBOUNDED PRECEDING)) END"
 
 
-@query("paired_contrasts", "WITH " + SAMPLES + """, w AS (SELECT user_id, task_id, avg(value) AS v FROM s GROUP BY 1, 2),
+@query("paired_contrasts", "WITH RECURSIVE " + SAMPLES + ", " + _SIGNS + """, w AS (SELECT user_id, task_id, avg(value) AS v FROM s GROUP BY 1, 2),
 p AS (SELECT a.task_id AS task_a, b.task_id AS task_b, a.v AS x, b.v AS y, b.v - a.v AS d FROM w a JOIN w b ON a.user_id = b.user_id AND a.task_id < b.task_id),
 r AS (SELECT *, rank() OVER k + (count(*) OVER (PARTITION BY task_a, task_b, round(abs(d), 9)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY task_a, task_b, round(abs(d), 9)) AS tc FROM p WHERE d <> 0 WINDOW k AS (PARTITION BY task_a, task_b ORDER BY round(abs(d), 9))),
 q AS (SELECT task_a, task_b, count(*) AS m, sum(rk) FILTER (d > 0) AS wp, sum(tc * tc - 1) AS tie FROM r GROUP BY 1, 2),
 b AS (SELECT task_a, task_b, count(*) AS n, avg(x) AS ma, avg(y) AS mb, avg(d) AS md, stddev_samp(d) AS sd FROM p GROUP BY 1, 2),
-z AS (SELECT b.*, least(wp, m * (m + 1) / 2 - wp) AS w, (least(wp, m * (m + 1) / 2 - wp) - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - tie / 48.0::DOUBLE) AS z FROM b JOIN q USING (task_a, task_b))
-SELECT task_a, task_b, n, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(md, 6) AS mean_diff, round(w, 1) AS w, round(z, 6) AS z, round(md / (sd / sqrt(n)), 6) AS t, round(md / sd, 6) AS dz, round(""" + _P + ", 6) AS p_wilcoxon, round(" + _t_p("(md / (sd / sqrt(n)))", "(n - 1)") + """, 5) AS p_t FROM z""")
+z AS (SELECT b.*, m, tie, least(wp, m * (m + 1) / 2 - wp) AS w, (least(wp, m * (m + 1) / 2 - wp) - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - tie / 48.0::DOUBLE) AS z FROM b JOIN q USING (task_a, task_b)),
+e AS (SELECT z.*, CASE WHEN tie = 0 AND m = z.n AND z.n <= 50 THEN least(1, 2 * list_sum(c[1:w::BIGINT + 1]) / pow(2, m)) ELSE """ + _P + " END AS pw, " + _t_p("(md / (sd / sqrt(z.n)))", "(z.n - 1)") + """ AS pt FROM z LEFT JOIN signs ON signs.n = m),
+o AS (SELECT *, count(pw) OVER () AS mpw, count(pt) OVER () AS mpt, row_number() OVER (ORDER BY pw, task_a, task_b) AS rpw, row_number() OVER (ORDER BY pt, task_a, task_b) AS rpt FROM e)
+SELECT task_a, task_b, n, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(md, 6) AS mean_diff, round(w, 1) AS w, round(z, 6) AS z, round(md / (sd / sqrt(n)), 6) AS t, round(md / sd, 6) AS dz, round(pw, 6) AS p_wilcoxon, round(pt, 5) AS p_t,
+  round(""" + _BH.format(p="pw") + ", 5) AS q_wilcoxon, round(" + _BH.format(p="pt") + """, 5) AS q_t FROM o""")
 def _(spark, sf):
     w = samples(spark, sf).groupBy("user_id", "task_id").agg(F.avg("value").alias("v"))
-    return rounded(stats.paired_contrasts(w, ["user_id"], "task_id", "v", _TASKS).withColumn("p_t", F.round("p_t", 5)))
+    return rounded(stats.paired_contrasts(w, ["user_id"], "task_id", "v", _TASKS).withColumns({c: F.round(c, 5) for c in ("p_t", "q_t", "q_wilcoxon")}))
 
 
 @query("correlation_tests", "WITH c AS (SELECT c_nationkey, count(*) AS n, corr(c_acctbal, c_custkey) AS r FROM customer GROUP BY 1), p AS (SELECT *, " + _t_p("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)") + """ AS p FROM c),
@@ -133,8 +149,9 @@ g AS (SELECT k, sum(rk) FILTER (g = 'a') AS ra, count(*) FILTER (g = 'a') AS na,
 
 
 @query("mann_whitney", "WITH d AS (SELECT l_linestatus AS k, CASE l_returnflag WHEN 'A' THEN 'a' ELSE 'b' END AS g, l_quantity AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')), " + _RANKED + """
-z AS (SELECT *, ra - na * (na + 1) / 2 AS u, (ra - na * (na + 1) / 2 - na * nb / 2) / sqrt(na::DOUBLE * nb / 12 * (na + nb + 1 - tie / ((na + nb)::DOUBLE * (na + nb - 1)))) AS z FROM g)
-SELECT k AS l_linestatus, na AS n_a, nb AS n_b, round(u, 2) AS u, round(z, 5) AS z, round(""" + _P + """, 5) AS p, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohen_d FROM z""")
+z AS (SELECT *, ra - na * (na + 1) / 2 AS u, (ra - na * (na + 1) / 2 - na * nb / 2) / sqrt(na::DOUBLE * nb / 12 * (na + nb + 1 - tie / ((na + nb)::DOUBLE * (na + nb - 1)))) AS z,
+  (abs(ra - na * (na + 1) / 2 - na * nb / 2) - 0.5::DOUBLE) / sqrt(na::DOUBLE * nb / 12 * (na + nb + 1 - tie / ((na + nb)::DOUBLE * (na + nb - 1)))) AS zc FROM g)
+SELECT k AS l_linestatus, na AS n_a, nb AS n_b, round(u, 2) AS u, round(z, 5) AS z, round(""" + _P.replace("abs(z)", "abs(zc)").replace("-z * z", "-zc * zc") + """, 5) AS p, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohen_d FROM z""")
 def _(spark, sf):
     m = stats.mann_whitney(table(spark, sf, "lineitem"), ["l_linestatus"], "l_returnflag", "l_quantity", "A", "R")
     return rounded(m.withColumns({"u": F.round("u", 2), "z": F.round("z", 5), "p": F.round("p", 5)}))
