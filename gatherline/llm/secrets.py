@@ -171,29 +171,28 @@ def labelled_findings(docs: DataFrame, words_path: str, fit_docs: int = FIT_DOCS
     return found.select("doc_id", "features").mapInArrow(run, "doc_id long, features array<double>, label long")
 
 
-def _scored(trees, found: list[list[float]], rules: bool) -> np.ndarray:
-    """Scores of findings by the forest. Without reviewed ones (``rules``), or without trees, the rules score what
-    they settle; what they leave open scores a half where there are no trees."""
-    forest_says = forest.predict(trees, np.array(found)) if trees and found else np.full(len(found), 0.5)
-    if trees and not rules:
-        return forest_says
-    return np.array([s if (y := known(f)) is None else float(y) for f, s in zip(found, forest_says, strict=True)])
+def _scored(trees, found: list[list[float]]) -> np.ndarray:
+    """Scores of findings by the forest, all of them. Only where there are no trees (no labels, or of one kind) the rules
+    that label the sample score what they settle, and the rest a half."""
+    if trees and found:
+        return forest.predict(trees, np.array(found))
+    return np.array([0.5 if (y := known(f)) is None else float(y) for f in found])
 
 
 def scan(docs: DataFrame, words_path: str, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, start, length (code points), named, score and is_secret of every candidate in every whole text.
 
-    ``labelled`` are reviewed findings; without them rules label a sample and settle what they can, the forest the rest. Null and empty texts have none;
+    ``labelled`` are reviewed findings; without them rules label the sample that the forest is fitted on. The forest scores every candidate. Null and empty texts have none;
     repeated rows are scanned each. The forest is bounded by its trees and depth, and is broadcast.
     """
     trees = fit(labelled if labelled is not None else labelled_findings(docs.select("doc_id", "text"), words_path))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    named, rules = FEATURES.index("named"), labelled is None
+    named = FEATURES.index("named")
 
     def run(batches):
         for batch in batches:
             f = batch.column("features").to_pylist()
-            s = _scored(shared.value, f, rules)
+            s = _scored(shared.value, f)
             cells = [batch.column("doc_id"), batch.column("start"), batch.column("length"), pa.array([bool(x[named]) for x in f], pa.bool_()), pa.array(s, pa.float64()), pa.array(s > THRESHOLD, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cells, ["doc_id", "start", "length", "named", "score", "is_secret"])
 
@@ -204,7 +203,6 @@ def redact(docs: DataFrame, words_path: str, labelled: DataFrame | None = None,
     """``docs`` with each confirmed secret replaced by ``mark``; every row and column stays, n_chars follows the text."""
     trees = fit(labelled if labelled is not None else labelled_findings(docs.select("doc_id", "text"), words_path))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    rules = labelled is None
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     source = docs.select(F.col("text").cast("string").alias("text"), whole_rows(docs, "text", "n_chars").alias("rest_"))
 
@@ -216,7 +214,7 @@ def redact(docs: DataFrame, words_path: str, labelled: DataFrame | None = None,
                 found = candidates(t or "", words)
                 if found:
                     at, parts = 0, []
-                    for (a, b, _), s in zip(found, _scored(shared.value, [f for _, _, f in found], rules), strict=True):
+                    for (a, b, _), s in zip(found, _scored(shared.value, [f for _, _, f in found]), strict=True):
                         if s > THRESHOLD:
                             parts += [t[at:a], mark]
                             at = b

@@ -33,3 +33,23 @@ def test_packing_on_odd_rows(spark):
     assert {r.doc_id for r in out} == {None, 0, 1, 2, 3, 5, 6} and min(r.length for r in out) > 0
     assert sum(r.length for r in out if r.doc_id == 5) == next(r.doc_tokens for r in out if r.doc_id == 5)
     assert corpus_pipeline.packed(spark, docs.where("false"), "").collect() == []
+
+
+def test_forest_scores_by_a_plain_walk():
+    import numpy as np
+
+    from gatherline.llm import forest
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 5))
+    y = (x[:, 0] + x[:, 1] > 0.3).astype(float)
+    trees = [np.array(forest._grow(x, y, np.random.default_rng(i))).reshape(-1, 5) for i in range(6)]
+
+    def walk(t, row):
+        at = 0
+        while t[at, 0] >= 0:
+            at = int(t[at, 2] if row[int(t[at, 0])] <= t[at, 1] else t[at, 3])
+        return t[at, 4]
+
+    assert forest.predict(trees, x) == pytest.approx([np.mean([walk(t, r) for t in trees]) for r in x])
+    assert ((forest.predict(trees, x) > 0.5) == y).mean() > 0.9
