@@ -183,8 +183,7 @@ def median_split(df: DataFrame, c: str, out: str, keys: Sequence[str] = ()) -> D
     if keys:
         d = join_on(df, exact_percentiles(df, keys, {"_med": (c, 0.5)}), keys, "left")
     else:
-        tagged = df.select(F.lit(0).alias("_k"), F.col(c).cast("double").alias("_x"))
-        d = df.withColumn("_med", exact_percentiles(tagged, ["_k"], {"m": ("_x", 0.5)}).select("m").scalar())
+        d = df.withColumn("_med", exact_percentiles(df.select(F.col(c).cast("double").alias("_x")), [], {"m": ("_x", 0.5)}).select("m").scalar())
     return d.withColumn(out, F.when(F.col(c) >= F.col("_med"), "high").when(F.col(c).isNotNull(), "low")).drop("_med")
 
 

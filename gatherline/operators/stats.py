@@ -493,7 +493,7 @@ def feed_offsets(df: DataFrame, feed: str, t: str, projected: Column, limit: flo
     """Start offset of each feed: its median projected clock minus the median over feeds; too far ones are dropped."""
     d = df.withColumn("_o", projected)
     m = exact_percentiles(d, [feed], {"_m": ("_o", 0.5)})
-    mid = exact_percentiles(m.withColumn("_k", F.lit(0)), ["_k"], {"_mm": ("_m", 0.5)})
+    mid = exact_percentiles(m, [], {"_mm": ("_m", 0.5)})
     out = m.withColumn("_mid", mid.select("_mm").scalar()).withColumn("start_offset", F.col("_m") - F.col("_mid"))
     return out.filter(F.abs("start_offset") <= limit).select(feed, "start_offset")
 
@@ -654,8 +654,8 @@ def group_bootstrap_r2(df: DataFrame, group: str, y: str, pred: str, n_boot: int
     r2 = lambda w: 1 - F.sum(w * F.col("_e")) / (F.sum(w * F.col("_q")) - F.sum(w * F.col("_s")) ** 2 / F.sum(w * F.col("_n")))
     b = g.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(int(n_boot)))))
     b = b.withColumn("_w", poisson_weight(F.col(group), F.col("_b"), seed).cast("double")).filter("_w > 0")
-    reps = b.groupBy("_b").agg(r2(F.col("_w")).alias("_r")).withColumn("_k", F.lit(0))
+    reps = b.groupBy("_b").agg(r2(F.col("_w")).alias("_r"))
     tail = (1 - level) / 2
-    q = exact_percentiles(reps, ["_k"], {"ci_low": ("_r", tail), "ci_high": ("_r", 1 - tail)})
-    point = g.withColumn("_k", F.lit(0)).groupBy("_k").agg(r2(F.lit(1.0)).alias("r2"), F.count(F.lit(1)).alias("n_groups"))
-    return point.join(q, "_k").drop("_k")
+    q = exact_percentiles(reps, [], {"ci_low": ("_r", tail), "ci_high": ("_r", 1 - tail)})
+    point = g.agg(r2(F.lit(1.0)).alias("r2"), F.count(F.lit(1)).alias("n_groups"))
+    return point.withColumn("_q", q.select(F.struct("ci_low", "ci_high").alias("s")).scalar()).select("r2", "n_groups", "_q.*")

@@ -9,7 +9,7 @@ from gatherline.plans import catalog
 SF = "/root/testdata/sf0.001"
 ORACLES = catalog.ORACLES
 # Python workers are allowed in these only
-PYTHON_OK = {"viterbi_smooth", "hidden_states", "hidden_states_audit", "state_stability", "logo_ridge_scores", "logo_ridge_predictions", "permutation_test", "ablation_grid", "knn_impute"}
+PYTHON_OK = {"viterbi_smooth", "hidden_states", "hidden_states_audit", "state_stability", "logo_ridge_scores", "logo_ridge_predictions", "permutation_test", "ablation_grid", "knn_impute", "mann_whitney", "paired_contrasts"}
 EAGER = {"principal_components", "kmeans_sweep", "gaussian_mixture", "hidden_states", "hidden_states_audit", "state_number", "state_stability", "logo_logistic"}
 
 
