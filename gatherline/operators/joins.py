@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gatherline.functions.exprs import col
 from gatherline.operators.intervals import asof_join, overlap_join, within_join
@@ -196,9 +199,23 @@ def _norm_name(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(c)), r"\s+", " "))
 
 
-def _edits(length: Column, cutoff: float) -> Column:
-    """Most edits a partner of a string of this length may need at the cutoff."""
-    return F.floor(length * F.lit((1 - cutoff) / cutoff) + F.lit(1e-9)).cast("int")
+def _edits(length: Column, cutoff: float, blocks: bool) -> Column:
+    """Most edits a partner of a string of this length may need at the cutoff; from its length on, one piece is empty and meets all."""
+    most = F.floor(length * F.lit((1 - cutoff) / cutoff * (2 if blocks else 1)) + F.lit(1e-9))
+    return F.least(most, length).cast("int")
+
+
+@F.pandas_udf(DoubleType())
+def _block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of characters in the recursively longest common blocks, ``b`` first."""
+    m, out, last = SequenceMatcher(), [], None
+    for x, y in zip(a, b, strict=True):
+        if x != last:
+            m.set_seq2(x)
+            last = x
+        m.set_seq1(y)
+        out.append(m.ratio())
+    return pd.Series(out, dtype="float64")
 
 
 def _piece(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
@@ -208,16 +225,19 @@ def _piece(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
     return a, z - a
 
 
-def fuzzy_pairs(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
-    """Pairs (a_name, b_name) of distinct names with 1 - edits / longer length >= cutoff, exactly.
+def fuzzy_pairs(a: DataFrame, b: DataFrame, cutoff: float, blocks: bool = False) -> DataFrame:
+    """Pairs (a_name, b_name) of distinct names whose similarity reaches the cutoff, exactly.
 
-    A name within k edits keeps at least one of k + 1 pieces of its partner, moved by
-    at most k places: only names sharing such a piece are compared.
+    The similarity is 1 - edits / longer length, or, with ``blocks``, twice the characters in the recursively
+    longest common blocks over both lengths. A name within k edits keeps at least one of k + 1 pieces of its
+    partner, moved by at most k places: only names sharing such a piece are compared. What is outside the
+    blocks is at most k = (1 - cutoff) * (both lengths) insertions and deletions, so the same holds there.
+    At low cutoffs k reaches the length and all names of fitting lengths are compared.
     """
-    if not 0.5 < cutoff <= 1.0:
-        raise ValueError("cutoff must be in (0.5, 1]")
+    if not 0.0 < cutoff <= 1.0:
+        raise ValueError("cutoff must be in (0, 1]")
     lb = F.length("b_name")
-    kb = _edits(lb, cutoff)
+    kb = _edits(lb, cutoff, blocks)
 
     def b_sig(i):
         s, n = _piece(lb, kb, i)
@@ -227,7 +247,7 @@ def fuzzy_pairs(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
     la = F.length("a_name")
 
     def pieces(l):
-        k = _edits(l, cutoff)
+        k = _edits(l, cutoff, blocks)
 
         def at(i):
             s, n = _piece(l, k, i)
@@ -237,28 +257,36 @@ def fuzzy_pairs(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), k), at))
 
-    lens = F.sequence(F.ceil(la * F.lit(cutoff) - F.lit(1e-9)).cast("int"), F.floor(la / F.lit(cutoff) + F.lit(1e-9)).cast("int"))
+    shortest = cutoff / (2 - cutoff) if blocks else cutoff
+    lens = F.sequence(F.ceil(la * F.lit(shortest) - F.lit(1e-9)).cast("int"), F.floor(la / F.lit(shortest) + F.lit(1e-9)).cast("int"))
     sigs = F.array_distinct(F.flatten(F.transform(lens, pieces)))
     as_ = a.filter(la > 0).select("a_name", F.explode(sigs).alias("sig"))
     p = as_.join(bs, "sig").select("a_name", "b_name").distinct()
-    ratio = 1 - F.levenshtein("a_name", "b_name") / F.greatest(F.length("a_name"), F.length("b_name"))
+    ratio = _block_ratio("a_name", "b_name") if blocks else 1 - F.levenshtein("a_name", "b_name") / F.greatest(F.length("a_name"), F.length("b_name"))
     return p.withColumn("similarity", ratio).filter(F.col("similarity") >= cutoff - 1e-9)
 
 
-def crosswalk(names: DataFrame, name: str, canon: DataFrame, canon_name: str, cutoff: float = 0.8) -> DataFrame:
+def crosswalk(names: DataFrame, name: str, canon: DataFrame, canon_name: str, cutoff: float = 0.8, blocks: bool = False) -> DataFrame:
     """Match names to a canonical list: normalised exact first, then the closest at or over the cutoff.
 
     Adds ``matched`` ('n/a' when none) and ``outcome`` exact / fuzzy / none. Similarity is
-    one minus edits over the longer length; ties take the smaller name. Only distinct
-    names are compared, so repeats of a name cost nothing.
+    one minus edits over the longer length, ties take the smaller name; or that of common ``blocks``,
+    ties take the larger name. Only distinct names are compared, so repeats of a name cost nothing.
     """
     d = names.withColumn("_a", _norm_name(name))
     cb = canon.select(_norm_name(canon_name).alias("b_name")).distinct()
     da = d.select(F.col("_a").alias("a_name")).distinct()
     exact = da.join(cb, da["a_name"] == cb["b_name"], "left_semi").select("a_name", F.col("a_name").alias("matched"), F.lit("exact").alias("outcome"))
     rest = da.join(cb, da["a_name"] == cb["b_name"], "left_anti")
-    best = fuzzy_pairs(rest, cb, cutoff).groupBy("a_name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "b_name")).alias("m"))
+    pairs = fuzzy_pairs(rest, cb, cutoff, blocks)
+    closest = F.max(F.struct("similarity", "b_name")) if blocks else F.min(F.struct((-F.col("similarity")).alias("s"), "b_name"))
+    best = pairs.groupBy("a_name").agg(closest.alias("m"))
     fuzzy = best.select("a_name", F.col("m.b_name").alias("matched"), F.lit("fuzzy").alias("outcome"))
     key = exact.unionByName(fuzzy)
     out = d.join(key, d["_a"] == key["a_name"], "left").drop("_a", "a_name")
     return out.withColumns({"matched": F.coalesce("matched", F.lit("n/a")), "outcome": F.coalesce("outcome", F.lit("none"))})
+
+
+def outcome_counts(matched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """How many names of a crosswalk were matched exactly, by likeness and not at all."""
+    return matched.groupBy(*keys).agg(*[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("exact", "fuzzy", "none")])

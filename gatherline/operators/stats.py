@@ -647,15 +647,14 @@ def matched_agreement(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -
 
 def group_bootstrap_r2(df: DataFrame, group: str, y: str, pred: str, n_boot: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
     """R2 with an interval from resampling whole groups: group sums are reweighted, rows are read once."""
-    from gatherline.operators.sampling import poisson_weight
+    from gatherline.operators.sampling import replicate_sums
 
     e = F.col(y) - F.col(pred)
+    parts = ["_n", "_s", "_q", "_e"]
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_q"), F.sum(e * e).alias("_e"))
-    r2 = lambda w: 1 - F.sum(w * F.col("_e")) / (F.sum(w * F.col("_q")) - F.sum(w * F.col("_s")) ** 2 / F.sum(w * F.col("_n")))
-    b = g.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(int(n_boot)))))
-    b = b.withColumn("_w", poisson_weight(F.col(group), F.col("_b"), seed).cast("double")).filter("_w > 0")
-    reps = b.groupBy("_b").agg(r2(F.col("_w")).alias("_r"))
+    r2 = lambda n, s, q, left: 1 - left / F.nullif(q - s * s / n, F.lit(0.0))
+    reps = replicate_sums(g, [], group, parts, n_boot, seed).filter("_w > 0").select(r2(*[F.col(f"_s{i}") for i in range(4)]).alias("_r"))
     tail = (1 - level) / 2
     q = exact_percentiles(reps, [], {"ci_low": ("_r", tail), "ci_high": ("_r", 1 - tail)})
-    point = g.agg(r2(F.lit(1.0)).alias("r2"), F.count(F.lit(1)).alias("n_groups"))
+    point = g.agg(r2(*[F.sum(c).cast("double") for c in parts]).alias("r2"), F.count(F.lit(1)).alias("n_groups"))
     return point.withColumn("_q", q.select(F.struct("ci_low", "ci_high").alias("s")).scalar()).select("r2", "n_groups", "_q.*")

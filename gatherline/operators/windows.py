@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from gatherline.operators.ordered import (
 )
 
 FRAME_BLOCK = 200_000
+#: Rows of a key whose peaks are found in one piece.
+PEAK_BLOCK = 50_000
 
 
 # ------------------------------------------------------------------ window tables
@@ -193,9 +197,9 @@ def local_maxima(df: DataFrame, keys: Sequence[str], order: str, x: str, min_dis
                  rows_per_block: int | None = None) -> DataFrame:
     """Peaks above a threshold and at least ``min_distance`` rows after the peak kept before.
 
-    rule 'sd': mean + 0.5 population sd; rule 'mad': median + 0.8 MAD. Candidates
-    further apart than the distance never influence each other, so the greedy rule
-    runs inside islands of close candidates only.
+    rule 'sd': mean + 0.5 population sd; rule 'mad': median + 0.8 MAD. Every candidate points at the next one
+    far enough away. Inside blocks of PEAK_BLOCK rows the pointers are followed by doubling; a block passes on
+    where each possible first peak of it leads, a few candidates, so no run of close candidates is held whole.
     """
     d = df.filter(F.col(x).isNotNull())
     if rule == "sd":
@@ -207,14 +211,65 @@ def local_maxima(df: DataFrame, keys: Sequence[str], order: str, x: str, min_dis
         d = join_on(d, mad, keys, "left").withColumn("_thr", F.when(F.col("_s") > 0, F.col("_m") + 0.8 * F.col("_s"))).drop("_m", "_s")
     d = ordered_scan(d, keys, [order], {"_p": prev(x), "_q": next_(x), "pos": row_no()}, rows_per_block)
     v = F.col(x)
-    c = settle(d.filter((v > F.col("_thr")) & (v >= F.col("_p")) & (v > F.col("_q"))).drop("_p", "_q", "_thr"))
-    new = F.when(F.col("pos") - F.col("_pp") >= min_distance, 1).otherwise(0)
-    c = ordered_scan(c, keys, ["pos"], {"_pp": prev("pos")}, rows_per_block, then=[({"_new": new}, {"_isl": cum_sum("_new")})])
-    rows = c.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list(F.struct("pos", F.col(order).alias("peak_at"), v.alias("peak_value")))).alias("_c"))
-    none = F.slice(F.col("_c"), 1, 0)
-    far = lambda acc, r: F.when((F.size(acc) == 0) | (r["pos"] - F.element_at(acc, -1)["pos"] >= min_distance), F.concat(acc, F.array(r))).otherwise(acc)
-    kept = rows.select(*keys, F.explode(F.aggregate(F.col("_c"), none, far)).alias("_k"))
-    return kept.select(*keys, F.col("_k.pos").alias("pos"), F.col("_k.peak_at").alias("peak_at"), F.col("_k.peak_value").alias("peak_value"))
+    c = d.filter((v > F.col("_thr")) & (v >= F.col("_p")) & (v > F.col("_q")))
+    found = F.array_sort(F.collect_list(F.struct("pos", F.col(order).alias("peak_at"), v.alias("peak_value"))))
+    blocks = settle(c.withColumn("_blk", F.floor(F.col("pos") / PEAK_BLOCK)).groupBy(*keys, "_blk").agg(found.alias("_c")))
+    leads, chosen, kept = _peak_steps(min_distance, PEAK_BLOCK)
+    at = F.transform("_c", lambda p: p["pos"])
+    ends = blocks.select(*keys, "_blk", leads(at, "_blk").alias("_e"))
+    path = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", "_e.entry", "_e.exit"))).alias("_b"))
+    part = lambda name: F.transform("_b", lambda b: b[name])
+    starts = path.select(*keys, F.explode(F.arrays_zip(part("_blk").alias("blk"), chosen(part("entry"), part("exit")).alias("at"))).alias("_s"))
+    starts = starts.select(*keys, F.col("_s.blk").alias("_blk"), F.col("_s.at").alias("_first")).filter(F.col("_first") >= 0)
+    rows = join_on(blocks, starts, [*keys, "_blk"], "inner").withColumn("_i", kept(at, "_first"))
+    out = rows.select(*keys, F.explode(F.transform("_i", lambda i: F.get("_c", i))).alias("_k"))
+    return out.select(*keys, F.col("_k.pos").alias("pos"), F.col("_k.peak_at").alias("peak_at"), F.col("_k.peak_value").alias("peak_value"))
+
+
+def _peak_steps(distance: int, block: int):
+    """Functions of a block's sorted candidates: where its possible first peaks lead, the first peak of each block
+    of a key (-1 where none is far enough), and the places of the peaks kept after a first one."""
+
+    def following(p: np.ndarray) -> np.ndarray:
+        return np.searchsorted(p, p + distance)
+
+    @F.pandas_udf("entry array<long>, exit array<long>")
+    def leads(pos: pd.Series, blk: pd.Series) -> pd.DataFrame:
+        entry, exit_ = [], []
+        for p, b in zip(pos, blk, strict=True):
+            at = following(p)
+            end = np.where(at < len(p), at, np.arange(len(p)))
+            while (end[end] != end).any():
+                end = end[end]
+            n = np.searchsorted(p, b * block + distance - 1) + 1
+            entry.append(p[:n])
+            exit_.append(p[end[:n]])
+        return pd.DataFrame({"entry": entry, "exit": exit_})
+
+    @F.pandas_udf("array<long>")
+    def chosen(entry: pd.Series, exit_: pd.Series) -> pd.Series:
+        out = []
+        for es, xs in zip(entry, exit_, strict=True):
+            firsts, last = [], -distance
+            for e, x in zip(es, xs, strict=True):
+                i = int(np.searchsorted(e, last + distance))
+                firsts.append(int(e[i]) if i < len(e) else -1)
+                last = int(x[i]) if i < len(e) else last
+            out.append(firsts)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<int>")
+    def kept(pos: pd.Series, first: pd.Series) -> pd.Series:
+        out = []
+        for p, f in zip(pos, first, strict=True):
+            at, i, places = following(p), int(np.searchsorted(p, f)), []
+            while i < len(p):
+                places.append(i)
+                i = int(at[i])
+            out.append(places)
+        return pd.Series(out)
+
+    return leads, chosen, kept
 
 
 def beat_features(beats: DataFrame, keys: Sequence[str], at: str, to_ms: float, expected: DataFrame | None = None,

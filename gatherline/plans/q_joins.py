@@ -193,11 +193,36 @@ m AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rn,
 
 @query("crosswalk", _NAMES + "SELECT p_partkey, coalesce(b, 'n/a') AS matched, CASE WHEN b = k.a THEN 'exact' WHEN b IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS outcome FROM k LEFT JOIN m ON k.a = m.a AND rn = 1")
 def _(spark, sf):
+    return joins.crosswalk(*_broken_names(spark, sf), 0.8).select("p_partkey", "matched", "outcome")
+
+
+def _broken_names(spark, sf):
+    """Part names with letter case, an end or some letters changed, and the names as they were."""
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     k = F.col("p_partkey") % 4
     broken = (F.when(k == 0, F.upper("p_name")).when(k == 1, F.substr(F.col("p_name"), F.lit(1), F.length("p_name") - 1))
               .when(k == 2, F.replace(F.col("p_name"), F.lit("e"), F.lit("xx"))).otherwise(F.col("p_name")))
-    return joins.crosswalk(p.select("p_partkey", broken.alias("nm")), "nm", p, "p_name", 0.8).select("p_partkey", "matched", "outcome")
+    return p.select("p_partkey", broken.alias("nm")), "nm", p, "p_name"
+
+
+_BLOCKS = _NAMES.replace("WITH n AS", "WITH RECURSIVE n AS").split("p AS (SELECT a, b, 1 -")[0] + """q AS (SELECT a, b FROM d, c WHERE length(a) > 0 AND a NOT IN (SELECT b FROM c)),
+seg AS (SELECT a, b, 1::BIGINT AS al, length(a) + 1 AS ah, 1::BIGINT AS bl, length(b) + 1 AS bh, 0::BIGINT AS m FROM q
+  UNION ALL SELECT a, b, CASE WHEN side = 0 THEN al ELSE i + k END, CASE WHEN side = 0 THEN i ELSE ah END, CASE WHEN side = 0 THEN bl ELSE j + k END, CASE WHEN side = 0 THEN j ELSE bh END, CASE WHEN side = 0 THEN k ELSE 0 END
+  FROM (SELECT * FROM (SELECT *, unnest(range(1, least(ah - i, bh - j) + 1)) AS k FROM (SELECT *, unnest(range(bl, bh)) AS j FROM (SELECT *, unnest(range(al, ah)) AS i FROM seg)))
+        WHERE substring(a, i, k) = substring(b, j, k) QUALIFY row_number() OVER (PARTITION BY a, b, al, ah, bl, bh ORDER BY k DESC, j, i) = 1), (VALUES (0), (1)) v(side)),
+r AS (SELECT a, b, 2.0::DOUBLE * sum(m) / (length(a) + length(b)) AS r FROM seg GROUP BY a, b HAVING r >= 0.75 - 1e-9),
+m AS (SELECT a, b FROM r QUALIFY row_number() OVER (PARTITION BY a ORDER BY r DESC, b DESC) = 1 UNION ALL SELECT b, b FROM c)
+"""
+
+
+@query("crosswalk_blocks", _BLOCKS + "SELECT p_partkey, coalesce(b, 'n/a') AS matched, CASE WHEN b = k.a THEN 'exact' WHEN b IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS outcome FROM k LEFT JOIN m ON k.a = m.a")
+def _(spark, sf):
+    return joins.crosswalk(*_broken_names(spark, sf), 0.75, blocks=True).select("p_partkey", "matched", "outcome")
+
+
+@query("crosswalk_outcomes", _BLOCKS + "SELECT count(*) FILTER (b = k.a) AS n_exact, count(*) FILTER (b <> k.a) AS n_fuzzy, count(*) FILTER (b IS NULL) AS n_none FROM k LEFT JOIN m ON k.a = m.a")
+def _(spark, sf):
+    return joins.outcome_counts(joins.crosswalk(*_broken_names(spark, sf), 0.75, blocks=True))
 
 
 @query("focal_vs_others", """

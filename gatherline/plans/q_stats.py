@@ -257,9 +257,36 @@ def _(spark, sf):
     return rounded(stats.adjusted_rand(table(spark, sf, "orders").withColumn("b", F.col("o_custkey") % 3), "o_orderstatus", "b"), 8)
 
 
-@query("bootstrap_mean")
+def _weighted(ident: str, rows: str, n_boot: int, seed: int) -> str:
+    """SQL of ``rows`` times the replicates b, with a Poisson(1) count w: whole-number arithmetic, as in the sampling operators."""
+    fifth = lambda x: f"((({x} * {x}) % P) * (({x} * {x}) % P) % P * {x} % P)"
+    y = f"SELECT *, ({ident} % P * 48271 + {seed} * 69621 + 11) % P AS x0 FROM {rows}"
+    z = f"SELECT * EXCLUDE (x0), ({fifth('x0')} + b * 40692) % P AS x1 FROM ({y}), (SELECT unnest(range(1, {n_boot + 1})) AS b)"
+    u = f"SELECT * EXCLUDE (x1), ({fifth('x1')} + 12345) % P AS x2 FROM ({z})"
+    count = " + ".join(f"(u >= {t})::INT" for t in sampling.poisson_steps())
+    return f"SELECT * EXCLUDE (u), {count} AS w FROM (SELECT * EXCLUDE (x2), {fifth('x2')} AS u FROM ({u}))".replace("P", str(sampling.PRIME))
+
+
+@query("bootstrap_mean", f"""WITH o AS (SELECT o_orderkey AS id, o_orderstatus, o_totalprice AS v FROM orders), r AS (SELECT o_orderstatus, b, sum(w * v) / sum(w) AS m FROM ({_weighted("id", "o", 100, 1)}) GROUP BY 1, 2),
+q AS (SELECT o_orderstatus, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM r GROUP BY 1)
+SELECT o_orderstatus, round(avg(v), 4) AS mean, count(*) AS n, round(any_value(lo), 4) AS ci_low, round(any_value(hi), 4) AS ci_high FROM o JOIN q USING (o_orderstatus) GROUP BY 1""")
+def _(spark, sf):
+    return rounded(sampling.bootstrap_mean(table(spark, sf, "orders"), ["o_orderstatus"], "o_totalprice", "o_orderkey", 100), 4)
+
+
+@query("group_bootstrap_r2", f"""WITH g AS (SELECT l_suppkey AS id, count(*) AS n, sum(l_extendedprice) AS s, sum(l_extendedprice * l_extendedprice) AS q, sum((l_extendedprice - l_quantity * 1100) * (l_extendedprice - l_quantity * 1100)) AS e FROM lineitem GROUP BY 1),
+r AS (SELECT b, 1 - sum(w * e) / (sum(w * q) - sum(w * s) * sum(w * s) / sum(w * n)) AS r FROM ({_weighted("id", "g", 200, 1)}) GROUP BY 1)
+SELECT round((SELECT 1 - sum(e) / (sum(q) - sum(s) * sum(s) / sum(n)) FROM g), 7) AS r2, (SELECT count(*) FROM g) AS n_groups, round(quantile_cont(r, 0.025), 7) AS ci_low, round(quantile_cont(r, 0.975), 7) AS ci_high FROM r""")
+def _(spark, sf):
+    d = table(spark, sf, "lineitem").withColumn("guess", F.col("l_quantity") * 1100)
+    return rounded(stats.group_bootstrap_r2(d, "l_suppkey", "l_extendedprice", "guess"), 7)
+
+
+@query("matched_agreement", """WITH RECURSIVE c AS (SELECT o_orderstatus AS a, o_custkey % 3 AS b, count(*) AS n FROM orders GROUP BY 1, 2), p AS (SELECT a, [b] AS used, n AS total FROM c WHERE a = 'F'
+  UNION ALL SELECT c.a, list_append(used, c.b), total + n FROM p JOIN c ON c.a = CASE p.a WHEN 'F' THEN 'O' WHEN 'O' THEN 'P' END AND NOT list_contains(used, c.b))
+SELECT (SELECT count(*) FROM orders) AS n, round(max(total) * 1.0::DOUBLE / (SELECT count(*) FROM orders), 8) AS agreement FROM p""")
 def _(spark, sf):
-    return rounded(sampling.bootstrap_mean(table(spark, sf, "orders"), ["o_orderstatus"], "o_totalprice", "o_orderkey", 100))
+    return rounded(stats.matched_agreement(table(spark, sf, "orders").withColumn("b", F.col("o_custkey") % 3), "o_orderstatus", "b"), 8)
 
 
 @query("annotation_context", "WITH " + SAMPLES + """SELECT user_id, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'signup') AS n_signup, count(*) AS n_events, round(max(t) - min(t), 4) AS span_s FROM s GROUP BY 1""")

@@ -289,6 +289,16 @@ def _(spark, sf):
     return p.groupBy("user_id").agg(F.count("*").alias("n_peaks"), F.sum("pos").alias("pos_sum"))
 
 
+_MAD_PEAKS = _PEAKS.replace("st AS (SELECT user_id, avg(value) + 0.5 * stddev_pop(value) AS thr FROM s GROUP BY 1)",
+    "md AS (SELECT user_id, quantile_cont(value, 0.5) AS m FROM s GROUP BY 1), st AS (SELECT user_id, m + 0.8 * quantile_cont(abs(value - m), 0.5) AS thr FROM s JOIN md USING (user_id) GROUP BY user_id, m HAVING quantile_cont(abs(value - m), 0.5) > 0)")
+
+
+@query("signal_peaks_mad", _MAD_PEAKS + "SELECT user_id, count(*) AS n_peaks, CAST(sum(pos) AS BIGINT) AS pos_sum FROM g WHERE kept GROUP BY 1")
+def _(spark, sf):
+    p = windows.local_maxima(samples(spark, sf), STREAM, "t", "value", 6, "mad")
+    return p.groupBy("user_id").agg(F.count("*").alias("n_peaks"), F.sum("pos").alias("pos_sum"))
+
+
 @query("scr_rate", _PEAKS + """SELECT user_id, coalesce(n, 0) AS n_peaks, round(coalesce(n, 0) / (max(t) - min(t)) * 86400, 6) AS per_day FROM s LEFT JOIN
   (SELECT user_id, count(*) AS n FROM g WHERE kept GROUP BY 1) USING (user_id) GROUP BY user_id, n""")
 def _(spark, sf):
