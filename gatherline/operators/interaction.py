@@ -165,13 +165,17 @@ def group_features(ann: DataFrame, keys: Sequence[str], participants: Sequence[s
     }).drop("_active")
 
 
-def handovers(turns: DataFrame, keys: Sequence[str], speaker: str, onset: str, end: str, fast: float = 0.2) -> DataFrame:
-    """Directed speaker-to-speaker table: count, mean and median gap, overlap rate, fast-response rate."""
+def handovers(turns: DataFrame, keys: Sequence[str], speaker: str, onset: str, end: str, fast: float = 0.2, table_keys: Sequence[str] | None = None) -> DataFrame:
+    """Directed speaker-to-speaker table: count, mean and median gap, overlap rate, fast-response rate.
+
+    Turns follow each other inside ``keys``; the table is made for each of ``table_keys`` (the same unless given).
+    """
+    tk = list(keys if table_keys is None else table_keys)
     g = windows.response_gaps(turns, keys, speaker, onset, end).filter(F.col("gap").isNotNull())
     g = g.withColumnsRenamed({speaker: "from_speaker", "next_speaker": "to_speaker"})
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), F.avg((F.col("gap") < 0).cast("double")).alias("overlap_rate"),
             F.avg(F.col("gap").between(0.0, fast).cast("double")).alias("fast_rate")]
-    return agg_with_percentiles(g, [*keys, "from_speaker", "to_speaker"], aggs, {"median_gap": ("gap", 0.5)})
+    return agg_with_percentiles(g, [*tk, "from_speaker", "to_speaker"], aggs, {"median_gap": ("gap", 0.5)})
 
 
 def most_frequent(df: DataFrame, keys: Sequence[str], value: str, out: str = "mode") -> DataFrame:

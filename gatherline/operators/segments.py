@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatherline.functions.exprs import cosine, row_mean
 from gatherline.operators.groups import z_within
-from gatherline.operators.ordered import join_on
+from gatherline.operators.ordered import join_on, settle
 
 
 def energy_confidence(df: DataFrame, keys: Sequence[str], own: str, others_max: str | None = None, keep: float = 1.5, confident: float = 2.0) -> DataFrame:
@@ -77,20 +77,22 @@ def profiles(df: DataFrame, member: str, quality: str, vec: str, top_n: int, tie
 
 
 def assign_profiles(df: DataFrame, prof: DataFrame, member: str, vec: str, duration: str, threshold: float, min_duration: float,
-                    default: str, max_profiles: int = 1000) -> DataFrame:
+                    default: str, block: int = 1000) -> DataFrame:
     """Most similar profile per row; the default under the threshold or the minimum length.
 
-    Profiles are one row per speaker. They ride along as one array; more than
-    ``max_profiles`` is an error, since they would no longer be small.
+    Profiles are one row per speaker, dealt into blocks of about ``block``. A row meets one block after the
+    other, each as one array, and keeps its best so far (the smaller name on ties); every eighth time the rows are written.
     """
-    n = F.count(F.lit(1))
-    packed = F.array_sort(F.collect_list(F.struct(F.col(member).alias("m"), F.col("profile").alias("p"))))
-    guard = prof.limit(max_profiles + 1).agg(
-        F.when(n <= max_profiles, packed).otherwise(F.raise_error(F.lit("too many profiles to compare row by row")).cast("array<struct<m:string,p:array<double>>>")).alias("a"))
-    d = df.withColumn("_ps", guard.scalar())
-    scored = F.transform("_ps", lambda p: F.struct(F.round(cosine(F.col(vec), p["p"]), 9).alias("s"), p["m"].alias("m")))
-    best = F.aggregate(scored, F.struct(F.lit(-2.0).alias("s"), F.lit("").alias("m")), lambda a, x: F.when(x["s"] > a["s"], x).otherwise(a))
-    d = d.withColumn("_best", best).drop("_ps")
+    prof = settle(prof.select(F.col(member).cast("string").alias("m"), F.col("profile").alias("p")))
+    blocks = max(1, -(-prof.count() // block))
+    d = df.withColumn("_best", F.struct(F.lit(-2.0).alias("s"), F.lit("").alias("m")))
+    for i in range(blocks):
+        packed = prof.filter(F.pmod(F.xxhash64("m"), F.lit(blocks)) == i).agg(F.array_sort(F.collect_list(F.struct("m", "p"))).alias("a"))
+        scored = F.transform("_ps", lambda p: F.struct(F.round(cosine(F.col(vec), p["p"]), 9).alias("s"), p["m"].alias("m")))
+        ahead = lambda a, x: F.when((x["s"] > a["s"]) | ((x["s"] == a["s"]) & (x["m"] < a["m"])), x).otherwise(a)
+        d = d.withColumn("_ps", packed.scalar()).withColumn("_best", F.aggregate(scored, F.col("_best"), ahead)).drop("_ps")
+        if i % 8 == 7:
+            d = settle(d)
     ok = (F.col(duration) >= min_duration) & (F.col("_best.s") >= threshold)
     return d.withColumns({"assigned": F.when(ok, F.col("_best.m")).otherwise(default), "score": F.col("_best.s")}).drop("_best")
 

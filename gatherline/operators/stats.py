@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -56,6 +56,45 @@ def feature_inventory(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return d.withColumn("iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
 
 
+def feature_flags(inventory: DataFrame) -> DataFrame:
+    """The inventory with what speaks against a feature and how to treat it."""
+    c = F.col
+    near_constant = (c("n_unique") <= 2) | F.coalesce(c("sd") == 0, F.lit(False))
+    flags = {"low_coverage": c("coverage_pct") < 80, "near_constant": near_constant, "sparse_count": F.coalesce(c("zero_pct") >= 80, F.lit(False)),
+             "strongly_skewed": F.coalesce(F.abs("skew") >= 1, F.lit(False))}
+    # fixed values: the texts of the recommendation
+    handling = (F.when(c("near_constant"), "exclude: near constant").when(c("low_coverage"), "review: low coverage").when(c("sparse_count"), "review: sparse count")
+                .when(c("strongly_skewed"), "transform or robust-scale").otherwise("eligible for theory review"))
+    return inventory.withColumns(flags).withColumn("recommended_handling", handling)
+
+
+def family_overview(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per family: features, their median coverage, and how many have each flag."""
+    n = {"n_low_coverage": "low_coverage", "n_near_constant": "near_constant", "n_sparse": "sparse_count", "n_strongly_skewed": "strongly_skewed"}
+    aggs = [F.count(F.lit(1)).alias("n_features"), *[F.count_if(c).alias(k) for k, c in n.items()]]
+    return agg_with_percentiles(flagged, keys, aggs, {"median_coverage_pct": ("coverage_pct", 0.5)})
+
+
+def two_level_mean(df: DataFrame, person: Sequence[str], group: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Mean per person inside a group, then over the group's persons: n, and mean and sd of each column."""
+    p = df.groupBy(*dict.fromkeys([*group, *person])).agg(*[F.avg(c).alias(c) for c in cols])
+    return p.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[a for c in cols for a in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"))])
+
+
+def category_shares(df: DataFrame, category: Sequence[str], cols: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of each category, their percent (inside ``keys``), and the means of ``cols``."""
+    sums = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in cols]]
+    g = with_stats(df.groupBy(*keys, *category).agg(*sums), keys, {"_t": F.sum("n")})
+    return g.withColumn("pct", F.col("n") / F.col("_t") * 100).drop("_t")
+
+
+def rating_table(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(keys, feature): answers, mean, sd, least and largest of each rating."""
+    v = F.col("value")
+    return unpivot_values(df, keys, cols).groupBy(*keys, "feature").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+
 def person_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str], task: str, valid: Column | None = None) -> DataFrame:
     """Mean, sd, min, max of each feature per person, tasks seen and valid tasks."""
     aggs = [F.count_distinct(task).alias("n_tasks"), F.count_distinct(F.when(valid if valid is not None else F.lit(True), F.col(task))).alias("n_valid_tasks")]
@@ -69,6 +108,13 @@ def variation(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.stddev_samp(c) / (F.avg(c) + 1e-9) * 100).alias("cv_pct"), F.count(c).alias("n"))
 
 
+def variation_summary(df: DataFrame, keys: Sequence[str], cols: Sequence[str], min_n: int = 3) -> DataFrame:
+    """Per feature, the mean, least and largest coefficient of variation over the keys with ``min_n`` values or more."""
+    v = F.col("value")
+    cv = unpivot_values(df, keys, cols).groupBy(*keys, "feature").agg((F.stddev_samp(v) / (F.avg(v) + 1e-9) * 100).alias("cv"), F.count(v).alias("n"))
+    return cv.filter(F.col("n") >= min_n).groupBy("feature").agg(F.count(F.lit(1)).alias("n_keys"), F.avg("cv").alias("mean"), F.min("cv").alias("min"), F.max("cv").alias("max"))
+
+
 def disagreement(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Sample sd over members per group and measure, long form."""
     return unpivot_values(df, keys, cols).groupBy(*keys, "feature").agg(F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
@@ -533,6 +579,47 @@ def response_quality(df: DataFrame, unit: Sequence[str], kind: str, kinds: Seque
     return g.withColumns({**new, "complete": done})
 
 
+def response_units(df: DataFrame, unit: Sequence[str]) -> DataFrame:
+    """One row per unit (say session, group, participant, task) that gave any response; units with a null part are left out."""
+    return df.select(*unit).dropna().distinct()
+
+
+def completion_summary(units: DataFrame, by: Sequence[str], group: str) -> DataFrame:
+    """Per task: groups and units seen."""
+    return units.groupBy(*by).agg(F.count_distinct(group).alias("n_groups"), F.count(F.lit(1)).alias("n_units"))
+
+
+def stream_presence(df: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str]) -> DataFrame:
+    """1 or 0 per key and response type, and whether all are there; keys without any of them are left out."""
+    there = [F.max((F.col(kind) == k).cast("int")).alias(str(k)) for k in kinds]
+    d = df.filter(F.col(kind).isin(*kinds)).groupBy(*keys).agg(*there)
+    return d.withColumn("all_streams_present", F.least(*[F.col(f"`{k}`") for k in kinds]) if len(kinds) > 1 else F.col(f"`{kinds[0]}`"))
+
+
+def item_completeness(answers: DataFrame, units: DataFrame, unit: Sequence[str], task: str, item: str, value: str, order: str) -> DataFrame:
+    """Per task and item: units that answered (the first answer by ``order`` counts), mean, sd, and those expected.
+
+    Every unit of a task is expected to answer each of its items.
+    """
+    first = answers.groupBy(*dict.fromkeys([*unit, task]), item).agg(F.min_by(value, order).alias("_v"))
+    n = first.groupBy(task, item).agg(F.count("_v").alias("n_present"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"))
+    d = join_on(n, units.groupBy(task).agg(F.count(F.lit(1)).alias("expected_units")), [task], "left").withColumn("expected_units", F.coalesce("expected_units", F.lit(0)))
+    return d.withColumns({"n_missing": F.col("expected_units") - F.col("n_present"), "pct_present": F.try_divide(100.0 * F.col("n_present"), F.col("expected_units"))})
+
+
+def core_completeness(items: DataFrame, task: str, item: str, core: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Per task, over its core items: items, answers present, expected and missing."""
+    wanted = reduce(lambda a, b: a | b, [(F.col(task) == t) & F.col(item).isin(*names) for t, names in core.items()], F.lit(False))
+    n_items = F.coalesce(*[F.when(F.col(task) == t, F.lit(len(names))) for t, names in core.items()], F.lit(0))
+    d = items.filter(wanted).groupBy(task).agg(*[F.sum(c).alias(k) for k, c in (("n_present", "n_present"), ("n_expected", "expected_units"), ("n_missing", "n_missing"))])
+    return d.withColumns({"n_items": n_items, "pct_present": F.try_divide(100.0 * F.col("n_present"), F.col("n_expected"))})
+
+
+def scale_means(answers: DataFrame, unit: Sequence[str], item: str, value: str, of_scale: Column, out: str) -> DataFrame:
+    """Mean of a unit's answers to the items of one scale."""
+    return answers.filter(of_scale).groupBy(*unit).agg(F.avg(value).alias(out))
+
+
 # ------------------------------------------------------------------ models in closed form
 
 

@@ -154,21 +154,30 @@ def with_speed(df: DataFrame, keys: Sequence[str], t: str, coords: Sequence[str]
     return d.withColumn("speed", F.when(dt > 0, F.sqrt(sq) / dt)).drop(*drop)
 
 
-def reject_jumps(df: DataFrame, keys: Sequence[str], order: str, x: str, max_step: float, out: str | None = None,
+def reject_jumps(df: DataFrame, keys: Sequence[str], order: str, x: str | Sequence[str], max_step: float, out: str | None = None,
                  rows_per_block: int | None = None) -> DataFrame:
     """Null a value that jumped more than ``max_step`` per unit of ``order`` from the valid one before.
 
+    ``x`` may list the coordinates of a point: the jump is the distance, a point is valid where its first
+    coordinate is, and all its coordinates go. With ``out``, a single value is kept and the result put there.
     A rejected value no longer counts as neighbour for the very next test, so of
     consecutive jump candidates the 1st, 3rd, 5th ... go.
     """
-    v = df.filter(F.col(x).isNotNull())
-    cand = F.coalesce(F.abs(F.col(x) - F.col("_px")) > max_step * (F.col(order) - F.col("_po")), F.lit(False))
-    v = ordered_scan(v, keys, [order], {"_px": prev(x), "_po": prev(order), "_no": row_no()}, rows_per_block,
+    at = [x] if isinstance(x, str) else list(x)
+    if out and len(at) > 1:
+        raise ValueError("out goes with a single value")
+    before = [f"_px{i}" for i in range(len(at))]
+    v = df.filter(F.col(at[0]).isNotNull())
+    apart = [F.col(c) - F.col(b) for c, b in zip(at, before, strict=True)]
+    jump = F.abs(apart[0]) if len(at) == 1 else F.sqrt(sum((a * a for a in apart), F.lit(0.0)))
+    cand = F.coalesce(jump > max_step * (F.col(order) - F.col("_po")), F.lit(False))
+    v = ordered_scan(v, keys, [order], {**{b: prev(c) for c, b in zip(at, before, strict=True)}, "_po": prev(order), "_no": row_no()}, rows_per_block,
                      then=[({"_cand": cand}, {"_calm": last_valid(F.when(~F.col("_cand"), F.col("_no")))})])
     nth = F.col("_no") - F.coalesce(F.col("_calm"), F.lit(0))
     bad = F.col("_cand") & (nth % 2 == 1)
-    kept = v.withColumn(out or x, F.when(~bad, F.col(x))).drop("_px", "_po", "_no", "_cand", "_calm")
-    rest = df.filter(F.col(x).isNull())
+    new = {out: F.when(~bad, F.col(at[0]))} if out else {c: F.when(~bad, F.col(c)) for c in at}
+    kept = v.withColumns(new).drop(*before, "_po", "_no", "_cand", "_calm")
+    rest = df.filter(F.col(at[0]).isNull())
     if out:
         rest = rest.withColumn(out, F.lit(None).cast("double"))
     return kept.unionByName(rest)
@@ -276,11 +285,12 @@ def beat_features(beats: DataFrame, keys: Sequence[str], at: str, to_ms: float,
                   low_ms: float = 300.0, high_ms: float = 2000.0, spread_ms: float = 250.0, tolerance_ms: float = 50.0) -> DataFrame:
     """Interval features of a beat series: clean intervals, rate, RMSSD, SDNN, pNN50, quality.
 
-    ``expected`` may give ``expected_bpm`` per key; without it agreement scores 0.5.
+    ``expected`` may give ``expected_bpm`` per key; without it agreement scores 0.5. A series with fewer than
+    two clean intervals stays, with none counted, quality 0 and nothing else.
     """
     d = ordered_scan(beats, keys, [at], {"_p": prev(at)})
     d = settle(d.withColumn("ibi", (F.col(at) - F.col("_p")) * to_ms).filter(F.col("ibi").isNotNull()).select(*keys, at, "ibi"))
-    n_all = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ibi"))
+    n_all = beats.groupBy(*keys).agg(F.greatest(F.count(at) - 1, F.lit(0)).alias("n_ibi"))
     ok = d.filter(F.col("ibi").between(low_ms, high_ms))
     med = exact_percentiles(ok, keys, {"_med": ("ibi", 0.5)})
     near = join_on(ok, med, keys, "inner").filter(F.abs(F.col("ibi") - F.col("_med")) <= F.greatest(F.lit(spread_ms), 0.25 * F.col("_med")))
@@ -290,16 +300,17 @@ def beat_features(beats: DataFrame, keys: Sequence[str], at: str, to_ms: float,
         F.stddev_samp("ibi").alias("sdnn"), (F.avg((F.abs("_d") > tolerance_ms).cast("double")) * 100.0).alias("pnn50"),
     ).filter(F.col("n_clean") >= 2)
     f = join_on(f, exact_percentiles(near, keys, {"_cm": ("ibi", 0.5)}), keys, "left")
-    f = join_on(f, n_all, keys, "left").withColumn("bpm", 60000.0 / F.col("_cm")).drop("_cm")
+    f = join_on(n_all, f, keys, "left").withColumn("bpm", 60000.0 / F.col("_cm")).drop("_cm")
     if expected is not None:
         f = join_on(f, expected.select(*keys, "expected_bpm"), keys, "left")
         agree = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.abs(F.col("bpm") - F.col("expected_bpm")) / 30.0)), F.lit(0.5))
     else:
         agree = F.lit(0.5)
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    # fixed values: weights and limits of the quality score (0.4, 0.3, 0.2, 0.1; 30 beats a minute, 300 ms, 30 intervals)
     quality = (0.4 * F.col("n_clean") / F.greatest(F.col("n_ibi"), F.lit(1)) + 0.3 * agree
                + 0.2 * F.coalesce(clip(1.0 - F.col("rmssd") / 300.0), F.lit(0.0)) + 0.1 * clip(F.col("n_clean") / 30.0))
-    return f.withColumn("quality", quality).drop("expected_bpm")
+    return f.withColumns({"quality": F.coalesce(quality, F.lit(0.0)), "n_clean": F.coalesce("n_clean", F.lit(0))}).drop("expected_bpm")
 
 
 def best_channel(df: DataFrame, keys: Sequence[str], channel: str) -> DataFrame:

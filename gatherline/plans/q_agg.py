@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gatherline.operators import groups, interaction, windows
+from gatherline.operators import groups, interaction, stats, windows
 from gatherline.operators.ordered import top_row
 from gatherline.plans.bindings import ANNOTATIONS, SAMPLES, TURNS, annotations, samples, turns
 from gatherline.plans.registry import query, rounded, table
@@ -120,14 +120,8 @@ SELECT task_id, a AS from_speaker, b AS to_speaker, count(*) AS n, round(avg(gap
   round(quantile_cont(gap, 0.5), 4) AS median_gap FROM g WHERE a <> b GROUP BY 1, 2, 3""")
 def _(spark, sf):
     s = samples(spark, sf).withColumn("z", F.col("t") + F.col("value") * 60)
-    g = windows.response_gaps(s, ["task_id", "user_id"], "event_type", "t", "z").filter(F.col("gap").isNotNull())
-    from gatherline.operators.ordered import agg_with_percentiles
-
-    out = agg_with_percentiles(g, ["task_id", "event_type", "next_speaker"], [
-        F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.avg((F.col("gap") < 0).cast("double")).alias("overlap_rate"),
-        F.avg(F.col("gap").between(0, 3600).cast("double")).alias("fast_rate")], {"median_gap": ("gap", 0.5)})
-    return rounded(out.select("task_id", F.col("event_type").alias("from_speaker"), F.col("next_speaker").alias("to_speaker"), "n",
-                              F.round("mean_gap", 4).alias("mean_gap"), "overlap_rate", "fast_rate", F.round("median_gap", 4).alias("median_gap")))
+    h = interaction.handovers(s, ["task_id", "user_id"], "event_type", "t", "z", 3600.0, table_keys=["task_id"])
+    return rounded(h.withColumns({c: F.round(c, 4) for c in ("mean_gap", "median_gap")}))
 
 
 @query("conversation_handovers", "WITH " + TURNS + """, g AS (SELECT conv_id, speaker AS a, lead(speaker) OVER w AS b, lead(onset) OVER w - "end" AS gap FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY onset, "end"))
@@ -167,10 +161,10 @@ def _(spark, sf):
 WITH p AS (SELECT c_nationkey, o_custkey, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 SELECT n_regionkey, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd FROM p JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def _(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    p = table(spark, sf, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m")).join(c, "o_custkey")
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    return rounded(p.join(n, "c_nationkey").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd")))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_totalprice").join(c, "o_custkey").join(table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    m = stats.two_level_mean(o, ["o_custkey"], ["n_regionkey"], ["o_totalprice"])
+    return rounded(m.select("n_regionkey", "n", F.col("o_totalprice_mean").alias("mean"), F.col("o_totalprice_sd").alias("sd")))
 
 
 @query("group_pooling", """

@@ -67,6 +67,34 @@ def _(spark, sf):
     return scans.payload_items(e.withColumn("payload", payload), "payload", ["event_id"], ["meta"])
 
 
+@query("response_items", """
+WITH e AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, 'valence' AS item_key, k AS item_value FROM e WHERE event_type = 'click'
+UNION ALL SELECT event_id, 'a', event_type FROM e WHERE event_type NOT IN ('click', 'error')
+UNION ALL SELECT event_id, 'probe_name', 'p1' FROM e WHERE event_type = 'error'
+UNION ALL SELECT event_id, 'responses', '{"a":"' || event_type || '"}' FROM e WHERE event_type = 'error'
+UNION ALL SELECT event_id, 'valence', k FROM e WHERE event_type NOT IN ('click', 'view')
+UNION ALL SELECT event_id, 'arousal', NULL FROM e WHERE event_type NOT IN ('click', 'view')""")
+def _(spark, sf):
+    # payloads of four types, made from the columns
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "click", " VAD").when(F.col("event_type") == "view", "postblock").when(F.col("event_type") == "error", "probe").otherwise("other")
+    payload = F.concat(F.lit('{"type":"'), kind, F.lit('","participant":"P1","probe_name":"p1","responses":{"a":"'), F.col("event_type"), F.lit('"},"valence":'),
+                       F.get_json_object("props", "$.k"), F.lit(',"arousal":null}'))
+    return scans.response_items(e.withColumn("payload", payload), "payload", ["event_id"], ["type", "participant", "probe_name"])
+
+
+@query("file_entities", """
+SELECT event_id, 'ses-' || CAST(user_id AS VARCHAR) AS session_id, CASE WHEN event_id % 6 < 5 THEN 'T' || CAST(event_id % 6 AS VARCHAR) END AS task_id,
+       CASE WHEN event_id % 5 > 0 THEN 'P' || CAST(event_id % 5 AS VARCHAR) END AS participant_id, 'grp-' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') AS group_id FROM events""")
+def _(spark, sf):
+    text = lambda c: c.cast("string")
+    path = F.concat(F.lit("/data/ses-"), text(F.col("user_id")), F.lit("/GRP_"), text(F.col("user_id") % 20), F.lit("_T"), text(F.col("event_id") % 6),
+                    F.lit("_P"), text(F.col("event_id") % 5), F.lit(".tsv.gz"))
+    e = table(spark, sf, "events").withColumn("path", path)
+    return e.select("event_id", *[c.alias(k) for k, c in scans.path_entities("path").items()])
+
+
 @query("ndjson_lines", """
 SELECT to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type}) AS line FROM events""")
 def _(spark, sf):

@@ -352,8 +352,77 @@ def _(spark, sf):
 
 @query("segment_summary", """SELECT c_mktsegment, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM customer), 6) AS pct, round(avg(c_acctbal), 6) AS mean FROM customer GROUP BY 1""")
 def _(spark, sf):
-    c = groups.with_stats(table(spark, sf, "customer"), [], {"total": F.count("*")})
-    return rounded(c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), (F.count("*") / F.max("total") * 100).alias("pct"), F.avg("c_acctbal").alias("mean")))
+    c = stats.category_shares(table(spark, sf, "customer"), ["c_mktsegment"], ["c_acctbal"])
+    return rounded(c.withColumnRenamed("c_acctbal_mean", "mean"))
+
+
+@query("rating_table", f"""SELECT l_returnflag, feature, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS min, max(value) AS max FROM ({_LONG}) GROUP BY 1, 2""")
+def _(spark, sf):
+    return rounded(stats.rating_table(table(spark, sf, "lineitem"), ["l_returnflag"], _NUM))
+
+
+@query("family_overview", f"""WITH l AS (SELECT CASE WHEN feature IN ('l_discount', 'l_tax') THEN 'rate' ELSE 'amount' END AS family, feature, CASE WHEN feature = 'l_tax' AND value > 0.05 THEN NULL WHEN feature = 'l_discount' AND value < 0.09 THEN 0 ELSE value END AS value FROM ({_LONG})),
+f AS (SELECT family, feature, count(value) * 100.0::DOUBLE / count(*) AS c, count(*) FILTER (value = 0) * 100.0::DOUBLE / count(value) AS z, count(DISTINCT value) AS u, stddev_samp(value) AS sd, skewness(value) AS k FROM l GROUP BY 1, 2)
+SELECT family, count(*) AS n_features, round(quantile_cont(c, 0.5), 6) AS median_coverage_pct, count(*) FILTER (c < 80) AS n_low_coverage, count(*) FILTER (u <= 2 OR sd = 0) AS n_near_constant, count(*) FILTER (z >= 80) AS n_sparse, count(*) FILTER (abs(k) >= 1) AS n_strongly_skewed FROM f GROUP BY 1""")
+def _(spark, sf):
+    d = table(spark, sf, "lineitem").withColumns({"l_tax": F.when(F.col("l_tax") <= 0.05, F.col("l_tax")), "l_discount": F.when(F.col("l_discount") < 0.09, 0.0).otherwise(F.col("l_discount"))})
+    f = stats.feature_flags(stats.feature_inventory(d, _NUM)).withColumn("family", F.when(F.col("feature").isin("l_discount", "l_tax"), "rate").otherwise("amount"))
+    return rounded(stats.family_overview(f, ["family"]))
+
+
+@query("variation_summary", f"""WITH v AS (SELECT l_suppkey, feature, stddev_samp(value) / (avg(value) + 1e-9) * 100 AS cv FROM ({_LONG.replace('l_returnflag', 'l_suppkey')}) GROUP BY 1, 2 HAVING count(value) >= 3)
+SELECT feature, count(*) AS n_keys, round(avg(cv), 6) AS mean, round(min(cv), 6) AS min, round(max(cv), 6) AS max FROM v GROUP BY 1""")
+def _(spark, sf):
+    return rounded(stats.variation_summary(table(spark, sf, "lineitem"), ["l_suppkey"], _NUM))
+
+
+_ANSWERS = """WITH r AS (SELECT o_orderkey, o_custkey AS person, o_custkey % 40 AS grp, o_orderpriority AS task, o_orderstatus AS kind, 'q' || CAST(o_orderkey % 7 AS VARCHAR) AS item, o_totalprice AS v FROM orders),
+u AS (SELECT DISTINCT grp, person, task FROM r)
+"""
+_UNIT = ["grp", "person", "task"]
+
+
+def _answers(spark, sf):
+    item = F.concat(F.lit("q"), (F.col("o_orderkey") % 7).cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("person"), (F.col("o_custkey") % 40).alias("grp"), F.col("o_orderpriority").alias("task"),
+                                             F.col("o_orderstatus").alias("kind"), item.alias("item"), F.col("o_totalprice").alias("v"))
+
+
+@query("response_completion", _ANSWERS + "SELECT task, count(DISTINCT grp) AS n_groups, count(*) AS n_units FROM u GROUP BY 1")
+def _(spark, sf):
+    return stats.completion_summary(stats.response_units(_answers(spark, sf), _UNIT), ["task"], "grp")
+
+
+@query("response_presence", _ANSWERS + """SELECT grp, task, max((kind = 'F')::INT) AS "F", max((kind = 'O')::INT) AS "O", max((kind = 'P')::INT) AS "P", least(max((kind = 'F')::INT), max((kind = 'O')::INT), max((kind = 'P')::INT)) AS all_streams_present FROM r GROUP BY 1, 2""")
+def _(spark, sf):
+    return stats.stream_presence(_answers(spark, sf), ["grp", "task"], "kind", ["F", "O", "P"])
+
+
+_ITEMS = _ANSWERS.rstrip() + """,
+f AS (SELECT grp, person, task, item, arg_min(v, o_orderkey) AS v FROM r WHERE kind <> 'P' GROUP BY ALL), e AS (SELECT task, count(*) AS n FROM u GROUP BY 1),
+i AS (SELECT task, item, count(v) AS n_present, avg(v) AS mean, stddev_samp(v) AS std, n AS expected_units FROM f JOIN e USING (task) GROUP BY task, item, n)
+"""
+
+
+def _items(spark, sf):
+    r = _answers(spark, sf)
+    return stats.item_completeness(r.filter("kind <> 'P'"), stats.response_units(r, _UNIT), _UNIT, "task", "item", "v", "o_orderkey")
+
+
+@query("item_completeness", _ITEMS + "SELECT task, item, n_present, round(mean, 5) AS mean, round(std, 5) AS std, expected_units, expected_units - n_present AS n_missing, round(100.0::DOUBLE * n_present / expected_units, 5) AS pct_present FROM i")
+def _(spark, sf):
+    return rounded(_items(spark, sf), 5)
+
+
+@query("core_completeness", _ITEMS + """SELECT task, CASE task WHEN '1-URGENT' THEN 2 ELSE 1 END::INT AS n_items, sum(n_present)::BIGINT AS n_present, sum(expected_units)::BIGINT AS n_expected, sum(expected_units - n_present)::BIGINT AS n_missing, round(100.0::DOUBLE * sum(n_present) / sum(expected_units), 5) AS pct_present
+FROM i WHERE (task = '1-URGENT' AND item IN ('q1', 'q2')) OR (task = '2-HIGH' AND item = 'q3') GROUP BY 1""")
+def _(spark, sf):
+    return rounded(stats.core_completeness(_items(spark, sf), "task", "item", {"1-URGENT": ["q1", "q2"], "2-HIGH": ["q3"]}), 5)
+
+
+@query("scale_means", _ANSWERS + "SELECT grp, person, task, round(avg(v), 5) AS trust_mean FROM r WHERE item IN ('q1', 'q4') GROUP BY ALL")
+def _(spark, sf):
+    return rounded(stats.scale_means(_answers(spark, sf), _UNIT, "item", "v", F.col("item").isin("q1", "q4"), "trust_mean"), 5)
 
 
 @query("person_profile", """SELECT l_suppkey, count(DISTINCT l_returnflag) AS n_tasks, count(DISTINCT CASE WHEN l_quantity > 45 THEN l_returnflag END) AS n_valid_tasks, round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_samp(l_quantity), 6) AS l_quantity_sd, min(l_quantity) AS l_quantity_min, max(l_quantity) AS l_quantity_max FROM lineitem GROUP BY 1""")

@@ -211,9 +211,8 @@ def _(spark, sf):
 
 @query("utc_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events")
 def _(spark, sf):
-    # formatted from the clock fields, so the session time zone has no say
-    e = table(spark, sf, "events")
-    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"))
+    e = table(spark, sf, "events").withColumn("seconds", X.epoch_seconds("ts"))
+    return e.select("event_id", X.utc_text("seconds").alias("utc"))
 
 
 @query("likert_scores", """SELECT l_orderkey, l_linenumber, l_partkey, round(((l_quantity % 5 + 1) + (6 - (l_partkey % 5 + 1))) / 2, 6) AS e, round(CASE WHEN l_suppkey % 6 < 5 THEN ((l_linenumber % 5 + 1) + (6 - (l_suppkey % 6 + 1))) / 2.0 ELSE l_linenumber % 5 + 1 END, 6)::DOUBLE AS a FROM lineitem""")

@@ -251,6 +251,17 @@ def _(spark, sf):
     return windows.reject_jumps(s, STREAM, "event_id", "x", 0.8).select("event_id", "x")
 
 
+@query("jump_rejection_points", "WITH " + SAMPLES + """, v AS (SELECT event_id, user_id, event_id AS o, CASE WHEN event_id % 17 <> 0 THEN value END AS x, value * 0.5 + event_id % 3 AS y, event_id % 90 * 1.0::DOUBLE AS z FROM s),
+c AS (SELECT *, row_number() OVER w AS rn, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2) / (o - lag(o) OVER w) > 0.8, false) AS cand FROM v WHERE x IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY o)),
+k AS (SELECT *, rn - coalesce(max(CASE WHEN NOT cand THEN rn END) OVER (PARTITION BY user_id ORDER BY o), 0) AS nth FROM c),
+b AS (SELECT *, cand AND nth % 2 = 1 AS bad FROM k)
+SELECT event_id, CASE WHEN NOT bad THEN x END AS x, CASE WHEN NOT bad THEN y END AS y, CASE WHEN NOT bad THEN z END AS z FROM b UNION ALL SELECT event_id, NULL, y, z FROM v WHERE x IS NULL""")
+def _(spark, sf):
+    s = samples(spark, sf).select("event_id", "user_id", F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("x"),
+                                  (F.col("value") * 0.5 + F.col("event_id") % 3).alias("y"), (F.col("event_id") % 90).cast("double").alias("z"))
+    return windows.reject_jumps(s, STREAM, "event_id", ["x", "y", "z"], 0.8).select("event_id", "x", "y", "z")
+
+
 _GAP = "WITH " + SAMPLES + """, v AS (SELECT event_id, user_id, t, CASE WHEN event_id % 5 NOT IN (0, 1) THEN value END AS x, row_number() OVER (PARTITION BY user_id ORDER BY t) AS p FROM s),
 n AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN p END) OVER (PARTITION BY user_id ORDER BY p) AS lp, min(CASE WHEN x IS NOT NULL THEN p END) OVER (PARTITION BY user_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS np FROM v),
 j AS (SELECT n.*, a.x AS lx, b.x AS nx FROM n LEFT JOIN v a ON a.user_id = n.user_id AND a.p = n.lp LEFT JOIN v b ON b.user_id = n.user_id AND b.p = n.np)
@@ -315,7 +326,7 @@ ok AS (SELECT * FROM i WHERE ibi BETWEEN 300 AND 2000),
 md AS (SELECT user_id, channel, quantile_cont(ibi, 0.5) AS med FROM ok GROUP BY 1, 2),
 cl AS (SELECT ok.*, ibi - lag(ibi) OVER (PARTITION BY user_id, channel ORDER BY t) AS d FROM ok JOIN md USING (user_id, channel) WHERE abs(ibi - med) <= greatest(250, 0.25 * med)),
 f AS (SELECT user_id, channel, count(*) AS n_clean, sqrt(avg(d * d)) AS rmssd, stddev_samp(ibi) AS sdnn, avg((abs(d) > 50)::INT) * 100 AS pnn50, 60000 / quantile_cont(ibi, 0.5) AS bpm FROM cl GROUP BY 1, 2 HAVING count(*) >= 2),
-q AS (SELECT f.*, n_ibi, 0.4::DOUBLE * n_clean / greatest(n_ibi, 1) + 0.15::DOUBLE + 0.2::DOUBLE * greatest(0, least(1, 1 - rmssd / 300)) + 0.1::DOUBLE * greatest(0, least(1, n_clean / 30.0::DOUBLE)) AS quality FROM f JOIN tot USING (user_id, channel))
+q AS (SELECT user_id, channel, coalesce(n_clean, 0) AS n_clean, n_ibi, rmssd, sdnn, pnn50, bpm, coalesce(0.4::DOUBLE * n_clean / greatest(n_ibi, 1) + 0.15::DOUBLE + 0.2::DOUBLE * greatest(0, least(1, 1 - rmssd / 300)) + 0.1::DOUBLE * greatest(0, least(1, n_clean / 30.0::DOUBLE)), 0) AS quality FROM tot LEFT JOIN f USING (user_id, channel))
 """
 
 
@@ -335,6 +346,28 @@ def _(spark, sf):
     return rounded(windows.best_channel(_beats(spark, sf), STREAM, "channel").select("user_id", "channel", "quality"))
 
 
+_EXPECTED = _BEATS.replace("+ 0.15::DOUBLE +", "+ 0.3::DOUBLE * greatest(0, least(1, 1 - abs(bpm - (40 + user_id % 50)) / 30.0::DOUBLE)) +")
+
+
+@query("beat_features_expected", _EXPECTED + "SELECT user_id, channel, n_clean, round(quality, 6) AS quality FROM q")
+def _(spark, sf):
+    ch = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2)
+    s = samples(spark, sf).withColumn("channel", ch)
+    e = s.select("user_id", "channel").distinct().withColumn("expected_bpm", (40 + F.col("user_id") % 50).cast("double"))
+    return rounded(windows.beat_features(s, ["user_id", "channel"], "t", 1 / 86.4, e).select("user_id", "channel", "n_clean", "quality"))
+
+
+@query("window_apply", "WITH " + SAMPLES + """SELECT user_id, CAST(floor((t - 1704067200) / 86400) AS BIGINT) AS window_index, count(*) AS n, round(max(value) - min(value), 6) AS spread FROM s GROUP BY 1, 2""")
+def _(spark, sf):
+    s = samples(spark, sf).select("user_id", F.floor((F.col("t") - 1704067200.0) / 86400).alias("window_index"), "value")
+
+    def spread(rows):
+        v = rows["value"].to_numpy()
+        return rows[["user_id", "window_index"]].head(1).assign(n=len(v), spread=v.max() - v.min())
+
+    return rounded(windows.window_apply(s, ["user_id"], spread, "user_id long, window_index long, n long, spread double"))
+
+
 @query("task_progress", "WITH " + SAMPLES + """, p AS (SELECT event_id, user_id, task_id, value, (t - min(t) OVER w) / greatest(max(t + 60) OVER w - min(t) OVER w, 1e-9) AS p FROM s WINDOW w AS (PARTITION BY user_id, task_id)),
 b AS (SELECT user_id, quantile_cont(value, 0.5) AS b FROM s WHERE task_id = 'T0' GROUP BY 1),
 d AS (SELECT task_id, CASE WHEN p <= 1/3::DOUBLE THEN 'early' WHEN p <= 2/3::DOUBLE THEN 'middle' ELSE 'late' END AS segment, value - b AS delta FROM p LEFT JOIN b USING (user_id) WHERE task_id <> 'T0')

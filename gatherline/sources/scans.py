@@ -75,6 +75,25 @@ def payload_items(df: DataFrame, payload: str, keep: Sequence[str], drop_keys: S
     )
 
 
+def response_items(df: DataFrame, payload: str, keep: Sequence[str], meta: Sequence[str]) -> DataFrame:
+    """Questionnaire payload to long rows (item_key, item_value), by the payload's ``type``.
+
+    vad: valence, arousal and dominance where given; postblock: the entries of ``responses``; probe: the probe's
+    name and all keys outside ``meta``; any other type: the entries of ``responses``, then all keys outside
+    ``meta``. A payload that is no JSON object gives no rows.
+    """
+    text = "map<string,string>"
+    d = df.select(*keep, F.from_json(F.col(payload), text).alias("_m"))
+    kind = F.lower(F.trim(F.coalesce(F.col("_m")["type"], F.lit(""))))
+    answers = F.coalesce(F.map_entries(F.from_json(F.col("_m")["responses"], text)), F.array().cast("array<struct<key:string,value:string>>"))
+    own = F.filter(F.map_entries("_m"), lambda e: ~e["key"].isin(*meta))
+    mood = F.filter(F.map_entries("_m"), lambda e: e["key"].isin("valence", "arousal", "dominance") & e["value"].isNotNull())
+    name = F.filter(F.map_entries("_m"), lambda e: (e["key"] == "probe_name") & e["value"].isNotNull())
+    rest = F.filter(own, lambda e: e["key"] != "responses")
+    items = F.when(kind == "vad", mood).when(kind == "postblock", answers).when(kind == "probe", F.concat(name, own)).otherwise(F.concat(answers, rest))
+    return d.select(*keep, F.explode(items).alias("_i")).select(*keep, F.col("_i.key").alias("item_key"), F.col("_i.value").alias("item_value"))
+
+
 def to_ndjson(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One JSON text per row in column ``line``."""
     return df.select(F.to_json(F.struct(*(cols or df.columns))).alias("line"))

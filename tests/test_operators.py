@@ -235,3 +235,51 @@ def test_replicate_weights_are_poisson(spark):
     df = spark.createDataFrame([(i, None if i % 3 else "a", float(i)) for i in range(50)], "id long, k string, v double").repartition(4)
     r = {(x["k"], x["_b"]): (x["_w"], x["_s0"]) for x in sampling.replicate_sums(df, ["k"], "id", ["v"], 5, 3).collect()}
     assert len(r) == 10 and all(r["a", b] == (w[0:50:3, b].sum(), (w[0:50:3, b] * np.arange(0, 50, 3)).sum()) for b in range(5))
+
+
+def test_response_items_by_type(spark):
+    payloads = ['{"type":" VAD ","valence":1,"arousal":null,"task":"T1","x":5}', '{"type":"postblock","responses":{"a":2,"b":"c"},"x":5}',
+                '{"type":"probe","probe_name":"p","x":5,"task":"T1"}', '{"responses":{"a":2},"x":5,"task":"T1"}', "no json", None, "{}", '{"type":"postblock","responses":7}']
+    df = spark.createDataFrame(list(enumerate(payloads)), "id int, payload string")
+    got = sorted(rows(scans.response_items(df, "payload", ["id"], ["type", "task", "probe_name"])))
+    assert got == [(0, "valence", "1"), (1, "a", "2"), (1, "b", "c"), (2, "probe_name", "p"), (2, "x", "5"), (3, "a", "2"), (3, "x", "5")]
+
+
+def test_profiles_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    prof = spark.createDataFrame([(f"m{i:02d}", rng.normal(size=3).tolist()) for i in range(40)] + [("a", [1.0, 0.0, 0.0]), ("b", [2.0, 0.0, 0.0])], "m string, profile array<double>")
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist(), 1.0) for i in range(30)] + [(99, [3.0, 0.0, 0.0], 1.0)], "id int, v array<double>, d double")
+    out = [sorted(rows(segments.assign_profiles(df, prof, "m", "v", "d", 0.2, 0.5, "none", block=b).select("id", "assigned", "score"))) for b in (1000, 4)]
+    assert out[0] == out[1] and out[0][-1] == (99, "a", 1.0)
+    assert segments.assign_profiles(df, prof.filter("false"), "m", "v", "d", 0.2, 0.5, "none").filter("assigned = 'none'").count() == 31
+
+
+def test_few_beats_keep_their_channel(spark):
+    df = spark.createDataFrame([("a", 0.0), ("b", 0.0), ("b", 9.0), ("c", 0.0), ("c", 0.8), ("c", 1.6)], "ch string, t double")
+    got = {r["ch"]: (r["n_clean"], r["n_ibi"], r["bpm"], r["quality"] > 0) for r in windows.beat_features(df, ["ch"], "t", 1000.0).collect()}
+    assert got == {"a": (0, 0, None, False), "b": (0, 1, None, False), "c": (2, 2, 75.0, True)}
+
+
+def test_jumps_of_points(spark):
+    rng = np.random.default_rng(4)
+    pts = [(i, None if i % 7 == 3 else float(x), float(y), float(z)) for i, (x, y, z) in enumerate(rng.normal(size=(200, 3)) * 2)]
+    valid = [p for p in pts if p[1] is not None]
+    arr = {p[0]: np.array(p[1:]) for p in valid}
+    for p, q in zip(valid, valid[1:], strict=False):
+        if np.linalg.norm(arr[q[0]] - arr[p[0]]) / (q[0] - p[0]) > 3.0:
+            arr[q[0]] = np.full(3, np.nan)
+    df = spark.createDataFrame([(*p, "k") for p in pts], "o int, x double, y double, z double, k string")
+    for block in (None, 9):
+        got = {r["o"]: (r["x"], r["y"], r["z"]) for r in windows.reject_jumps(df, ["k"], "o", ["x", "y", "z"], 3.0, rows_per_block=block).collect()}
+        assert {o for o, v in got.items() if v[0] is None} == {p[0] for p in pts if p[1] is None or np.isnan(arr[p[0]][0])}
+        assert all(v[1] is None and v[2] is None for o, v in got.items() if v[0] is None and o in arr)
+
+
+def test_completeness_counts_first_answers(spark):
+    d = spark.createDataFrame([("p1", "T1", "a", 1.0, 2), ("p1", "T1", "a", 5.0, 1), ("p2", "T1", "a", 3.0, 3), ("p2", "T1", "b", None, 4), (None, "T1", "b", 1.0, 5)], "p string, task string, item string, v double, o int")
+    items = stats.item_completeness(d.filter("p is not null"), stats.response_units(d, ["p", "task"]), ["p", "task"], "task", "item", "v", "o")
+    got = {r["item"]: (r["n_present"], r["mean"], r["expected_units"], r["n_missing"], r["pct_present"]) for r in items.collect()}
+    assert got == {"a": (2, 4.0, 2, 0, 100.0), "b": (0, None, 2, 2, 0.0)}
+    core = stats.core_completeness(items, "task", "item", {"T1": ["a", "b"]}).first()
+    assert (core["n_items"], core["n_present"], core["n_expected"], core["pct_present"]) == (2, 2, 4, 50.0)
+
