@@ -54,9 +54,9 @@ def discourse_counts(words, text) -> dict[str, Column]:
     }
 
 
-def act_scores(text) -> dict[str, Column]:
+def act_scores(text, lowered: bool = False) -> dict[str, Column]:
     """Cue hits per dialogue act; a question mark adds one to question."""
-    t = F.lower(col(text))
+    t = col(text) if lowered else F.lower(col(text))
     out = {}
     for act, cues in L.ACT_CUES.items():
         hits = sum((t.contains(c).cast("int") for c in cues), F.lit(0))

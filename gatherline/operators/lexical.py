@@ -121,15 +121,12 @@ def lexical_windows(df: DataFrame, keys: Sequence[str], order: Sequence, text: s
 def norm_scores(df: DataFrame, keys: Sequence[str], words, norms: DataFrame, word_col: str = "word", score: str = "score") -> DataFrame:
     """Mean, population sd and coverage of a word-norm table over the words of each key.
 
-    Words are counted per key before the join, so a frequent word is one row per key.
+    The norms, one row per word, are joined to the words first (broadcast where their size allows, else a join
+    that can be split at frequent words); sums per key combine before the only other shuffle.
     """
-    w = df.select(*keys, F.explode(words).alias("_w")).groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    w = df.select(*keys, F.explode(words).alias("_w"))
     j = w.join(norms.select(F.col(word_col).alias("_w"), F.col(score).cast("double").alias("_s")), "_w", "left")
-    n = F.sum(F.when(F.col("_s").isNotNull(), F.col("_n")))
-    m = F.sum(F.col("_n") * F.col("_s")) / n
-    q = F.sum(F.col("_n") * F.col("_s") * F.col("_s")) / n
-    return j.groupBy(*keys).agg(m.alias("norm_mean"), F.when(n > 0, F.sqrt(F.greatest(q - m * m, F.lit(0.0)))).alias("norm_sd"),
-                                (F.coalesce(n, F.lit(0)) / F.sum("_n")).alias("norm_coverage"))
+    return j.groupBy(*keys).agg(F.avg("_s").alias("norm_mean"), F.stddev_pop("_s").alias("norm_sd"), (F.count("_s") / F.count(F.lit(1))).alias("norm_coverage"))
 
 
 def lexical_composites(df: DataFrame, social: Sequence[str], complexity: Sequence[str], words: str) -> DataFrame:
@@ -165,3 +162,13 @@ def relabel_overlaps(events: DataFrame, segments: DataFrame, keys: Sequence[str]
     return s.withColumn("context", T.context_label("timing", f"seg_a.{text}", f"seg_b.{text}", "completion"))
 
 
+def dialogue_acts(df: DataFrame, text: str) -> DataFrame:
+    """Hits of each act per row, scaled by the number of its cues and at most 1, and the ``dominant`` act.
+
+    The text is lowered once and the hits counted once; the choice works on the counts.
+    """
+    acts = list(L.ACT_CUES)
+    d = df.withColumn("_low", F.lower(text)).withColumns(T.act_scores("_low", lowered=True))
+    dominant = T.dominant_act({a: F.col(a) for a in acts})
+    scaled = {a: F.least(F.lit(1.0), F.col(a) / F.lit(float(len(L.ACT_CUES[a])))) for a in acts}
+    return d.withColumn("dominant", dominant).withColumns(scaled).drop("_low")

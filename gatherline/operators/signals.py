@@ -88,26 +88,24 @@ def dyad_synchrony(df: DataFrame, keys: Sequence[str], member: str, index: str,
     either member has a row. The best lag has the largest signed correlation, the
     first one on ties; all-null series give a null lag.
     """
-    base = df.select(*keys, F.col(member).alias("_m"), F.col(index).alias("_w"), F.col(x).alias("_x"))
-    pr = dyads(base, keys, "_m")
-    side_a = pr.join(base.withColumnRenamed("_m", "a"), [*keys, "a"]).withColumn("_side", F.lit(0))
-    side_b = pr.join(base.withColumnRenamed("_m", "b"), [*keys, "b"]).withColumn("_side", F.lit(1))
+    base = settle(df.select(*keys, F.col(member).alias("_m"), F.col(index).alias("_w"), F.col(x).alias("_x")))
+    side = lambda m, k: F.struct(F.col(m).alias("_m"), F.lit(k).alias("side"))
+    pr = dyads(base, keys, "_m").withColumn("_s", F.explode(F.array(side("a", 0), side("b", 1)))).select(*keys, "a", "b", "_s.*")
     pk = [*keys, "a", "b"]
-    both = side_a.unionByName(side_b).groupBy(*pk, "_w").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_x"))).alias("_xa"), F.max(F.when(F.col("_side") == 1, F.col("_x"))).alias("_xb"))
-    pos = settle(ordered_scan(both, pk, ["_w"], {"_p": row_no()}))
-    # x at position j meets y at position j - lag
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))
-    e = pos.withColumn("lag", lags)
-    xs = e.select(*pk, "lag", F.col("_p").alias("_at"), F.col("_xa"), F.lit(None).cast("double").alias("_xb"))
-    ys = e.select(*pk, "lag", (F.col("_p") + F.col("lag")).alias("_at"), F.lit(None).cast("double").alias("_xa"), F.col("_xb"))
-    met = xs.unionByName(ys).groupBy(*pk, "lag", "_at").agg(F.max("_xa").alias("_xa"), F.max("_xb").alias("_xb"))
-    c = met.groupBy(*pk, "lag").agg(corr_or_null("_xa", "_xb", min_n).alias("_c"))
-    n = pos.groupBy(*pk).agg(F.count(F.lit(1)).alias("window_count"))
-    out = c.groupBy(*pk).agg(
-        F.max(F.when(F.col("lag") == 0, F.col("_c"))).alias("corr"), F.max("_c").alias("best_corr"),
-        F.max_by("lag", F.when(F.col("_c").isNotNull(), F.struct(F.col("_c"), -F.col("lag")))).alias("best_lag"))
-    return out.join(n, pk)
+    both = settle(pr.join(base, [*keys, "_m"]).groupBy(*pk, "_w").agg(
+        F.max(F.when(F.col("side") == 0, F.col("_x"))).alias("_xa"), F.max(F.when(F.col("side") == 1, F.col("_x"))).alias("_xb")))
+    pos = ordered_scan(both, pk, ["_w"], {"_p": row_no()})
+    # x at position j meets y at position j - lag: each y goes to the positions of its partners, one column a lag
+    lags = range(-max_lag, max_lag + 1)
+    none = F.lit(None).cast(both.schema["_xa"].dataType)
+    meet = lambda at, xa, xb, lag: F.struct(at.alias("at"), xa.alias("xa"), xb.alias("xb"), F.lit(lag).cast("int").alias("lag"))
+    sent = F.array(meet(F.col("_p"), F.col("_xa"), none, None), *[meet(F.col("_p") + lag, none, F.col("_xb"), lag) for lag in lags])
+    met = pos.select(*pk, F.explode(sent).alias("_e")).groupBy(*pk, F.col("_e.at").alias("_at")).agg(
+        F.max("_e.xa").alias("_xa"), F.bool_or(F.col("_e.lag").isNull()).alias("_own"), *[F.max(F.when(F.col("_e.lag") == lag, F.col("_e.xb"))).alias(f"_y{i}") for i, lag in enumerate(lags)])
+    c = met.groupBy(*pk).agg(F.count_if("_own").alias("window_count"), *[corr_or_null("_xa", f"_y{i}", min_n).alias(f"_c{i}") for i in range(len(lags))])
+    ranked = F.array(*[F.struct(F.col(f"_c{i}").alias("c"), F.lit(-lag).alias("l")) for i, lag in enumerate(lags)])
+    best = F.array_max(F.filter(ranked, lambda r: r["c"].isNotNull()))
+    return c.withColumn("_b", best).select(*pk, F.col(f"_c{max_lag}").alias("corr"), F.col("_b.c").alias("best_corr"), (-F.col("_b.l")).alias("best_lag"), "window_count")
 
 
 def corr_or_null(a, b, min_n: int = 3) -> Column:

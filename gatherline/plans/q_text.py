@@ -141,10 +141,8 @@ _ACTS = "WITH " + _SAID + ", a AS (SELECT conv_id, turn, " + ", ".join(
 @query("dialogue_acts", _ACTS + "SELECT conv_id, turn, " + ", ".join(f"round(least(1, {a} * 1.0::DOUBLE / {len(c)}), 6) AS {a}" for a, c in L.ACT_CUES.items())
        + ", CASE WHEN greatest(" + ", ".join(L.ACT_CUES) + ") = 0 THEN 'statement' " + " ".join(f"WHEN {a} = greatest({', '.join(L.ACT_CUES)}) THEN '{a}'" for a in L.ACT_CUES) + " END AS dominant FROM a")
 def _(spark, sf):
-    d = _said(turns(spark, sf))
-    s = T.act_scores("text")
-    norm = [F.least(F.lit(1.0), v / F.lit(float(len(L.ACT_CUES[a])))).alias(a) for a, v in s.items()]
-    return rounded(d.select("conv_id", "turn", *norm, T.dominant_act(s).alias("dominant")))
+    d = lexical.dialogue_acts(_said(turns(spark, sf)).select("conv_id", "turn", "text"), "text")
+    return rounded(d.drop("text"))
 
 
 def _q(p):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gatherline.functions import exprs as X
 from gatherline.operators import groups, signals, windows
+from gatherline.operators.ordered import settle
 from gatherline.plans.bindings import ANNOTATIONS, DAY, SAMPLES, TURNS, annotations, samples, turns, vectors
 from gatherline.plans.registry import query, rounded, table
 
@@ -134,10 +135,10 @@ ga AS (SELECT group_id, count(*) AS n_windows, round(avg(m), 6) AS activity, rou
 gd AS (SELECT group_id, count(*) AS n_dyads, round(avg(corr), 6) AS mean_corr, round(avg(best_corr), 6) AS mean_best_corr FROM dy GROUP BY 1)
 SELECT * FROM ga LEFT JOIN gd USING (group_id)""")
 def _(spark, sf):
-    p = _windowed(spark, sf).groupBy("group_id", "participant", "window_index").agg(F.avg("value").alias("m"))
+    p = settle(_windowed(spark, sf).groupBy("group_id", "participant", "window_index").agg(F.avg("value").alias("m")))
     gw = p.groupBy("group_id", "window_index").agg(F.avg("m").alias("m"), F.count_distinct("participant").alias("n"))
     ga = gw.groupBy("group_id").agg(F.count("*").alias("n_windows"), F.avg("m").alias("activity"), F.avg("n").alias("members"))
-    gd = _dyads(spark, sf).groupBy("group_id").agg(F.count("*").alias("n_dyads"), F.avg("corr").alias("mean_corr"), F.avg("best_corr").alias("mean_best_corr"))
+    gd = signals.dyad_synchrony(p, ["group_id"], "participant", "window_index", "m").groupBy("group_id").agg(F.count("*").alias("n_dyads"), F.avg("corr").alias("mean_corr"), F.avg("best_corr").alias("mean_best_corr"))
     return rounded(ga.join(gd, "group_id", "left"))
 
 
