@@ -184,9 +184,10 @@ def test_lonely_and_empty_groups(spark):
     assert groups.robust_z(one, ["k"], "x", "z").first()["z"] is None
     assert groups.focal_vs_others(one, ["k"], "x").first()["others_mean"] is None
     assert stats.describe(one.filter("x > 5"), ["k"], ["x"]).count() == 0
-    with pytest.raises(Exception, match="too many profiles"):
-        p = spark.createDataFrame([(str(i), [1.0]) for i in range(3)], "m string, profile array<double>")
-        segments.assign_profiles(spark.createDataFrame([([1.0], 1.0)], "v array<double>, d double"), p, "m", "v", "d", 0.1, 0.0, "x", max_profiles=2).collect()
+    # the former limit on profiles is gone: two blocks of them
+    p = spark.createDataFrame([(str(i), [1.0]) for i in range(3)], "m string, profile array<double>")
+    d = segments.assign_profiles(spark.createDataFrame([([1.0], 1.0)], "v array<double>, d double"), p, "m", "v", "d", 0.1, 0.0, "x", block=2)
+    assert d.first()["assigned"] == "0"
 
 
 def test_block_similarity_matches_the_standard_library(spark):
