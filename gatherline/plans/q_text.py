@@ -188,7 +188,8 @@ def _(spark, sf):
     d = ordered_scan(_said(turns(spark, sf)), ["conv_id"], ["turn"], {"ta": prev("text")})
     ms = F.col("duration") * 20
     timing = F.when(ms < 500, "smooth").when(ms < 1000, "competitive").otherwise("floor_fight")
-    return d.select("conv_id", "turn", T.context_label(timing, "ta", "text", T.trails_off("ta")).alias("context"))
+    label = F.when(F.col("text").isNotNull(), T.context_label(timing, "ta", "text", T.trails_off("ta"))).otherwise("")
+    return d.select("conv_id", "turn", label.alias("context"))
 
 
 @query("vector_similarity", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
