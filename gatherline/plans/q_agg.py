@@ -39,7 +39,7 @@ SELECT g.*, round(o0, 3) AS dialogue_onset_s, round(o1, 3) AS dialogue_offset_s,
   CASE WHEN spk_count IS NOT NULL THEN round(coalesce(ovl_ctx_completion, 0) * 1.0::DOUBLE / greatest(coalesce(ovl_count, 0), 1), 6) END AS ovl_completion_index
 FROM g LEFT JOIN b USING (group_id, task_id, window_index) LEFT JOIN e USING (group_id, task_id, window_index) LEFT JOIN k USING (group_id, task_id, window_index) JOIN sp USING (group_id, task_id)""")
 def _(spark, sf):
-    w = interaction.transcript_windows(annotations(spark, sf), GT, 21600.0, 7200.0, P4, 6)
+    w = interaction.transcript_windows(annotations(spark, sf), GT, 21600.0, 7200.0, P4, 6, silent=True)
     return rounded(w.withColumns({c: F.round(c, 3) for c in ("dialogue_onset_s", "dialogue_offset_s")}))
 
 
