@@ -36,8 +36,7 @@ def _(spark, sf):
 SELECT 'documents.parquet' AS file, source, count(*) AS n FROM documents GROUP BY source""")
 def _(spark, sf):
     d = scans.with_provenance(spark.read.parquet(f"{sf}/documents.parquet"))
-    file = F.element_at(F.split("source_path", "/"), -1)
-    return d.groupBy(file.alias("file"), "source").agg(F.count("*").alias("n"))
+    return d.groupBy(scans.part_below("source_path", sf).alias("file"), "source").agg(F.count("*").alias("n"))
 
 
 @query("numeric_coercion", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ def with_provenance(df: DataFrame, skip_suffix: str = ".bak.tsv") -> DataFrame:
     return out.filter(~F.col("source_path").endswith(skip_suffix))
 
 
+def part_below(path, folder: str) -> Column:
+    """The file or folder directly below ``folder`` that a path leads through: a table's name, however many files it has."""
+    name = quote(folder.rstrip("/").rsplit("/", 1)[-1], safe="!$&'()*+,;=:@~")
+    return F.split(F.substring_index(col(path), f"/{name}/", -1), "/")[0]
+
+
 def path_entities(path) -> dict[str, Column]:
     """session, task (T0..T4), participant (P1..P4) and group from a file path."""
     p = col(path)
