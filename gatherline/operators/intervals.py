@@ -166,18 +166,26 @@ def merge_islands(
 
 
 def _swept(intervals: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sweep of the end points of ``intervals`` (keys, _s, _e, _c) and the moments of ``points`` (keys, _t, _id).
+    """Sweep of the end points of ``intervals`` (keys, _s, _e, _c, _w, _m) and the moments of ``points`` (keys, _t, _id, _sign, _long).
 
-    One row each, in time: ``_n`` intervals are open just before it, ``_sum`` is the sum of their codes, ``_from`` the
-    moment before, ``_any`` the time so far in which an interval was open.
+    One row each, in time: ``_n`` intervals (of weight _w) are open just before it, ``_sum`` is the sum of their codes, ``_from`` the
+    moment before, ``_any`` the time so far in which an interval was open. ``_met`` adds up over a segment's two points to the
+    number of marked intervals (_m) that share a moment with it: those that begin before its end less those that end by its start.
+    For that an end (_sign 1) precedes the edges at its time and a start follows them. Intervals without length count for
+    segments with length (_long) only.
     """
-    edge = lambda t, d: intervals.select(*keys, F.col(t).alias("_t"), F.lit(d).alias("_d"), (F.col("_c") * d).alias("_c"))
+    edge = lambda t, d: intervals.select(
+        *keys, F.col(t).alias("_t"), (F.lit(d) * F.col("_w")).alias("_d"), (F.col("_c") * d).alias("_c"), (F.lit(d) * F.col("_m")).alias("_b"), (F.col("_s") < F.col("_e")).alias("_wide"))
     rows = edge("_s", 1).unionByName(edge("_e", -1)).unionByName(points.withColumn("_d", F.lit(0)), allowMissingColumns=True)
-    rows = rows.withColumn("_tie", F.xxhash64("_d", "_c", "_id"))
+    rows = rows.withColumns({"_tie": F.xxhash64("_d", "_c", "_id", "_b", "_wide"), "_place": -F.coalesce("_sign", F.lit(0))})
     before = {"_n": F.col("_cum") - F.col("_d"), "_sum": F.col("_codes") - F.coalesce("_c", F.lit(0)),
               "_open": F.when(F.col("_cum") - F.col("_d") >= 1, F.col("_t") - F.col("_from")).otherwise(0.0)}
-    return ordered_scan(rows, keys, ["_t", "_tie"], {"_cum": cum_sum("_d"), "_codes": cum_sum(F.coalesce("_c", F.lit(0))), "_from": prev("_t")},
-                        then=[(before, {"_any": cum_sum("_open")})])
+    so_far = lambda d, wide: cum_sum(F.when((F.col("_b") == d) & (F.col("_wide") == F.lit(wide)), 1).otherwise(0))
+    counts = {"_b1": so_far(1, True), "_f1": so_far(-1, True), "_b0": so_far(1, False), "_f0": so_far(-1, False)}
+    out = ordered_scan(rows, keys, ["_t", "_place", "_tie"], {"_cum": cum_sum("_d"), "_codes": cum_sum(F.coalesce("_c", F.lit(0))), "_from": prev("_t"), **counts},
+                       then=[(before, {"_any": cum_sum("_open")})])
+    short = lambda c: F.when(F.col("_long"), F.col(c)).otherwise(0)
+    return out.withColumn("_met", F.when(F.col("_sign") > 0, F.col("_b1") + short("_b0")).otherwise(-F.col("_f1") - short("_f0")))
 
 
 def covered_seconds(
@@ -187,30 +195,36 @@ def covered_seconds(
     seg_id: str,
     span: tuple[str, str],
     not_same: str | None = None,
+    points: bool = False,
 ) -> DataFrame:
     """Seconds of each segment covered by the UNION of the other rows' intervals; segments without any are left out.
 
     ``not_same`` names a column (speaker) that must differ; null speakers neither cover nor are covered.
     A sweep over the end points gives the time in which anybody was active up to each segment's start and end. Where a
     single speaker was, a second sweep per speaker takes the segment's own time off again. So the work is linear in
-    the rows, however many overlap.
+    the rows, however many overlap. Whether anybody else was active is counted, not read off the seconds, so the
+    least overlap counts and rounding makes none. With ``points`` rows without length take part: inside another's interval
+    they, and a segment that meets nothing else, have zero seconds.
     """
     s, e = span
     who = [not_same] if not_same else []
-    seg = segments.select(*keys, *who, seg_id, s, e).filter((F.col(s) < F.col(e)) & (F.col(not_same).isNotNull() if who else F.lit(True))).distinct()
-    src = others.filter((F.col(s) < F.col(e)) & (F.col(not_same).isNotNull() if who else F.lit(True)))
-    isl = merge_islands(src, [*keys, *who], s, e)
+    whole = (F.col(s) <= F.col(e) if points else F.col(s) < F.col(e)) & (F.col(not_same).isNotNull() if who else F.lit(True))
+    seg = segments.select(*keys, *who, seg_id, s, e).filter(whole).distinct()
+    src = others.filter(whole)
+    isl = merge_islands(src.filter(F.col(s) < F.col(e)), [*keys, *who], s, e)
     code = F.xxhash64(F.col(not_same)) if who else F.lit(0)
     wide = lambda c: c.cast("decimal(38,0)")
-    one = isl.select(*keys, F.col(s).cast("double").alias("_s"), F.col(e).cast("double").alias("_e"), wide(code).alias("_c"))
+    spans = lambda d, c, w, m: d.select(*keys, F.col(s).cast("double").alias("_s"), F.col(e).cast("double").alias("_e"), wide(c).alias("_c"), F.lit(w).alias("_w"), F.lit(m).alias("_m"))
+    one, each = spans(isl, code, 1, 0), spans(src, code, 0, 1)
     ends = F.inline(F.array(*[F.struct(F.col(c).cast("double").alias("_t"), F.lit(k).alias("_sign")) for c, k in ((s, -1), (e, 1))]))
-    pts = seg.select(*keys, F.struct(seg_id, s, e, *who).alias("_id"), wide(code).alias("_own"), ends)
-    swept = settle(_swept(one, pts, keys))
-    at = lambda d: d.filter(F.col("_sign").isNotNull()).groupBy(*keys, "_id").agg(F.sum(F.col("_sign") * F.col("_any")).alias("_v"))
+    pts = seg.select(*keys, F.struct(seg_id, s, e, *who).alias("_id"), wide(code).alias("_own"), (F.col(s) < F.col(e)).alias("_long"), ends)
+    swept = settle(_swept(one.unionByName(each.withColumn("_c", wide(F.lit(0)))), pts, keys))
+    at = lambda d: d.filter(F.col("_sign").isNotNull()).groupBy(*keys, "_id").agg(F.sum(F.col("_sign") * F.col("_any")).alias("_v"), F.sum("_met").alias("_hits"))
     got = at(swept)
     if who:
         sole = swept.filter((F.col("_n") == 1) & (F.col("_t") > F.col("_from")))
-        sole = sole.select(*keys, F.col("_sum").alias("_own"), F.col("_from").alias("_s"), F.col("_t").alias("_e"), wide(F.lit(0)).alias("_c"))
-        own = _swept(sole, pts, [*keys, "_own"]).filter(F.col("_sign").isNotNull()).select(*keys, "_id", (-F.col("_sign")).alias("_sign"), "_any")
-        got = at(swept.select(*keys, "_id", "_sign", "_any").unionByName(own))
-    return got.select(*keys, F.col(f"_id.{seg_id}").alias(seg_id), F.col("_v").alias("covered_s")).filter("covered_s > 1e-9")
+        sole = sole.select(*keys, F.col("_sum").alias("_own"), F.col("_from").alias("_s"), F.col("_t").alias("_e"), wide(F.lit(0)).alias("_c"), F.lit(1).alias("_w"), F.lit(0).alias("_m"))
+        mine = each.withColumns({"_own": F.col("_c"), "_c": wide(F.lit(0))})
+        own = _swept(sole.unionByName(mine), pts, [*keys, "_own"]).filter(F.col("_sign").isNotNull()).select(*keys, "_id", (-F.col("_sign")).alias("_sign"), "_any", (-F.col("_met")).alias("_met"))
+        got = at(swept.select(*keys, "_id", "_sign", "_any", "_met").unionByName(own))
+    return got.filter("_hits > 0").select(*keys, F.col(f"_id.{seg_id}").alias(seg_id), F.greatest("_v", F.lit(0.0)).alias("covered_s"))

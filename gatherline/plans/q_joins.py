@@ -251,7 +251,7 @@ SELECT event_id, round(sum(len), 3) AS covered_s FROM m GROUP BY 1""")
 def _(spark, sf):
     a = annotations(spark, sf).filter(F.col("type").isin("SPK", "BCK")).select(
         "event_id", "group_id", "task_id", "speaker", F.col("onset").alias("a"), (F.col("onset") + F.col("duration") * 60).alias("z"))
-    c = intervals.covered_seconds(a, a, ["group_id", "task_id"], "event_id", ("a", "z"), "speaker")
+    c = intervals.covered_seconds(a, a, ["group_id", "task_id"], "event_id", ("a", "z"), "speaker", points=True)
     return rounded(c.select("event_id", "covered_s"), 3)
 
 
