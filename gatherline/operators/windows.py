@@ -64,9 +64,57 @@ def zero_fill(spine: DataFrame, features: DataFrame, keys: Sequence[str], zero:
 
 
 def window_apply(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
-    """User hook: a pandas function on the rows of one window. Windows are the unit of
-    work, so a long stream never lands in one call; prefer aggregates where they exist."""
-    return df.groupBy(*keys, "window_index").applyInPandas(fn, schema)
+    """User hook: a pandas function on the rows of one window, which returns a frame or, for a single row, a tuple.
+
+    Windows are the unit of work, so a long stream never lands in one call; prefer aggregates where they exist.
+    Rows are shuffled and sorted by window and read in batches of many windows, so a window costs little
+    more than the call itself. Only a window that crosses batches is put together from them.
+    """
+    wk = [*keys, "window_index"]
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def edges(rows: pd.DataFrame) -> np.ndarray:
+        """Where another window begins, the first row aside."""
+        new = np.zeros(max(len(rows) - 1, 0), bool)
+        for k in wk:
+            code = pd.factorize(rows[k], use_na_sentinel=False)[0]
+            new |= code[1:] != code[:-1]
+        return np.flatnonzero(new) + 1
+
+    def run(batches):
+        held: list[pd.DataFrame] = []  # the pieces of the window that may go on
+        out: list = []
+
+        def call(rows: pd.DataFrame):
+            got = fn(rows.reset_index(drop=True))
+            out.append(got if isinstance(got, pd.DataFrame) else tuple(got))
+
+        def made():
+            plain = [r for r in out if isinstance(r, tuple)]
+            frames = [r for r in out if not isinstance(r, tuple)]
+            out.clear()
+            return pd.concat([*([pd.DataFrame(plain, columns=names)] if plain else []), *frames], ignore_index=True)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held and len(edges(pd.concat([held[-1][wk].tail(1), batch[wk].head(1)], ignore_index=True))):
+                call(pd.concat(held, ignore_index=True))
+                held.clear()
+            at = [0, *edges(batch).tolist(), len(batch)]
+            if len(at) > 2:
+                call(pd.concat([*held, batch.iloc[: at[1]]], ignore_index=True))
+                held.clear()
+                for a, b in zip(at[1:-2], at[2:-1]):
+                    call(batch.iloc[a:b])
+            held.append(batch.iloc[at[-2] :])
+            if out:
+                yield made()
+        if held:
+            call(pd.concat(held, ignore_index=True))
+            yield made()
+
+    return df.repartition(*wk).sortWithinPartitions(*wk).mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------------ frames around a row

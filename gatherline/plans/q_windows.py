@@ -364,7 +364,7 @@ def _(spark, sf):
 
     def spread(rows):
         v = rows["value"].to_numpy()
-        return rows[["user_id", "window_index"]].head(1).assign(n=len(v), spread=v.max() - v.min())
+        return rows["user_id"].iat[0], rows["window_index"].iat[0], len(v), v.max() - v.min()
 
     return rounded(windows.window_apply(s, ["user_id"], spread, "user_id long, window_index long, n long, spread double"))
 
