@@ -26,6 +26,8 @@ BLOCK_ROWS = 100_000
 START_ROWS = 4_096
 VAR_FLOOR, LEAST = 1e-4, 1e-10
 _CELLS = 1 << 20
+#: Rows up to which each model is fitted in a task of its own, which saves a job a pass; beyond, a pass is spread over all cores.
+ROWS_IN_A_TASK = 700_000
 
 
 @dataclass
@@ -80,6 +82,15 @@ def packed(df: DataFrame, keys: Sequence[str], order: Sequence, features: Sequen
     )
 
 
+def _spread(packed_rows: DataFrame) -> DataFrame:
+    """The packed table in the shared folder; a large one in a few files a core, since packed sequences are small to read
+    and long to work on: by size alone a handful of tasks would get them all."""
+    table = settle(packed_rows)
+    if (table.agg(F.sum("n")).first()[0] or 0) <= ROWS_IN_A_TASK:
+        return settle(table.coalesce(1)) if table.rdd.getNumPartitions() > 1 else table
+    return settle(table.repartition(2 * table.sparkSession.sparkContext.defaultParallelism))
+
+
 def _grid(column, n: np.ndarray, dims: int) -> np.ndarray:
     """Sequences side by side: (time, sequence, feature), shorter ones padded at the end."""
     flat = np.asarray(column.flatten(), float).reshape(-1, dims)
@@ -111,11 +122,19 @@ class Stack:
         self.middle = self.means.mean(1)
 
     def emissions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Densities (time, model, sequence, state) relative to the likeliest state, and that state's log density."""
-        off = x[:, None, :, None, :] - self.means[:, None]
-        log = -0.5 * (np.log(2 * np.pi * self.vars).sum(2)[:, None] + (off**2 / self.vars[:, None]).sum(4))
-        top = log.max(3)
-        return np.exp(log - top[..., None]), top
+        """Densities (time, model, state, sequence) relative to the likeliest state, and that state's log density.
+
+        Sequences come last, here and below, so that numpy's inner loops run over many of them and not over a few states."""
+        log = np.empty((len(x), self.size, self.k, x.shape[1]))
+        log[:] = (-0.5 * np.log(2 * np.pi * self.vars).sum(2))[:, :, None]
+        for d in range(x.shape[2]):
+            off = x[:, None, None, :, d] - self.means[:, :, None, d]
+            off *= off
+            off *= (0.5 / self.vars[:, :, d])[:, :, None]
+            log -= off
+        top = log.max(2)
+        log -= top[:, :, None]
+        return np.exp(log, out=log), top
 
 
 def _live(n: np.ndarray) -> list[int]:
@@ -124,38 +143,38 @@ def _live(n: np.ndarray) -> list[int]:
 
 
 def _forward(e, live, first, trans):
-    """Filtered state probabilities, and the log of each row's normaliser."""
-    a, c = np.zeros_like(e), np.ones(e.shape[:3])
+    """Filtered state probabilities, and each row's normaliser."""
+    a, c = np.zeros_like(e), np.ones((e.shape[0], e.shape[1], e.shape[3]))
+    on = trans.transpose(0, 2, 1)
     for t, m in enumerate(live):
-        now = (a[t - 1, :, :m] @ trans if t else first) * e[t, :, :m]
-        s = np.maximum(now.sum(2), 1e-300)
-        a[t, :, :m] = now / s[..., None]
+        now = (on @ a[t - 1, :, :, :m] if t else first) * e[t, :, :, :m]
+        s = np.maximum(now.sum(1), 1e-300)
+        np.divide(now, s[:, None], out=a[t, :, :, :m])
         c[t, :, :m] = s
-    return a, np.log(c)
+    return a, c
 
 
 def _backward(e, live, last, trans):
     b = np.zeros_like(e)
-    back = trans.transpose(0, 2, 1)
     for t in range(len(live) - 1, -1, -1):
         m, on = live[t], live[t + 1] if t + 1 < len(live) else 0
-        b[t, :, on:m] = last[:, on:m]
+        b[t, :, :, on:m] = last[:, :, on:m]
         if on:
-            now = (e[t + 1, :, :on] * b[t + 1, :, :on]) @ back
-            b[t, :, :on] = now / np.maximum(now.sum(2), 1e-300)[..., None]
+            now = trans @ (e[t + 1, :, :, :on] * b[t + 1, :, :, :on])
+            np.divide(now, np.maximum(now.sum(1), 1e-300)[:, None], out=b[t, :, :, :on])
     return b
 
 
 def _entering(part, model: Stack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probabilities of the state before each block (none for first ones), of its first row, and what follows it."""
-    shape = (model.size, part.num_rows, model.k)
+    shape = (model.size, model.k, part.num_rows)
     before, last = np.zeros(shape), np.ones(shape)
-    first = np.broadcast_to(model.start[:, None], shape).copy()
+    first = np.broadcast_to(model.start[:, :, None], shape).copy()
     if "alpha" in part.schema.names:  # for one model only
         for i, (al, be) in enumerate(zip(part.column("alpha").to_pylist(), part.column("beta").to_pylist(), strict=True)):
-            last[:, i] = be
+            last[:, :, i] = be
             if al:
-                before[:, i], first[:, i] = al, np.asarray(al) @ model.trans[0]
+                before[:, :, i], first[:, :, i] = al, np.asarray(al) @ model.trans[0]
     return before, first, last
 
 
@@ -166,29 +185,35 @@ def _posterior(part, n, x, model: Stack):
     a, c = _forward(e, live, first, model.trans)
     b = _backward(e, live, last, model.trans)
     g = a * b
-    s = g.sum(3, keepdims=True)
-    return before, e, top, live, a, b, c, np.divide(g, s, out=np.zeros_like(g), where=s > 0)
+    s = g.sum(2)
+    return before, e, top, live, a, b, c, s, np.divide(g, s[:, :, None], out=np.zeros_like(g), where=s[:, :, None] > 0)
 
 
 def _counts(part, n, x, model: Stack) -> np.ndarray:
     """Expected counts over some sequences, one row of numbers for each model."""
-    before, e, top, live, a, b, c, g = _posterior(part, n, x, model)
-    k = model.k
+    before, e, top, live, a, b, c, s, g = _posterior(part, n, x, model)
     there = np.arange(len(live))[:, None] < n
-    later = there[1:]
-    p, q = (v.transpose(0, 2, 1, 3)[later].transpose(1, 0, 2) for v in (a[:-1], e[1:] * b[1:]))  # (model, pair of rows, state)
-    inside = before[0].any(1)
-    if inside.any():
-        p, q = np.concatenate((p, before[:, inside]), 1), np.concatenate((q, e[0][:, inside] * b[0][:, inside]), 1)
-    w = np.maximum(((p @ model.trans) * q).sum(2, keepdims=True), 1e-300)
-    xi = model.trans * ((p / w).transpose(0, 2, 1) @ q)
-    gf = g.transpose(1, 3, 0, 2).reshape(model.size, k, -1)
-    xf = (x[None] - model.middle[:, None, None]).reshape(model.size, -1, x.shape[2])  # moved, so that squares stay small
-    ll = (c + np.where(there[:, None], top, 0.0)).sum((0, 2))
-    flat = [gf.sum(2), gf @ xf, gf @ (xf * xf), xi, g[0][:, ~inside].sum(1), ll]
+    w = (c * s)[:, :, None]  # the weight of all steps into a row; none where a sequence has ended
+    b *= e
+    q = np.divide(b, w, out=np.zeros_like(b), where=w > 0)
+    xi = before @ q[0].transpose(0, 2, 1) + (a[:-1] @ q[1:].transpose(0, 1, 3, 2)).sum(0)
+    inside = before[0].any(0)
+    xf = x[:, None] - model.middle[:, None]  # moved, so that squares stay small
+    moments = (g @ np.concatenate((xf, xf * xf), 3)).sum(0)
+    dims = x.shape[2]
+    ll = (np.log(c) + np.where(there[:, None], top, 0.0)).sum((0, 2))
+    flat = [g.sum((0, 3)), moments[:, :, :dims], moments[:, :, dims:], model.trans * xi, g[0][:, :, ~inside].sum(2), ll]
     return np.concatenate([v.reshape(model.size, -1) for v in flat], 1)
 
 
+def _likelihoods(part, n, x, model: Stack) -> np.ndarray:
+    """The last number of ``_counts`` alone, from the forward half."""
+    e, top = model.emissions(x)
+    _, c = _forward(e, _live(n), _entering(part, model)[1], model.trans)
+    there = np.arange(len(e))[:, None] < n
+    return (np.log(c) + np.where(there[:, None], top, 0.0)).sum((0, 2))[:, None]
+
+
 # ------------------------------------------------------------------ one pass over all models
 
 
@@ -205,10 +230,10 @@ def _transfers(table: DataFrame, keys: list[str], models: list[Model], dims: int
                     if m.leave_out is not None and row.column("fold")[0].as_py() == m.leave_out:
                         continue
                     e, top = Stack([m]).emissions(x)
-                    v, log = (np.tile(m.start, (m.k, 1)) if row.column("block")[0].as_py() == 0 else m.trans) * e[0, 0, 0], top.sum()
+                    v, log = (np.tile(m.start, (m.k, 1)) if row.column("block")[0].as_py() == 0 else m.trans) * e[0, 0, :, 0], top.sum()
                     for t in range(len(e)):
                         if t:
-                            v = (v @ m.trans) * e[t, 0, 0]
+                            v = (v @ m.trans) * e[t, 0, :, 0]
                         s = max(v.sum(), 1e-300)
                         v, log = v / s, log + np.log(s)
                     cells = [*[row.column(c) for c in keys], row.column("block"), pa.array([j], pa.int32()), pa.array([v.ravel().tolist()], pa.list_(pa.float64())), pa.array([log])]
@@ -236,7 +261,7 @@ def _transfers(table: DataFrame, keys: list[str], models: list[Model], dims: int
     return m.groupBy(*keys, "model").applyInPandas(borders, f"{ks}, block int, model int, alpha array<double>, beta array<double>, ll double")
 
 
-def _sum_counts(batches, models: list[Model], dims: int) -> dict[int, np.ndarray]:
+def _sum_counts(batches, models: list[Model], dims: int, count=_counts) -> dict[int, np.ndarray]:
     """Expected counts of each model over the sequences of some Arrow batches."""
     total: dict[int, np.ndarray] = {}
     alike: dict[tuple, list[int]] = {}
@@ -256,7 +281,7 @@ def _sum_counts(batches, models: list[Model], dims: int) -> dict[int, np.ndarray
                     continue
                 some = np.flatnonzero(use)
                 mine = part if use.all() else part.take(pa.array(some))
-                got = _counts(mine, n[some], x[: int(n[some].max()), some], Stack([models[j] for j in js]))
+                got = count(mine, n[some], x[: int(n[some].max()), some], Stack([models[j] for j in js]))
                 if which is not None:  # a long sequence's likelihood comes from its borders
                     got[0, -1] = sum(mine.column("ll").to_pylist())
                 for j, v in zip(js, got, strict=True):
@@ -348,12 +373,17 @@ class _Climb:
     def wanted(self) -> list[Model]:
         return [replace(self.m, means=p[0], vars=p[1], start=p[2], trans=p[3]) for p in self.trials]
 
+    @staticmethod
+    def likeliest(counts: list[np.ndarray]) -> int:
+        return max(range(len(counts)), key=lambda i: counts[i][-1] if np.isfinite(counts[i][-1]) else -np.inf)
+
     def take(self, counts: list[np.ndarray]) -> bool:
-        """The counts at the wanted parameters; sets the next ones. True when the fit has ended."""
+        """The counts at the wanted parameters (of all but the likeliest, the likelihood will do); sets the next ones.
+        True when the fit has ended."""
         m = self.m
         m.rounds += 1
         plain, single = 0, len(counts) == 1
-        best = plain if single else max(range(len(counts)), key=lambda i: counts[i][-1] if np.isfinite(counts[i][-1]) else -np.inf)
+        best = plain if single else self.likeliest(counts)
         ll = float(counts[best][-1])
         gain = float(counts[plain][-1]) - m.loglik if m.history else np.inf
         at = self.trials[best]
@@ -420,21 +450,26 @@ def _in_order(m: Model) -> Model:
 
 def _fit_in_tasks(table: DataFrame, models: list[Model], dims: int, max_iter: int, tol: float) -> list[Model]:
     """The same passes where one task holds all sequences anyway (the table is one input split): each model's rounds
-    run in a task of their own, so a fit is one job."""
+    run in a task of their own (by ranges: hashes would put several models into one task), so a fit is one job."""
 
     def fit(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         m = models[key[0].as_py()]
         climb, batches = _Climb(m, max_iter, tol), rows.drop_columns(["model"]).to_batches()
         while True:
             trials = climb.wanted()
-            got = _sum_counts(batches, trials, dims)
+            if len(trials) > 1:  # only the likeliest one's counts are needed
+                got = _sum_counts(batches, trials, dims, _likelihoods)
+                best = climb.likeliest([got[i] for i in range(len(trials))]) if got else 0
+                got |= {best: v for v in _sum_counts(batches, [trials[best]], dims).values()}
+            else:
+                got = _sum_counts(batches, trials, dims)
             if not got or climb.take([got[i] for i in range(len(trials))]):
                 break
         flat = [m.means.ravel(), m.vars.ravel(), m.start, m.trans.ravel(), np.zeros(m.k) if m.occupancy is None else m.occupancy, [m.loglik, m.rounds, m.converged], m.history]
         return pa.table({"model": [key[0].as_py()], "v": [np.concatenate(flat).tolist()]}, schema=pa.schema([("model", pa.int32()), ("v", pa.list_(pa.float64()))]))
 
     each = table.where("blocks = 1 and n > 1").select(F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))).alias("model"), "n", "fold", "x")
-    for r in each.repartition(len(models), "model").groupBy("model").applyInArrow(fit, "model int, v array<double>").collect():
+    for r in each.repartitionByRange(len(models), "model").groupBy("model").applyInArrow(fit, "model int, v array<double>").collect():
         m = models[r.model]
         k, d = m.k, dims
         means, var, start, trans, occupancy, (m.loglik, rounds, done), history = np.split(np.array(r.v), np.cumsum([k * d, k * d, k, k * k, k, 3]))
@@ -446,7 +481,7 @@ def _fit_in_tasks(table: DataFrame, models: list[Model], dims: int, max_iter: in
 def _paths(e, live, model: Stack):
     """The likeliest state path of each sequence under the first model (log scores)."""
     with np.errstate(divide="ignore"):
-        log_e, log_a = np.log(np.maximum(e[:, 0], 1e-300)), np.log(model.trans[0])
+        log_e, log_a = np.log(np.maximum(e[:, 0].transpose(0, 2, 1), 1e-300)), np.log(model.trans[0])
         v = np.log(model.start[0])[None] + log_e[0]
     back = np.zeros(log_e.shape, np.int16)
     end = np.zeros(log_e.shape[1:])
@@ -484,9 +519,9 @@ def decoded(table: DataFrame, keys: Sequence[str], models: list[Model], dims: in
                         continue
                     mine, length = part.take(pa.array(some)), n[some]
                     one = Stack([m])
-                    _, e, _, live, _, _, _, g = _posterior(mine, length, x[: int(length.max()), some], one)
+                    _, e, _, live, *_, g = _posterior(mine, length, x[: int(length.max()), some], one)
                     state = _paths(e, live, one)
-                    p = np.take_along_axis(g[:, 0], state[:, :, None], 2)[:, :, 0]
+                    p = np.take_along_axis(g[:, 0], state[:, None], 1)[:, 0]
                     cells = [pa.array([v[:q, i].tolist() for i, q in enumerate(length.tolist())]) for v in (state, p)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), j, np.int32)), *[mine.column(c) for c in [*keys, "keep"]], *cells], ["model", *keys, "keep", "state", "probability"])
 
@@ -511,7 +546,7 @@ def _decoded_long(table: DataFrame, keys: list[str], j: int, m: Model, dims: int
     def emit(pdf):
         x = np.vstack(pdf["_x"].to_numpy()).astype(float)[:, None, :]
         e, top = Stack([m]).emissions(x)
-        return np.log(np.maximum(e[:, 0, 0], 1e-300)) + top[:, 0]
+        return np.log(np.maximum(e[:, 0, :, 0], 1e-300)) + top[:, 0]
 
     lean = rows.withColumn("_row", F.col("_pos")).select(*keys, "_block", "_pos", "_x")
     path = _best_path(lean, keys, emit, lambda k: log_a, lambda k: log_s)
@@ -521,7 +556,7 @@ def _decoded_long(table: DataFrame, keys: list[str], j: int, m: Model, dims: int
         for batch in batches:
             for part, n in _portions(batch, dims):
                 *_, g = _posterior(part, n, _grid(part.column("x"), n, dims), Stack([m]))
-                cells = pa.array([g[:q, 0, i].tolist() for i, q in enumerate(n.tolist())], pa.list_(pa.list_(pa.float64())))
+                cells = pa.array([g[:q, 0, :, i].tolist() for i, q in enumerate(n.tolist())], pa.list_(pa.list_(pa.float64())))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in [*keys, "block", "keep"]], cells], [*keys, "block", "keep", "g"])
 
     ks = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keys)
@@ -537,7 +572,7 @@ def _decoded_long(table: DataFrame, keys: list[str], j: int, m: Model, dims: int
 def hidden_states(df: DataFrame, keys: Sequence[str], order: Sequence, features: Sequence[str], k: int, keep: Sequence[str] = (), seed: int = 0,
                   max_iter: int = 200, tol: float = 1e-5, block_rows: int | None = None) -> tuple[DataFrame, Model]:
     """State (on the likeliest path) and its posterior probability of every row, and the fitted model."""
-    table = settle(packed(df, keys, order, features, keep, block_rows=block_rows))
+    table = _spread(packed(df, keys, order, features, keep, block_rows=block_rows))
     (model,) = fit_packed(table, keys, [Model(k, seed)], len(features), max_iter, tol)
     return decoded(table, keys, [model], len(features), keep).drop("model"), model
 
@@ -545,7 +580,7 @@ def hidden_states(df: DataFrame, keys: Sequence[str], order: Sequence, features:
 def choose(df: DataFrame, keys: Sequence[str], order: Sequence, features: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5, 6), seeds: Sequence[int] = (42, 7, 99),
            max_iter: int = 200, tol: float = 1e-5) -> list[Model]:
     """The best seed (lowest BIC) of every number of states, lowest BIC first; all fits share their passes."""
-    table = settle(packed(df, keys, order, features))
+    table = _spread(packed(df, keys, order, features))
     fits = fit_packed(table, keys, [Model(k, s) for k in ks for s in seeds], len(features), max_iter, tol)
     best = [min((m for m in fits if m.k == k), key=lambda m: m.bic) for k in ks]
     return sorted(best, key=lambda m: m.bic)
@@ -566,7 +601,7 @@ def state_stability(df: DataFrame, keys: Sequence[str], order: Sequence, feature
     fold = settle(placed.select(group, F.floor((F.col("_no") - 1) * folds / F.lit(max(n, 1))).cast("int").alias("_f")))
     d = join_on(df, fold, [group], "left").withColumn("_f", F.coalesce("_f", F.lit(-1)))
     keep = [row_id, "_f"]
-    table = settle(packed(d, [*keys], order, features, keep, F.col("_f")).where(F.col("n") + (F.col("blocks") - 1) * BLOCK_ROWS >= min_rows))
+    table = _spread(packed(d, [*keys], order, features, keep, F.col("_f")).where(F.col("n") + (F.col("blocks") - 1) * BLOCK_ROWS >= min_rows))
     models = fit_packed(table, keys, [Model(k, 0), *[Model(k, 1000 + f, f) for f in range(folds)]], len(features), max_iter, tol)
     rows = settle(decoded(table, keys, models, len(features), keep).select("model", F.col(row_id).alias("_id"), "state"))
     full = rows.where("model = 0").select("_id", "state")
