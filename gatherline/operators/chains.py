@@ -12,13 +12,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatherline.operators.ordered import join_on, ordered_scan, row_no
+from gatherline.operators.ordered import join_on, ordered_scan, row_no, settle
 
 BLOCK_ROWS = 100_000
+_CELLS = 1 << 20
 
 
 def _transfer(e, log_a, first, plus):
@@ -62,8 +65,59 @@ def viterbi_smooth(df: DataFrame, keys: Sequence[str], order: Sequence, log_prob
     return join_on(d, done, [*keys, "_block", "_pos"], "inner").withColumnRenamed("_state", out).drop("_pos", "_block")
 
 
+def _short_paths(batches, keys: list[str], names: list[str], emit, trans, start):
+    """The likeliest paths of whole sequences, many side by side, one time step after the other."""
+    for batch in batches:
+        n = np.asarray(pc.list_value_length(batch.column("_r"))).astype(int)
+        rows = batch.column("_r").flatten()
+        e = emit(pd.DataFrame({c: rows.field(c).to_pandas() for c in names}))
+        k = e.shape[1]
+        a, at, by = trans(k), np.concatenate(([0], np.cumsum(n))), np.argsort(-n, kind="stable")
+        states, lo = np.zeros(len(e), np.int64), 0
+        while lo < len(by):
+            most = int(n[by[lo]])
+            some = by[lo : lo + max(1, _CELLS // (most * k * k))]
+            lo += len(some)
+            live = np.searchsorted(-n[some], -np.arange(most), side="left").tolist()
+            back, end = np.zeros((most, len(some), k), np.int32), np.zeros((len(some), k))
+            for t, m in enumerate(live):
+                now = e[at[some[:m]] + t]
+                if t:
+                    w = v[:m, :, None] + a
+                    back[t, :m] = w.argmax(1)
+                    v = w.max(1) + now
+                else:
+                    v = now + start(k)
+                end[:m] = v
+            state = end.argmax(1)
+            for t in range(most - 1, -1, -1):
+                m, on = live[t], live[t + 1] if t + 1 < most else 0
+                if on:
+                    state[:on] = back[t + 1, np.arange(on), state[:on]]
+                states[at[some[:m]] + t] = state[:m]
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(states))
+        places = pa.ListArray.from_arrays(pa.array(at, pa.int32()), rows.field("_pos"))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], places, lists], [*keys, "_pos", "_state"])
+
+
 def _best_path(lean: DataFrame, keys: list[str], emit, trans, start) -> DataFrame:
-    """(keys, _block, _pos, _state) of the likeliest path; ``trans`` and ``start`` give log scores for a number of states."""
+    """(keys, _block, _pos, _state) of the likeliest path; ``trans`` and ``start`` give log scores for a number of states.
+
+    Sequences of one block are packed and done in one pass, many side by side; only longer ones go block by block."""
+    names = [c for c in lean.columns if c not in (*keys, "_block", "_pos")]
+    rows = lean.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("_pos", *names))).alias("_r"))
+    whole = settle(rows.withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+    ks = ", ".join(f"`{c}` {lean.schema[c].dataType.simpleString()}" for c in keys)
+    done = whole.where("_blocks = 1").select(*keys, "_r").mapInArrow(lambda b: _short_paths(b, keys, names, emit, trans, start), f"{ks}, _pos array<long>, _state array<long>")
+    done = done.select(*keys, F.lit(0).cast("long").alias("_block"), F.inline(F.arrays_zip("_pos", "_state")))
+    many = whole.where("_blocks > 1")
+    if many.isEmpty():
+        return done
+    return done.unionByName(_long_paths(many.select(*keys, "_block", F.inline("_r")), keys, emit, trans, start))
+
+
+def _long_paths(lean: DataFrame, keys: list[str], emit, trans, start) -> DataFrame:
+    """The same for sequences of several blocks."""
 
     def mats(pdf):
         pdf = pdf.sort_values("_pos")
