@@ -50,10 +50,14 @@ def feature_inventory(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     aggs = [
         n.alias("n"), (n / F.count(F.lit(1)) * 100).alias("coverage_pct"), (F.try_divide(F.count_if(F.col("value") == 0), n) * 100).alias("zero_pct"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.count_distinct("value").alias("n_unique"),
+        F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
     ]
+    # apart from the others: beside a distinct count Spark would hold their sketches once for every value
+    unique = long.groupBy("feature").agg(F.count_distinct("value").alias("n_unique"))
     d = agg_with_percentiles(long, ["feature"], aggs, {"median": ("value", 0.5), "_q1": ("value", 0.25), "_q3": ("value", 0.75)})
-    return d.withColumn("iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
+    d = join_on(d, unique, ["feature"], "inner")
+    first = [c for c in d.columns if c not in ("n_unique", "median", "_q1", "_q3")]
+    return d.select(*first, "n_unique", "median", (F.col("_q3") - F.col("_q1")).alias("iqr"))
 
 
 def feature_flags(inventory: DataFrame) -> DataFrame:
