@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gatherline.functions.exprs import ratio
 from gatherline.operators.groups import with_stats
 from gatherline.operators.ordered import (
-    agg_with_percentiles, exact_percentiles, join_on, key_sum, ordered_scan, prev, rev_min, row_no, settle, unpivot_values, value_ranks,
+    agg_with_percentiles, cum_sum, exact_percentiles, join_on, key_sum, ordered_scan, prev, rev_min, row_no, settle, unpivot_values, value_ranks,
 )
 from gatherline.operators.signals import corr_or_null
 
@@ -150,23 +150,49 @@ def pearson_table(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str,
     return g.select(*keys, F.inline("_c"))
 
 
+#: Rank tables of a column up to so many rows are broadcast to the rows they rank.
+RANKS_SENT = 100_000
+
+
 def spearman_table(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], min_n: int = 3, rows_per_block: int | None = None) -> DataFrame:
-    """Rank correlation over complete rows. Equal (x, y) pairs are counted first; ranks are
-    joined to those counts by value."""
+    """Rank correlation of every listed pair over its complete rows.
+
+    The values of each column are counted once, for every partner over the rows that have it; running counts
+    rank a value among them. One join a column brings the ranks back to the rows, and one aggregate gives all pairs.
+    """
     d, keys, flat = _const(df, keys)
-    opts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
-    pk = [*keys, "a", "b"]
-    c = d.select(*keys, F.inline(opts)).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*pk, "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    c = settle(c)
-    for v, r in (("x", "_rx"), ("y", "_ry")):
-        rk = value_ranks(c, pk, v, "w", rows_per_block).select(*pk, v, (F.col("avg_rank") - (F.col("total") + 1) / 2).alias(r))
-        c = join_on(c, rk, [*pk, v], "inner")
-    w, x, y = F.col("w"), F.col("_rx"), F.col("_ry")
-    sxy, sxx, syy, n = F.sum(w * x * y), F.sum(w * x * x), F.sum(w * y * y), F.sum(w)
-    out = c.groupBy(*pk).agg(n.alias("n"), F.when((n >= min_n) & (sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy)).alias("rho"))
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    d = settle(d.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)]))
+    out = _rank_correlations(d, keys, cols, pairs, min_n, rows_per_block)
     return out.drop("_all") if flat else out
 
 
+def _rank_correlations(d: DataFrame, keys: Sequence[str], cols: Sequence[str], pairs: Sequence[tuple[str, str]], min_n: int, rows_per_block: int | None) -> DataFrame:
+    """``spearman_table`` of a stored table whose column ``_v{i}`` holds the values of the i-th of ``cols``."""
+    at = {c: i for i, c in enumerate(cols)}
+    partners = {i: sorted({at[y] for x, y in pairs if at[x] == i} | {at[x] for x, y in pairs if at[y] == i}) for i in at.values()}
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_v{i}").alias("_v")) for i in at.values()])
+    there = [F.col(f"_v{j}").isNotNull().alias(f"_p{j}") for j in at.values()]
+    counts = d.select(*keys, *there, F.inline(cells)).filter(F.col("_v").isNotNull()).groupBy(*keys, "_c", "_v").agg(*[F.count_if(f"_p{j}").alias(f"_n{j}") for j in at.values()])
+    steps = {x: s for j in at.values() for x, s in ((f"_cum{j}", cum_sum(f"_n{j}")), (f"_all{j}", key_sum(f"_n{j}")))}
+    ranks = ordered_scan(settle(counts), [*keys, "_c"], ["_v"], steps, rows_per_block)
+    # a value's mean rank, less the mean of all ranks
+    ranks = settle(ranks.select(*keys, "_c", "_v", *[(F.col(f"_cum{j}") - (F.col(f"_n{j}") + F.col(f"_all{j}")) / 2.0).alias(f"_r{j}") for j in at.values()]))
+    sizes = {r["_c"]: r["count"] for r in ranks.groupBy("_c").count().collect()}  # a row a column
+    for i, js in partners.items():
+        own = ranks.filter(F.col("_c") == i).select(*keys, F.col("_v").alias(f"_v{i}"), *[F.col(f"_r{j}").alias(f"_r{i}_{j}") for j in js])
+        d = join_on(d, F.broadcast(own) if sizes.get(i, 0) <= RANKS_SENT else own, [*keys, f"_v{i}"], "left")
+    items = []
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        both = F.col(f"_v{i}").isNotNull() & F.col(f"_v{j}").isNotNull()
+        x, y = F.col(f"_r{i}_{j}"), F.col(f"_r{j}_{i}")
+        n, sxy, sxx, syy = F.count_if(both), F.sum(F.when(both, x * y)), F.sum(F.when(both, x * x)), F.sum(F.when(both, y * y))
+        rho = F.when((n >= min_n) & (sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy))
+        items.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), rho.alias("rho")))
+    return d.groupBy(*keys).agg(F.array(*items).alias("_c")).select(*keys, F.inline("_c")).filter(F.col("n") > 0)
+
+
 def all_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(cols, 2))
 
