@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from gatherline.operators.clean import plausibility_gate
 from gatherline.operators.groups import robust_z, winsorise, with_stats
 from gatherline.operators.ordered import exact_percentiles, join_on, ordered_scan, row_no, settle, unpivot_values, value_ranks
-from gatherline.operators.stats import pearson_table, spearman_table
+from gatherline.operators.stats import pearson_table, rank_correlations, spearman_table
 
 #: Penalties of the ridge (fixed values).
 ALPHAS = tuple(float(a) for a in np.logspace(-2, 3, 12))
@@ -244,10 +244,11 @@ def logo_ridge(df: DataFrame, group: str, xs: Sequence[str], y: str, alphas: Seq
 
 
 def regression_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """n, R2, mean absolute error and rank correlation of predictions."""
-    e = F.col(y) - F.col(pred)
-    a = df.agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
-    rho = spearman_table(df, [], [(y, pred)]).select("rho").scalar()
+    """n, R2, mean absolute error and rank correlation of predictions, which are computed and stored once."""
+    d = settle(df.select(F.lit(0).alias("_all"), F.col(y).cast("double").alias("_v0"), F.col(pred).cast("double").alias("_v1")))
+    e = F.col("_v0") - F.col("_v1")
+    a = d.agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(e * e), F.var_pop("_v0") * F.count("_v0"))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
+    rho = rank_correlations(d, ["_all"], ["_y", "_pred"], [("_y", "_pred")]).select("rho").scalar()
     return a.withColumn("rho", rho)
 
 

@@ -163,11 +163,11 @@ def spearman_table(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str
     d, keys, flat = _const(df, keys)
     cols = list(dict.fromkeys(c for p in pairs for c in p))
     d = settle(d.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)]))
-    out = _rank_correlations(d, keys, cols, pairs, min_n, rows_per_block)
+    out = rank_correlations(d, keys, cols, pairs, min_n, rows_per_block)
     return out.drop("_all") if flat else out
 
 
-def _rank_correlations(d: DataFrame, keys: Sequence[str], cols: Sequence[str], pairs: Sequence[tuple[str, str]], min_n: int, rows_per_block: int | None) -> DataFrame:
+def rank_correlations(d: DataFrame, keys: Sequence[str], cols: Sequence[str], pairs: Sequence[tuple[str, str]], min_n: int = 3, rows_per_block: int | None = None) -> DataFrame:
     """``spearman_table`` of a stored table whose column ``_v{i}`` holds the values of the i-th of ``cols``."""
     at = {c: i for i, c in enumerate(cols)}
     partners = {i: sorted({at[y] for x, y in pairs if at[x] == i} | {at[x] for x, y in pairs if at[y] == i}) for i in at.values()}
