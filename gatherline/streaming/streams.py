@@ -6,13 +6,14 @@ append mode, so a window appears once it is closed.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatherline.functions.exprs import epoch_micros
 from gatherline.session import shared_dir
@@ -72,77 +73,73 @@ def enrich_from_windows(stream: DataFrame, ranges: DataFrame, keys: Sequence[str
     return within_join(stream, ranges, keys, t, span, width)
 
 
-class _Runs(StatefulProcessor):
-    """Rows wait in a list until the watermark has passed them, and are then taken in time order. The value is the open
-    run and the timer set for the key: the first waiting row, or the end of the open run and ``idle`` after it."""
-
-    def __init__(self, keys: list[str], idle: float):
-        self.keys, self.idle = keys, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "t double, f boolean")
-        self.run = handle.getValueState("run", "start double, last double, n long, timer long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [x for r in rows for x in zip(r["row_time"].tolist(), r["row_flag"].fillna(False).astype(bool).tolist())]
-        yield from self._go_on(key, new, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._go_on(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-
-    def _go_on(self, key, new, passed: int, fired: int | None = None):
-        start, last, n, timer = self.run.get() if self.run.exists() else (0.0, 0.0, 0, 0)
-        waiting = sorted([*(self.waiting.get() if self.waiting.exists() else ()), *new])
-        ready = [w for w in waiting if _ms(w[0]) < passed]
-        done = []
-        for at, on in ready:
-            if n and (not on or at - last > self.idle):
-                done.append((start, last, n))
+def _runs_of(keys: list[str], idle: float):
+    """The function of a bucket of keys. Rows wait until the watermark has passed them, and are then taken in time order. The
+    state holds for each key the open run and the waiting rows, in one value; the timeout is the first waiting row, or the
+    end of an open run and ``idle`` after it, of any key."""
+
+    def go_on(_, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs()
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        for r in () if state.hasTimedOut else rows:
+            times, flags = r["row_time"].tolist(), r["row_flag"].fillna(False).astype(bool).tolist()
+            for key, *new in zip(zip(*(r[k].tolist() for k in keys)), times, flags):
+                held.setdefault(key, ((0.0, 0.0, 0), []))[1].append(tuple(new))
+        done, left, ends = [], {}, []
+        for key, ((start, last, n), waiting) in held.items():
+            waiting.sort()
+            ready = 0
+            for t, on in waiting:
+                if _ms(t) >= passed:
+                    break
+                ready += 1
+                if n and (not on or t - last > idle):
+                    done.append((*key, start, last, n))
+                    n = 0
+                if on:
+                    start, last, n = (start if n else t), t, n + 1
+            if n and _ms(last + idle) < passed:  # silent for long enough: nothing can join the run any more
+                done.append((*key, start, last, n))
                 n = 0
-            if on:
-                start, last, n = (start if n else at), at, n + 1
-        if n and _ms(last + self.idle) < passed:  # silent for long enough: nothing can join the run any more
-            done.append((start, last, n))
-            n = 0
-        waiting = waiting[len(ready) :]
-        at = [_ms(waiting[0][0])] if waiting else []
-        wanted = max(passed, min(at + ([_ms(last + self.idle)] if n else []))) + 1 if waiting or n else 0
-        if timer and timer != wanted and timer != fired:
-            self.handle.deleteTimer(timer)
-        if wanted and (timer != wanted or timer == fired):
-            self.handle.registerTimer(wanted)
-        if waiting:
-            self.waiting.put(waiting)
-        elif self.waiting.exists():
-            self.waiting.clear()
-        if wanted:
-            self.run.update((start, last, n, wanted))
-        elif self.run.exists():
-            self.run.clear()
+            if n or ready < len(waiting):
+                left[key] = ((start, last, n), waiting[ready:])
+                ends += ([_ms(waiting[ready][0])] if ready < len(waiting) else []) + ([_ms(last + idle)] if n else [])
+        if left:
+            state.update((pickle.dumps(left),))
+            state.setTimeoutTimestamp(max(passed, min(ends), 1))
+        elif state.exists:
+            state.remove()
         if done:
-            yield pd.DataFrame([[*key, *r] for r in done], columns=[*self.keys, "run_start", "run_end", "n_rows"])
+            yield pd.DataFrame(done, columns=[*keys, "run_start", "run_end", "n_rows"])
 
-    def close(self) -> None:
-        pass
+    return go_on
 
 
 def _ms(seconds: float) -> int:
     return int(seconds * 1000 // 1)
 
 
+#: Buckets that the keys of a run operator are dealt into; a call of a worker and one state value serve a bucket.
+RUN_BUCKETS = 256
+
+
 def flag_runs(stream: DataFrame, keys: Sequence[str], t: str, flag: Column, late: str, idle: float) -> DataFrame:
     """Runs of a flag per key: flagged rows in a row, at most ``idle`` seconds apart.
 
     A run is emitted once the watermark has passed the row without the flag that ends it, or ``idle`` seconds after
-    its last row: then an event timer closes it, also for a key that has fallen silent. Rows are taken in time order,
+    its last row: then a timeout closes it, also for a key that has fallen silent. Rows are taken in time order,
     so the split into micro-batches does not matter. State per key is the open run and the rows of the allowed
-    lateness, and is dropped when both are gone. Run with ``run_available(..., rocks=True)``.
+    lateness, and is dropped when both are gone. Keys, of any type that survives a cast to string, are served
+    by buckets, not one by one. Run with ``run_available(..., rocks=True)``.
     """
     keys = list(keys)
-    s = stream.withWatermark("event_time", late).select(*keys, F.col(t).cast("double").alias("row_time"), flag.alias("row_flag"), "event_time")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields if f.name in keys)
-    return s.groupBy(*keys).transformWithStateInPandas(_Runs(keys, idle), f"{fields}, run_start double, run_end double, n_rows long", "Append", "EventTime")
+    types = {k: stream.schema[k].dataType for k in keys}
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(RUN_BUCKETS)).alias("_bucket")
+    # as strings keys stay exact in pandas, nulls among them too
+    s = stream.withWatermark("event_time", late).select(bucket, *[F.col(k).cast("string").alias(k) for k in keys], F.col(t).cast("double").alias("row_time"), flag.alias("row_flag"), "event_time")
+    fields = ", ".join(f"`{k}` string" for k in keys)
+    runs = s.groupBy("_bucket").applyInPandasWithState(_runs_of(keys, idle), f"{fields}, run_start double, run_end double, n_rows long", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return runs.select(*[F.col(k).cast(types[k]).alias(k) for k in keys], "run_start", "run_end", "n_rows")
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -155,7 +152,7 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 def run_available(stream: DataFrame, folder: str | None = None, rocks: bool = False) -> DataFrame:
     """Process everything there is, write it as parquet, and read that table. ``rocks`` keeps the state in RocksDB,
-    which operators with lists and timers need."""
+    beyond the memory of the workers."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
     before = spark.conf.get(_PROVIDER)
