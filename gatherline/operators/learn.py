@@ -132,9 +132,13 @@ def kmeans_sweep(df: DataFrame, features: str, ks: Sequence[int] = range(2, 8),
 
 
 def gaussian_mixture(df: DataFrame, features: str, k: int, seed: int = 1) -> DataFrame:
+    """Clusters and memberships of a mixture fitted on all rows; equal vectors are one, weighted by their number."""
     from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    return GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="cluster", probabilityCol="membership").fit(df).transform(df)
+    counts = settle(df.select(vector_to_array(features).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).cast("double").alias("_w")))
+    g = GaussianMixture(k=k, seed=seed, featuresCol=features, weightCol="_w", predictionCol="cluster", probabilityCol="membership")
+    return g.fit(counts.select(array_to_vector("_v").alias(features), "_w")).transform(df)
 
 
 # ------------------------------------------------------------------ ridge over left-out groups
