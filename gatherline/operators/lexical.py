@@ -20,6 +20,10 @@ from gatherline.operators.groups import gini, herfindahl, z_within
 from gatherline.operators.ordered import join_on, next_, ordered_scan
 
 
+#: Characters of text whose n-grams one task counts.
+CHARS_PER_TASK = 2_000_000
+
+
 def _count_entropy(counts: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     """From (keys, item, _n): total, unique, hapax and entropy in bits."""
     t = F.sum("_n")
@@ -29,28 +33,71 @@ def _count_entropy(counts: DataFrame, keys: Sequence[str], prefix: str) -> DataF
         h.alias(f"{prefix}_entropy"))
 
 
-def item_entropy(df: DataFrame, keys: Sequence[str], items, prefix: str) -> DataFrame:
-    """Counts and entropy of the items of an array column per key."""
-    d = df.select(*keys, F.explode(items).alias("_item")).groupBy(*keys, "_item").agg(F.count(F.lit(1)).alias("_n"))
-    return _count_entropy(d, keys, prefix)
+def sized(df: DataFrame, keys: Sequence[str], text: str, per_task: int = CHARS_PER_TASK) -> tuple[DataFrame, int]:
+    """``df`` and the number of tasks that its text fills, one a core at least. Where keys have more text than a task's share, ``_heavy`` tells their rows.
+
+    The sizes are exact; the driver gets one row for each heavy key and one for all others.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    n = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)], F.length(text).alias("_n")).groupBy(*names).agg(F.sum("_n").alias("_n"))
+    found = n.groupBy(F.when(F.col("_n") > per_task, F.struct(*names)).alias("_key")).agg(F.sum("_n").alias("_n"))
+    rows = found.toArrow()
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-sum(x or 0 for x in rows.column("_n").to_pylist()) // per_task))
+    rows = rows.filter(rows.column("_key").is_valid())
+    if not rows.num_rows:
+        return df, parts
+    heavy = df.sparkSession.createDataFrame(rows, found.schema).select("_key.*", F.lit(True).alias("_heavy"))
+    same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, names, strict=True)]
+    return df.join(F.broadcast(heavy), same, "left").drop(*names).withColumn("_heavy", F.col("_heavy").isNotNull()), parts
+
+
+def item_entropy(df: DataFrame, keys: Sequence[str], items, prefix: str, parts: int | None = None) -> DataFrame:
+    """Counts and entropy of the items of an array column per key.
+
+    Rows that are dealt by key are counted where they are. Keys marked by ``sized`` are dealt by item, to ``parts`` tasks.
+    """
+    marked = [c for c in df.columns if c == "_heavy"]
+    d = df.select(*keys, *marked, F.explode(items).alias("_item"))
+
+    def counted(x):
+        return _count_entropy(x.groupBy(*keys, "_item").agg(F.count(F.lit(1)).alias("_n")), keys, prefix)
+
+    if not marked:
+        return counted(d)
+    return counted(d.filter(~F.col("_heavy"))).unionByName(counted(d.filter("_heavy").repartition(parts, *keys, "_item")))
+
+
+def text_ngrams(df: DataFrame, keys: Sequence[str], text: str, n: int, prefix: str, per_task: int = CHARS_PER_TASK) -> DataFrame:
+    """Counts and entropy of the n-grams inside the texts of each key.
+
+    Texts are dealt by key, and cut into words and counted there, so the n-grams themselves are shuffled for heavy keys only.
+    """
+    d, parts = sized(df.select(*keys, text), keys, text, per_task)
+    words = T.tokens(text).alias("_words")
+    if "_heavy" not in d.columns:
+        return item_entropy(d.repartition(parts, *keys).select(*keys, words), keys, T.ngrams("_words", n), prefix)
+    light = d.filter(~F.col("_heavy")).repartition(parts, *keys).select(*keys, words)
+    heavy = d.filter("_heavy").select(*keys, words, "_heavy")
+    return item_entropy(light, keys, T.ngrams("_words", n), prefix).unionByName(item_entropy(heavy, keys, T.ngrams("_words", n), prefix, parts))
 
 
-def with_following_words(df: DataFrame, keys: Sequence[str], order: Sequence, words: str) -> DataFrame:
+def with_following_words(df: DataFrame, keys: Sequence[str], order: Sequence, words: str, parts: int | None = None) -> DataFrame:
     """Add ``_next2``: up to two words that follow each non-empty turn, so n-grams may cross turns."""
     d = df.filter(F.size(words) > 0)
     ahead = F.when(F.col("_n1").isNotNull(), F.concat(F.col(words), F.array("_n1"))).otherwise(F.col(words))
     d = ordered_scan(d, keys, order, {"_n1": next_(F.element_at(F.col(words), 1))},
-                     then=[({"_head": F.slice(ahead, 1, 2)}, {"_nh": next_("_head")})])
+                     then=[({"_head": F.slice(ahead, 1, 2)}, {"_nh": next_("_head")})], parts=parts)
     return d.withColumn("_next2", F.coalesce("_nh", F.array().cast("array<string>"))).drop("_head", "_nh", "_n1")
 
 
-def stream_ngrams(df: DataFrame, keys: Sequence[str], order: Sequence, words: str) -> DataFrame:
-    """Unigram, bigram and trigram counts and entropies of the words of each key in order."""
-    d = with_following_words(df, keys, order, words)
+def stream_ngrams(df: DataFrame, keys: Sequence[str], order: Sequence, words: str, text: str, per_task: int = CHARS_PER_TASK) -> DataFrame:
+    """Unigram, bigram and trigram counts and entropies of the words of each key in order; ``text`` is what they were cut from."""
+    d, parts = sized(df, keys, text, per_task)
+    d = with_following_words(d, keys, order, words, parts)
     ext = lambda n: T.ngrams(F.concat(F.col(words), F.slice("_next2", 1, n - 1)), n)
-    out = item_entropy(d, keys, F.col(words), "unigram")
+    out = item_entropy(d, keys, F.col(words), "unigram", parts)
     for n, name in ((2, "bigram"), (3, "trigram")):
-        out = out.join(item_entropy(d, keys, ext(n), name), list(keys), "left")
+        out = out.join(item_entropy(d, keys, ext(n), name, parts), list(keys), "left")
     zero = [f"{a}_{n}" for n in ("bigram", "trigram") for a in ("n", "unique", "hapax")] + ["bigram_entropy", "trigram_entropy"]
     return out.fillna(0, zero)
 
@@ -78,7 +125,7 @@ def speaker_lexicon(df: DataFrame, keys: Sequence[str], order: Sequence, text: s
     """Lexical profile per key (speaker and task): richness, diversity, markers, rates."""
     d = df.withColumn("_words", T.tokens(text))
     f = _summed(d, keys, turn_counts(text, "_words", "larger"), [F.sum(duration).alias("speaking_time_s")])
-    f = f.join(stream_ngrams(d, keys, order, "_words"), list(keys), "left")
+    f = f.join(stream_ngrams(d, keys, order, "_words", text), list(keys), "left")
     n = F.col("word_count")
     share = lambda c: F.coalesce(ratio(c, "word_count"), F.lit(0.0))
     minutes = F.when(F.col("speaking_time_s") > 0, F.col("speaking_time_s") / 60.0)
@@ -101,7 +148,7 @@ def lexical_windows(df: DataFrame, keys: Sequence[str], order: Sequence, text: s
     counts = turn_counts(text, "_words")
     f = _summed(d, wk, counts, [F.count(F.lit(1)).alias("n_turns"), F.count_distinct(speaker).alias("n_speakers")])
     coh = windows.turn_cohesion(d, wk, order, "_words").groupBy(*wk).agg(F.avg("cohesion").alias("turn_cohesion"))
-    grams = stream_ngrams(d, wk, order, "_words").select(*wk, F.col("unique_unigram").alias("unique_words"), "bigram_entropy", "trigram_entropy")
+    grams = stream_ngrams(d, wk, order, "_words", text).select(*wk, F.col("unique_unigram").alias("unique_words"), "bigram_entropy", "trigram_entropy")
     grid = d.select(*wk).distinct().withColumn(speaker, F.explode(F.array(*[F.lit(p) for p in participants])))
     said = d.groupBy(*wk, speaker).agg(F.sum(F.size("_words")).cast("double").alias("_w"))
     said = join_on(grid, said, [*wk, speaker], "left").fillna(0.0, ["_w"])

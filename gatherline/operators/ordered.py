@@ -148,12 +148,14 @@ def ordered_scan(
     steps: dict[str, Step],
     rows_per_block: int | None = None,
     then: Sequence[tuple[dict[str, Column], dict[str, Step]]] = (),
+    parts: int | None = None,
 ) -> DataFrame:
     """Add one column per step, computed along ``order`` (ascending, nulls first) within ``keys``.
 
     ``order`` should be total: rows alike in all of it stay in one block. ``then`` lists
     further rounds (columns derived from the steps so far, next steps); they share the cuts
-    and, where no key is cut, the shuffle of the first round.
+    and, where no key is cut, the shuffle of the first round. ``parts``: into how many tasks
+    the rows are dealt, where the caller knows how much they hold.
     """
     names = list(df.columns)
     cur = df
@@ -165,6 +167,8 @@ def ordered_scan(
     cuts = cuts_of(cur, keys, onames, rows_per_block or ROWS_PER_BLOCK)
     if cuts is not None:
         cur = with_blocks(cur, keys, onames, cuts)
+    if parts:
+        cur = cur.repartition(parts, *keys, *(["_blk"] if cuts is not None else []))
     rounds = [({}, steps), *then]
     for i, (derived, st) in enumerate(rounds):
         if derived:
