@@ -64,8 +64,7 @@ def _(spark, sf):
 @query("ngram_entropy", f"""WITH t AS (SELECT doc_id, {_TOK} AS ws FROM documents), g AS (SELECT doc_id, unnest({_grams('ws', 2)}) AS g FROM t), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_bigram, count(*) AS unique_bigram, count(*) FILTER (n = 1) AS hapax_bigram, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS bigram_entropy FROM c GROUP BY 1""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.tokens("text").alias("w"))
-    return rounded(lexical.item_entropy(d, ["doc_id"], T.ngrams("w", 2), "bigram"))
+    return rounded(lexical.text_ngrams(table(spark, sf, "documents"), ["doc_id"], "text", 2, "bigram"))
 
 
 @query("marker_counts", f"WITH t AS (SELECT doc_id, text, {_TOK} AS ws FROM documents) SELECT doc_id, {_counts('text', 'ws', 'marks')} FROM t")
