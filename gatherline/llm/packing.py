@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,18 @@ CAPACITY = 2_048
 END_ID = 1
 #: Rests shorter than this are not cut further.
 LEAST_CUT = 64
-_WORDS_KEPT = 250_000
-_ODD = re.compile(r"[\x1c-\x1f]|<\|")
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)\Z")
+_WORDS_KEPT = 500_000
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Lower-case letters, and marks that neither join them nor start a contraction.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)\Z")
+
+
+class _Numbers(dict):
+    """Numbers words as they are looked up."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class Encoder:
@@ -39,15 +48,14 @@ class Encoder:
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         for token, i in self.whole.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.mark = {p: self._ids(p) for p in ".,;:!?"}
         self.forget()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def forget(self):
-        self.index: dict[str, int] = {}  # words, and the letters of words that end in a mark
-        self.count = 0
+        self.index = _Numbers()  # words, and the letters of words that end in marks
+        self.marks: dict[str, tuple[int, int]] = {}  # where the marks' ids are
         self.ids = np.zeros(1 << 16, np.uint32)
         self.filled = 0
         self.spans = np.zeros((1 << 16, 2), np.int64)
@@ -60,13 +68,20 @@ class Encoder:
         self.filled += n
         return at
 
-    def _name(self, words: list[str], spans: list[tuple[int, int]]) -> None:
-        need = self.count + len(words)
-        if need > len(self.spans):
-            self.spans = np.concatenate([self.spans, np.zeros((max(need, len(self.spans)), 2), np.int64)])
-        self.spans[self.count : need] = np.array(spans, np.int64).reshape(-1, 2)
-        self.index.update(zip(words, range(self.count, need), strict=True))
-        self.count = need
+    def _numbers(self, words) -> np.ndarray:
+        """The words' numbers, with room for their spans; a span that ends at 0 is not known yet."""
+        out = np.fromiter(map(self.index.__getitem__, words), np.int64)
+        more = len(self.index) - len(self.spans)
+        if more > 0:
+            self.spans = np.concatenate([self.spans, np.zeros((max(more, len(self.spans)), 2), np.int64)])
+        return out
+
+    def _gather(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of spans, one after the other, and where each span's end."""
+        a, b = spans.T
+        n = b - a
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(a - (ends - n), n) + np.arange(int(n.sum()))], ends
 
     def _learn(self, words: list[str]) -> None:
         cores, marked, other = {}, [], []
@@ -79,41 +94,42 @@ class Encoder:
                 marked.append((w, m[1], m[2]))
             else:
                 cores[w] = None
-        new = [c for c in cores if c not in self.index]
+        names = self._numbers(cores)
+        missing = self.spans[names, 1] == 0
+        new, names = [c for c, x in zip(cores, missing, strict=True) if x], names[missing]
         for i in range(0, len(new), 2_000):
             some = new[i : i + 2_000]
             ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             at = self._put(ids)
             stops = np.flatnonzero(self.ends[ids]) + 1
             assert len(stops) == len(some)
-            self._name(some, np.stack((at + np.append(0, stops[:-1]), at + stops), 1))
-        spans = []
-        for _, core, mark in marked:
-            a, b = self.spans[self.index[core]].tolist()
-            spans.append((self._put(np.concatenate((self.ids[a:b], self.mark[mark]))), self.filled))
-        spans += [(self._put(self._ids(w)), self.filled) for w in other]
-        self._name([w for w, _, _ in marked] + other, spans)
+            self.spans[names[i : i + 2_000]] = np.stack((at + np.append(0, stops[:-1]), at + stops), 1)
+        if marked:
+            for m in {m for _, _, m in marked}.difference(self.marks):
+                self.marks[m] = (self._put(self._ids(m)), self.filled)
+            letters = self.spans[self._numbers(c for _, c, _ in marked)]
+            ids, ends = self._gather(np.stack((letters, [self.marks[m] for _, _, m in marked]), 1).reshape(-1, 2))
+            stops = ends[1::2] + self._put(ids)
+            self.spans[self._numbers(w for w, _, _ in marked)] = np.stack((np.append(self.filled - len(ids), stops[:-1]), stops), 1)
+        if other:
+            self.spans[self._numbers(other)] = [(self._put(self._ids(w)), self.filled) for w in other]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.count > _WORDS_KEPT:
+        if len(self.index) > _WORDS_KEPT:
             self.forget()
         usual, words = [], []
         for t in texts:
             try:
-                t.encode("latin-1")
-                ok = not _ODD.search(t)
+                ok = (t.isascii() or bool(t.encode("latin-1"))) and not any(x in t for x in _ODD)
             except UnicodeEncodeError:
                 ok = False
             usual.append(ok)
             words.append(t.lower().split() if ok else [])
-        new = set(chain.from_iterable(words)).difference(self.index)
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64)
-        a, b = self.spans[at].T if len(at) else np.zeros((2, 0), np.int64)
-        n = b - a
-        ends = np.cumsum(n)
-        flat = self.ids[np.repeat(a - (ends - n), n) + np.arange(int(n.sum()))]
+        known = len(self.index)
+        at = self._numbers(chain.from_iterable(words))
+        if len(self.index) > known:
+            self._learn(list(islice(self.index, known, None)))
+        flat, ends = self._gather(self.spans[at])
         cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, words)])]
         return [flat[cuts[i] : cuts[i + 1]] if usual[i] else self._ids(t) for i, t in enumerate(texts)]
 
