@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,13 @@ class Pieces:
         self.text.update({i: bytes([b]) for b, i in self.byte.items()})
         self.longest = max(map(len, self.score))
         self.unknown = min(s for s, _ in self.score.values()) - _UNKNOWN_PENALTY
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.ends: dict = {}  # the pieces' trie from their last characters back; "" has what is a piece
+        for p, got in self.score.items():
+            node = self.ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = got
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """The best-scoring ids of each of the sorted ``words``.
@@ -55,12 +62,21 @@ class Pieces:
                     break
                 keep += 1
             del best[keep + 1 :], back[keep + 1 :]
-            for end in range(keep + 1, len(w) + 1):
-                top, link = best[end - 1] + self.unknown, (end - 1, -1)
-                for start in range(max(0, end - self.longest), end):
-                    got = self.score.get(w[start:end])
-                    if got is not None and best[start] + got[0] > top:
-                        top, link = best[start] + got[0], (start, got[1])
+            n, turned = len(w), w[::-1]
+            for end in range(keep + 1, n + 1):
+                least = top = best[end - 1] + self.unknown
+                link = (end - 1, -1)
+                node, start = self.ends, end
+                for c in turned[n - end : n - end + self.longest]:
+                    node = node.get(c)
+                    if node is None:  # no piece ends so
+                        break
+                    start -= 1
+                    got = node.get("")
+                    if got is not None:
+                        s = best[start] + got[0]
+                        if s >= top and s > least:  # of equal ones the longest piece
+                            top, link = s, (start, got[1])
                 best.append(top)
                 back.append(link)
             ids, at = [], len(w)
@@ -80,23 +96,19 @@ class Pieces:
         split = [_MARKED.findall(part) for t in texts for part in _marked(t)]
         if len(self.known) > _WORDS_KEPT:
             self.known = {}
-        new = sorted({w for ws in split for w in ws}.difference(self.known))
-        self.known.update(zip(new, self.segment(new), strict=True))
-        literal = [self.byte[b] for b in MARK.encode()]
+        new = sorted(set().union(*split).difference(self.known))
+        self.known.update(zip(new, [array("I", ids).tobytes() for ids in self.segment(new)], strict=True))
+        literal = array("I", [self.byte[b] for b in MARK.encode()]).tobytes()
         out, at = [], 0
         for t in texts:
-            ids: list[int] = []
-            for k in range(t.count(MARK) + 1):
-                if k:
-                    ids += literal
-                for w in split[at]:
-                    ids += self.known[w]
-                at += 1
-            out.append(np.array(ids, np.uint32))
+            n = t.count(MARK) + 1
+            spelt = [b"".join(map(self.known.__getitem__, ws)) for ws in split[at : at + n]]
+            out.append(np.frombuffer(literal.join(spelt), np.uint32))
+            at += n
         return out
 
     def decode(self, ids) -> str:
-        return b"".join([self.text[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(self.text.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
 def _marked(text: str) -> list[str]:

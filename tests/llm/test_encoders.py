@@ -1,6 +1,23 @@
 """The encoders of words do little work a word."""
 
-from gatherline.llm import catalog, packing
+from gatherline.llm import catalog, packing, pieces
+
+
+class Counted(dict):
+    n = 0
+
+    def get(self, *a):
+        self.n += 1
+        return super().get(*a)
+
+
+def test_pieces_are_found_from_their_ends():
+    """op3_pieces: no lookup of every substring of a word."""
+    m = pieces.Pieces(catalog.tokenizer("piece_bpe_32k.model"))
+    want = m.encode(["some words, zzqxjk ▁ é日 and words"])[0].tolist()
+    m.known, m.score = {}, Counted(m.score)
+    assert m.encode(["some words, zzqxjk ▁ é日 and words"])[0].tolist() == want and m.score.n < 10
+    assert m.decode(want) == "some words, zzqxjk ▁ é日 and words" and m.encode([""])[0].tolist() == m.segment(["▁"])[0]
 
 
 def test_words_that_end_in_marks():
