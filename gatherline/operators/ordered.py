@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from gatherline.session import materialise, stored
 
 ROWS_PER_BLOCK = 2_000_000
+#: Rows that a task holds where the rows are dealt by their number.
+ROWS_PER_TASK = 250_000
 #: Sampled rows between two cuts.
 SAMPLES = 20
 #: Share of a key's values that the first pass of a percentile may be off by; keys with up to 1 / RANK_ERROR values skip nothing.
@@ -136,6 +138,11 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts:
     return d.withColumn("_blk", blk.cast("long")).drop(*hot, "_cuts", "_step", "_heads", "_cut_at", "_cut_h")
 
 
+def parts_of(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """How many tasks the rows fill, one a core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read to the shared folder, so it is computed once."""
     return stored(df)[0]
@@ -361,7 +368,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], spec: dict[str, tuple[
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi join on shared key names; keeps the left keys (right's for unmatched in full)."""
+    """Null-safe equi join on shared key names; keeps the left keys (right's for unmatched in full).
+
+    Left keys that are never null are joined by plain equality, so rows that were dealt by them stay where they are.
+    """
     if not keys:
         raise ValueError("join_on needs keys")
     if list(keys) == ["_all"] and how in ("left", "inner"):
@@ -373,6 +383,10 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     r = right
     for k, n in zip(keys, rk):
         r = r.withColumnRenamed(k, n)
+    if how in ("left", "inner"):
+        never = {f.name for f in left.schema.fields if not f.nullable}
+        if never.issuperset(keys):
+            return left.join(r, [F.col(k) == F.col(n) for k, n in zip(keys, rk)], how).drop(*rk)
     return left.join(r, _same(keys, rk), how).drop(*rk)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatherline.functions.exprs import col
-from gatherline.operators.ordered import agg_with_percentiles, exact_percentiles, join_on, ordered_scan, prev, row_no, settle
+from gatherline.operators.ordered import agg_with_percentiles, exact_percentiles, join_on, ordered_scan, parts_of, prev, row_no, settle
 
 
 def slope_ref(t, y) -> Column:
@@ -38,14 +38,19 @@ def signal_summary(df: DataFrame, keys: Sequence[str], t: str, x: str, prefix: s
 
 
 def vector_features(df: DataFrame, keys: Sequence[str], order: Sequence, axes: Sequence[str], fs: float = 1.0, high: float | None = None) -> DataFrame:
-    """Magnitude features of a vector signal; a missing axis counts as 0 in the magnitude."""
+    """Magnitude features of a vector signal; a missing axis counts as 0 in the magnitude.
+
+    The keys go in one struct, which is never null, and the rows are dealt by it once, to as many tasks as they
+    fill: the scan, both passes of the percentiles and their joins find them there.
+    """
     mag = F.sqrt(sum((F.coalesce(F.col(a) * F.col(a), F.lit(0.0)) for a in axes), F.lit(0.0)))
     full = F.lit(True)
     for a in axes:
         full = full & F.col(a).isNotNull()
-    d = df.withColumns({"_mag": mag, "_full": full.cast("double")})
-    d = ordered_scan(d, keys, order, {"_pm": prev("_mag")})
-    d = join_on(d, exact_percentiles(d, keys, {"_med": ("_mag", 0.5)}), keys, "left")
+    at = [f"_at{i}" for i in range(len(order))]
+    d = df.select(F.struct(*keys).alias("_key"), mag.alias("_mag"), full.cast("double").alias("_full"), *[col(o).alias(a) for o, a in zip(order, at, strict=True)])
+    d = ordered_scan(d, ["_key"], at, {"_pm": prev("_mag")}, parts=parts_of(df))
+    d = join_on(d, exact_percentiles(d, ["_key"], {"_med": ("_mag", 0.5)}), ["_key"], "left")
     d = d.withColumns({"_dyn": F.abs(F.col("_mag") - F.col("_med")), "_jerk": F.abs(F.col("_mag") - F.col("_pm")) * F.lit(float(fs))})
     aggs = [
         (F.avg("_full") * 100.0).alias("coverage_pct"), F.avg("_mag").alias("motion_mean"), F.stddev_pop("_mag").alias("motion_std"),
@@ -54,7 +59,8 @@ def vector_features(df: DataFrame, keys: Sequence[str], order: Sequence, axes: S
     if high is not None:
         aggs.append(F.avg((F.col("_mag") > high).cast("double")).alias("high_fraction"))
     spec = {"motion_p95": ("_mag", 0.95), "dynamic_p95": ("_dyn", 0.95), "jerk_p95": ("_jerk", 0.95)}
-    return agg_with_percentiles(d, keys, aggs, spec)
+    out = agg_with_percentiles(d, ["_key"], aggs, spec)
+    return out.select("_key.*", *[c for c in out.columns if c != "_key"])
 
 
 def sample_rate(df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
