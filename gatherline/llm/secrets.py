@@ -40,6 +40,8 @@ _NAMED = re.compile(
 )
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_~.-])[A-Za-z0-9+/_~-][A-Za-z0-9+/_~.-]{10,}+(?:={1,2}(?![A-Za-z0-9+/_~.=-]))?+")
 _NEAR = re.compile(_NAMES, re.I)
+#: One of these is in every lower-case text with a secret's name, unless it has letters that match s or i and are neither.
+_HINTS, _LIKE_ASCII = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer"), ("\u017f", "\u0130", "\u0131")
 _ALPHA = re.compile(r"[A-Za-z]{3,}")
 _PARAMETER = re.compile(r"[?&=#]")  # what follows is no part of a path
 _WORD_BEFORE = re.compile(r"(\S+)\s*\Z")
@@ -103,7 +105,9 @@ def _describe(value: str, before: str, after: str, named: bool, words: frozenset
 def candidates(text: str, words: frozenset) -> list[tuple[int, int, list[float]]]:
     """(start, end, features) of all that may be a secret in a whole text: values of names, then other opaque runs,
     or the well-known keys inside them."""
-    spans = [(*m.span("value"), True) for m in _NAMED.finditer(text)]
+    low = text.lower()
+    may = any(x in low for x in _HINTS) or not text.isascii() and any(x in text for x in _LIKE_ASCII)
+    spans = [(*m.span("value"), True) for m in _NAMED.finditer(text)] if may else []
     taken, others = 0, []
     for m in _OPAQUE.finditer(text):
         while taken < len(spans) and spans[taken][1] <= m.start():
@@ -210,15 +214,14 @@ def redact(docs: DataFrame, words_path: str, labelled: DataFrame | None = None,
         words = dictionary(words_path)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for i, t in enumerate(texts):
-                found = candidates(t or "", words)
-                if found:
-                    at, parts = 0, []
-                    for (a, b, _), s in zip(found, _scored(shared.value, [f for _, _, f in found]), strict=True):
-                        if s > THRESHOLD:
-                            parts += [t[at:a], mark]
-                            at = b
-                    texts[i] = "".join([*parts, t[at:]])
+            found = [(i, a, b, f) for i, t in enumerate(texts) for a, b, f in candidates(t or "", words)]
+            parts, ends = {}, {}
+            for (i, a, b, _), s in zip(found, _scored(shared.value, [f for *_, f in found]), strict=True):  # a batch's findings at once
+                if s > THRESHOLD:
+                    parts.setdefault(i, []).extend((texts[i][ends.get(i, 0) : a], mark))
+                    ends[i] = b
+            for i, p in parts.items():
+                texts[i] = "".join([*p, texts[i][ends[i] :]])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], ["rest_", "text"])
 
     out = source.mapInArrow(lean(run, "secrets"), StructType([source.schema["rest_"], StructField("text", StringType())]))

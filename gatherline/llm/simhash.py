@@ -166,16 +166,19 @@ def as_hex(fp: str) -> Column:
 
 
 WIDE = 8  # 64-bit words of a wide fingerprint: 512 bits estimate a similarity to about 0.02
+_LOW_BITS = np.uint64(0x0101010101010101)
 
 
 def wide_fingerprint(shingles: np.ndarray, slab: int = 1 << 14) -> bytes:
     """A fingerprint of 512 bits over the distinct hashes of word shingles, for similarities well below one."""
     counts = np.zeros((WIDE, BITS), np.int64)
+    words = np.arange(WIDE, dtype=np.uint64)[:, None]
     for i in range(0, len(shingles), slab):
-        h = shingles[i : i + slab]
-        for w in range(WIDE):
-            bits = np.unpackbits(mix(h + np.uint64(w)).view(np.uint8), bitorder="little").reshape(-1, BITS)
-            counts[w] += bits.sum(0, dtype=np.uint16)  # a slab has fewer rows than the type holds
+        h = mix(shingles[None, i : i + slab] + words)
+        cuts = np.arange(0, h.shape[1], 255)  # a byte counts so many
+        for bit in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(bit)) & _LOW_BITS, cuts, axis=1)  # one bit of each byte, eight side by side
+            counts[:, bit::8] += lanes.view(np.uint8).reshape(WIDE, -1, 8).sum(1, dtype=np.int64)
     return np.packbits(counts.ravel() * 2 > len(shingles), bitorder="little").tobytes()
 
 
@@ -266,14 +269,23 @@ def _ranges(keys: np.ndarray):
     return zip(cuts[several].tolist(), cuts[several + 1].tolist(), strict=True)
 
 
+def _sieved(f: np.ndarray, g: np.ndarray, most: int, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Places in f and g (a row for each word) of all pairs that may differ in at most ``most`` bits, by the first words.
+
+    Unlike texts differ in half of their bits, so the words must have well over twice ``most`` bits to rule them
+    out. A count that wraps lets a pair through, never out."""
+    near = np.zeros((f.shape[1], g.shape[1]), np.uint8)
+    x, n = np.empty(near.shape, np.uint64), np.empty(near.shape, np.uint8)
+    for w in range(words):
+        np.bitwise_xor(f[w, :, None], g[w, None, :], out=x)
+        near += np.bitwise_count(x, out=n)
+    return np.nonzero(near <= most)
+
+
 def _close(f: np.ndarray, g: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in f and g of all pairs with at most ``most`` differing bits; half of the words rule out most pairs."""
-    half = WIDE // 2
-    near = np.zeros((len(f), len(g)), np.uint16)
-    for w in range(half):
-        near += np.bitwise_count(f[:, w, None] ^ g[None, :, w])
-    i, j = np.nonzero(near <= most)
-    d = near[i, j] + np.bitwise_count(f[i, half:] ^ g[j, half:]).sum(1, dtype=np.uint16)
+    """Places in f and g (a row for each word) of all pairs with at most ``most`` differing bits."""
+    i, j = _sieved(f, g, most)
+    d = np.bitwise_count(f[:, i] ^ g[:, j]).sum(0, dtype=np.uint16)
     return i[d <= most], j[d <= most]
 
 
@@ -281,10 +293,10 @@ def wide_links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, most: int, ro
     """A spanning forest of the links within each run of equal keys."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in _ranges(keys):
-        f, d = fps[lo:hi], ids[lo:hi]
+        f, d = np.ascontiguousarray(fps[lo:hi].T), ids[lo:hi]
         up = np.arange(hi - lo)  # each place's tree, named by its least place
         for at in range(0, hi - lo, rows):
-            i, j = _close(f[at : at + rows], f[at:], most)
+            i, j = _close(f[:, at : at + rows], f[:, at:], most)
             a, b = up[i + at], up[j + at]
             apart = a != b
             if apart.any():

@@ -13,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gatherline.llm.components import runs
 from gatherline.llm.suffix_arrays import repeated_windows
-from gatherline.llm.texts import U64, blocks, encoded, lean, mix, whole_rows
+from gatherline.llm.texts import U64, blocks, encoded, lean, mix, range_hashes, whole_rows
 from gatherline.session import stored
 
 WIDTH = 200
@@ -43,6 +44,13 @@ def _first_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def _gram_hashes(data: bytes) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on."""
+    x = np.frombuffer(data + b"\0" * GRAM, np.uint8)
+    words = np.lib.stride_tricks.as_strided(x[:8].view(np.uint64), (len(data) + 8,), (1,))
+    return mix(words[: len(data)] * U64(0x9E3779B97F4A7C15) + mix(words[8 : len(data) + 8]))
+
+
 def segments(texts: list[bytes], width: int = WIDTH) -> Iterator[tuple[np.ndarray, ...]]:
     """(text number, first window, windows, anchor hash, context hash) of all segments, in slices of bounded size."""
     from xxhash import xxh3_64_intdigest
@@ -57,9 +65,7 @@ def segments(texts: list[bytes], width: int = WIDTH) -> Iterator[tuple[np.ndarra
             continue
         data = b"".join(g[2] for g in group)
         lengths = np.array([len(g[2]) for g in group])
-        x = np.frombuffer(data + b"\0" * GRAM, np.uint8)
-        words = np.lib.stride_tricks.as_strided(x[:8].view(np.uint64), (len(data) + 8,), (1,))
-        h = mix(words[: len(data)] * U64(0x9E3779B97F4A7C15) + mix(words[8 : len(data) + 8]))
+        h = _gram_hashes(data)
         least = _first_least((h & ~_PLACE) | np.arange(len(data), dtype=np.uint64), width - GRAM + 1)
         place = (least & _PLACE).astype(np.int64)
         ends = np.cumsum(lengths)
@@ -134,6 +140,29 @@ def _contexts(joined: DataFrame, width: int) -> DataFrame:
     return joined.select("text", "parts").mapInArrow(lean(run), "a long, c long, n long, d long, bytes binary")
 
 
+def _may_share(parts: list[bytes], anchors: np.ndarray, width: int) -> np.ndarray:
+    """Whether a context may share a window with another one of its anchor.
+
+    Equal windows have their anchor in the same place, and half of the rest or more lies before or after it. So contexts
+    with a common window agree in that many bytes before the anchor or after it.
+    """
+    side = -(-(width - GRAM) // 2)
+    lengths = np.array([len(p) for p in parts], np.int64)
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    data = b"".join(parts)
+    found = np.flatnonzero(_gram_hashes(data) == np.repeat(anchors.view(np.uint64), lengths))
+    place = found[np.searchsorted(found, ends - width)]  # the first one from the last window's start on
+    x = np.frombuffer(data, np.uint8)
+    may = np.zeros(len(parts), bool)
+    for lo, hi, some in ((place - side, place, place - side >= begins), (place + GRAM, place + GRAM + side, place + GRAM + side <= ends)):
+        some = np.flatnonzero(some)
+        key = mix(range_hashes(x, lo[some], hi[some]) ^ mix(anchors[some].view(np.uint64)))
+        _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        may[some[n[which] > 1]] = True
+    return may
+
+
 def _by_suffix_arrays(contexts: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     """(a, c, lo, hi): runs of windows, counted from the context's start, that begin twice."""
 
@@ -150,7 +179,14 @@ def _by_suffix_arrays(contexts: DataFrame, width: int, shard_bytes: int) -> Data
 
         for t in runs(batches):
             keys = t.column("a").to_numpy()
-            cuts = [*np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).tolist(), len(keys)]
+            may = _may_share(t.column("bytes").to_pylist(), keys, width)
+            alone = t.filter(pa.array(~may & (t.column("n").to_numpy() > 1)))
+            if alone.num_rows:  # all their windows begin again, in other places with the same context
+                sizes = pc.binary_length(alone.column("bytes")).to_numpy().astype(np.int64)
+                cells = [alone.column("a").combine_chunks(), alone.column("c").combine_chunks(), pa.array(np.zeros(len(sizes), np.int64)), pa.array(sizes - (width - 1))]
+                yield pa.RecordBatch.from_arrays(cells, ["a", "c", "lo", "hi"])
+            t, keys = t.filter(pa.array(may)), keys[may]
+            cuts = [*np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist(), len(keys)] if len(keys) else [0]
             cc, nn, bb = (t.column(x).to_pylist() for x in ("c", "n", "bytes"))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 a += keys[lo:hi].tolist()
