@@ -407,20 +407,171 @@ class _Climb:
         return False
 
 
+def _logs(p: Sequence[np.ndarray]) -> np.ndarray:
+    """Parameters without bounds: means, and logarithms of the others."""
+    return np.concatenate([p[0].ravel(), *[np.log(x).ravel() for x in p[1:]]])
+
+
+def _place(z: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    d = (len(z) - k - k * k) // (2 * k)
+    means, var, st, tr = np.split(z, np.cumsum([k * d, k * d, k]))
+    share = lambda x: (w := np.maximum(np.exp(x - x.max(-1, keepdims=True)), LEAST)) / w.sum(-1, keepdims=True)
+    return means.reshape(k, d), np.maximum(np.exp(np.clip(var, -50.0, 50.0)).reshape(k, d), VAR_FLOOR), share(st), share(tr.reshape(k, k))
+
+
+def _slopes(v: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The likelihood's gradient at ``_logs`` of the model's parameters, from the expected counts there, and its curvature along
+    each of them if the states were known."""
+    k, d = m.means.shape
+    n, sx, sq, xi, st = np.split(v[:-1], np.cumsum([k, k * d, k * d, k * k]))
+    n, sx, sq, xi = n[:, None], sx.reshape(k, d), sq.reshape(k, d), xi.reshape(k, k)
+    mu, rows = m.means - m.means.mean(0), xi.sum(1, keepdims=True)
+    off = sq - 2 * mu * sx + n * mu**2
+    g = [(sx - n * mu) / m.vars, 0.5 * (off / m.vars - n), st - st.sum() * m.start, xi - rows * m.trans]
+    h = [n / m.vars, np.repeat(n / 2, d, 1), st.sum() * m.start, rows * m.trans]
+    return np.concatenate([x.ravel() for x in g]), np.concatenate([np.maximum(x, 1e-3).ravel() for x in h])
+
+
+#: Rows of whole sequences on which large fits begin; differences kept of earlier steps; plain rounds before the first quasi-Newton step.
+BEGIN_ROWS, MEMORY, PLAIN_FIRST = 200_000, 20, 5
+
+
+class _Ascent:
+    """Climb of one model with one set of parameters a pass.
+
+    The expected counts give the gradient as well as EM's next round. Quasi-Newton steps (limited memory, scaled by the complete
+    data's curvature) lead on; one that does not raise the likelihood enough is shortened, and given up for the plain
+    round after a few tries. So no step lowers the likelihood, and as with ``_Climb`` the end is a plain round that changes it by less
+    than ``tol``.
+    """
+
+    def __init__(self, model: Model, max_iter: int, tol: float):
+        self.m, self.max_iter, self.tol = model, max_iter, tol
+        self.z, self.steps, self.turns = None, [], []
+        self.first, self.plain, self.trial = PLAIN_FIRST, True, model.params()
+
+    def wanted(self) -> list[Model]:
+        p = self.trial
+        return [replace(self.m, means=p[0], vars=p[1], start=p[2], trans=p[3])]
+
+    def go_on(self, z: np.ndarray, steps: list, turns: list) -> None:
+        """Begin again at ``z`` with differences seen elsewhere."""
+        m = self.m
+        m.loglik, m.rounds, m.converged, m.occupancy, m.history = float("nan"), 0, False, None, []
+        self.z, self.steps, self.turns, self.first, self.plain, self.trial = None, steps, turns, 1, True, _place(z, m.k)
+        m.set(self.trial)
+
+    def _direction(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        q, known = g.copy(), list(zip(self.steps, self.turns, strict=True))
+        along = []
+        for s, y in known[::-1]:
+            along.append((s @ q) / (s @ y))
+            q -= along[-1] * y
+        r = q / h
+        if known:
+            s, y = known[-1]
+            r *= (s @ y) / (y @ (y / h))
+        for (s, y), a in zip(known, along[::-1], strict=True):
+            r += s * (a - (y @ r) / (s @ y))
+        return r
+
+    def take(self, counts: list[np.ndarray]) -> bool:
+        """The counts at the wanted parameters; sets the next ones. True when the fit has ended."""
+        m, v = self.m, counts[0]
+        m.rounds += 1
+        ll = float(v[-1])
+        if not self.plain and not ll >= m.loglik + 1e-4 * self.length * self.slope - 0.1 * self.tol:
+            if m.rounds >= self.max_iter:
+                m.set(self.em)
+                return True
+            self.length *= 0.3
+            self.plain = self.length < 0.02
+            if self.plain:
+                self.steps, self.turns = [], []
+            self.trial = self.em if self.plain else _place(self.z + self.length * self.way, m.k)
+            return False
+        gain = ll - m.loglik if m.history else np.inf
+        m.set(self.trial)
+        m.loglik, m.occupancy = ll, v[: m.k]
+        m.history.append(ll)
+        z, (g, h), self.em = _logs(self.trial), _slopes(v, m), _m_step(v, m)
+        m.converged = self.plain and abs(gain) < self.tol
+        if m.converged or m.rounds >= self.max_iter:
+            m.set(self.em)
+            return True
+        if self.z is not None:
+            s, y = z - self.z, self.g - g
+            if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
+                self.steps, self.turns = [*self.steps, s][-MEMORY:], [*self.turns, y][-MEMORY:]
+        self.z, self.g = z, g
+        self.plain = abs(gain) < self.tol or len(m.history) < self.first
+        if not self.plain:
+            way = self._direction(g, h)
+            if not g @ way > 0:
+                self.steps, self.turns, way = [], [], g / h
+            wide = np.concatenate([np.sqrt(m.vars).ravel(), np.ones(len(z) - m.means.size)])
+            self.way = way * min(1.0, 2.0 / max(float(np.abs(way / wide).max()), 1e-300))  # at most two deviations, or a factor of e squared
+            self.slope, self.length = float(g @ self.way), 1.0
+        self.trial = self.em if self.plain else _place(z + self.way, m.k)
+        return False
+
+
+def _begin(table: DataFrame, keys: list[str], climbs: list[_Ascent], dims: int, total: int) -> None:
+    """Brings climbs near their ends on some BEGIN_ROWS rows of whole sequences, each in a task of its own, for a start: they go on over
+    all rows from there, with the differences of steps seen here."""
+    some = table.where("blocks = 1 and n > 1").where(F.pmod(F.xxhash64(*keys, F.lit("begin")), F.lit(total // BEGIN_ROWS)) == 0)
+
+    def climb(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        c, batches = climbs[key[0].as_py()], rows.drop_columns(["model"]).to_batches()
+        n = sum(int(np.asarray(b.column("n"))[np.asarray(b.column("fold")) != (-2 if c.m.leave_out is None else c.m.leave_out)].sum()) for b in batches)
+        while n and not c.take([_sum_counts(batches, c.wanted(), dims)[0]]):
+            pass
+        flat = np.concatenate([[n], _logs(c.m.params()), *c.steps, *c.turns])
+        return pa.table({"model": [key[0].as_py()], "v": [flat.tolist()]}, schema=pa.schema([("model", pa.int32()), ("v", pa.list_(pa.float64()))]))
+
+    each = some.select(F.explode(F.sequence(F.lit(0), F.lit(len(climbs) - 1))).alias("model"), "n", "fold", "x")
+    for r in each.repartitionByRange(len(climbs), "model").groupBy("model").applyInArrow(climb, "model int, v array<double>").collect():
+        c, n = climbs[r.model], r.v[0]
+        if n:
+            width = len(_logs(c.m.params()))
+            z, *seen = np.array(r.v[1:]).reshape(-1, width)
+            c.go_on(z, seen[: len(seen) // 2], [y * (c.m.n_rows / n) for y in seen[len(seen) // 2 :]])
+
+
+def _fit_large(table: DataFrame, keys: list[str], models: list[Model], dims: int, max_iter: int, tol: float, long: bool, total: int) -> list[Model]:
+    """A pass for all models that are still climbing; models that start alike but for the order of their states climb once."""
+    alike: dict[tuple, list[Model]] = {}
+    for m in models:
+        by = np.lexsort(m.means.T)
+        alike.setdefault((m.k, m.leave_out, m.means[by].tobytes(), m.vars[by].tobytes()), []).append(m)
+    climbs = [_Ascent(ms[0], max_iter, tol) for ms in alike.values()]
+    if total >= 2 * BEGIN_ROWS:
+        _begin(table, keys, climbs, dims, total)
+    while climbs:
+        counts = _pass(table, keys, [c.wanted()[0] for c in climbs], dims, long)
+        climbs = [c for c, v in zip(climbs, counts, strict=True) if v is not None and not c.take([v])]
+    for first, *others in alike.values():
+        _in_order(first)
+        for m in others:
+            m.set(first.params())
+            m.loglik, m.rounds, m.converged, m.occupancy, m.history = first.loglik, first.rounds, first.converged, first.occupancy, first.history
+    return models
+
+
 def fit_packed(table: DataFrame, keys: Sequence[str], models: list[Model], dims: int, max_iter: int = 200, tol: float = 1e-5) -> list[Model]:
     """Fit all models on a packed table (read from storage), each pass for all that are not done.
 
     The start is K-means over START_ROWS rows with the least hash, of the groups the model may see.
     EM ends when a plain round changes the log likelihood by less than ``tol``, or after ``max_iter`` passes.
-    Sequences of one row do not count.
+    Sequences of one row do not count. Over ROWS_IN_A_TASK rows the steps between are quasi-Newton ones.
     """
     keys = list(keys)
     facts = table.groupBy("fold").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).when(F.col("blocks") > 1, F.col("n")).otherwise(0)).alias("n"), F.max("blocks").alias("b")).collect()
     long = any(r["b"] > 1 for r in facts)
-    rows = table.select("fold", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i", "_i"), F.xxhash64(*keys, "block").alias("h"), "x")
-    point = F.slice("x", F.col("i") * dims + 1, dims).alias("p")
+    points = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice("x", i * dims + 1, dims))
+    rows = table.select("fold", F.xxhash64(*keys, "block").alias("h"), F.posexplode(points).alias("i", "p"))  # without x, which would be copied a row
     folds = sorted(r["fold"] for r in facts) if any(m.leave_out is not None for m in models) else [None]
-    seen = {f: np.array([r["p"] for r in (rows if f is None else rows.where(F.col("fold") == f)).orderBy(F.xxhash64("h", "i"), "h", "i").limit(START_ROWS).select(point).collect()], float).reshape(-1, dims) for f in folds}
+    seen = {f: np.array([r["p"] for r in (rows if f is None else rows.where(F.col("fold") == f)).orderBy(F.xxhash64("h", "i"), "h", "i").limit(START_ROWS).select("p").collect()], float).reshape(-1, dims) for f in folds}
     for m in models:
         m.n_rows = sum(r["n"] for r in facts if m.leave_out is None or r["fold"] != m.leave_out)
         x = np.concatenate([v for f, v in seen.items() if f is None or f != m.leave_out])
@@ -433,6 +584,9 @@ def fit_packed(table: DataFrame, keys: Sequence[str], models: list[Model], dims:
         m.history, m.rounds, m.converged = [], 0, False
     if not long and table.rdd.getNumPartitions() == 1:
         return _fit_in_tasks(table, models, dims, max_iter, tol)
+    total = sum(r["n"] for r in facts)
+    if total > ROWS_IN_A_TASK:
+        return _fit_large(table, keys, models, dims, max_iter, tol, long, total)
     climbs = [_Climb(m, max_iter, tol) for m in models]
     while climbs:
         trials = [c.wanted() for c in climbs]
